@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from seclog import refdata as R
-from seclog.functions.text import lookup, rx
+from seclog.functions.text import let, lookup, rx
 
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = "^" + r"\.".join([_OCTET] * 4) + "$"
@@ -36,14 +36,12 @@ def is_skipped(ip: Column) -> Column:
 
 def probes(text: Column) -> Column:
     """Array of (src_ip, dst_port, kind), one item per firewall or login pattern that hits."""
-    found = []
-    for pattern, kind in R.SCAN_PATTERNS:
-        ip = F.regexp_extract(text, rx(pattern), 1)
-        port = F.regexp_extract(text, rx(pattern), 2)
-        found.append(F.when(ip != "", F.struct(
-            ip.alias("src_ip"),
-            F.coalesce(port.try_cast("int"), F.lit(0)).alias("dst_port"),
-            F.lit(kind).alias("kind"))))
+    def probe(port: Column, kind: str):
+        return lambda ip: F.when(ip != "", F.struct(
+            ip.alias("src_ip"), F.coalesce(port.try_cast("int"), F.lit(0)).alias("dst_port"), F.lit(kind).alias("kind")))
+
+    found = [let(F.regexp_extract(text, rx(pattern), 1), probe(F.regexp_extract(text, rx(pattern), 2), kind))
+             for pattern, kind in R.SCAN_PATTERNS]
     return F.filter(F.array(*found), lambda p: p.isNotNull())
 
 
@@ -61,11 +59,15 @@ def hex_ipv6(words: Column) -> Column:
             group = F.concat(F.substring(words, hi, 2), F.substring(words, lo, 2))
             groups.append(F.lower(F.regexp_replace(group, "^0{1,3}", "")))
     full = F.concat_ws(":", *groups)
-    # The leftmost longest run of at least two zero groups shrinks to '::'.
-    short = full
-    for run in range(2, 9):
-        pattern = r"^(|.*?[^:]+:)0(?::0){%d}(|:.*)$" % (run - 1)
-        left = F.regexp_replace(F.regexp_extract(full, pattern, 1), ":$", "")
-        right = F.regexp_replace(F.regexp_extract(full, pattern, 2), "^:", "")
-        short = F.when(full.rlike(pattern), F.concat(left, F.lit("::"), right)).otherwise(short)
-    return F.when(words.rlike("^[0-9A-Fa-f]{32}$"), short)
+
+    def shortened(address: Column) -> Column:
+        """The leftmost longest run of at least two zero groups shrinks to '::'."""
+        short = address
+        for run in range(2, 9):
+            pattern = r"^(|.*?[^:]+:)0(?::0){%d}(|:.*)$" % (run - 1)
+            left = F.regexp_replace(F.regexp_extract(address, pattern, 1), ":$", "")
+            right = F.regexp_replace(F.regexp_extract(address, pattern, 2), "^:", "")
+            short = F.when(address.rlike(pattern), F.concat(left, F.lit("::"), right)).otherwise(short)
+        return short
+
+    return F.when(words.rlike("^[0-9A-Fa-f]{32}$"), let(full, shortened))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seclog import refdata as R
 
@@ -31,6 +31,22 @@ def lookup(mapping: dict, key: Column, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def emit(df: DataFrame, condition: Column, columns: dict[str, Column]) -> DataFrame:
+    """Add costly computed columns to the rows where ``condition`` holds; drop other rows.
+
+    Written as a generator. The optimizer would copy later filters on plain computed
+    columns below this point, expression and all, and run every regex again.
+    """
+    made = F.explode(F.when(condition, F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+    return df.withColumn("_made", made).select(
+        *[c for c in df.columns if c not in columns], *["_made." + name for name in columns])
+
+
 def parse_level(message: Column) -> Column:
     low = F.lower(message)
     return first_of([(low.rlike("|".join(words)), F.lit(level)) for level, words in R.LEVEL_WORDS], F.lit("INFO"))
@@ -94,13 +110,14 @@ def characters(text: Column) -> Column:
 
 def shannon(text: Column) -> Column:
     """Entropy in bits over characters; empty text gives 0."""
-    n = F.length(text).cast("double")
 
-    def add(acc: Column, char: Column) -> Column:
-        share = (n - F.length(F.replace(text, char, F.lit("")))) / n
-        return acc - share * F.log2(share)
+    def bits(t: Column) -> Column:
+        return let(F.length(t).cast("double"), lambda n: F.aggregate(
+            F.array_distinct(characters(t)), F.lit(0.0),
+            lambda acc, char: acc - let((n - F.length(F.replace(t, char, F.lit("")))) / n,
+                                        lambda share: share * F.log2(share))))
 
-    return F.when(F.length(text) > 0, F.aggregate(F.array_distinct(characters(text)), F.lit(0.0), add)).otherwise(0.0)
+    return let(text, lambda t: F.when(F.length(t) > 0, bits(t)).otherwise(0.0))
 
 
 def octal_mode(mode: Column) -> Column:

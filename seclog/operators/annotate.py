@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seclog import refdata as R
 from seclog.functions.technique import with_technique
-from seclog.functions.text import iso, matched_rules, rule_severity, rx, upgraded_level
+from seclog.functions.text import iso, matched_rules, rule_severity, upgraded_level
 from seclog.operators import alerts as A, correlate as C, findings, scans
 from seclog.operators.rates import combine_scores, rate_anomaly
 from seclog.schema import ENTRY, complete
@@ -25,30 +25,38 @@ def apply_rules(entries: DataFrame, rules=R.RULES) -> DataFrame:
         "matched_rules": F.when(hit, F.col("_hit")).otherwise(F.col("matched_rules"))}).drop("_hit")
 
 
-def match_rules_table(entries: DataFrame, rules: DataFrame, broadcast_rows: int = 10_000) -> DataFrame:
+def match_rules_table(entries: DataFrame, rules: DataFrame, literal_rules: int = 200,
+                      broadcast_rules: int = 10_000) -> DataFrame:
     """Rules held in a table (ord, name, pattern, severity): (id, names in rule order).
 
-    A pattern test has no key to shuffle on. The number of rules is counted first; up to
-    ``broadcast_rows`` every executor gets the table. Beyond that entries are paired with
-    slices of the rule table of that size, one pass per slice.
+    The rules are counted first. Up to ``literal_rules`` they become one expression with
+    each pattern compiled once. A pattern test has no key to shuffle on, so a larger table
+    goes to every executor in slices of at most ``broadcast_rules``, one pass per slice.
     """
+    text = F.concat("message", F.lit(" "), "raw")
     total = rules.count()
-    slices = -(-total // broadcast_rows) or 1
+    if total <= literal_rules:
+        listed = [R.Rule(r.name, r.pattern, r.severity) for r in rules.orderBy("ord").collect()]
+        return (entries.select("id", matched_rules(text, listed).alias("matched_rules"))
+                .filter(F.size("matched_rules") > 0))
+    slices = -(-total // broadcast_rules)
     numbered = rules.withColumn("_slice", F.pmod(F.xxhash64("ord", "name"), F.lit(slices)))
+    texts = entries.select("id", text.alias("_text"))
     hits = None
     for number in range(slices):
         part = F.broadcast(numbered.filter(F.col("_slice") == number))
-        met = entries.select("id", F.concat("message", F.lit(" "), "raw").alias("_text")).join(
-            part, F.expr("_text rlike concat('(?idU)', pattern)")).select("id", "ord", "name")
+        met = texts.join(part, F.expr("_text rlike concat('(?idU)', pattern)")).select("id", "ord", "name")
         hits = met if hits is None else hits.unionByName(met)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"])
     return hits.groupBy("id").agg(ordered.alias("matched_rules"))
 
 
 def annotate(entries: DataFrame, rules=R.RULES, preserve_preset: bool = False) -> DataFrame:
-    """Rules, anomaly score and technique, in that order."""
-    scored = combine_scores(rate_anomaly(apply_rules(entries, rules)), preserve_preset)
-    return with_technique(scored)
+    """Rules, technique and anomaly score.
+
+    The technique needs no score, so all text work is done before the rows are shuffled.
+    """
+    return combine_scores(rate_anomaly(with_technique(apply_rules(entries, rules))), preserve_preset)
 
 
 def channel(category: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seclog import refdata as R
 from seclog.functions import dns as D
-from seclog.functions.text import cut
+from seclog.functions.text import cut, emit
 from seclog.operators.cooldown import cooldown
 from seclog.operators.rates import instants, micros, sliding_sum
 
@@ -14,8 +14,7 @@ from seclog.operators.rates import instants, micros, sliding_sum
 def queries_from(entries: DataFrame) -> DataFrame:
     """(id, ts, domain, client, is_nxdomain) of the entries that hold a DNS query."""
     text = F.concat(F.col("message"), F.lit(" "), F.col("raw"))
-    return (entries.select("id", "ts", D.extract(text).alias("q")).select("id", "ts", "q.*")
-            .filter(F.col("domain").isNotNull()))
+    return D.with_query(entries.select("id", "ts", text.alias("text")), F.col("text")).drop("text")
 
 
 def _rated(queries: DataFrame, key: str, seconds: int, cap: int, out: str, counted: DataFrame) -> DataFrame:
@@ -39,7 +38,8 @@ def dns_signals(queries: DataFrame, rate_threshold: int = R.DNS_RATE_THRESHOLD,
                 nxdomain_threshold: int = R.NXDOMAIN_THRESHOLD) -> DataFrame:
     """All findings before deduplication: (id, ts, signal, key, level, domain, client, amount)."""
     sub = D.subdomain(F.col("domain"))
-    names = (queries.withColumn("signal", D.name_signal(F.col("domain"))).filter(F.col("signal").isNotNull())
+    named = queries.withColumn("signal", D.name_signal(F.col("domain")))
+    names = (emit(named, F.col("signal").isNotNull(), {"signal": F.col("signal")})
              .withColumns({
                  "key": F.when(F.col("signal") == "bad_tld", F.col("domain")).otherwise(cut(F.col("domain"), 30)),
                  "level": F.when(F.col("signal") == "bad_tld", "CRITICAL").otherwise("WARNING"),

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seclog import refdata as R
-from seclog.functions.text import cut, lookup, parse_iso, parse_level, rx
+from seclog.functions.text import cut, emit, lookup, parse_iso, parse_level, rx
 from seclog.schema import complete
 
 COPIES_PER_TASK = 10_000
@@ -36,7 +36,7 @@ def _moment(as_of) -> Column:
 def trimmed_lines(df: DataFrame, column: str = "value") -> DataFrame:
     """Valid UTF-8, trimmed, without blank lines."""
     text = F.regexp_replace(F.make_valid_utf8(F.col(column)), r"^(?U)\s+|\s+$", "")
-    return df.withColumn(column, text).filter(F.col(column) != "")
+    return emit(df, text != "", {column: text})
 
 
 def parse_syslog(lines: DataFrame, year: int, as_of, name: Column | str, platform: str = "linux",
@@ -94,22 +94,29 @@ def read_syslog(spark: SparkSession, path: str, year: int, as_of, name: str | No
     return complete(with_ids(parse_syslog(copies, year, as_of, base, platform)))
 
 
+JOURNALD_LINE = ("struct<PRIORITY:string,__REALTIME_TIMESTAMP:string,MESSAGE:string,SYSLOG_IDENTIFIER:string,"
+                 "_COMM:string,_SYSTEMD_UNIT:string>")
+
+
 def parse_journald(lines: DataFrame, as_of, column: str = "value") -> DataFrame:
     """journald JSON lines; lines that are no JSON object are dropped."""
     text = F.col(column)
-    get = lambda key: F.get_json_object(text, "$['%s']" % key)
-    listed = F.from_json(get("MESSAGE"), "array<string>")
-    micros = F.coalesce(get("__REALTIME_TIMESTAMP"), F.lit("0")).try_cast("bigint")
-    unit = F.coalesce(get("_SYSTEMD_UNIT"), F.lit(""))
-    name = F.coalesce(F.nullif(get("SYSLOG_IDENTIFIER"), F.lit("")), F.nullif(get("_COMM"), F.lit("")), F.lit("journald"))
-    message = F.when(get("MESSAGE").startswith("["), F.coalesce(F.array_join(listed, " "), get("MESSAGE"))).otherwise(
-        F.coalesce(get("MESSAGE"), F.lit("")))
-    readable = trimmed_lines(lines, column).filter(text.startswith("{") & F.get_json_object(text, "$").isNotNull())
-    return readable.withColumn("_us", micros).filter(F.col("_us").isNotNull()).withColumns({
+    is_object = text.startswith("{") & F.get_json_object(text, "$").isNotNull()
+    objects = emit(trimmed_lines(lines, column), is_object, {"_o": F.from_json(text, JOURNALD_LINE)})
+    rows = objects.select(
+        *lines.columns, F.coalesce("_o.__REALTIME_TIMESTAMP", F.lit("0")).try_cast("bigint").alias("_us"),
+        F.coalesce("_o.PRIORITY", F.lit("6")).alias("_priority"), F.coalesce("_o.MESSAGE", F.lit("")).alias("_message"),
+        F.coalesce(F.when(F.col("_o.SYSLOG_IDENTIFIER") != "", F.col("_o.SYSLOG_IDENTIFIER")),
+                   F.when(F.col("_o._COMM") != "", F.col("_o._COMM")), F.lit("journald")).alias("_name"),
+        F.coalesce("_o._SYSTEMD_UNIT", F.lit("")).alias("_unit")).filter(F.col("_us").isNotNull())
+    listed = F.array_join(F.from_json("_message", "array<string>"), " ")
+    message = F.when(F.col("_message").startswith("["), F.coalesce(listed, "_message")).otherwise(F.col("_message"))
+    return rows.withColumns({
         "ts": F.when(F.col("_us") == 0, _moment(as_of)).otherwise(F.timestamp_micros("_us")),
-        "source": F.when(unit != "", F.concat(name, F.lit("("), unit, F.lit(")"))).otherwise(name),
-        "level": lookup(R.JOURNALD_PRIORITY, F.coalesce(get("PRIORITY"), F.lit("6")), "INFO"),
-        "message": cut(message, 1000), "raw": cut(text, 500), "platform": F.lit("linux")}).drop("_us", column)
+        "source": F.when(F.col("_unit") != "", F.concat("_name", F.lit("("), "_unit", F.lit(")"))).otherwise(F.col("_name")),
+        "level": lookup(R.JOURNALD_PRIORITY, F.col("_priority"), "INFO"),
+        "message": cut(message, 1000), "raw": cut(text, 500), "platform": F.lit("linux"),
+    }).drop("_us", "_priority", "_message", "_name", "_unit", column)
 
 
 def read_journald(spark: SparkSession, path: str, as_of) -> DataFrame:
@@ -130,7 +137,8 @@ def parse_unified_log(documents: DataFrame, as_of, max_items: int | None = 500,
     if max_items is not None:
         items = F.slice(items, 1, max_items)
     rows = documents.select("*", F.posexplode(items).alias("item_no", "_json")).drop(column)
-    item = rows.withColumn("_o", F.from_json("_json", UNIFIED_ITEM)).filter(F.col("_o").isNotNull())
+    parsed = F.from_json("_json", UNIFIED_ITEM)
+    item = emit(rows, parsed.isNotNull(), {"_o": parsed})
     process = F.coalesce("_o.process", F.lit("unknown"))
     subsystem = F.coalesce("_o.subsystem", F.lit(""))
     return item.withColumns({
@@ -161,10 +169,10 @@ def parse_wevt_text(documents: DataFrame, channel: Column | str, as_of, column:
         found = F.regexp_extract_all("_record", F.lit(r"(?m)^" + key + r"[ \t]*:[ \t]*(.*)$"), F.lit(1))
         return F.try_element_at(found, F.lit(-1))
 
-    fields = rows.withColumns({
+    fields = emit(rows, F.col("_record").contains(":"), {
         "_date": value("Date"), "_level": value("Level"), "_provider": value("Provider"),
         "_text": F.coalesce(value("Description"), value("Message"), F.lit(""))})
-    return fields.filter(F.col("_record").contains(":")).withColumns({
+    return fields.withColumns({
         "ts": F.coalesce(parse_iso(F.col("_date")), _moment(as_of)),
         "source": F.concat(channel, F.lit("/"), F.coalesce("_provider", channel)),
         "level": lookup(R.WINDOWS_TEXT_LEVEL, F.lower(F.coalesce("_level", F.lit(""))), "INFO"),
