@@ -395,7 +395,7 @@ def _(spark, sf):
     return sockets.parse_ss(X.spark_table(spark, sf, X.ss_lines, "lines")).select("id", "src_ip", "dst_port")
 
 
-@check("entry_json", with_(ANNOTATED, """SELECT id, to_json({%s}) AS json FROM ann""" % ", ".join(
+@check("entry_json", with_(ANNOTATED, """SELECT id, CAST(to_json({%s}) AS VARCHAR) AS json FROM ann""" % ", ".join(
     ["'id': id", "'timestamp': CASE WHEN us % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END"]
     + [f"'{name}': {name}" for name in ENTRY if name not in ("id", "ts")])))
 def _(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seclog import refdata as R
-from seclog.functions.text import first_of, rx
+from seclog.functions.text import first_of, folded, has, let
 
 FIELDS = ["tactic", "tactic_id", "technique", "technique_id", "subtechnique_id"]
 COLUMNS = ["mitre_" + field for field in FIELDS]
@@ -27,7 +27,8 @@ def from_rules(matched: Column) -> Column:
 
 
 def from_path(path: Column) -> Column:
-    return first_of([(path.rlike(rx(p)), literal(t)) for p, t in R.PATH_TECHNIQUES], F.lit(None))
+    return let(F.struct(path.alias("path"), folded(path).alias("low")), lambda p: first_of(
+        [(has(p["path"], p["low"], pattern), literal(t)) for pattern, t in R.PATH_TECHNIQUES], F.lit(None)))
 
 
 def from_port(port: Column) -> Column:
@@ -35,8 +36,11 @@ def from_port(port: Column) -> Column:
 
 
 def from_text(message: Column, raw: Column) -> Column:
-    return first_of([(message.rlike(rx(p)) | raw.rlike(rx(p)), literal(t)) for p, t in R.PATTERN_TECHNIQUES],
-                    F.lit(None))
+    texts = F.struct(message.alias("message"), folded(message).alias("low"),
+                     raw.alias("raw"), folded(raw).alias("raw_low"))
+    return let(texts, lambda t: first_of(
+        [(has(t["message"], t["low"], pattern) | has(t["raw"], t["raw_low"], pattern), literal(technique))
+         for pattern, technique in R.PATTERN_TECHNIQUES], F.lit(None)))
 
 
 def resolve() -> Column:

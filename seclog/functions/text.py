@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -73,15 +74,76 @@ def usable_rules(rules) -> list:
     return kept
 
 
+_ATOM = re.compile(r"\\.|\[\]?[^\]]*\]|\{[^}]*\}|.", re.S)
+_PLAIN_GROUP = re.compile(r"\((?:\?:)?([\w/ ]+(?:\|[\w/ ]+)*)\)")
+
+
+def required_texts(pattern: str) -> list[str] | None:
+    """Lower-case texts of which any match must contain at least one; None if unknown.
+
+    Per top-level alternative: its longest run of plain characters outside groups, or the
+    choices of a group of plain words. Short runs filter too little to be of use.
+    """
+    if re.search(r"\(\?[^:=!<]", pattern) or not pattern.isascii():
+        return None
+    needed: list[str] = []
+    runs, groups, group, depth, closed = [""], [], "", 0, False
+    for atom in _ATOM.findall(pattern) + ["|"]:
+        optional, after_group, closed = atom[0] in "?*{", closed, False
+        if depth:
+            group += atom
+            depth += {"(": 1, ")": -1}.get(atom, 0)
+            if not depth:
+                groups.append(group)
+                closed = True
+        elif atom == "(":
+            group, depth = atom, 1
+            runs.append("")
+        elif atom == "|":
+            plain = [m.group(1).split("|") for m in map(_PLAIN_GROUP.fullmatch, groups) if m]
+            longest = max(runs, key=len)
+            if len(longest) < 3 and not plain:
+                return None
+            needed.extend([longest] if len(longest) >= 3 else plain[0])
+            runs, groups = [""], []
+        elif optional and after_group:
+            groups.pop()
+        elif optional:
+            runs[-1] = runs[-1][:-1]
+            runs.append("")
+        elif atom in ".^$+" or len(atom) > 1 and (atom[0] == "[" or atom[1].isalnum()):
+            runs.append("")
+        else:
+            runs[-1] += atom[-1]
+    return sorted({text.lower() for text in needed})
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the four letters that equal an ASCII letter only when case is ignored."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def has(text: Column, low: Column, pattern: str) -> Column:
+    """Case-insensitive regex search in ``text``; ``low`` is the folded text.
+
+    A plain substring test, far cheaper, rules out most text first.
+    """
+    test = text.rlike(rx(pattern))
+    needed = required_texts(pattern)
+    if needed is None:
+        return test
+    return reduce(lambda a, b: a | b, [low.contains(part) for part in needed]) & test
+
+
 def matched_rules(text: Column, rules=R.RULES) -> Column:
     """Names of all rules that hit, in rule order.
 
-    concat_ws drops the misses and stays inside generated code, unlike a lambda
-    filter over an array.
+    concat_ws drops the misses, cheaper than a filter over an array.
     """
-    hits = [F.when(text.rlike(rx(r.pattern)), F.lit(r.name)) for r in usable_rules(rules)]
-    joined = F.concat_ws("\u0001", *hits)
-    return F.when(joined == "", F.array().cast(NO_STRINGS)).otherwise(F.split(joined, "\u0001"))
+    usable = usable_rules(rules)
+    joined = let(F.struct(text.alias("text"), folded(text).alias("low")), lambda t: F.concat_ws(
+        "\u0001", *[F.when(has(t["text"], t["low"], r.pattern), F.lit(r.name)) for r in usable]))
+    return let(joined, lambda names: F.when(names == "", F.array().cast(NO_STRINGS)).otherwise(F.split(names, "\u0001")))
 
 
 def rule_severity(matched: Column, rules=R.RULES) -> Column:

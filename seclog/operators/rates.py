@@ -36,24 +36,39 @@ def instants(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sliding_sum(counts: DataFrame, keys: list[str], seconds: float, value: str = "n", out: str = "rate") -> DataFrame:
-    """Sum of ``value`` in [us - seconds, us] for every (keys, us); peers count."""
+    """(keys, us, out): sum of ``value`` in [us - seconds, us] for every (keys, us); peers count.
+
+    Spark evaluates a bounded range frame anew for every row. A running sum is linear, so
+    each count enters at its instant and leaves again after ``seconds``. Buckets as long as
+    the range keep the running sums apart: a bucket starts with the total of the one
+    before, whose counts leave in it.
+    """
     width = int(seconds * MICROS)
-    window = W.partitionBy(*keys, "_bucket").orderBy("us").rangeBetween(-width, 0)
-    return (halo(counts, width).withColumn(out, F.sum(value).over(window))
-            .filter("_own").drop("_bucket", "_own"))
+    bucket = F.floor(F.col("us") / F.lit(width)).cast("bigint")
+    rows = counts.select(*keys, "us", F.col(value).alias("_v"), bucket.alias("_bucket"))
+    moves = rows.select(*keys, F.explode(F.array(
+        F.struct("_bucket", "us", "_v", F.lit(True).alias("_own")),
+        F.struct((F.col("_bucket") + 1).alias("_bucket"), (F.col("us") + width + 1).alias("us"),
+                 (-F.col("_v")).alias("_v"), F.lit(False).alias("_own")))).alias("m")).select(*keys, "m.*")
+    carried = (rows.groupBy(*keys, "_bucket").agg(F.sum("_v").alias("_v"))
+               .select(*keys, (F.col("_bucket") + 1).alias("_bucket"), ((F.col("_bucket") + 1) * width).alias("us"), "_v",
+                       F.lit(False).alias("_own")))
+    running = W.partitionBy(*keys, "_bucket").orderBy("us").rangeBetween(W.unboundedPreceding, 0)
+    return (moves.unionByName(carried).withColumn(out, F.sum("_v").over(running))
+            .filter("_own").select(*keys, "us", out))
 
 
 def source_rate(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS, key: str = "source",
                 out: str = "source_rate") -> DataFrame:
     """Add the number of events of the same source in the last ``seconds``."""
     rows = df.withColumn("us", micros())
-    rates = sliding_sum(instants(rows, [key]), [key], seconds, out=out).drop("n")
+    rates = sliding_sum(instants(rows, [key]), [key], seconds, out=out)
     return rows.join(rates, [key, "us"])
 
 
 def global_rate(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS) -> DataFrame:
     rows = df.withColumn("us", micros())
-    rates = sliding_sum(instants(rows, []), [], seconds, out="global_rate").drop("n")
+    rates = sliding_sum(instants(rows, []), [], seconds, out="global_rate")
     return rows.join(rates, "us")
 
 
@@ -87,8 +102,8 @@ def rate_table(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS) -> DataFrame
     """(source, us, source_rate, global_rate, sources_seen) for every instant of every source."""
     per_source = instants(df.select("source", micros().alias("us")), ["source"])
     per_instant = per_source.groupBy("us").agg(F.sum("n").alias("n"))
-    own = sliding_sum(per_source, ["source"], seconds, out="source_rate").drop("n")
-    everyone = sliding_sum(per_instant, [], seconds, out="global_rate").drop("n")
+    own = sliding_sum(per_source, ["source"], seconds, out="source_rate")
+    everyone = sliding_sum(per_instant, [], seconds, out="global_rate")
     return own.join(everyone, "us").join(_seen_by_instant(per_source, seconds), "us")
 
 

@@ -56,7 +56,7 @@ def fanout_table(attempts: DataFrame, seconds: int = R.SCAN_WINDOW_SECONDS) -> D
 
     tries = per_port.groupBy("src_ip", "us").agg(
         F.sum(F.when(F.col("dst_port") != 0, F.col("n")).otherwise(0)).alias("n"))
-    rated = sliding_sum(tries, ["src_ip"], seconds, out="attempts").drop("n")
+    rated = sliding_sum(tries, ["src_ip"], seconds, out="attempts")
     asked = rated.withColumn("_bucket", F.floor(F.col("us") / F.lit(width)).cast("bigint"))
     both = (asked.withColumn("delta", F.lit(0).cast("bigint"))
             .unionByName(marks, allowMissingColumns=True))
