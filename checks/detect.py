@@ -483,13 +483,13 @@ chosen AS (SELECT f.key, f.us, f.id, f.chain_no, a.us AS anchor_us, a.chain, a.s
     tactics, description, anchor_us, concat('[CORRELATED] ', chain, ' from ', c.key, ': ', steps) AS summary, n.src_ip, n.platform
   FROM chosen c JOIN acts n ON n.id = c.id WHERE rn = 1""", True))
 def _(spark, sf):
-    return C.correlate(storage.cut_lineage(annotated(spark, sf)))
+    return C.correlate(annotated(spark, sf))
 
 
 @check("correlation_stats", with_(CHAIN_FIRES, f"""SELECT (SELECT count(*) FROM fires) AS total_correlations,
     (SELECT count(DISTINCT key) FROM acts) AS active_sources, {len(R.CHAINS)} AS chains_defined""", True))
 def _(spark, sf):
-    rows = storage.cut_lineage(annotated(spark, sf))
+    rows = annotated(spark, sf)
     return C.correlation_stats(C.fires(rows), rows)
 
 
@@ -512,7 +512,7 @@ def _(spark, sf):
     is_anomaly, anomaly_score, mitre_tactic, mitre_technique_id, mitre_subtechnique_id,
     CASE WHEN category IN ('network', 'portscan') THEN 'network' WHEN category = 'fim' THEN 'fim' ELSE 'log' END AS channel FROM ann"""))
 def _(spark, sf):
-    out = A.with_channel(annotated(spark, sf))
+    out = A.with_channel(A.annotate(entries(spark, sf)))
     return out.select("id", "level", "category", "matched_rules", "is_anomaly", "anomaly_score", "mitre_tactic", "mitre_technique_id",
                       "mitre_subtechnique_id", "channel")
 

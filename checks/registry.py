@@ -11,6 +11,7 @@ from checks.fixtures import q
 from seclog import refdata as R
 from seclog.operators.annotate import annotate
 from seclog.schema import complete
+from seclog.storage import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,8 +55,15 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
     return complete(raw.withColumn("level", parse_level(F.col("message"))))
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def annotated(spark: SparkSession, sf: str) -> DataFrame:
-    return annotate(entries(spark, sf))
+    """Annotated entries as the engine stores them: written once per session, then read."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(annotate(entries(spark, sf)))
+    return _STORED[key]
 
 
 # --- DuckDB side --------------------------------------------------------------------

@@ -104,21 +104,24 @@ def _combine(group: list[str], block_at: str, span: int, gap: int, bounded: bool
     return run
 
 
-def _walk(group: list[str], out: list[str], gap: int):
-    """Follow the steps of each group from its entry row (``entered`` set, sorted first)."""
+def _walk(group: list[str], out: list[str], gap: int, from_start: bool):
+    """Follow the steps of each group from its entry row, which sorts first.
+
+    A group without one is skipped, or walked from its first step (``from_start``).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_groups(batches, group):
             first = _starts(pdf, group)
             g = np.cumsum(first) - 1
             is_step = pdf["is_step"].to_numpy().astype(bool)
-            entries = np.flatnonzero(~is_step)
             rows = np.flatnonzero(is_step)
-            if not len(entries) or not len(rows):
+            heads = np.flatnonzero(first if from_start else first & ~is_step)
+            if not len(heads) or not len(rows):
                 continue
             steps_g, upper, exits = g[rows], pdf["upper"].to_numpy()[rows], pdf["exit"].to_numpy()[rows]
-            at = _seek(steps_g, upper, g[entries], pdf["upper"].to_numpy()[entries])
-            entered = pdf["upper"].to_numpy()[entries]
+            entered = np.where(is_step[heads], START, pdf["upper"].to_numpy()[heads])
+            at = _seek(steps_g, upper, g[heads], entered)
             follow = _seek(steps_g, upper, steps_g, exits + gap)
             seen, when = [], []
             while True:
@@ -145,7 +148,7 @@ def _grouped(df: DataFrame, group: list[str], order: list[str], run, fields: str
 
 
 def passing_instants(steps: DataFrame, keys: list[str], gap_us: int, carry: DataFrame | None = None,
-                     fan: int = 64, levels: int = 2, bounded_entry: bool = True) -> DataFrame:
+                     fan: int = 16, levels: int = 2, bounded_entry: bool = True) -> DataFrame:
     """(keys, exit) of the steps that pass. Keys must not be null.
 
     ``steps`` holds keys, ``upper`` and ``exit`` in microseconds, sorted alike.
@@ -164,28 +167,26 @@ def passing_instants(steps: DataFrame, keys: list[str], gap_us: int, carry: Data
                                _combine(group, blocks[level], span, gap_us, bounded_entry),
                                _fields(below.schema, group + ["upper", "exit"])))
 
-    entries = layers[-1].select(*keys).distinct().withColumn("entered", F.lit(START))
-    if carry is not None:
-        entries = (entries.join(carry.select(*keys, "last_us"), keys, "left")
-                   .select(*keys, F.coalesce(F.col("last_us") + gap_us, "entered").alias("entered")))
+    entries = None if carry is None else carry.select(*keys, (F.col("last_us") + gap_us).alias("entered"))
     for level in reversed(range(levels + 1)):
         below, group = layers[level], keys + blocks[level:]
         child = blocks[level - 1] if level else "exit"
-        # The numbers of the enclosing blocks follow from the number of this one.
-        doors = entries.select(*keys, *blocks[level:level + 1], *[
-            F.floor(F.col(blocks[level]) / F.lit(fan ** (up - level))).cast("bigint").alias(blocks[up])
-            for up in range(level + 1, levels)], F.col("entered").alias("upper"), F.lit(False).alias("is_step"))
-        both = below.withColumn("is_step", F.lit(True)).unionByName(doors, allowMissingColumns=True)
+        rows = below.withColumn("is_step", F.lit(True))
+        if entries is not None:
+            # The numbers of the enclosing blocks follow from the number of this one.
+            outer = [F.floor(F.col(blocks[level]) / F.lit(fan ** (up - level))).cast("bigint").alias(blocks[up])
+                     for up in range(level + 1, levels)]
+            doors = entries.select(*keys, *blocks[level:level + 1], *outer, F.col("entered").alias("upper"),
+                                   F.lit(False).alias("is_step"))
+            rows = rows.unionByName(doors, allowMissingColumns=True).fillna(0, ["exit", child])
         out = keys + [child] + (["entered"] if level else [])
-        both = both.withColumn("exit", F.coalesce("exit", F.lit(0).cast("bigint")))
-        if level:
-            both = both.withColumn(child, F.coalesce(child, F.lit(0).cast("bigint")))
-        entries = _grouped(both, group, ["is_step", "upper"], _walk(group, out, gap_us), _fields(below.schema, out))
+        entries = _grouped(rows, group, ["is_step", "upper"], _walk(group, out, gap_us, level == levels),
+                           _fields(below.schema, out))
     return entries.select(*keys, "exit")
 
 
 def cooldown(df: DataFrame, keys: list[str], gap_seconds: float, ts: str = "ts", order: list[str] = ("id",),
-             carry: DataFrame | None = None, fan: int = 64, levels: int = 2) -> DataFrame:
+             carry: DataFrame | None = None, fan: int = 16, levels: int = 2) -> DataFrame:
     """Rows of ``df`` that pass; among rows of one key and instant the first by ``order``."""
     rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     steps = rows.select(*keys, F.col("_us").alias("upper")).distinct().withColumn("exit", F.col("upper"))

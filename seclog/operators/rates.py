@@ -72,39 +72,47 @@ def global_rate(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS) -> DataFram
     return rows.join(rates, "us")
 
 
-def _seen_by_instant(per_source: DataFrame, seconds: int) -> DataFrame:
-    """(us, sources_seen): distinct sources with an event at or before us.
+def instant_table(per_source: DataFrame, seconds: int) -> DataFrame:
+    """(us, global_rate, sources_seen) for every instant.
 
-    Prefix sum in two steps: totals per time bucket (one row per bucket, so the
-    window without keys below is small), then a running sum inside each bucket.
+    ``sources_seen`` counts the sources with an event at or before us. Both are running sums
+    inside time buckets. A bucket starts with what earlier ones hand on: the counts of the
+    bucket before, and all sources seen so far. That needs one row per bucket only, so the
+    window without keys below is small.
     """
     width = seconds * MICROS
-    new = (per_source.groupBy("source").agg(F.min("us").alias("us"))
-           .groupBy("us").agg(F.count(F.lit(1)).alias("k")))
-    marks = (per_source.select("us", F.lit(0).cast("bigint").alias("k")).unionByName(new)
-             .groupBy("us").agg(F.sum("k").alias("k"))
-             .withColumn("_bucket", F.floor(F.col("us") / F.lit(width)).cast("bigint")))
-    totals = marks.groupBy("_bucket").agg(F.sum("k").alias("total"))
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    base = totals.select("_bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = W.partitionBy("_bucket").orderBy("us")
-    return (marks.withColumn("k", F.sum("k").over(inside)).join(base, "_bucket")
-            .select("us", (F.col("base") + F.col("k")).alias("sources_seen")))
+    none = F.lit(0).cast("bigint")
+    news = per_source.groupBy("source").agg(F.min("us").alias("us")).select("us", none.alias("n"), F.lit(1).alias("k"))
+    bucket = F.floor(F.col("us") / F.lit(width)).cast("bigint").alias("_bucket")
+    rows = (per_source.select("us", "n", none.alias("k")).unionByName(news)
+            .groupBy("us").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).select("us", "n", "k", bucket))
+    moves = rows.select(F.explode(F.array(
+        F.struct("_bucket", "us", "n", "k", F.lit(True).alias("_own")),
+        F.struct((F.col("_bucket") + 1).alias("_bucket"), (F.col("us") + width + 1).alias("us"), (-F.col("n")).alias("n"),
+                 none.alias("k"), F.lit(False).alias("_own")))).alias("m")).select("m.*")
+    order = W.orderBy("_bucket")
+    handed = rows.groupBy("_bucket").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).select(
+        "_bucket", (F.col("_bucket") * width).alias("us"),
+        F.coalesce(F.sum("n").over(order.rangeBetween(-1, -1)), none).alias("n"),
+        F.coalesce(F.sum("k").over(order.rowsBetween(W.unboundedPreceding, -1)), none).alias("k"),
+        F.lit(False).alias("_own"))
+    running = W.partitionBy("_bucket").orderBy("us").rangeBetween(W.unboundedPreceding, 0)
+    return (moves.unionByName(handed)
+            .select("us", "_own", F.sum("n").over(running).alias("global_rate"), F.sum("k").over(running).alias("sources_seen"))
+            .filter("_own").drop("_own"))
 
 
 def sources_seen(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS) -> DataFrame:
     """Add the number of distinct sources seen so far; it never shrinks."""
     rows = df.withColumn("us", micros())
-    return rows.join(_seen_by_instant(instants(rows, ["source"]), seconds), "us")
+    return rows.join(instant_table(instants(rows, ["source"]), seconds).drop("global_rate"), "us")
 
 
 def rate_table(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS) -> DataFrame:
     """(source, us, source_rate, global_rate, sources_seen) for every instant of every source."""
     per_source = instants(df.select("source", micros().alias("us")), ["source"])
-    per_instant = per_source.groupBy("us").agg(F.sum("n").alias("n"))
     own = sliding_sum(per_source, ["source"], seconds, out="source_rate")
-    everyone = sliding_sum(per_instant, [], seconds, out="global_rate")
-    return own.join(everyone, "us").join(_seen_by_instant(per_source, seconds), "us")
+    return own.join(instant_table(per_source, seconds), "us")
 
 
 def rate_anomaly(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS) -> DataFrame:

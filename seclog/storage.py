@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,18 +14,23 @@ from seclog.schema import complete
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a private one only if none is set (tests)."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seclog-checkpoint-")
-        context.setCheckpointDir(current)
-    return current
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="seclog-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: iterative operators stay small plans and survive lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write to the shared folder and read back.
+
+    Iterative operators stay small plans, survive lost executors, and later steps read
+    only the columns they need.
+    """
+    spark = df.sparkSession
+    path = "%s/seclog-%s" % (checkpoint_dir(spark).rstrip("/"), uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def log_entries(spark: SparkSession, path: str) -> DataFrame:
