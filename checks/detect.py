@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as X
 from checks.fixtures import q
-from checks.registry import (ANNOTATED, DUCK, LEVELED, RATES, SCORED, annotated, check, cooldown_sql, entries, with_)
+from checks.registry import (ANNOTATED, DUCK, LEVELED, RATES, SCORED, annotated, check, cooldown_sql, entries, stored, with_)
 from checks.scalars import _PRIVATE, _SUB, DNS, LOG_ATTEMPTS, SIGNAL, dns_queries, shannon_sql
 from seclog import refdata as R, storage
 from seclog.operators import (alerts as AL, annotate as A, correlate as C, dns as D, forest as FO, rates as RT, scans,
@@ -55,7 +55,8 @@ attempts AS (SELECT id, ts, us, src_ip, dst_port, kind, method FROM log_attempts
 
 def attempts(spark, sf):
     rows = entries(spark, sf)
-    return scans.scan_attempts(scans.log_attempts(rows), scans.connection_attempts(rows))
+    return stored(spark, sf, "attempts", lambda: scans.scan_attempts(
+        scans.log_attempts(rows), scans.connection_attempts(rows)))
 
 
 @check("scan_attempts", with_(ATTEMPTS, "SELECT id, ts, src_ip, dst_port, kind, method FROM attempts"))
@@ -354,7 +355,7 @@ acked AS (SELECT * EXCLUDE (acknowledged), CAST(log_id AS BIGINT) % 3 = 0 AS ack
 
 
 def alerts(spark, sf):
-    return AL.alerts_from(annotated(spark, sf))
+    return stored(spark, sf, "alerts", lambda: AL.alerts_from(annotated(spark, sf)))
 
 
 def acked(spark, sf):
@@ -365,7 +366,7 @@ def acked(spark, sf):
 
 @check("alerts_rule", with_(ALERTS, "SELECT * FROM alerts WHERE rule_name <> 'Anomaly Detected'", True))
 def _(spark, sf):
-    return alerts(spark, sf).filter(F.col("rule_name") != "Anomaly Detected")
+    return AL.alerts_from(annotated(spark, sf)).filter(F.col("rule_name") != "Anomaly Detected")
 
 
 @check("alerts_anomaly", with_(ALERTS, "SELECT * FROM alerts WHERE rule_name = 'Anomaly Detected'", True))
@@ -385,8 +386,7 @@ _DESCRIPTION = "CASE split_part(mitre_technique_id, '.', 1) %s ELSE '' END" % "
 @check("alert_history", with_(ALERTS, f"""SELECT a.*, mitre_tactic, mitre_tactic_id, mitre_technique, mitre_technique_id,
     {_DESCRIPTION} AS tech_description FROM (SELECT * FROM alerts ORDER BY ts DESC, alert_id LIMIT 500) a LEFT JOIN ann n ON n.id = a.log_id""", True))
 def _(spark, sf):
-    rows = annotated(spark, sf)
-    return AL.alert_history(AL.alerts_from(rows), rows)
+    return AL.alert_history(alerts(spark, sf), annotated(spark, sf))
 
 
 @check("alerts_after_acks", with_(ALERTS, "SELECT * FROM acked", True))
@@ -408,8 +408,7 @@ _COLOUR = "CASE up WHEN 'CRITICAL' THEN '#ff1744' ELSE '#ffd740' END"
 
 def _notify(kind):
     def run(spark, sf):
-        rows = annotated(spark, sf)
-        told = AL.with_technique_of_entry(AL.alerts_from(rows), rows)
+        told = AL.with_technique_of_entry(alerts(spark, sf), annotated(spark, sf))
         return AL.notification_payloads(told, kind)
 
     return run

@@ -55,14 +55,18 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
     return complete(raw.withColumn("level", parse_level(F.col("message"))))
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple, DataFrame] = {}
 
 
 def annotated(spark: SparkSession, sf: str) -> DataFrame:
     """Annotated entries as the engine stores them: written once per session, then read."""
-    key = (spark.sparkContext.applicationId, sf)
+    return stored(spark, sf, "entries", lambda: annotate(entries(spark, sf)))
+
+
+def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STORED:
-        _STORED[key] = cut_lineage(annotate(entries(spark, sf)))
+        _STORED[key] = cut_lineage(build())
     return _STORED[key]
 
 

@@ -89,10 +89,10 @@ def run_pipeline(entries: DataFrame, rules=R.RULES, chains=R.CHAINS) -> Pipeline
     and scoring; scans get a technique, chains bring their own.
     """
     annotated = cut_lineage(annotate(complete(entries), rules))
-    fired = C.correlate(annotated, chains)
+    fired = cut_lineage(C.correlate(annotated, chains))
     attempts = scans.log_attempts(annotated.filter(F.col("category") == "log"))
     links = annotated.filter((F.col("category") == "network") & (F.col("src_ip") != "") & (F.col("dst_port") != 0))
-    attempts = scans.scan_attempts(attempts, scans.connection_attempts(links))
+    attempts = cut_lineage(scans.scan_attempts(attempts, scans.connection_attempts(links)))
     found = with_technique(findings.from_port_scans(scans.port_scans(attempts)))
-    everything = annotated.unionByName(found).unionByName(findings.from_chains(fired))
+    everything = annotated.unionByName(cut_lineage(found.unionByName(findings.from_chains(fired))))
     return PipelineResult(with_channel(everything), A.alerts_from(everything), fired)

@@ -9,6 +9,7 @@ from seclog.functions import dns as D
 from seclog.functions.text import cut, emit
 from seclog.operators.cooldown import cooldown
 from seclog.operators.rates import instants, micros, sliding_sum
+from seclog.storage import cut_lineage
 
 
 def queries_from(entries: DataFrame) -> DataFrame:
@@ -58,5 +59,5 @@ def dns_signals(queries: DataFrame, rate_threshold: int = R.DNS_RATE_THRESHOLD,
 def dns_findings(queries: DataFrame, rate_threshold: int = R.DNS_RATE_THRESHOLD,
                  nxdomain_threshold: int = R.NXDOMAIN_THRESHOLD, carry: DataFrame | None = None) -> DataFrame:
     """Findings, each (signal, key) silent for five minutes after it fired."""
-    return cooldown(dns_signals(queries, rate_threshold, nxdomain_threshold), ["signal", "key"],
-                    R.DNS_COOLDOWN_SECONDS, carry=carry)
+    signals = cut_lineage(dns_signals(queries, rate_threshold, nxdomain_threshold))
+    return cooldown(signals, ["signal", "key"], R.DNS_COOLDOWN_SECONDS, carry=carry)

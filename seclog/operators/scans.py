@@ -10,6 +10,7 @@ from seclog import refdata as R
 from seclog.functions import net
 from seclog.operators.cooldown import cooldown
 from seclog.operators.rates import MICROS, halo, sliding_sum
+from seclog.storage import cut_lineage
 
 
 def log_attempts(entries: DataFrame) -> DataFrame:
@@ -75,8 +76,9 @@ def port_fanout(attempts: DataFrame, seconds: int = R.SCAN_WINDOW_SECONDS) -> Da
 def port_scans(attempts: DataFrame, threshold: int = R.SCAN_PORT_THRESHOLD, seconds: int = R.SCAN_WINDOW_SECONDS,
                cooldown_seconds: int = R.SCAN_COOLDOWN_SECONDS, carry: DataFrame | None = None) -> DataFrame:
     """Scan findings: at least ``threshold`` distinct ports, then silent for the cooldown."""
-    wide = (fanout_table(attempts, seconds).filter(F.col("unique_ports") >= threshold)
-            .withColumn("ts", F.timestamp_micros("us")))
+    # Read several times by the cooldown, so the few instants above the threshold are stored.
+    wide = cut_lineage(fanout_table(attempts, seconds).filter(F.col("unique_ports") >= threshold)
+                       .withColumn("ts", F.timestamp_micros("us")))
     fired = cooldown(wide, ["src_ip"], cooldown_seconds, order=["us"], carry=carry)
     rows = attempts.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     trigger = (rows.join(fired.drop("ts"), ["src_ip", "us"])
