@@ -44,7 +44,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return X.spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:

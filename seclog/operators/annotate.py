@@ -51,12 +51,13 @@ def match_rules_table(entries: DataFrame, rules: DataFrame, literal_rules: int =
     return hits.groupBy("id").agg(ordered.alias("matched_rules"))
 
 
-def annotate(entries: DataFrame, rules=R.RULES, preserve_preset: bool = False) -> DataFrame:
+def annotate(entries: DataFrame, rules=R.RULES, preserve_preset: bool = False, history: DataFrame | None = None) -> DataFrame:
     """Rules, technique and anomaly score.
 
     The technique needs no score, so all text work is done before the rows are shuffled.
     """
-    return combine_scores(rate_anomaly(with_technique(apply_rules(entries, rules))), preserve_preset)
+    texts = with_technique(apply_rules(entries, rules))
+    return combine_scores(rate_anomaly(texts, history=history), preserve_preset)
 
 
 def channel(category: Column) -> Column:

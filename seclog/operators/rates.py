@@ -108,14 +108,32 @@ def sources_seen(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS) -> DataFra
     return rows.join(instant_table(instants(rows, ["source"]), seconds).drop("global_rate"), "us")
 
 
-def rate_table(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS) -> DataFrame:
-    """(source, us, source_rate, global_rate, sources_seen) for every instant of every source."""
+def rate_table(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS, history: DataFrame | None = None) -> DataFrame:
+    """(source, us, source_rate, global_rate, sources_seen) for every instant of every source.
+
+    ``history`` (source, us, n) adds counts of earlier data, as ``rate_history`` keeps them.
+    """
     per_source = instants(df.select("source", micros().alias("us")), ["source"])
+    if history is not None:
+        per_source = per_source.unionByName(history).groupBy("source", "us").agg(F.sum("n").alias("n"))
     own = sliding_sum(per_source, ["source"], seconds, out="source_rate")
     return own.join(instant_table(per_source, seconds), "us")
 
 
-def rate_anomaly(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS) -> DataFrame:
+def rate_history(df: DataFrame, history: DataFrame | None, seconds: int = R.RATE_WINDOW_SECONDS) -> DataFrame:
+    """(source, us, n) that later data needs: the last ``seconds`` of counts, and each
+    source's first instant with a count of zero if it is older."""
+    counts = instants(df.select("source", micros().alias("us")), ["source"])
+    if history is not None:
+        counts = counts.unionByName(history)
+    newest = counts.agg(F.max("us").alias("_max"))
+    firsts = counts.groupBy("source").agg(F.min("us").alias("us")).withColumn("n", F.lit(0).cast("bigint"))
+    recent = (counts.crossJoin(F.broadcast(newest))  # one row
+              .filter(F.col("us") >= F.col("_max") - seconds * MICROS).drop("_max"))
+    return recent.unionByName(firsts).groupBy("source", "us").agg(F.sum("n").alias("n"))
+
+
+def rate_anomaly(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS, history: DataFrame | None = None) -> DataFrame:
     """Add ``stat_anomaly`` and ``stat_score``.
 
     A source is anomalous while its rate exceeds three times the mean rate per source
@@ -123,7 +141,7 @@ def rate_anomaly(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS) -> DataFra
     small in normal traffic, so adaptive execution can broadcast it after measuring it.
     """
     average = F.col("global_rate") / F.greatest(F.col("sources_seen"), F.lit(1))
-    flagged = (rate_table(df, seconds)
+    flagged = (rate_table(df, seconds, history)
                .filter((average > 0) & (F.col("source_rate") > 3 * average))
                .select("source", "us", F.lit(True).alias("_hot")))
     boost = F.when(F.col("level").isin("ERROR", "CRITICAL"), 0.3).otherwise(0.0)
