@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seclog import refdata as R
-from seclog.functions.text import first_of, folded, has, let
+from seclog.functions.text import first_of, folded, has, let, quoted
 
 FIELDS = ["tactic", "tactic_id", "technique", "technique_id", "subtechnique_id"]
 COLUMNS = ["mitre_" + field for field in FIELDS]
 
 
+def _sql(technique: R.Technique) -> str:
+    return "named_struct(%s)" % ", ".join("%s, %s" % (quoted(f), quoted(v)) for f, v in zip(FIELDS, technique))
+
+
 def literal(technique: R.Technique) -> Column:
-    return F.struct(*[F.lit(value).alias(field) for field, value in zip(FIELDS, technique)])
+    return F.expr(_sql(technique))
 
 
 def _table(techniques: dict) -> Column:
-    return F.create_map(*[c for key, t in techniques.items() for c in (F.lit(key), literal(t))])
+    return F.expr("map(%s)" % ", ".join("%s, %s" % (quoted(key), _sql(t)) for key, t in techniques.items()))
 
 
 def from_rules(matched: Column) -> Column:
     """Technique of the first matched rule that has one."""
-    found = F.filter(F.transform(matched, lambda r: F.try_element_at(_table(R.RULE_TECHNIQUES), r)),
-                     lambda t: t.isNotNull())
+    known = _table(R.RULE_TECHNIQUES)
+    found = F.filter(F.transform(matched, lambda r: F.try_element_at(known, r)), lambda t: t.isNotNull())
     return F.get(found, F.lit(0))
 
 

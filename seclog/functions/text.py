@@ -25,10 +25,21 @@ def first_of(pairs, otherwise) -> Column:
     return chain.otherwise(otherwise)
 
 
+def quoted(value) -> str:
+    """SQL literal of a text or number."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "CAST(NULL AS INT)" if value is None else str(value)
+
+
+def literal_map(mapping: dict) -> Column:
+    """Fixed mapping as one SQL literal; a Column per item would make plans slow to build."""
+    return F.expr("map(%s)" % ", ".join(quoted(x) for pair in mapping.items() for x in pair))
+
+
 def lookup(mapping: dict, key: Column, default=None) -> Column:
-    """Small fixed mapping as a literal map; unknown keys give ``default``."""
-    entries = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-    found = F.try_element_at(entries, key)
+    """Small fixed mapping; unknown keys give ``default``."""
+    found = F.try_element_at(literal_map(mapping), key)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 

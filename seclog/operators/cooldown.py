@@ -154,8 +154,10 @@ def passing_instants(steps: DataFrame, keys: list[str], gap_us: int, carry: Data
     ``steps`` holds keys, ``upper`` and ``exit`` in microseconds, sorted alike.
     ``bounded_entry`` says that ``exit`` equals ``upper``, so a path enters a block at
     most one gap after the block starts and later steps need no entry.
-    ``carry`` (keys, last_us) gives the last passing time of earlier data.
+    ``carry`` (keys, last_us) gives the last passing time of earlier data. It may let a
+    path enter in the middle of a block.
     """
+    bounded_entry = bounded_entry and carry is None
     blocks = ["_b%d" % level for level in range(1, levels + 1)]
     spans = [gap_us * fan ** level for level in range(1, levels + 1)]
     layers = [steps.select(*keys, *[
