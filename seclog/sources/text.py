@@ -151,7 +151,7 @@ def parse_unified_log(documents: DataFrame, as_of, max_items: int | None = 500,
 
 def read_unified_log(spark: SparkSession, path: str, as_of, max_items: int | None = 500) -> DataFrame:
     """One capture per file, as the tool writes it."""
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("file"))
     parsed = parse_unified_log(files, as_of, max_items)
     return complete(parsed.withColumn("id", entry_id("file", "item_no", "raw")))
@@ -161,12 +161,12 @@ def parse_wevt_text(documents: DataFrame, channel: Column | str, as_of, column:
     """Windows event text: records start at a line 'Event[', the last value of a key counts."""
     channel = F.lit(channel) if isinstance(channel, str) else channel
     # Every line trimmed, then cut into records at the start markers.
-    text = F.regexp_replace(F.make_valid_utf8(F.col(column)), r"(?m)^[ \t\r]+|[ \t\r]+$", "")
+    text = F.regexp_replace(F.make_valid_utf8(F.col(column)), r"(?dm)^[ \t\r]+|[ \t\r]+$", "")
     records = F.split(F.concat(F.lit("\n"), text), r"\nEvent\[[^\n]*")
     rows = documents.select("*", F.posexplode(records).alias("item_no", "_record")).drop(column)
 
     def value(key: str) -> Column:
-        found = F.regexp_extract_all("_record", F.lit(r"(?m)^" + key + r"[ \t]*:[ \t]*(.*)$"), F.lit(1))
+        found = F.regexp_extract_all("_record", F.lit(r"(?dm)^" + key + r"[ \t]*:[ \t]*(.*)$"), F.lit(1))
         return F.try_element_at(found, F.lit(-1))
 
     fields = emit(rows, F.col("_record").contains(":"), {
@@ -181,7 +181,7 @@ def parse_wevt_text(documents: DataFrame, channel: Column | str, as_of, column:
 
 
 def read_wevt_text(spark: SparkSession, path: str, channel: str, as_of) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     return complete(parse_wevt_text(files, channel, as_of).withColumn("id", entry_id("file", "item_no", "raw")))
 
 

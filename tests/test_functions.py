@@ -80,7 +80,7 @@ def test_probes(spark):
 def test_hex_addresses(spark):
     assert values(spark, ["0100007F", "zz"], net.hex_ipv4) == ["127.0.0.1", None]
     assert values(spark, ["B80D0120000000000000000001000000", "00000000000000000000000000000000",
-                          "B80D0120010000000000020000000300"], net.hex_ipv6) == ["2001:db8::1", "::", "2001:db8:100::2:0:3"]
+                          "B80D0120010000000000020000000300"], net.hex_ipv6) == ["2001:db8::1", "::", "2001:db8:0:1:2:0:3:0"]
 
 
 def test_dns(spark):

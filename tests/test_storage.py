@@ -30,7 +30,7 @@ def test_syslog_file(spark, tmp_path):
     assert by_raw[lines[1]].source == "auth/kernel"
     again = T.read_syslog(spark, str(path), 2024, AS_OF)
     assert {r.id for r in again.collect()} == {r.id for r in rows}
-    assert storage.append_entries(again, spark.createDataFrame(rows)).isEmpty()
+    assert storage.append_entries(again, spark.createDataFrame(rows, again.schema)).isEmpty()
 
 
 def test_copies_are_numbered_in_chunks(spark, monkeypatch):
