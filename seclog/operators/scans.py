@@ -75,16 +75,16 @@ def port_fanout(attempts: DataFrame, seconds: int = R.SCAN_WINDOW_SECONDS) -> Da
 
 def port_scans(attempts: DataFrame, threshold: int = R.SCAN_PORT_THRESHOLD, seconds: int = R.SCAN_WINDOW_SECONDS,
                cooldown_seconds: int = R.SCAN_COOLDOWN_SECONDS, carry: DataFrame | None = None,
-               after_us: int | None = None) -> DataFrame:
+               only: DataFrame | None = None) -> DataFrame:
     """Scan findings: at least ``threshold`` distinct ports, then silent for the cooldown.
 
-    With ``after_us`` earlier attempts only fill the window, and ``carry`` (src_ip,
-    last_us) holds the last findings.
+    With ``only`` (src_ip, us) just these instants are judged and other attempts fill the
+    window; ``carry`` (src_ip, last_us) holds the last findings.
     """
     # Read several times by the cooldown, so the few instants above the threshold are stored.
     wide = fanout_table(attempts, seconds).filter(F.col("unique_ports") >= threshold)
-    if after_us is not None:
-        wide = wide.filter(F.col("us") > after_us)
+    if only is not None:
+        wide = wide.join(only.distinct(), ["src_ip", "us"], "left_semi")
     wide = cut_lineage(wide.withColumn("ts", F.timestamp_micros("us")))
     fired = cooldown(wide, ["src_ip"], cooldown_seconds, order=["us"], carry=carry)
     rows = attempts.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))

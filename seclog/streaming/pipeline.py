@@ -4,7 +4,9 @@ Each micro-batch runs the same skew-safe operators as a batch job over its rows
 bounded history they look back on. State and results of batch n are written to folders
 named n, and state is read from folder n - 1, so a repeated batch gives the same result.
 
-Rows not newer than what was already processed are left to a batch re-run.
+Every row is stored and judged when it arrives. History is kept ``SLACK_SECONDS`` longer
+than the detectors look back, so rows late by up to that see all they need; a row later
+than that sees less, and a batch re-run is the repair.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ STATE = {
 }
 
 
+SLACK_SECONDS = 600
+
+
 class StatePath:
     """Versions of the state tables under one shared folder."""
 
@@ -52,28 +57,28 @@ def _last_per_key(old: DataFrame, new: DataFrame, keys: list[str], newest: int,
     """Latest instant per key; keys whose gap has passed no longer matter."""
     both = old.select(*keys, "last_us").unionByName(new.select(*keys, "last_us"))
     return (both.groupBy(*keys).agg(F.max("last_us").alias("last_us"))
-            .filter(F.col("last_us") > newest - gap_seconds * MICROS))
+            .filter(F.col("last_us") > newest - (gap_seconds + SLACK_SECONDS) * MICROS))
 
 
-def port_scans_batch(state: StatePath, attempts: DataFrame, batch_id: int, since: int | None, newest: int) -> DataFrame:
+def port_scans_batch(state: StatePath, attempts: DataFrame, batch_id: int, newest: int) -> DataFrame:
     """Scan findings of a micro-batch; keeps one window of attempts and the last findings."""
     before = state.read("attempts", batch_id - 1)
     known = cut_lineage(before.unionByName(attempts.select(before.columns)))
-    found = cut_lineage(scans.port_scans(known, carry=state.read("scans", batch_id - 1), after_us=since))
-    window = newest - R.SCAN_WINDOW_SECONDS * MICROS
+    fresh = attempts.select("src_ip", F.unix_micros("ts").alias("us"))
+    found = cut_lineage(scans.port_scans(known, carry=state.read("scans", batch_id - 1), only=fresh))
+    window = newest - (R.SCAN_WINDOW_SECONDS + SLACK_SECONDS) * MICROS
     state.write("attempts", known.filter(F.unix_micros("ts") >= window), batch_id)
     state.write("scans", _last_per_key(state.read("scans", batch_id - 1), found.withColumnRenamed("us", "last_us"),
                                        ["src_ip"], newest, R.SCAN_COOLDOWN_SECONDS), batch_id)
     return found
 
 
-def chains_batch(state: StatePath, entries: DataFrame, batch_id: int, since: int | None, newest: int,
-                 chains=R.CHAINS) -> DataFrame:
+def chains_batch(state: StatePath, entries: DataFrame, batch_id: int, newest: int, chains=R.CHAINS) -> DataFrame:
     """Chains fired in a micro-batch; keeps the longest window of entries with a tactic twice over."""
     before = state.read("tactics", batch_id - 1)
     known = cut_lineage(before.unionByName(entries.filter(F.col("mitre_tactic") != "").select(before.columns)))
-    fired = cut_lineage(C.correlate(known, chains, after_us=since, carry=state.read("fires", batch_id - 1)))
-    reach = newest - 2 * max(c.window_minutes for c in chains) * C.MINUTE
+    fired = cut_lineage(C.correlate(known, chains, only=entries, carry=state.read("fires", batch_id - 1)))
+    reach = newest - 2 * max(c.window_minutes for c in chains) * C.MINUTE - SLACK_SECONDS * MICROS
     state.write("tactics", known.filter(F.unix_micros("ts") >= reach), batch_id)
     state.write("fires", _last_per_key(state.read("fires", batch_id - 1), fired.withColumnRenamed("us", "last_us"),
                                        ["key", "chain_no"], newest, max(c.cooldown_minutes for c in chains) * 60), batch_id)
@@ -89,24 +94,18 @@ class EntryStream:
 
     def process(self, entries: DataFrame, batch_id: int) -> None:
         state = self.state
-        since = state.read("clock", batch_id - 1).agg(F.max("us").alias("us")).first().us
-        rows = complete(entries)
-        if since is not None:
-            rows = rows.filter(F.unix_micros("ts") > since)
-        rows = cut_lineage(rows.dropDuplicates(["id"]))
-        newest = rows.agg(F.max(F.unix_micros("ts")).alias("us")).first().us
-        newest = since if newest is None else newest
-        if newest is None:
-            newest = 0
+        rows = cut_lineage(complete(entries).dropDuplicates(["id"]))
+        moments = rows.select(F.unix_micros("ts").alias("us")).unionByName(state.read("clock", batch_id - 1))
+        newest = moments.agg(F.coalesce(F.max("us"), F.lit(0)).alias("us")).first().us
         history = state.read("rates", batch_id - 1)
         noted = cut_lineage(annotate(rows, self.rules, history=history))
-        state.write("rates", rates.rate_history(rows, history), batch_id)
+        state.write("rates", rates.rate_history(rows, history, R.RATE_WINDOW_SECONDS + SLACK_SECONDS), batch_id)
 
-        fired = chains_batch(state, noted, batch_id, since, newest, self.chains)
+        fired = chains_batch(state, noted, batch_id, newest, self.chains)
         links = noted.filter((F.col("category") == "network") & (F.col("src_ip") != "") & (F.col("dst_port") != 0))
         attempts = scans.scan_attempts(scans.log_attempts(noted.filter(F.col("category") == "log")),
                                        scans.connection_attempts(links))
-        found = port_scans_batch(state, attempts, batch_id, since, newest)
+        found = port_scans_batch(state, attempts, batch_id, newest)
         extra = cut_lineage(with_technique(findings.from_port_scans(found)).unionByName(findings.from_chains(fired)))
         everything = noted.unionByName(extra)
 
