@@ -15,8 +15,39 @@ def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), k=3, percent=85)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    from seclog.llm.packing import pack
+
+    return pack(table(spark, sf, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from seclog.llm.secrets import report
+
+    return report(table(spark, sf, "documents"))
+
+
+def op7_bounded_ring_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    from seclog.llm.sharding import shard
+
+    return (shard(table(spark, sf, "documents"), shards=24)
+            .withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from seclog.llm.contamination import report
+
+    found = report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    named = F.array_join(F.array_sort("items"), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.encode(named, "UTF-8"), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_bounded_ring_sharding": op7_bounded_ring_sharding,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
