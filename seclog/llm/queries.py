@@ -21,6 +21,12 @@ def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from seclog.llm.toxicity import score
+
+    return score(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("passages")
+
+
 def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     from seclog.llm.secrets import report
 
@@ -45,6 +51,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_bounded_ring_sharding": op7_bounded_ring_sharding,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
