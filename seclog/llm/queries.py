@@ -21,6 +21,12 @@ def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"))
 
 
+def op3_kmeans_tree_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    from seclog.llm.neighbours import nearest
+
+    return nearest(table(spark, sf, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     from seclog.llm.toxicity import score
 
@@ -48,13 +54,31 @@ def op8_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.encode(named, "UTF-8"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    from seclog.llm.pages import extract
+
+    return extract(table(spark, sf, "pages"))
+
+
+def op10_range_coded_ids(spark: SparkSession, sf: str) -> DataFrame:
+    from seclog.llm import idfile
+    from seclog.llm.store import Scratch
+
+    path = Scratch(spark, "idfile").path("ids")
+    idfile.write(table(spark, sf, "documents"), path)
+    return idfile.digest(spark, path)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_kmeans_tree_neighbours": op3_kmeans_tree_neighbours,
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_bounded_ring_sharding": op7_bounded_ring_sharding,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_html_main_text": op9_html_main_text,
+    "op10_range_coded_ids": op10_range_coded_ids,
 }
 
 ORACLES: dict[str, str] = {}

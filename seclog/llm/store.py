@@ -22,9 +22,14 @@ class Scratch:
         self._paths: dict[str, str] = {}
         self._count = 0
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def path(self, name: str) -> str:
+        """A new place for a table."""
         self._count += 1
         self._paths[name] = path = "%s/%02d-%s" % (self.base, self._count, name)
+        return path
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -1,9 +1,11 @@
 """Token ids of Arrow text columns by a public vocabulary of the ``tokenizers`` library.
 
-The library's own pipeline takes white space away first, so a text's ids are those of its
-pieces between spaces and line ends, put together. Each worker keeps the ids of the pieces
-it has met (at most ``KEEP`` of them), and a batch asks for its distinct pieces only.
-Texts that hold the vocabulary's special strings are encoded whole by the library.
+The library's own pipeline takes white space away and parts letters from other marks before
+it merges anything, so a text's ids are those of its pieces between spaces and line ends,
+and of a word and the marks behind it, put together. Pieces are found and hashed with
+numpy; each worker keeps the ids of the pieces it has met, by their 64-bit hashes (at most
+``KEEP`` of them), and asks the library for new ones only. Texts that hold the vocabulary's
+special strings are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -16,10 +18,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEEP = 400_000
+from seclog.llm import text as X
 
-#: A lower-case word, composed as the library composes it, and a run of marks behind it.
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?#$%&*]*)")
+KEEP = 1_000_000
+
+#: A lower-case word, composed as the library composes it.
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+
+#: Bytes that end no piece.
+_INSIDE = np.ones(256, bool)
+_INSIDE[[32, 10]] = False
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?#$%&*")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+#: Second bytes of the letters from U+00E0 on.
+_ACCENT = np.zeros(256, bool)
+_ACCENT[0xA0:0xC0] = True
+_ACCENT[0xB7] = False
 
 
 def default_vocabulary() -> str:
@@ -40,71 +56,84 @@ class Encoder:
         self._forget()
 
     def _is_direct(self) -> bool:
-        """Whether white space only separates and words lose their case: what the short cuts rely on."""
+        """Whether white space only separates, words lose their case and marks stand alone: what the short cuts rely on."""
         a = self.library.encode("Ab, cd\nef", add_special_tokens=False).ids
-        return a == [i for x in ("ab,", "cd", "ef") for i in self.library.encode(x, add_special_tokens=False).ids]
+        return a == [i for x in ("ab", ",", "cd", "ef") for i in self.library.encode(x, add_special_tokens=False).ids]
 
     def _forget(self) -> None:
-        self.code: dict[str, int] = {"": 0}
-        self.marks: dict[str, list[int]] = {"": []}
-        self.start, self.length = np.zeros(KEEP * 2, np.int64), np.zeros(KEEP * 2, np.int64)
+        self.known = np.empty(0, np.uint64)  # sorted hashes, and where their ids start and end
+        self.start, self.end = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        model, encoded, odd = self.library.model, {}, []
-        for piece in pieces:
-            plain = _PLAIN.fullmatch(piece)
-            if plain is None:
-                odd.append(piece)
-                continue
-            word, mark = plain.groups()
-            if mark not in self.marks:
-                self.marks[mark] = self._whole([mark])[0]
-            name = word if word.isascii() else "".join(x for x, _ in self.byte_level.pre_tokenize_str(word))
-            encoded[piece] = [t.id for t in model.tokenize(name)] + self.marks[mark]
-        for i in range(0, len(odd), 1000):
-            encoded.update(zip(odd[i:i + 1000], self._whole(odd[i:i + 1000])))
-        for piece, ids in encoded.items():
-            n, code = len(ids), len(self.code)
-            if self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(max(n, len(self.ids)), np.uint32)])
-            if code >= len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.start, self.length))
-            self.ids[self.used:self.used + n] = ids
-            self.start[code], self.length[code] = self.used, n
-            self.code[piece] = code
-            self.used += n
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Keep the ids of new pieces; ``hashes`` are sorted."""
+        model = self.library.model
+        plain = [_PLAIN.fullmatch(x) is not None for x in pieces]
+        odd = [x for x, p in zip(pieces, plain) if not p]
+        other = iter([ids for i in range(0, len(odd), 1000) for ids in self._whole(odd[i:i + 1000])])
+        found = []
+        for piece, p in zip(pieces, plain):
+            if p:
+                name = piece if piece.isascii() else "".join(x for x, _ in self.byte_level.pre_tokenize_str(piece))
+                found.append([t.id for t in model.tokenize(name)])
+            else:
+                found.append(next(other))
+        fresh, first = _joined(found)
+        while self.used + len(fresh) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
+        self.ids[self.used:self.used + len(fresh)] = fresh
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.start = np.insert(self.start, at, first[:-1] + self.used)
+        self.end = np.insert(self.end, at, first[1:] + self.used)
+        self.used += len(fresh)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a text column, and where each row starts and ends in them; null is empty."""
         column = pc.fill_null(column, "")
         if not self.direct:
             return _joined(self._whole(column.to_pylist()))
-        low = pc.ascii_lower(column)
         special = np.zeros(len(column), bool)
         for mark in self.special:
-            special |= pc.match_substring(low, mark).to_numpy(zero_copy_only=False)
+            special |= pc.match_substring(column, mark, ignore_case=True).to_numpy(zero_copy_only=False)
         if special.any():
-            parts = self.encode(pc.if_else(pa.array(special), "", column))
-            rows = [parts[0][a:b] for a, b in zip(parts[1], parts[1][1:])]
+            ids, first = self.encode(pc.if_else(pa.array(special), "", column))
+            rows = [ids[a:b] for a, b in zip(first, first[1:])]
             for i in np.flatnonzero(special).tolist():
                 rows[i] = self._whole([column[i].as_py()])[0]
             return _joined(rows)
-        lists = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
-        pieces = lists.flatten().dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        if len(self.code) + len(distinct) > KEEP * 2 or len(self.code) > KEEP:
+        data, offsets = X.column_bytes(column)
+        data, offsets = X.LOWER[data[offsets[0]:offsets[-1]]], offsets - offsets[0]
+        starts, ends, _ = X.words(data, offsets, _INSIDE)
+        cut = ends.copy()
+        while True:
+            more = _MARK[data[cut - 1]] & (cut - 1 > starts)
+            if not more.any():
+                break
+            cut -= more
+        last, before = data[cut - 1], data[np.maximum(cut - 2, 0)]
+        apart = (cut < ends) & (_LETTER[last] | (_ACCENT[last] & (before == 0xC3) & (cut - starts > 1)))
+        at = np.flatnonzero(apart)
+        a = np.insert(starts, at + 1, cut[at])
+        b = np.insert(ends, at, cut[at])
+        hashes = X.span_hash(X.prefix_hash(data), a, b)
+        distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) + len(distinct) > KEEP:
             self._forget()
-        self._learn([x for x in distinct if x not in self.code])
-        code = np.fromiter((self.code[x] for x in distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
-        length = self.length[code]
-        end = np.cumsum(length)
-        ids = self.ids[np.repeat(self.start[code] - end + length, length) + np.arange(end[-1] if len(end) else 0)]
-        first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return ids, np.concatenate([[0], end])[first]
+        place = np.searchsorted(self.known, distinct)
+        new = place == len(self.known)
+        new[~new] = self.known[place[~new]] != distinct[~new]
+        if new.any():
+            raw = data.tobytes()
+            self._learn(distinct[new], [raw[a[i]:b[i]].decode() for i in one[new].tolist()])
+            place = np.searchsorted(self.known, distinct)
+        start, length = self.start[place][back], (self.end - self.start)[place][back]
+        end = np.concatenate([[0], np.cumsum(length)])
+        ids = self.ids[np.repeat(start - end[:-1], length) + np.arange(end[-1])]
+        return ids, end[np.searchsorted(a, offsets)]
 
 
 def _joined(rows) -> tuple[np.ndarray, np.ndarray]:
