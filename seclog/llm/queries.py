@@ -27,6 +27,12 @@ def op3_kmeans_tree_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(table(spark, sf, "embeddings"))
 
 
+def op4_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    from seclog.llm.repeats import report
+
+    return report(table(spark, sf, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     from seclog.llm.toxicity import score
 
@@ -73,6 +79,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_kmeans_tree_neighbours": op3_kmeans_tree_neighbours,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_bounded_ring_sharding": op7_bounded_ring_sharding,
