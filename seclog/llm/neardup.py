@@ -5,9 +5,9 @@ A document is the set of its ``k``-word shingles (words: runs of bytes other tha
 Two documents are linked when their sets have a Jaccard similarity of ``percent`` / 100.
 
 1. Rows with the same set are one node; copies cost nothing further on.
-2. A node's signature holds one 16-bit value per MinHash. Two signatures differ in about
-   (1 - similarity) of their places. The first ``chunks * CHUNK`` places are split into
-   chunks. By the pigeonhole principle two signatures that differ in at most
+2. A node's signature holds one b-bit value per MinHash: 16 bits for the first
+   ``chunks * CHUNK`` places, 8 bits for ``EXTRA`` more. Two signatures differ in about
+   (1 - similarity) of their places. The first places are split into chunks. By the pigeonhole principle two signatures that differ in at most
    ``2 * chunks - 1`` places have a chunk with at most one error. A chunk is stored under
    each of its ``CHUNK`` patterns with one place left open, which stands for every value an
    error can take there, so all pairs under that distance meet under some pattern.
@@ -44,9 +44,9 @@ CHUNK = 6
 #: Standard deviations by which the index's distance exceeds the expected one, and estimates may fall short.
 REACH, MARGIN = 4.0, 4.0
 #: Places of a signature beyond the index, for the estimate.
-EXTRA = 320
+EXTRA = 640
 #: Places of the short sketch that a first-pass pair is held against.
-SKETCH = 64
+SKETCH = 128
 
 
 def plan(percent: int) -> int:
@@ -58,10 +58,9 @@ def plan(percent: int) -> int:
     return chunks
 
 
-def _floor(percent: int, places: int, bits: int) -> int:
+def _floor(percent: int, places: int) -> int:
     """Fewest equal places that a pair at the threshold shows, MARGIN deviations down."""
     t = percent / 100
-    t += (1 - t) / (1 << bits)
     return math.floor(places * t - MARGIN * math.sqrt(places * t * (1 - t)))
 
 
@@ -72,14 +71,15 @@ def _constants(places: int) -> tuple[np.ndarray, np.ndarray]:
     return factor[:, None], rng.integers(0, 1 << 32, places, dtype=np.uint32)[:, None]
 
 
-def signature(shingles: np.ndarray, places: int) -> np.ndarray:
-    """MinHash values of a set, 16 bits each."""
-    factor, shift = _constants(places)
+def signature(shingles: np.ndarray, index: int) -> bytes:
+    """MinHash values of a set: ``index`` of 16 bits, then EXTRA of 8 bits."""
+    factor, shift = _constants(index + EXTRA)
     short = (shingles >> np.uint64(32)).astype(np.uint32)
-    low = np.full(places, np.uint32(0xFFFFFFFF))
-    for i in range(0, len(short), 256):
-        np.minimum(low, (short[None, i:i + 256] * factor + shift).min(axis=1), out=low)
-    return (X.mix(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+    low = np.full(index + EXTRA, np.uint32(0xFFFFFFFF))
+    for i in range(0, len(short), 128):
+        np.minimum(low, (short[None, i:i + 128] * factor + shift).min(axis=1), out=low)
+    low = X.mix(low.astype(np.uint64)) >> np.uint64(48)
+    return low[:index].astype(np.uint16).tobytes() + low[index:].astype(np.uint8).tobytes()
 
 
 def _set_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -89,7 +89,7 @@ def _set_key(shingles: np.ndarray) -> tuple[int, int]:
     return int(shingles.sum(dtype=np.uint64).view(np.int64)), int(X.mix(shingles ^ np.uint64(0xABCDEF0123456789)).sum(dtype=np.uint64).view(np.int64))
 
 
-def signatures(docs: DataFrame, k: int, places: int) -> DataFrame:
+def signatures(docs: DataFrame, k: int, index: int) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, sig) of every row; sig is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, k: int, places: int) -> DataFrame:
                 yield pa.record_batch([
                     rows.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()),
-                    pa.array([signature(s, places).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([signature(s, index) if len(s) else None for s in sets], pa.binary()),
                 ], ["doc_id", "n_shingles", "k1", "k2", "sig"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
@@ -108,11 +108,16 @@ def signatures(docs: DataFrame, k: int, places: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Signatures as rows of 16-bit numbers."""
+    """Binary values of ``width`` bytes as rows."""
     if not len(column):
-        return np.empty((0, width), np.uint16)
+        return np.empty((0, width), np.uint8)
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(np.uint16).reshape(-1, width)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].reshape(-1, width)
+
+
+def _signature_parts(column: pa.Array, index: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = _matrix(column, 2 * index + EXTRA)
+    return np.ascontiguousarray(raw[:, :2 * index]).view(np.uint16), raw[:, 2 * index:]
 
 
 def _patterns(sig: np.ndarray, chunks: int) -> np.ndarray:
@@ -129,14 +134,14 @@ def _patterns(sig: np.ndarray, chunks: int) -> np.ndarray:
     return out
 
 
-def index_rows(nodes: DataFrame, chunks: int, places: int) -> DataFrame:
+def index_rows(nodes: DataFrame, chunks: int) -> DataFrame:
     """(pattern, node): every node under all its patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                patterns = _patterns(_matrix(part.column(1), places), chunks)
+                patterns = _patterns(_signature_parts(part.column(1), chunks * CHUNK)[0], chunks)
                 node = np.repeat(part.column(0).to_numpy(), patterns.shape[1])
                 yield pa.record_batch([pa.array(patterns.ravel().view(np.int64)), pa.array(node)], ["pattern", "node"])
 
@@ -145,7 +150,7 @@ def index_rows(nodes: DataFrame, chunks: int, places: int) -> DataFrame:
 
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, sa, sb) whose sketches agree in enough places."""
-    least = _floor(percent, SKETCH, 16)
+    least = _floor(percent, SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,28 +160,29 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, percent: int, chunks: int, places: int, block: int = 512) -> DataFrame:
+def _across(rows: DataFrame, percent: int, chunks: int, block: int = 512) -> DataFrame:
     """(a, b): pairs across components, each under its first shared pattern only.
 
     A pattern's nodes are dealt into blocks; a task sees two blocks of a pattern.
     """
-    least = _floor(percent, places, 16)
+    index = chunks * CHUNK
+    least = _floor(percent, index + EXTRA)
 
-    def side(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return rows.field("node").to_numpy(), rows.field("component").to_numpy(), _matrix(rows.field("sig"), places)
+    def side(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+        return rows.field("node").to_numpy(), rows.field("component").to_numpy(), *_signature_parts(rows.field("sig"), index)
 
     def tile(pattern: int, left: pa.StructArray, right: pa.StructArray, same: bool) -> tuple[list, list]:
-        n1, c1, one = side(left)
-        n2, c2, two = side(right)
+        n1, c1, one, more1 = side(left)
+        n2, c2, two, more2 = side(right)
         a, b = [], []
         for i in range(len(n1)):
             at = np.flatnonzero((c2 != c1[i]) & (n2 > n1[i]) if same else c2 != c1[i])
             equal = two[at] == one[i]
-            near = equal.sum(axis=1) >= least
+            near = equal.sum(axis=1) + (more2[at] == more1[i]).sum(axis=1) >= least
             if not near.any():
                 continue
             at, equal = at[near], equal[near]
-            errors = CHUNK - equal[:, :chunks * CHUNK].reshape(len(at), chunks, CHUNK).sum(axis=2)
+            errors = CHUNK - equal.reshape(len(at), chunks, CHUNK).sum(axis=2)
             first = np.argmax(errors <= 1, axis=1)
             inside = equal[np.arange(len(at))[:, None], first[:, None] * CHUNK + np.arange(CHUNK)]
             place = np.argmin(inside, axis=1)  # the error's place, or place 0 if there is none
@@ -265,13 +271,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     chunks = plan(percent)
-    index, places = chunks * CHUNK, chunks * CHUNK + EXTRA
+    index = chunks * CHUNK
     scratch = Scratch(spark, "neardup")
-    signed = scratch.keep(signatures(docs, k, places), "signatures")
+    signed = scratch.keep(signatures(docs, k, index), "signatures")
     nodes = scratch.keep(
         signed.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keys = index_rows(nodes, chunks, places)
+    keys = index_rows(nodes, chunks)
     sizes = keys.groupBy("pattern").agg(F.count("*").alias("n")).filter("n > 1")
     shared = scratch.keep(keys.join(sizes, "pattern"), "shared")
     # the head of a pattern is the node that meets most others anywhere: an original among its copies
@@ -279,7 +285,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     heads = (shared.join(degree, "node").groupBy("pattern")
              .agg(F.max(F.struct(F.col("degree"), (-F.col("node")).alias("m"))).alias("best"))
              .select("pattern", (-F.col("best.m")).alias("head")))
-    sketch = nodes.select("node", F.expr(f"substring(sig, {2 * index + 1}, {2 * SKETCH})").alias("sketch"))
+    sketch = nodes.select("node", F.expr(f"substring(sig, {2 * index + 1}, {SKETCH})").alias("sketch"))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.keep(pairs, f"pairs-{name}")
@@ -294,7 +300,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = shared.join(first, "node", "left").select("pattern", "node", F.coalesce("component", "node").alias("component"))
     torn = placed.groupBy("pattern").agg((F.min("component") != F.max("component")).alias("torn")).filter("torn").select("pattern")
     rows = placed.join(torn, "pattern").join(nodes.select("node", "sig"), "node")
-    across = confirmed(_across(rows, percent, chunks, places), "across")
+    across = confirmed(_across(rows, percent, chunks), "across")
     label = first.toDF("node", "c")
     joined = (across.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
