@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from seclog.llm import text as X
 from seclog.llm.components import components
@@ -269,6 +269,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     kept: the row's doc_id names its component; of rows that repeat that doc_id all are kept.
     """
+    signed, named, _ = _solved(docs, k, percent)
+    # an empty set's row names itself; the key (0, 0) never names a node
+    return (signed.drop("sig").join(named.select("k1", "k2", "component_id"), ["k1", "k2"], "left")
+            .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+            .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, with all its columns: one that has the smallest doc_id. Rows with empty sets stay."""
+    _, named, scratch = _solved(docs, k, percent)
+    heads = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("c", "component_id").agg(F.min(F.struct("k1", "k2")).alias("head"))
+    heads = scratch.keep(heads.select(F.col("head.k1").alias("__k1"), F.col("head.k2").alias("__k2"), F.col("component_id").alias("__component")), "heads")
+    own = docs.columns
+    schema = T.StructType(docs.schema.fields + [T.StructField(n, T.LongType()) for n in ("__n", "__k1", "__k2")])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in X.slices(batch, "text"):
+                sets = X.shingle_sets(data, offsets, k)
+                keys = [_set_key(s) for s in sets]
+                yield pa.record_batch([*rows.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()),
+                                       pa.array([b for _, b in keys], pa.int64())], [*own, "__n", "__k1", "__k2"])
+
+    rows = docs.mapInArrow(keyed, schema)
+    kept = (rows.filter("__n > 0").join(heads, ["__k1", "__k2"]).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("__component")))
+            .dropDuplicates(["__k1", "__k2"]))
+    return kept.select(own).union(rows.filter("__n = 0").select(own))
+
+
+def _solved(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, Scratch]:
+    """Signed rows, and of every node (k1, k2, doc_id, c, component_id): its component's number and name."""
     spark = docs.sparkSession
     chunks = plan(percent)
     index = chunks * CHUNK
@@ -310,9 +341,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
              .withColumn("c", F.coalesce("c", "node")).join(second.toDF("c", "c2"), "c", "left")
              .select("k1", "k2", "doc_id", F.coalesce("c2", "c").alias("c")))
     names = where.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.keep(where.join(names, "c").select("k1", "k2", "component_id"), "named")
+    named = scratch.keep(where.join(names, "c"), "named")
     scratch.drop("shared", "pairs-stars", "pairs-across", "links-stars", "links-across")
-    # an empty set's row names itself; the key (0, 0) never names a node
-    return (signed.drop("sig").join(named, ["k1", "k2"], "left")
-            .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-            .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    return signed, named, scratch

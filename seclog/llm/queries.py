@@ -75,6 +75,12 @@ def op10_range_coded_ids(spark: SparkSession, sf: str) -> DataFrame:
     return idfile.digest(spark, path)
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -86,6 +92,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_html_main_text": op9_html_main_text,
     "op10_range_coded_ids": op10_range_coded_ids,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}
