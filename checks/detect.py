@@ -115,8 +115,8 @@ def _(spark, sf):
 # --- DNS ----------------------------------------------------------------------------------
 
 DNS_RATES = DNS + """,
-rated AS (SELECT *, least(count(*) OVER (PARTITION BY client ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW), 500) AS rate FROM queries),
-failing AS (SELECT *, least(count(*) OVER (PARTITION BY domain ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW), 200) AS nx_rate
+rated AS (SELECT *, count(*) OVER (PARTITION BY client ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS rate FROM queries),
+failing AS (SELECT *, count(*) OVER (PARTITION BY domain ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS nx_rate
   FROM queries WHERE is_nxdomain)"""
 
 
@@ -134,7 +134,7 @@ def _(spark, sf):
 DNS_FINDINGS = DNS_RATES + f""",
 named AS (SELECT *, {SIGNAL} AS signal FROM queries),
 signals AS (
-  SELECT id, ts, us, signal, CASE WHEN signal = 'bad_tld' THEN domain ELSE left(domain, 30) END AS key,
+  SELECT id, ts, us, signal, domain AS key,
     CASE WHEN signal = 'bad_tld' THEN 'CRITICAL' ELSE 'WARNING' END AS level, domain, client,
     CASE signal WHEN 'entropy' THEN round({shannon_sql('(' + _SUB + ')')}, 2) WHEN 'long' THEN CAST(length({_SUB}) AS DOUBLE) ELSE 0.0 END AS amount
     FROM named WHERE signal IS NOT NULL
@@ -243,7 +243,7 @@ walk AS (SELECT raddr_ip, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS us, CAST(
       SELECT *, list_avg(gaps) AS mean_s, list_stddev_pop(gaps) AS std_s FROM (
         SELECT *, CASE WHEN len(recent) < 2 THEN CAST([] AS DOUBLE[]) ELSE
           list_transform(range(1, len(recent)), lambda i: (recent[i + 1] - recent[i]) / 1000000.0) END AS gaps FROM (
-          SELECT w.raddr_ip, s.t, s.us, list_filter(list_concat(w.held, list_transform(range(0, least(s.n, 20)), lambda i: s.us))[-20:],
+          SELECT w.raddr_ip, s.t, s.us, list_filter(list_concat(w.held, list_transform(range(0, s.n), lambda i: s.us)),
             lambda x: x >= s.us - 300000000) AS recent FROM walk w JOIN steps s ON s.raddr_ip = w.raddr_ip AND s.t = w.t + 1) a) b) c) d)"""
 
 
@@ -343,9 +343,9 @@ def _(spark, sf):
 
 CANDIDATES = """,
 cand AS (SELECT id, us, ts, source, rule AS rule_name, CASE WHEN level = 'CRITICAL' THEN 'critical' WHEN level IN ('ERROR', 'WARNING') THEN 'warning'
-    ELSE 'info' END AS level, left(message, 300) AS message FROM (SELECT *, unnest(matched_rules) AS rule FROM ann) x
+    ELSE 'info' END AS level, message FROM (SELECT *, unnest(matched_rules) AS rule FROM ann) x
   UNION ALL SELECT id, us, ts, source, 'Anomaly Detected', 'warning', concat('Statistical anomaly from ', source, ' (score=',
-    printf('%.3f', anomaly_score), '): ', left(message, 100)) FROM ann WHERE is_anomaly AND len(matched_rules) = 0)"""
+    printf('%.3f', anomaly_score), '): ', message) FROM ann WHERE is_anomaly AND len(matched_rules) = 0)"""
 ALERTS = ANNOTATED + CANDIDATES + "," + cooldown_sql("cand", ["rule_name", "source"], 120_000_000, "alert_fire") + """,
 cand_rows AS (SELECT *, row_number() OVER (PARTITION BY rule_name, source, us ORDER BY id) AS rn FROM cand),
 alerts AS (SELECT sha256(concat(c.rule_name, chr(1), c.source, chr(1), c.us)) AS alert_id, c.rule_name, c.level, c.message, c.source,

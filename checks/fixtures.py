@@ -102,7 +102,8 @@ def journald_lines(d) -> str:
     return base(d) + f""",
 lines AS (SELECT id, CASE WHEN num % 11 = 0 THEN concat('broken ', message) ELSE concat(
     '{{"PRIORITY":"', num % 9, '","__REALTIME_TIMESTAMP":"', CASE WHEN num % 13 = 0 THEN 0 ELSE us END, '",',
-    CASE WHEN num % 5 = 0 THEN concat('"MESSAGE":["', message, '","part two"]') ELSE concat('"MESSAGE":"', message, '"') END,
+    CASE WHEN num % 5 = 0 THEN concat('"MESSAGE":["', message, '","part two"]')
+      WHEN num % 7 = 0 THEN concat('"MESSAGE":"', message, repeat(' and so on', 150), num, '"') ELSE concat('"MESSAGE":"', message, '"') END,
     CASE WHEN num % 3 = 0 THEN '' ELSE concat(',"SYSLOG_IDENTIFIER":"', replace(source, '/', '-'), '"') END,
     CASE WHEN num % 6 = 0 THEN '' ELSE ',"_COMM":"comm"' END,
     CASE WHEN num % 4 = 0 THEN concat(',"_SYSTEMD_UNIT":"u', k, '.service"') ELSE '' END, '}}') END AS value FROM e0)"""

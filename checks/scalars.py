@@ -338,13 +338,14 @@ def _(spark, sf):
 def _unified(d) -> str:
     kinds = [q(k) for k in ["Default", "Info", "Debug", "Error", "Fault", "Odd"]]
     return X.base(d) + f""",
-items AS (SELECT k AS doc, num, concat('{{"messageType":"', {d.pick(kinds, 'num % 6 + 1')}, '","timestamp":"',
+items AS (SELECT num % 3 AS doc, num, concat('{{"messageType":"', {d.pick(kinds, 'num % 6 + 1')}, '","timestamp":"',
     CASE WHEN num % 5 = 0 THEN 'soon' ELSE concat('2024-01-01T00:00:', lpad(CAST(num % 60 AS {d.text}), 2, '0'),
       CASE WHEN num % 2 = 0 THEN 'Z' ELSE '+0000' END) END, '","process":"p', h, '","subsystem":"',
-    CASE WHEN num % 3 = 0 THEN '' ELSE 'com.x' END, '","eventMessage":"', message, '"}}') AS item FROM e0)"""
+    CASE WHEN num % 3 = 0 THEN '' ELSE 'com.x' END, '","eventMessage":"', message,
+    CASE WHEN num % 7 = 0 THEN repeat(' and so on', 120) ELSE '' END, '"}}') AS item FROM e0)"""
 
 
-@check("parse_unified_log", with_(_unified(DUCK), f"""SELECT doc, num, item AS raw,
+@check("parse_unified_log", with_(_unified(DUCK), f"""SELECT doc, item AS raw,
     CASE WHEN json_extract_string(item, '$.timestamp') = 'soon' THEN TIMESTAMP '{X.AS_OF}'
       ELSE strptime(left(json_extract_string(item, '$.timestamp'), 19), '%Y-%m-%dT%H:%M:%S') END AS ts,
     CASE json_extract_string(item, '$.messageType') WHEN 'Debug' THEN 'DEBUG' WHEN 'Error' THEN 'ERROR' WHEN 'Fault' THEN 'CRITICAL' ELSE 'INFO' END AS level,
@@ -353,9 +354,9 @@ items AS (SELECT k AS doc, num, concat('{{"messageType":"', {d.pick(kinds, 'num
     json_extract_string(item, '$.eventMessage') AS message FROM items"""))
 def _(spark, sf):
     items = X.spark_table(spark, sf, _unified, "items")
-    # One capture per line here; grouping into long arrays is covered by the file tests.
-    documents = items.select("doc", "num", F.concat(F.lit("["), "item", F.lit("]")).alias("value"))
-    return S.parse_unified_log(documents, X.AS_OF).select("doc", "num", "raw", "ts", "level", "source", "message")
+    # Three captures; at sf0.01 each holds thousands of items.
+    documents = items.groupBy("doc").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("value"))
+    return S.parse_unified_log(documents, X.AS_OF).select("doc", "raw", "ts", "level", "source", "message")
 
 
 def _wevt(d) -> str:
@@ -363,12 +364,13 @@ def _wevt(d) -> str:
 records AS (SELECT id, num, k, h, message, concat('Event[0]:', chr(10), '  Log Name: System', chr(10), '  Date: 2024-01-01T00:00:',
     lpad(CAST(num % 60 AS {d.text}), 2, '0'), chr(10), '  Level: ', {d.pick([q(x) for x in ['Information', 'Verbose', 'Warning', 'Error', 'Critical', 'Odd']], 'num % 6 + 1')}, chr(10),
     CASE WHEN num % 4 = 0 THEN '' ELSE concat('  Provider: Prov', h, chr(10)) END,
-    CASE WHEN num % 3 = 0 THEN concat('  Message: ', message) ELSE concat('  Description: old', chr(10), '  Description: ', message) END, chr(10)) AS value FROM e0)"""
+    CASE WHEN num % 21 = 0 THEN concat('  Message: ', message, repeat(' and so on', 80), num) WHEN num % 3 = 0 THEN concat('  Message: ', message) ELSE concat('  Description: old', chr(10), '  Description: ', message) END, chr(10)) AS value FROM e0)"""
 
 
 @check("parse_wevt", with_(_wevt(DUCK), """SELECT id, make_timestamp(1704067200000000 + (num % 60) * 1000000) AS ts,
     CASE num % 6 WHEN 1 THEN 'DEBUG' WHEN 2 THEN 'WARNING' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'CRITICAL' ELSE 'INFO' END AS level,
-    CASE WHEN num % 4 = 0 THEN 'System/System' ELSE concat('System/Prov', h) END AS source, message FROM records"""))
+    CASE WHEN num % 4 = 0 THEN 'System/System' ELSE concat('System/Prov', h) END AS source,
+    CASE WHEN num % 21 = 0 THEN concat(message, repeat(' and so on', 80), num) ELSE message END AS message FROM records"""))
 def _(spark, sf):
     records = X.spark_table(spark, sf, _wevt, "records").select("id", "value")
     return S.parse_wevt_text(records, "System", X.AS_OF).select("id", "ts", "level", "source", "message")
@@ -377,7 +379,7 @@ def _(spark, sf):
 @check("winevents", with_(X.winevents(DUCK), """SELECT id, ts, concat(channel, '/', source_name) AS source,
     CASE event_type WHEN 1 THEN 'ERROR' WHEN 2 THEN 'WARNING' WHEN 16 THEN 'WARNING' ELSE 'INFO' END AS level, message,
     concat('EventID=', event_id, ' Src=', source_name) AS raw
-  FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY ts DESC, id) AS rn FROM winevents) x WHERE rn <= 300"""))
+  FROM winevents"""))
 def _(spark, sf):
     events = X.spark_table(spark, sf, X.winevents, "winevents")
     return S.from_winevents(events).select("id", "ts", "source", "level", "message", "raw")

@@ -26,7 +26,7 @@ def _search(name: str, where: str, tail: str = "LIMIT 200", **filters):
     check(name, sql)(lambda spark, sf: views.search_entries(annotated(spark, sf), **filters).select(_PAGE_COLUMNS))
 
 
-_search("search_all", "true", "LIMIT 1000", limit=5000)
+_search("search_all", "true", "LIMIT 5000", limit=5000)
 _search("search_level", "level = 'CRITICAL'", "LIMIT 100 OFFSET 50", level="critical", limit=100, offset=50)
 _search("search_text", "message ILIKE '%PORT%' AND source ILIKE '%SSH%'", search="PORT", source="SSH")
 _search("search_wildcard", "message ILIKE '%h_.bad%bit%'", search="h_.bad%bit")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seclog import refdata as R
@@ -73,12 +76,13 @@ def at_least(level: Column, minimum: str) -> Column:
 
 
 def usable_rules(rules) -> list:
-    """Enabled rules whose pattern compiles."""
+    """Enabled rules whose pattern the engine that runs it can compile."""
+    compiler = SparkContext._active_spark_context._jvm.java.util.regex.Pattern
     kept = []
     for rule in rules:
         try:
-            re.compile(rule.pattern)
-        except re.error:
+            compiler.compile(rx(rule.pattern))
+        except (Py4JJavaError, IllegalArgumentException):
             continue
         if rule.enabled:
             kept.append(rule)
@@ -89,13 +93,21 @@ _ATOM = re.compile(r"\\.|\[\]?[^\]]*\]|\{[^}]*\}|.", re.S)
 _PLAIN_GROUP = re.compile(r"\((?:\?:)?([\w/ ]+(?:\|[\w/ ]+)*)\)")
 
 
+def _unread(atom: str) -> bool:
+    """An escape of unknown meaning, or a class whose end the simple reading may miss."""
+    if atom[0] == "\\":
+        return len(atom) < 2 or atom[1].isalnum() and atom[1] not in "dDwWsSbB"
+    return atom[0] == "[" and (atom.startswith(("[]", "[^]")) or "[" in atom[1:] or atom.endswith("\\]") or atom == "[")
+
+
 def required_texts(pattern: str) -> list[str] | None:
     """Lower-case texts of which any match must contain at least one; None if unknown.
 
     Per top-level alternative: its longest run of plain characters outside groups, or the
-    choices of a group of plain words. Short runs filter too little to be of use.
+    choices of a group of plain words. Short runs filter too little to be of use. Escapes
+    other than marks and the plain classes, and classes with brackets in them, are not read.
     """
-    if re.search(r"\(\?[^:=!<]", pattern) or not pattern.isascii():
+    if re.search(r"\(\?[^:=!<]", pattern) or not pattern.isascii() or any(map(_unread, _ATOM.findall(pattern))):
         return None
     needed: list[str] = []
     runs, groups, group, depth, closed = [""], [], "", 0, False

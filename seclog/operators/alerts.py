@@ -22,11 +22,11 @@ def candidates(entries: DataFrame) -> DataFrame:
     rows = entries.select(*_NEEDED, F.explode(rules).alias("rule"))
     by_rule = F.col("rule").isNotNull()
     note = F.concat(F.lit("Statistical anomaly from "), "source", F.lit(" (score="),
-                    F.format_string("%.3f", "anomaly_score"), F.lit("): "), cut(F.col("message"), 100))
+                    F.format_string("%.3f", "anomaly_score"), F.lit("): "), "message")
     return rows.select(
         "id", "ts", "source", F.coalesce("rule", F.lit(ANOMALY_RULE)).alias("rule_name"),
         F.when(by_rule, alert_level(F.col("level"))).otherwise("warning").alias("level"),
-        F.when(by_rule, cut(F.col("message"), 300)).otherwise(note).alias("message"))
+        F.when(by_rule, F.col("message")).otherwise(note).alias("message"))
 
 
 def alerts_from(entries: DataFrame, cooldown_seconds: int = R.ALERT_COOLDOWN_SECONDS,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seclog import refdata as R
 from seclog.functions.technique import with_technique
 from seclog.functions.text import iso, matched_rules, rule_severity, upgraded_level
-from seclog.operators import alerts as A, correlate as C, findings, scans
+from seclog.operators import alerts as A, correlate as C, dns as D, findings, scans
 from seclog.operators.rates import combine_scores, rate_anomaly
 from seclog.schema import ENTRY, complete
 from seclog.storage import cut_lineage
@@ -25,39 +25,32 @@ def apply_rules(entries: DataFrame, rules=R.RULES) -> DataFrame:
         "matched_rules": F.when(hit, F.col("_hit")).otherwise(F.col("matched_rules"))}).drop("_hit")
 
 
-def match_rules_table(entries: DataFrame, rules: DataFrame, literal_rules: int = 200,
-                      broadcast_rules: int = 10_000) -> DataFrame:
+def match_rules_table(entries: DataFrame, rules: DataFrame, per_expression: int = 200) -> DataFrame:
     """Rules held in a table (ord, name, pattern, severity): (id, names in rule order).
 
-    The rules are counted first. Up to ``literal_rules`` they become one expression with
-    each pattern compiled once. A pattern test has no key to shuffle on, so a larger table
-    goes to every executor in slices of at most ``broadcast_rules``, one pass per slice.
+    A pattern test has no key to shuffle on, so the rules, a list that people maintain, are
+    read by the driver and become expressions of ``per_expression`` patterns each, all
+    evaluated in one pass over the entries. Malformed patterns are skipped.
     """
     text = F.concat("message", F.lit(" "), "raw")
-    total = rules.count()
-    if total <= literal_rules:
-        listed = [R.Rule(r.name, r.pattern, r.severity) for r in rules.orderBy("ord").collect()]
-        return (entries.select("id", matched_rules(text, listed).alias("matched_rules"))
-                .filter(F.size("matched_rules") > 0))
-    slices = -(-total // broadcast_rules)
-    numbered = rules.withColumn("_slice", F.pmod(F.xxhash64("ord", "name"), F.lit(slices)))
-    texts = entries.select("id", text.alias("_text"))
-    hits = None
-    for number in range(slices):
-        part = F.broadcast(numbered.filter(F.col("_slice") == number))
-        met = texts.join(part, F.expr("_text rlike concat('(?idU)', pattern)")).select("id", "ord", "name")
-        hits = met if hits is None else hits.unionByName(met)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"])
-    return hits.groupBy("id").agg(ordered.alias("matched_rules"))
-
-
-def annotate(entries: DataFrame, rules=R.RULES, preserve_preset: bool = False, history: DataFrame | None = None) -> DataFrame:
-    """Rules, technique and anomaly score.
+    listed = [R.Rule(r.name, r.pattern, r.severity) for r in rules.orderBy("ord").collect()]
+    parts = [matched_rules(text, listed[i:i + per_expression]) for i in range(0, max(len(listed), 1), per_expression)]
+    return (entries.select("id", F.concat(*parts).alias("matched_rules")).filter(F.size("matched_rules") > 0))
+
+
+def annotate(entries: DataFrame, rules=R.RULES, preserve_preset: bool = False, history: DataFrame | None = None,
+             forest: DataFrame | None = None) -> DataFrame:
+    """Rules, technique and anomaly score, the larger one of rates and forest.
 
     The technique needs no score, so all text work is done before the rows are shuffled.
+    ``forest`` (id, forest_anomaly, forest_score) comes from ``forest.forest_scores``.
     """
     texts = with_technique(apply_rules(entries, rules))
-    return combine_scores(rate_anomaly(texts, history=history), preserve_preset)
+    scored = rate_anomaly(texts, history=history)
+    if forest is not None:
+        scored = scored.join(forest.select("id", "forest_anomaly", "forest_score"), "id", "left").withColumns({
+            "forest_anomaly": F.coalesce("forest_anomaly", F.lit(False)), "forest_score": F.coalesce("forest_score", F.lit(0.0))})
+    return combine_scores(scored, preserve_preset)
 
 
 def channel(category: Column) -> Column:
@@ -83,17 +76,29 @@ class PipelineResult(NamedTuple):
     fires: DataFrame
 
 
-def run_pipeline(entries: DataFrame, rules=R.RULES, chains=R.CHAINS) -> PipelineResult:
+def run_pipeline(entries: DataFrame, rules=R.RULES, chains=R.CHAINS, forest: DataFrame | None = None,
+                 monitors: tuple[DataFrame, ...] = (), sockets: DataFrame | None = None, dns: bool = False) -> PipelineResult:
     """Annotate, detect chains and scans, and raise alerts.
 
-    Chain and scan findings join the stored entries with their preset score and skip rules
-    and scoring; scans get a technique, chains bring their own.
+    ``forest`` are scores of the entries; ``monitors`` are entries that snapshot, process and
+    file detectors made (``findings``), annotated with the rest but keeping a higher preset
+    score; ``sockets`` are attempts read from socket captures; ``dns`` adds the findings of
+    names and rates in the log text. Chain, scan and DNS findings join the stored entries
+    with their preset score and skip rules and scoring; scans get a technique, chains bring
+    their own.
     """
-    annotated = cut_lineage(annotate(complete(entries), rules))
+    rows = complete(entries)
+    for found in monitors:
+        rows = rows.unionByName(complete(found))
+    annotated = cut_lineage(annotate(rows, rules, preserve_preset=bool(monitors), forest=forest))
     fired = cut_lineage(C.correlate(annotated, chains))
     attempts = scans.log_attempts(annotated.filter(F.col("category") == "log"))
     links = annotated.filter((F.col("category") == "network") & (F.col("src_ip") != "") & (F.col("dst_port") != 0))
-    attempts = cut_lineage(scans.scan_attempts(attempts, scans.connection_attempts(links)))
+    feeds = [scans.connection_attempts(links)] + ([] if sockets is None else [sockets.select(attempts.columns)])
+    attempts = cut_lineage(scans.scan_attempts(attempts, *feeds))
     found = with_technique(findings.from_port_scans(scans.port_scans(attempts)))
+    if dns:
+        named = D.dns_findings(D.queries_from(annotated.filter(F.col("category") == "log")))
+        found = found.unionByName(with_technique(findings.from_dns(named)))
     everything = annotated.unionByName(cut_lineage(found.unionByName(findings.from_chains(fired))))
     return PipelineResult(with_channel(everything), A.alerts_from(everything), fired)

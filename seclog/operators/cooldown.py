@@ -157,6 +157,8 @@ def passing_instants(steps: DataFrame, keys: list[str], gap_us: int, carry: Data
     ``carry`` (keys, last_us) gives the last passing time of earlier data. It may let a
     path enter in the middle of a block.
     """
+    if gap_us <= 0:  # nothing is ever silenced
+        return steps.select(*keys, "exit").distinct()
     bounded_entry = bounded_entry and carry is None
     blocks = ["_b%d" % level for level in range(1, levels + 1)]
     spans = [gap_us * fan ** level for level in range(1, levels + 1)]

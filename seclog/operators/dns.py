@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seclog import refdata as R
 from seclog.functions import dns as D
-from seclog.functions.text import cut, emit
+from seclog.functions.text import emit
 from seclog.operators.cooldown import cooldown
 from seclog.operators.rates import instants, micros, sliding_sum
 from seclog.storage import cut_lineage
@@ -18,18 +18,18 @@ def queries_from(entries: DataFrame) -> DataFrame:
     return D.with_query(entries.select("id", "ts", text.alias("text")), F.col("text")).drop("text")
 
 
-def _rated(queries: DataFrame, key: str, seconds: int, cap: int, out: str, counted: DataFrame) -> DataFrame:
+def _rated(queries: DataFrame, key: str, seconds: int, cap: int | None, out: str, counted: DataFrame) -> DataFrame:
     rates = sliding_sum(instants(counted.withColumn("us", micros()), [key]), [key], seconds, out=out)
-    return (queries.withColumn("us", micros())
-            .join(rates.select(key, "us", F.least(F.col(out), F.lit(cap)).alias(out)), [key, "us"]))
+    amount = F.col(out) if cap is None else F.least(F.col(out), F.lit(cap))
+    return queries.withColumn("us", micros()).join(rates.select(key, "us", amount.alias(out)), [key, "us"])
 
 
-def dns_rate(queries: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS, cap: int = R.DNS_RATE_CAP) -> DataFrame:
-    """Add ``rate``: queries of the same client in the last minute; only the latest ``cap`` are remembered."""
+def dns_rate(queries: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS, cap: int | None = None) -> DataFrame:
+    """Add ``rate``: queries of the same client in the last minute, ``cap`` at most if given."""
     return _rated(queries, "client", seconds, cap, "rate", queries)
 
 
-def nxdomain_rate(queries: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS, cap: int = R.NXDOMAIN_CAP) -> DataFrame:
+def nxdomain_rate(queries: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS, cap: int | None = None) -> DataFrame:
     """NXDOMAIN rows with ``nx_rate``: failures of the same domain in the last minute."""
     failed = queries.filter("is_nxdomain")
     return _rated(failed, "domain", seconds, cap, "nx_rate", failed)
@@ -42,7 +42,7 @@ def dns_signals(queries: DataFrame, rate_threshold: int = R.DNS_RATE_THRESHOLD,
     named = queries.withColumn("signal", D.name_signal(F.col("domain")))
     names = (emit(named, F.col("signal").isNotNull(), {"signal": F.col("signal")})
              .withColumns({
-                 "key": F.when(F.col("signal") == "bad_tld", F.col("domain")).otherwise(cut(F.col("domain"), 30)),
+                 "key": F.col("domain"),
                  "level": F.when(F.col("signal") == "bad_tld", "CRITICAL").otherwise("WARNING"),
                  "amount": F.when(F.col("signal") == "entropy", F.round(D.shannon(sub), 2))
                             .when(F.col("signal") == "long", F.length(sub).cast("double")).otherwise(0.0)}))

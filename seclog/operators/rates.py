@@ -61,7 +61,7 @@ def sliding_sum(counts: DataFrame, keys: list[str], seconds: float, value: str =
 def source_rate(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS, key: str = "source",
                 out: str = "source_rate") -> DataFrame:
     """Add the number of events of the same source in the last ``seconds``."""
-    rows = df.withColumn("us", micros())
+    rows = df.withColumns({"us": micros(), key: F.coalesce(key, F.lit(""))})
     rates = sliding_sum(instants(rows, [key]), [key], seconds, out=out)
     return rows.join(rates, [key, "us"])
 

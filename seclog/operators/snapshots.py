@@ -15,10 +15,16 @@ from seclog.operators.rates import MICROS
 CONNECTION_KEY = ["laddr_ip", "laddr_port", "raddr_ip", "raddr_port", "pid"]
 
 
+def scope(snapshots: DataFrame) -> list[str]:
+    """A table of several hosts has a ``host`` column; each host then has its own clock and state."""
+    return ["host"] if "host" in snapshots.columns else []
+
+
 def ticks(snapshots: DataFrame) -> DataFrame:
-    """(snapshot_ts, prev_ts): one row per snapshot instant, however many records it holds."""
-    order = W.orderBy("snapshot_ts")
-    return (snapshots.select("snapshot_ts").distinct()
+    """([host], snapshot_ts, prev_ts): one row per snapshot instant, however many records it holds."""
+    own = scope(snapshots)
+    order = W.partitionBy(*own).orderBy("snapshot_ts")
+    return (snapshots.select(*own, "snapshot_ts").distinct()
             .withColumn("prev_ts", F.lag("snapshot_ts").over(order)))
 
 
@@ -42,32 +48,34 @@ def new_connections(snapshots: DataFrame, grace_seconds: int = R.CONNECTION_GRAC
     at least that long after the last time it was new: a cooldown whose test instant is
     that previous snapshot. The first snapshot only teaches.
     """
-    columns = snapshots.columns
-    per_tick = (connections(snapshots).groupBy(*CONNECTION_KEY, "snapshot_ts")
-                .agg(F.min(F.struct(*[c for c in columns if c not in CONNECTION_KEY + ["snapshot_ts"]])).alias("_rest")))
-    by_key = W.partitionBy(*CONNECTION_KEY).orderBy("snapshot_ts")
+    columns, own = snapshots.columns, scope(snapshots)
+    key = own + CONNECTION_KEY
+    per_tick = (connections(snapshots).groupBy(*key, "snapshot_ts")
+                .agg(F.min(F.struct(*[c for c in columns if c not in key + ["snapshot_ts"]])).alias("_rest")))
+    by_key = W.partitionBy(*key).orderBy("snapshot_ts")
     clock = ticks(snapshots)
-    seen = (per_tick.join(clock, "snapshot_ts")
+    seen = (per_tick.join(clock, own + ["snapshot_ts"])
             .withColumn("_last", F.lag("snapshot_ts").over(by_key)))
     # Back after an absence, or never seen; unbroken presence is never new.
     returns = seen.filter(F.col("_last").isNull() | (F.col("prev_ts") > F.col("_last")))
     instant = F.unix_micros("snapshot_ts")
-    steps = returns.select(*CONNECTION_KEY, instant.alias("exit"),
+    steps = returns.select(*key, instant.alias("exit"),
                            F.when(F.col("_last").isNull(), instant).otherwise(F.unix_micros("prev_ts")).alias("upper"))
-    fresh = passing_instants(steps, CONNECTION_KEY, grace_seconds * MICROS, bounded_entry=False)
+    fresh = passing_instants(steps, key, grace_seconds * MICROS, bounded_entry=False)
     return (returns.filter(F.col("prev_ts").isNotNull()).withColumn("exit", instant)
-            .join(fresh, CONNECTION_KEY + ["exit"])
-            .select(*CONNECTION_KEY, "snapshot_ts", "_rest.*").select(columns))
+            .join(fresh, key + ["exit"])
+            .select(*key, "snapshot_ts", "_rest.*").select(columns))
 
 
 def new_listeners(snapshots: DataFrame) -> DataFrame:
     """Ports below 1024 that start to listen after the first snapshot, with a known process."""
-    first_tick = snapshots.agg(F.min("snapshot_ts").alias("_start"))
-    first = (listeners(snapshots).groupBy("laddr_port")
+    own = scope(snapshots)
+    first_tick = snapshots.groupBy(*own).agg(F.min("snapshot_ts").alias("_start"))
+    first = (listeners(snapshots).groupBy(*own, "laddr_port")
              .agg(F.min("snapshot_ts").alias("snapshot_ts"),
                   F.min_by("proc_name", F.struct("snapshot_ts", F.col("pid"), F.col("proc_name"))).alias("proc_name")))
-    return (first.join(F.broadcast(first_tick), F.col("snapshot_ts") > F.col("_start"))  # one row
-            .filter((F.col("laddr_port") < 1024) & ~F.coalesce("proc_name", F.lit("")).isin("", "unknown"))
+    both = first.join(first_tick, own) if own else first.crossJoin(F.broadcast(first_tick))  # one row
+    return (both.filter(F.col("snapshot_ts") > F.col("_start")).filter((F.col("laddr_port") < 1024) & ~F.coalesce("proc_name", F.lit("")).isin("", "unknown"))
             .drop("_start"))
 
 
@@ -94,7 +102,7 @@ def active_connections(snapshots: DataFrame, limit: int = 200) -> DataFrame:
         .orderBy("raddr", "laddr", "pid", "status", "proc").limit(limit))
 
 
-def _beacon_walk(window_us: int, keep: int, least: int):
+def _beacon_walk(window_us: int, keep: int | None, least: int):
     """Per remote address: replay the snapshots and clear the history after each hit."""
 
     def run(key, pdf):
@@ -102,7 +110,8 @@ def _beacon_walk(window_us: int, keep: int, least: int):
         recent: list[int] = []
         hits = []
         for us, fresh in zip(pdf["us"].tolist(), pdf["n"].tolist()):
-            recent = (recent + [us] * min(fresh, keep))[-keep:]
+            recent += [us] * fresh
+            recent = recent if keep is None else recent[-keep:]
             recent = [t for t in recent if t >= us - window_us]
             if len(recent) < least:
                 continue
@@ -116,17 +125,17 @@ def _beacon_walk(window_us: int, keep: int, least: int):
     return run
 
 
-def beacons(new: DataFrame, clock: DataFrame, window_seconds: int = 300, keep: int = 20, least: int = 5) -> DataFrame:
+def beacons(new: DataFrame, clock: DataFrame, window_seconds: int = 300, keep: int | None = None, least: int = 5) -> DataFrame:
     """External addresses contacted at regular intervals, tested at every snapshot.
 
-    Input of the walk is one row per address and snapshot with at most ``keep`` counted,
-    so a busy address costs no more rows than there are snapshots.
+    Input of the walk is one row per address and snapshot, so a busy address costs no more
+    rows than there are snapshots. ``keep`` limits the arrivals remembered.
     """
     window_us = window_seconds * MICROS
     bucket = lambda us: F.floor(us / F.lit(window_us)).cast("bigint")
     fresh = (new.filter(~net.is_private(F.col("raddr_ip")))
              .groupBy("raddr_ip", F.unix_micros("snapshot_ts").alias("us"))
-             .agg(F.least(F.count(F.lit(1)), F.lit(keep)).alias("n")))
+             .agg(F.count(F.lit(1)).alias("n")))
     # A snapshot is tested for an address if it had a new connection within the window.
     spans = fresh.select("raddr_ip", F.col("us").alias("seen"), F.explode(
         F.array(bucket(F.col("us")), bucket(F.col("us")) + 1)).alias("_b"))
@@ -143,7 +152,7 @@ def beacons(new: DataFrame, clock: DataFrame, window_seconds: int = 300, keep: i
 def processes(snapshots: DataFrame) -> DataFrame:
     """Process records with names in lower case, defaults for nulls and the command as text."""
     return snapshots.select(
-        "snapshot_ts", "pid", F.coalesce("ppid", F.lit(0)).alias("ppid"),
+        *scope(snapshots), "snapshot_ts", "pid", F.coalesce("ppid", F.lit(0)).alias("ppid"),
         F.lower(F.coalesce("name", F.lit(""))).alias("name"), F.coalesce("exe", F.lit("")).alias("exe"),
         F.coalesce(F.array_join("cmdline", " "), F.lit("")).alias("cmdline"),
         F.coalesce("username", F.lit("")).alias("username"), F.coalesce("cpu", F.lit(0.0)).alias("cpu"))
@@ -154,13 +163,13 @@ def with_parent(procs: DataFrame) -> DataFrame:
 
     A snapshot should list a pid once; if it repeats, the smallest name stands for the parent.
     """
-    clock = ticks(procs)
-    names = procs.groupBy("snapshot_ts", "pid").agg(F.min("name").alias("parent_name"))
+    clock, own = ticks(procs), scope(procs)
+    names = procs.groupBy(*own, "snapshot_ts", "pid").agg(F.min("name").alias("parent_name"))
     parents = names.withColumnRenamed("pid", "ppid")
-    before = names.select(F.col("snapshot_ts").alias("prev_ts"), "pid", F.lit(True).alias("_known"))
-    return (procs.join(clock, "snapshot_ts")
-            .join(parents, ["snapshot_ts", "ppid"], "left")
-            .join(before, ["prev_ts", "pid"], "left")
+    before = names.select(*own, F.col("snapshot_ts").alias("prev_ts"), "pid", F.lit(True).alias("_known"))
+    return (procs.join(clock, own + ["snapshot_ts"])
+            .join(parents, own + ["snapshot_ts", "ppid"], "left")
+            .join(before, own + ["prev_ts", "pid"], "left")
             .withColumns({"parent_name": F.coalesce("parent_name", F.lit("")), "is_new": F.col("_known").isNull()})
             .select(*procs.columns, "prev_ts", "parent_name", "is_new"))
 

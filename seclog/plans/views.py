@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-MAX_PAGE = 1000
 SEARCH_COLUMNS = [
     "id", "ts", "source", "level", "message", "platform", "is_anomaly", "anomaly_score", "matched_rules", "tags",
     "mitre_tactic", "mitre_tactic_id", "mitre_technique", "mitre_technique_id", "mitre_subtechnique_id",
     "category", "src_ip", "dst_ip", "dst_port", "protocol", "filepath", "file_hash"]
 
 
-def newest(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+def newest(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+    """Newest first; no limit gives all."""
     ordered = df.orderBy(F.desc("ts"), "id")
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+    ordered = ordered.offset(offset) if offset else ordered
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def _holds(column: str, text: str) -> Column:
@@ -24,7 +25,7 @@ def _holds(column: str, text: str) -> Column:
 def search_entries(df: DataFrame, level: str | None = None, source: str | None = None, search: str | None = None,
                    anomaly_only: bool = False, since=None, until=None, category: str | None = None,
                    mitre_tactic: str | None = None, mitre_technique_id: str | None = None,
-                   limit: int = 200, offset: int = 0) -> DataFrame:
+                   limit: int | None = 200, offset: int = 0) -> DataFrame:
     """Entries that meet all given conditions; both time bounds are included."""
     tests = []
     if level:
@@ -47,7 +48,7 @@ def search_entries(df: DataFrame, level: str | None = None, source: str | None =
         tests.append(F.col("mitre_technique_id") == mitre_technique_id)
     for test in tests:
         df = df.filter(test)
-    return newest(df.select([c for c in SEARCH_COLUMNS if c in df.columns]), min(limit, MAX_PAGE), offset)
+    return newest(df.select([c for c in SEARCH_COLUMNS if c in df.columns]), limit, offset)
 
 
 def fim_events(df: DataFrame, limit: int = 100) -> DataFrame:

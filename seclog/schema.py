@@ -36,13 +36,14 @@ BASELINE_DDL = "path string, sha256 string, size bigint, mode string, updated_at
 
 
 def complete(df: DataFrame) -> DataFrame:
-    """All entry fields in order, with defaults for those that ``df`` lacks."""
+    """All entry fields in order, with defaults for those that ``df`` lacks and for nulls."""
 
     def field(name: str):
         kind, default = ENTRY[name]
-        if name in df.columns:
-            return F.col(name).cast(kind).alias(name)
-        value = F.array() if default == [] else F.lit(default)
-        return value.cast(kind).alias(name)
+        value = (F.array() if default == [] else F.lit(default)).cast(kind)
+        if name not in df.columns:
+            return value.alias(name)
+        own = F.col(name).cast(kind)
+        return (own if default is None else F.coalesce(own, value)).alias(name)
 
     return df.select(*[field(name) for name in ENTRY])

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seclog import refdata as R
-from seclog.functions.text import cut, emit, lookup, parse_iso, parse_level, rx
+from seclog.functions.text import emit, lookup, parse_iso, parse_level, rx
 from seclog.schema import complete
 
 COPIES_PER_TASK = 10_000
@@ -63,15 +63,17 @@ def number_copies(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``occurrence`` 1..n to identical rows.
 
     Identical rows are interchangeable, so they are counted (which combines before the
-    shuffle) and written out again; large counts are spread over tasks in chunks.
+    shuffle) and written out again. Only rows with large counts travel once more, spread
+    over tasks in chunks.
     """
     counted = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    chunks = counted.withColumn("_chunk", F.explode(F.sequence(
+    few = counted.filter(F.col("_n") <= COPIES_PER_TASK).withColumn("occurrence", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
+    chunks = counted.filter(F.col("_n") > COPIES_PER_TASK).withColumn("_chunk", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / COPIES_PER_TASK).cast("bigint"))))
     first = F.col("_chunk") * COPIES_PER_TASK + 1
     last = F.least(F.col("_n"), first + (COPIES_PER_TASK - 1))
-    return (chunks.repartition(*keys, "_chunk")
-            .withColumn("occurrence", F.explode(F.sequence(first, last))).drop("_n", "_chunk"))
+    many = chunks.repartition(*keys, "_chunk").withColumn("occurrence", F.explode(F.sequence(first, last)))
+    return few.drop("_n").unionByName(many.drop("_n", "_chunk"))
 
 
 def entry_id(*parts: str) -> Column:
@@ -80,9 +82,10 @@ def entry_id(*parts: str) -> Column:
 
 
 def with_ids(entries: DataFrame) -> DataFrame:
-    """Content id for entries that carry ``occurrence``."""
-    return entries.withColumn("_us", F.unix_micros("ts")).withColumn(
-        "id", entry_id("source", "_us", "raw", "occurrence")).drop("_us")
+    """Content id for entries that carry ``occurrence``: the file (the source if there is none), the
+    whole line and its number among equal lines. The time stays out, since a line without one
+    takes it from the reader."""
+    return entries.withColumn("id", entry_id("file" if "file" in entries.columns else "source", "raw", "occurrence"))
 
 
 def read_syslog(spark: SparkSession, path: str, year: int, as_of, name: str | None = None,
@@ -115,7 +118,7 @@ def parse_journald(lines: DataFrame, as_of, column: str = "value") -> DataFrame:
         "ts": F.when(F.col("_us") == 0, _moment(as_of)).otherwise(F.timestamp_micros("_us")),
         "source": F.when(F.col("_unit") != "", F.concat("_name", F.lit("("), "_unit", F.lit(")"))).otherwise(F.col("_name")),
         "level": lookup(R.JOURNALD_PRIORITY, F.col("_priority"), "INFO"),
-        "message": cut(message, 1000), "raw": cut(text, 500), "platform": F.lit("linux"),
+        "message": message, "raw": text, "platform": F.lit("linux"),
     }).drop("_us", "_priority", "_message", "_name", "_unit", column)
 
 
@@ -127,13 +130,13 @@ def read_journald(spark: SparkSession, path: str, as_of) -> DataFrame:
 UNIFIED_ITEM = "struct<messageType:string,timestamp:string,process:string,subsystem:string,eventMessage:string>"
 
 
-def parse_unified_log(documents: DataFrame, as_of, max_items: int | None = 500, column: str = "value") -> DataFrame:
-    """macOS unified-log arrays, one document per row; the first ``max_items`` of each are used.
+def parse_unified_log(documents: DataFrame, as_of, max_items: int | None = None, column: str = "value") -> DataFrame:
+    """macOS unified-log arrays, or single objects, one document per row; ``max_items`` limits the items of each.
 
-    The cap is the collector's own page size; None takes all items. Items keep their JSON
-    text as raw.
+    Items keep their JSON text as raw.
     """
-    items = F.from_json(F.col(column), "array<string>")
+    text = F.trim(column)
+    items = F.from_json(F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text), "array<string>")
     if max_items is not None:
         items = F.slice(items, 1, max_items)
     rows = documents.select("*", F.posexplode(items).alias("item_no", "_json")).drop(column)
@@ -145,11 +148,11 @@ def parse_unified_log(documents: DataFrame, as_of, max_items: int | None = 500,
         "ts": F.coalesce(parse_iso(F.col("_o.timestamp")), _moment(as_of)),
         "source": F.when(subsystem != "", F.concat(process, F.lit("/"), subsystem)).otherwise(process),
         "level": lookup(R.UNIFIED_LOG_LEVEL, F.coalesce("_o.messageType", F.lit("Default")), "INFO"),
-        "message": cut(F.coalesce("_o.eventMessage", F.lit("")), 800), "raw": cut(F.col("_json"), 400),
+        "message": F.coalesce("_o.eventMessage", F.lit("")), "raw": F.col("_json"),
         "platform": F.lit("darwin")}).drop("_o", "_json")
 
 
-def read_unified_log(spark: SparkSession, path: str, as_of, max_items: int | None = 500) -> DataFrame:
+def read_unified_log(spark: SparkSession, path: str, as_of, max_items: int | None = None) -> DataFrame:
     """One capture per file, as the tool writes it."""
     files = spark.read.text(path, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("file"))
@@ -176,7 +179,7 @@ def parse_wevt_text(documents: DataFrame, channel: Column | str, as_of, column:
         "ts": F.coalesce(parse_iso(F.col("_date")), _moment(as_of)),
         "source": F.concat(channel, F.lit("/"), F.coalesce("_provider", channel)),
         "level": lookup(R.WINDOWS_TEXT_LEVEL, F.lower(F.coalesce("_level", F.lit(""))), "INFO"),
-        "message": cut(F.col("_text"), 500), "raw": cut(F.regexp_replace("_record", r"^\n+|\n+$", ""), 300),
+        "message": F.col("_text"), "raw": F.regexp_replace("_record", r"^\n+|\n+$", ""),
         "platform": F.lit("windows")}).drop("_record", "_date", "_level", "_provider", "_text")
 
 
@@ -185,15 +188,19 @@ def read_wevt_text(spark: SparkSession, path: str, channel: str, as_of) -> DataF
     return complete(parse_wevt_text(files, channel, as_of).withColumn("id", entry_id("file", "item_no", "raw")))
 
 
-def from_winevents(events: DataFrame, per_channel: int = 300) -> DataFrame:
-    """Structured Windows events (id, channel, ts, event_type, event_id, source_name, message); newest per channel."""
+def from_winevents(events: DataFrame, per_channel: int | None = None) -> DataFrame:
+    """Structured Windows events (id, channel, ts, event_type, event_id, source_name, message).
+
+    ``per_channel`` keeps only the newest of each channel.
+    """
     from seclog.plans.views import latest_per_key
 
-    newest = latest_per_key(events, ["channel"], per_channel, [F.desc("ts"), F.col("id")])
-    return complete(newest.select(
+    if per_channel is not None:
+        events = latest_per_key(events, ["channel"], per_channel, [F.desc("ts"), F.col("id")])
+    return complete(events.select(
         "id", "ts", F.concat("channel", F.lit("/"), "source_name").alias("source"),
         lookup(R.WINDOWS_EVENT_TYPE, F.col("event_type"), "INFO").alias("level"),
-        cut(F.coalesce("message", F.lit("")), 500).alias("message"),
+        F.coalesce("message", F.lit("")).alias("message"),
         F.concat(F.lit("EventID="), F.col("event_id").cast("string"), F.lit(" Src="), "source_name").alias("raw"),
         F.lit("windows").alias("platform")))
 

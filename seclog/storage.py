@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ from seclog.schema import complete
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a private one only if none is set (tests)."""
+    """The shared folder of the cluster. A private one only if none is set and all runs on one machine (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="seclog-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
@@ -50,12 +53,11 @@ def append_entries(new: DataFrame, existing: DataFrame) -> DataFrame:
 def write_entries(entries: DataFrame, path: str, mode: str = "append") -> None:
     """Append to the table partitioned by day and category.
 
-    Rows are spread over the writers by (day, category, hash of the id), so a category
-    that dominates a day is written by many tasks.
+    Rows are brought together by (day, category); adaptive execution then cuts what is
+    large, so a category that dominates a day is written by as many tasks as it needs.
     """
-    spread = F.pmod(F.xxhash64("id"), F.lit(64))
     (entries.withColumns({"event_date": F.to_date("ts"), "ingested_at": F.current_timestamp()})
-     .repartition("event_date", "category", spread)
+     .hint("rebalance", "event_date", "category")
      .write.mode(mode).partitionBy("event_date", "category").parquet(path))
 
 
@@ -86,19 +88,19 @@ def retention_plan(overrides: dict | None = None) -> dict:
 
 
 def retain(entries: DataFrame, as_of, overrides: dict | None = None) -> DataFrame:
-    """Entries that survive severity-based retention."""
+    """Entries that survive severity-based retention. Without a level or time nothing expires."""
     expired = F.lit(False)
     for level, days in retention_plan(overrides).items():
         if days is not None:
             cutoff = F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(days))
             expired = expired | ((F.col("level") == level) & (F.col("ts") < cutoff))
-    return entries.filter(~expired)
+    return entries.filter(~F.coalesce(expired, F.lit(False)))
 
 
 def retain_alerts(df: DataFrame, as_of, days: int = R.ALERT_RETENTION_DAYS) -> DataFrame:
     """Alerts except acknowledged ones older than ``days``."""
     cutoff = F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(days))
-    return df.filter(~(F.col("acknowledged") & (F.col("ts") < cutoff)))
+    return df.filter(~F.coalesce(F.col("acknowledged") & (F.col("ts") < cutoff), F.lit(False)))
 
 
 def apply_acks(df: DataFrame, acks: DataFrame) -> DataFrame:

@@ -135,9 +135,8 @@ def tail_text(spark: SparkSession, path: str, max_files: int | None = None) -> D
 
 
 def syslog_entries(lines: DataFrame, year: int, as_of, name: str) -> DataFrame:
-    """Entries of one micro-batch of tailed lines; repeats within a segment stay apart."""
+    """Entries of one micro-batch of tailed lines, with the ids that a batch read of the same files gives."""
     copies = number_copies(trimmed_lines(lines), ["file", "value"])
-    copies = copies.withColumn("occurrence", F.concat_ws(":", "file", "occurrence"))
     return complete(with_ids(parse_syslog(copies, year, as_of, name)))
 
 

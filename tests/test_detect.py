@@ -131,9 +131,10 @@ def test_forest(spark, sf, tmp_path):
     features = FO.feature_rows(registry.entries(spark, sf))
     model = FO.retrain(features, trees=20)
     path = str(tmp_path / "forest")
-    FO.save_forest(model.forest, path, "2024-01-01 00:00:00", 800, 0.05, model.sample)
+    assert model.training.count() == features.count()
+    FO.save_forest(model.forest, path, "2024-01-01 00:00:00", features.count(), 0.05, model.sample)
     forest, meta = FO.load_forest(spark, path)
-    assert meta.train_size == 800 and forest.select("tree_id").distinct().count() == 20
+    assert meta.train_size == features.count() and forest.select("tree_id").distinct().count() == 20
     raw = FO.score_forest(features, FO.forest_nodes(forest), model.sample)
     assert raw.filter("raw_score >= 0 OR raw_score <= -1").isEmpty() and raw.count() == features.count()
     scored = FO.forest_scores(features, forest, model.training, model.sample)
@@ -142,3 +143,44 @@ def test_forest(spark, sf, tmp_path):
     assert FO.retrain(features.limit(50)) is None
     # The same forest again after a restart of its tasks.
     assert FO.fit_forest(model.training, 20, model.sample).exceptAll(forest).isEmpty()
+
+
+def test_no_gap_silences_nothing(spark):
+    from seclog.operators.cooldown import cooldown
+
+    rows = events(spark, [(1, "a", T0), (2, "a", T0), (3, "a", T0 + 1), (4, "b", T0)], "id int, k string, us bigint")
+    assert sorted(r.id for r in cooldown(rows, ["k"], 0).collect()) == [1, 3, 4]
+
+
+def test_hosts_have_clocks_of_their_own(spark):
+    """Two hosts polled at different times; each one's snapshots follow its own."""
+    from seclog.operators import snapshots as S
+
+    rows = []
+    for host, shift in (("h1", 0), ("h2", 7)):
+        for poll in range(4):
+            at = T0 + (poll * 15 + shift) * SECOND
+            rows.append((host, at, "10.0.0.1", 40000, "203.0.113.1", 443, 1, "ESTABLISHED", "TCP", "p"))
+            if poll >= 2:
+                rows.append((host, at, "10.0.0.1", 40001, "203.0.113.2", 443, 1, "ESTABLISHED", "TCP", "p"))
+    snaps = spark.createDataFrame(rows, "host string, us bigint, laddr_ip string, laddr_port int, raddr_ip string, raddr_port int, pid int, "
+                                        "status string, type string, proc_name string").withColumn("snapshot_ts", F.timestamp_micros("us")).drop("us")
+    new = S.new_connections(snaps).collect()
+    assert sorted((r.host, r.raddr_ip) for r in new) == [("h1", "203.0.113.2"), ("h2", "203.0.113.2")]
+    assert {(r.host, r.prev_ts is None) for r in S.ticks(snaps).collect()} == {("h1", True), ("h1", False), ("h2", True), ("h2", False)}
+
+
+def test_forest_dns_and_socket_feeds_in_the_pipeline(spark, sf):
+    from checks import registry
+    from seclog.operators.annotate import run_pipeline
+
+    rows = registry.entries(spark, sf)
+    some = rows.select("id", (F.xxhash64("id") % 10 == 0).alias("forest_anomaly"), F.when(F.xxhash64("id") % 10 == 0, 0.95).otherwise(0.1).alias("forest_score"))
+    sockets = spark.createDataFrame([("s%d" % i, "198.51.100.9", 2000 + i) for i in range(20)], "id string, src_ip string, dst_port int").select(
+        "id", F.lit("2024-01-01 00:05:00").cast("timestamp").alias("ts"), "src_ip", "dst_port", F.lit("socket").alias("kind"), F.lit("proc").alias("method"))
+    plain = run_pipeline(rows).entries
+    full = run_pipeline(rows, forest=some, sockets=sockets, dns=True).entries
+    marked = full.join(some.filter("forest_anomaly"), "id")
+    assert marked.count() > 0 and marked.filter("NOT is_anomaly OR anomaly_score < 0.95").isEmpty()
+    assert full.filter("category = 'portscan' AND src_ip = '198.51.100.9' AND source <> ''").count() >= 1
+    assert full.count() > plain.count()

@@ -96,3 +96,25 @@ def test_octal(spark):
     rows = spark.range(4096).withColumn("o", octal_mode(F.col("id")))
     assert rows.filter(parse_octal_mode(F.col("o")) != F.col("id")).isEmpty()
     assert values(spark, ["0o644", "755", "zz"], parse_octal_mode) == [0o644, 0o755, 0o644]
+
+
+def test_the_substring_test_never_drops_a_match(spark):
+    """Rules tested behind their required texts hit exactly where the plain patterns do."""
+    import random
+
+    from seclog.functions.text import rx
+
+    rng = random.Random(3)
+    atoms = ["fail", "login", "a", "b", r"\d", r"\x66", r"\101", ".", "[ab]", r"[\]x]", r"\.", "(?:ab|cd)", "(user|root)", "x{0}", "abc?", "root*", "(log)?", " ", r"\bfoo", "|", "+?", "[^a]"]
+    patterns = [r"\x66ailed login", r"\101bcde", "[]a]bcd", r"\Qa.b\E", "failed|x", "(fail|log)(ed)?"]
+    patterns += ["".join(rng.choices(atoms, k=rng.randint(1, 6))) for _ in range(150)]
+    texts = ["failed login", "abcde", "Abcde user root", "", "foo ab cd", "a.b", "]abcd", "LOGIN x root"] + [
+        "".join(rng.choices(["fail", "log", "in", "a", "b", " ", "root", "user", "]", "x", "1", "cd", "."], k=rng.randint(0, 8))) for _ in range(60)]
+    rules = [R.Rule(str(i), p, "info") for i, p in enumerate(patterns)]
+    from seclog.functions.text import usable_rules
+    usable = usable_rules(rules)
+    assert 50 < len(usable) < len(rules)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.array_compact(F.array(*[F.when(F.col("t").rlike(rx(r.pattern)), F.lit(r.name)) for r in usable]))
+    for row in rows.select("t", matched_rules(F.col("t"), rules).alias("got"), plain.alias("want")).collect():
+        assert row.got == row.want, row.t

@@ -116,14 +116,67 @@ def test_checkpoint_folder_is_the_clusters(spark):
     assert storage.checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-@pytest.mark.parametrize("rules", [3, 15])
-def test_rule_table_paths_agree(spark, sf, rules):
+def test_a_rule_table_of_any_size_skips_malformed_patterns(spark, sf):
     from seclog import refdata as R
     from seclog.operators.annotate import match_rules_table
 
     rows = registry.entries(spark, sf)
-    table = spark.createDataFrame([(i, r.name, r.pattern, r.severity) for i, r in enumerate(R.RULES[:rules])],
-                                  "ord int, name string, pattern string, severity string")
-    joined = match_rules_table(rows, table, literal_rules=0, broadcast_rules=4)
-    assert joined.exceptAll(match_rules_table(rows, table)).isEmpty()
-    assert joined.count() == match_rules_table(rows, table).count()
+    rules = [(i, r.name, r.pattern, r.severity) for i, r in enumerate(R.RULES)]
+    schema = "ord int, name string, pattern string, severity string"
+    plain = match_rules_table(rows, spark.createDataFrame(rules, schema))
+    cut = match_rules_table(rows, spark.createDataFrame(rules + [(99, "broken", "a(", "info")], schema), per_expression=4)
+    assert cut.count() == plain.count() > 0 and cut.exceptAll(plain).isEmpty()
+
+
+def test_ids_do_not_depend_on_the_reader(spark, tmp_path):
+    """Another fallback time, another host's file, long lines, and the stream's way of reading."""
+    from seclog.streaming.pipeline import syslog_entries
+
+    long = "x" * 2000
+    for host in ("h1", "h2"):
+        (tmp_path / host).mkdir()
+        (tmp_path / host / "auth.log").write_text("\n".join(["no date line", "no date line", long + "a", long + "b"]))
+    path = str(tmp_path / "*")
+    first = T.read_syslog(spark, path, 2024, AS_OF, "auth").collect()
+    assert len({r.id for r in first}) == len(first) == 8 and {len(r.raw) for r in first} == {12, 2001}
+    later = T.read_syslog(spark, path, 2024, "2025-01-01 00:00:00", "auth")
+    assert {r.id for r in later.collect()} == {r.id for r in first}
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    assert {r.id for r in syslog_entries(lines, 2024, AS_OF, "auth").collect()} == {r.id for r in first}
+    (tmp_path / "j.json").write_text("".join('{"__REALTIME_TIMESTAMP":"1714557600000000","MESSAGE":"%s%d"}\n' % (long, i) for i in range(3)))
+    rows = T.read_journald(spark, str(tmp_path / "j.json"), AS_OF).collect()
+    assert len({r.id for r in rows}) == 3 and all(len(r.message) == 2001 for r in rows)
+
+
+def test_captures_keep_their_own_time(spark, tmp_path):
+    import os
+
+    from seclog.operators import scans
+
+    for i in range(14):
+        path = tmp_path / ("cap%02d" % i)
+        path.write_text("0 0 x 10.0.0.1:%d 203.0.113.7:40000\n0 0 x 10.0.0.1:%d 203.0.113.7:40001\n" % (1000 + i, 1000 + i))
+        os.utime(path, (1_700_000_000 + 600 * i,) * 2)
+    rows = sockets.read_ss(spark, str(tmp_path))
+    assert len({r.id for r in rows.collect()}) == 28 and rows.select("ts").distinct().count() == 14
+    assert scans.port_scans(rows).isEmpty()
+    assert scans.port_scans(sockets.read_ss(spark, str(tmp_path), AS_OF)).count() == 1
+
+
+def test_retention_keeps_what_has_no_level_or_time(spark):
+    rows = spark.createDataFrame([(None, "2020-01-01 00:00:00"), ("INFO", None), ("INFO", "2020-01-01 00:00:00")], "level string, ts string")
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    assert storage.retain(rows, "2024-01-01 00:00:00").count() == 2
+    alerts = spark.createDataFrame([(None, "2020-01-01 00:00:00"), (True, None), (True, "2020-01-01 00:00:00")], "acknowledged boolean, ts string")
+    assert storage.retain_alerts(alerts.withColumn("ts", F.col("ts").cast("timestamp")), "2024-01-01 00:00:00").count() == 2
+
+
+def test_null_fields_take_their_defaults(spark):
+    from seclog.operators.annotate import apply_rules
+    from seclog.operators.rates import source_rate
+    from seclog.schema import complete
+
+    rows = spark.createDataFrame([("1", "Failed password for root", None, None)], "id string, message string, raw string, source string")
+    rows = complete(rows.withColumn("ts", F.lit(AS_OF).cast("timestamp")))
+    assert apply_rules(rows).first().matched_rules
+    assert source_rate(rows).first().source_rate == 1
