@@ -58,6 +58,12 @@ LABELLED = (
     ((4, 4, OUTSIDE, 0, 0), (10, 0, OUTSIDE, 1, 1), (28, 0, OUTSIDE, 0, 1), (40, 4, OUTSIDE, 0, 1), (3, 0, OUTSIDE, 1, 1), (22, 0, OUTSIDE, 0, 1),
      (12, 10, OUTSIDE, 2, 0), (11, 9, OUTSIDE, 2, 0), (6, 0, OUTSIDE, 0, 0)),
     ((6, 6, OUTSIDE, 2, 0), (5, 5, OUTSIDE, 2, 0), (5, 0, OUTSIDE, 0, 0), (4, 3, OUTSIDE, 0, 0), (3, 0, OUTSIDE, 0, 0)),
+    ((2, 2, OUTSIDE, 0, 0), (40, 0, OUTSIDE, 0, 1), (60, 0, OUTSIDE, 0, 1), (50, 1, OUTSIDE, 0, 1), (2, 2, OUTSIDE, 0, 0)),
+    ((5, 5, OUTSIDE, 0, 0), (35, 0, OUTSIDE, 0, 1), (14, 0, OUTSIDE, 0, 1), (44, 2, OUTSIDE, 0, 1), (8, 8, OUTSIDE, 0, 0), (52, 0, OUTSIDE, 0, 1)),
+    ((6, 0, INSIDE, 1, 1), (2, 0, INSIDE, 0, 1), (1, 0, INSIDE, 0, 1), (1, 1, INSIDE, 0, 1), (3, 3, INSIDE, 0, 1), (2, 2, INSIDE, 0, 1), (1, 0, INSIDE, 0, 1)),
+    ((1, 0, INSIDE, 1, 1), (1, 0, INSIDE, 0, 1), (5, 5, INSIDE, 2, 1), (2, 0, INSIDE, 2, 1), (3, 1, SIDE, 2, 0), (60, 0, SIDE, 0, 0), (50, 0, SIDE, 0, 0)),
+    ((9, 0, INSIDE, 1, 1), (2, 1, INSIDE, 0, 1), (1, 0, INSIDE, 0, 1), (6, 6, INSIDE, 0, 1), (45, 0, SIDE, 0, 0), (35, 1, SIDE, 0, 0), (2, 2, INSIDE, 0, 1)),
+    ((9, 9, OUTSIDE, 2, 0), (9, 9, OUTSIDE, 2, 0), (33, 0, OUTSIDE, 0, 1), (21, 1, OUTSIDE, 0, 1), (24, 20, OUTSIDE, 0, 0)),
     ((18, 0, OUTSIDE, 0, 1), (64, 0, OUTSIDE, 0, 1), (31, 0, OUTSIDE, 0, 1)),
     ((2, 0, OUTSIDE, 0, 0), (3, 3, OUTSIDE, 0, 0), (4, 0, SIDE, 1, 0), (38, 0, SIDE, 0, 0), (33, 1, SIDE, 0, 0), (9, 0, INSIDE, 1, 1), (5, 0, INSIDE, 0, 1),
      (7, 0, INSIDE, 0, 1), (6, 0, SIDE, 0, 0), (20, 0, SIDE, 2, 0)),
