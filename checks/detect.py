@@ -221,7 +221,7 @@ def _(spark, sf):
     return S.active_connections(snapshots(spark, sf))
 
 
-def _beats(d) -> str:
+def beats(d) -> str:
     """One connection per address and snapshot from a fresh local port, so every one is new."""
     return X.base(d) + f""",
 conns AS (SELECT DISTINCT {d.stamp('us - us % 15000000')} AS snapshot_ts, '10.0.0.1' AS laddr_ip,
@@ -230,7 +230,7 @@ conns AS (SELECT DISTINCT {d.stamp('us - us % 15000000')} AS snapshot_ts, '10.0.
     443 AS raddr_port, 1 AS pid, 'ESTABLISHED' AS status, 'TCP' AS type, 'agent' AS proc_name FROM e0)"""
 
 
-BEACONS = _beats(DUCK) + new_connections_sql() + f""",
+BEACONS = beats(DUCK) + new_connections_sql() + f""",
 arrivals AS (SELECT raddr_ip, epoch_us(snapshot_ts) AS us, count(*) AS n FROM new_conns
   WHERE NOT {_PRIVATE.replace('ip', 'raddr_ip')} GROUP BY 1, 2),
 ticks AS (SELECT us, row_number() OVER (ORDER BY us) AS t FROM (SELECT DISTINCT epoch_us(snapshot_ts) AS us FROM conns) x),
@@ -250,7 +250,7 @@ walk AS (SELECT raddr_ip, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS us, CAST(
 @check("beacons", with_(BEACONS, """SELECT raddr_ip, us, CAST(len(recent) AS BIGINT) AS connections, round(mean_s, 4) AS mean_s,
     round(std_s, 4) AS std_s FROM walk WHERE hit""", True))
 def _(spark, sf):
-    snaps = X.spark_table(spark, sf, _beats, "conns")
+    snaps = X.spark_table(spark, sf, beats, "conns")
     out = S.beacons(S.new_connections(snaps), S.ticks(snaps))
     return out.withColumns({c: F.round(c, 4) for c in ("mean_s", "std_s")})
 
@@ -276,7 +276,7 @@ def _in(names):
     return "(" + ", ".join(q(n) for n in names) + ")"
 
 
-_FINDING = f"""CASE WHEN name IN {_in(R.BAD_PROCESSES)} OR {' OR '.join(f"contains(lower(cmdline), {q(b)})" for b in R.BAD_PROCESSES)} THEN 'bad_process'
+FINDING = f"""CASE WHEN name IN {_in(R.BAD_PROCESSES)} OR {' OR '.join(f"contains(lower(cmdline), {q(b)})" for b in R.BAD_PROCESSES)} THEN 'bad_process'
   WHEN regexp_matches(exe, {q(R.TEMP_DIR_PATTERN)}, 'i') THEN 'tmp_execution'
   WHEN is_new THEN CASE WHEN parent_name IN {_in(R.SUSPICIOUS_PARENTS)} AND name IN {_in(R.SUSPICIOUS_CHILDREN)} THEN 'suspicious_spawn' END
   WHEN cpu > 80 THEN 'high_cpu' END"""
@@ -285,7 +285,7 @@ _FINDING = f"""CASE WHEN name IN {_in(R.BAD_PROCESSES)} OR {' OR '.join(f"contai
 @check("process_findings", with_(PROCS, f"""SELECT snapshot_ts, pid, ppid, name, exe, cmdline, username, cpu, parent_name, is_new, finding,
     CASE finding WHEN 'suspicious_spawn' THEN 'Reverse Shell Indicator' WHEN 'high_cpu' THEN 'Suspicious Process' ELSE 'Malware Indicator' END AS rule,
     CASE finding WHEN 'high_cpu' THEN 'WARNING' ELSE 'CRITICAL' END AS level
-  FROM (SELECT *, {_FINDING} AS finding FROM family WHERE prev_ts IS NOT NULL) x WHERE finding IS NOT NULL"""))
+  FROM (SELECT *, {FINDING} AS finding FROM family WHERE prev_ts IS NOT NULL) x WHERE finding IS NOT NULL"""))
 def _(spark, sf):
     return S.process_findings(procs(spark, sf))
 

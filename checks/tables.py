@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import fixtures as X
-from checks.detect import (ALERTS, ATTEMPTS, BEACONS, CHAIN_FIRES, CONNS, DNS_FINDINGS, FILES, LIVE, NEW_CONNS, PROCS, SCANS, acked,
-                           alerts, attempts, files, procs, snapshots)
+from checks.detect import (ALERTS, ATTEMPTS, BEACONS, CHAIN_FIRES, CONNS, DNS_FINDINGS, FILES, FINDING, LIVE, NEW_CONNS, PROCS, SCANS, acked,
+                           alerts, attempts, beats, files, procs, snapshots)
 from checks.fixtures import q
 from checks.registry import ANNOTATED, DUCK, annotated, check, entries, with_
+from checks.scalars import LOG_ATTEMPTS
 from seclog import refdata as R, storage
 from seclog.operators import annotate as A, correlate as C, findings, scans, snapshots as S
 from seclog.plans import stats, views
@@ -295,3 +298,87 @@ def _(spark, sf):
     logs = entries(spark, sf).withColumn("level", F.lit("INFO"))
     mail = findings.from_smtp_outbound(S.smtp_outbound(S.new_connections(snapshots(spark, sf))))
     return storage.all_entries(logs, mail).select("source", "level", "message")
+
+
+@check("entries_smtp", with_(NEW_CONNS, "SELECT " + _row(
+    "snapshot_ts", "'network-monitor'", "'WARNING'",
+    "concat('Outbound SMTP-like connection to ', raddr_ip, ':', raddr_port, ' — possible exfiltration — process: ', proc_name)", "'network'", "laddr_ip",
+    "raddr_ip", "raddr_port", "'TCP'", "'Large Outbound Transfer'", "'smtp_outbound'", "0.5")
+    + " FROM new_conns WHERE raddr_port IN (25, 465, 587) AND raddr_ip LIKE '203.%'", True))
+def _(spark, sf):
+    return findings.from_smtp_outbound(S.smtp_outbound(S.new_connections(snapshots(spark, sf)))).select(_ENTRY)
+
+
+def _tenth(value: str) -> str:
+    """One decimal, halves away from zero as Java prints them."""
+    return f"printf('%.1f', floor({value} * 10 + 0.5) / 10)"
+
+
+@check("entries_beacons", with_(BEACONS, "SELECT " + _row(
+    "make_timestamp(us)", "'network-monitor'", "'WARNING'",
+    f"concat('Beaconing detected to ', raddr_ip, ': ', len(recent), ' connections in 5m with interval ', {_tenth('mean_s')}, 's ±', {_tenth('std_s')}, 's')",
+    "'network'", dst="raddr_ip", protocol="'TCP'", rules="'Beaconing Detected'", tags="concat('beaconing|remote:', raddr_ip)", score="0.5")
+    + " FROM walk WHERE hit", True))
+def _(spark, sf):
+    snaps = X.spark_table(spark, sf, beats, "conns")
+    return findings.from_beacons(S.beacons(S.new_connections(snaps), S.ticks(snaps))).select(_ENTRY)
+
+
+_WHO = "' (pid=', pid, ', user=', username, ')'"
+
+
+@check("entries_processes", with_(PROCS, "SELECT " + _row(
+    "snapshot_ts", "concat('procmon/', CASE finding WHEN 'suspicious_spawn' THEN concat(parent_name, '→') ELSE '' END, name)",
+    "CASE finding WHEN 'high_cpu' THEN 'WARNING' ELSE 'CRITICAL' END",
+    f"""CASE finding WHEN 'bad_process' THEN concat('Known malicious process: ', name, {_WHO}, '  cmd: ', left(cmdline, 120))
+      WHEN 'tmp_execution' THEN concat('Process running from temp dir: ', exe, {_WHO})
+      WHEN 'suspicious_spawn' THEN concat('Suspicious child process: ', parent_name, ' spawned ', name, {_WHO}, ' — possible webshell or RCE')
+      ELSE concat('High CPU process: ', name, ' at ', {_tenth('cpu')}, '%', {_WHO}) END""",
+    rules="CASE finding WHEN 'suspicious_spawn' THEN 'Reverse Shell Indicator' WHEN 'high_cpu' THEN 'Suspicious Process' ELSE 'Malware Indicator' END",
+    tags="CASE finding WHEN 'suspicious_spawn' THEN concat('suspicious_spawn|parent:', parent_name, '|child:', name) ELSE concat(finding, '|proc:', name) END",
+    score="CASE finding WHEN 'high_cpu' THEN 0.85 ELSE 0.95 END")
+    + f" FROM (SELECT *, {FINDING} AS finding FROM family WHERE prev_ts IS NOT NULL) x WHERE finding IS NOT NULL"))
+def _(spark, sf):
+    return findings.from_processes(S.process_findings(procs(spark, sf))).select(_ENTRY)
+
+
+# --- tables written and read back -------------------------------------------------------------
+
+def _folder(spark) -> str:
+    return "%s/check-%s" % (storage.checkpoint_dir(spark).rstrip("/"), uuid.uuid4().hex)
+
+
+@check("entries_stored", with_(ANNOTATED, "SELECT id, ts, source, level, category, filepath FROM ann WHERE category IN ('fim', 'network')"))
+def _(spark, sf):
+    path = _folder(spark)
+    storage.write_entries(annotated(spark, sf), path)
+    return storage.log_entries(spark, path).filter("category IN ('fim', 'network')").select("id", "ts", "source", "level", "category", "filepath")
+
+
+@check("alerts_stored", with_(ALERTS, "SELECT * FROM alerts", True))
+def _(spark, sf):
+    path, rows = _folder(spark), alerts(spark, sf)
+    storage.append_alerts(rows.filter("level = 'critical'"), path)
+    storage.append_alerts(rows.filter("level <> 'critical'"), path)
+    return storage.alerts(spark, path)
+
+
+@check("baseline_stored", with_(FILES, "SELECT path, sha256, CAST(size AS BIGINT) AS size, mode FROM current_files"))
+def _(spark, sf):
+    path, (old, new) = _folder(spark), files(spark, sf)
+    storage.save_baseline(old, path, 1, AS_OF)
+    storage.save_baseline(new, path, 2, AS_OF)
+    return storage.load_baseline(spark, path)
+
+
+@check("scan_attempts_with_sockets", with_(LOG_ATTEMPTS + """,
+sockets AS (SELECT id, CASE WHEN num % 9 = 1 THEN '2001:db8::1' ELSE src_ip END AS src_ip, CAST(dst_port AS INT) AS dst_port FROM e0
+  WHERE num % 9 <> 0 AND num % 4 < 2)""", f"""SELECT id, ts, src_ip, dst_port, kind, method FROM log_attempts
+  UNION ALL SELECT id, {NOW}, src_ip, dst_port, 'socket', 'proc' FROM sockets"""))
+def _(spark, sf):
+    from seclog.sources.sockets import parse_proc_net_tcp
+
+    found = parse_proc_net_tcp(X.spark_table(spark, sf, X.proc_lines, "lines"))
+    feed = found.select("id", F.lit(AS_OF).cast("timestamp").alias("ts"), "src_ip", "dst_port", F.lit("socket").alias("kind"), F.lit("proc").alias("method"))
+    out = scans.scan_attempts(scans.log_attempts(entries(spark, sf)), feed)
+    return out.select("id", "ts", "src_ip", "dst_port", "kind", "method")
