@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from seclog import refdata as R
-from seclog.functions.text import let, lookup, rx
+from seclog.functions.text import folded, group_of, let, lookup
 
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = "^" + r"\.".join([_OCTET] * 4) + "$"
@@ -40,9 +40,12 @@ def probes(text: Column) -> Column:
         return lambda ip: F.when(ip != "", F.struct(
             ip.alias("src_ip"), F.coalesce(port.try_cast("int"), F.lit(0)).alias("dst_port"), F.lit(kind).alias("kind")))
 
-    found = [let(F.regexp_extract(text, rx(pattern), 1), probe(F.regexp_extract(text, rx(pattern), 2), kind))
-             for pattern, kind in R.SCAN_PATTERNS]
-    return F.filter(F.array(*found), lambda p: p.isNotNull())
+    def of(t: Column) -> Column:
+        line, low = t["line"], t["low"]
+        found = [let(group_of(line, low, pattern, 1), probe(group_of(line, low, pattern, 2), kind)) for pattern, kind in R.SCAN_PATTERNS]
+        return F.filter(F.array(*found), lambda p: p.isNotNull())
+
+    return let(F.struct(text.alias("line"), folded(text).alias("low")), of)
 
 
 def hex_ipv4(word: Column) -> Column:

@@ -146,16 +146,21 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
 
 
-def has(text: Column, low: Column, pattern: str) -> Column:
-    """Case-insensitive regex search in ``text``; ``low`` is the folded text.
+def may_match(low: Column, pattern: str) -> Column:
+    """False only for folded texts that the pattern cannot match; a plain substring test, far cheaper than a regex."""
+    needed = required_texts(pattern)
+    return F.lit(True) if needed is None else reduce(lambda a, b: a | b, [low.contains(part) for part in needed])
 
-    A plain substring test, far cheaper, rules out most text first.
-    """
+
+def has(text: Column, low: Column, pattern: str) -> Column:
+    """Case-insensitive regex search in ``text``; ``low`` is the folded text."""
     test = text.rlike(rx(pattern))
-    needed = required_texts(pattern)
-    if needed is None:
-        return test
-    return reduce(lambda a, b: a | b, [low.contains(part) for part in needed]) & test
+    return test if required_texts(pattern) is None else may_match(low, pattern) & test
+
+
+def group_of(text: Column, low: Column, pattern: str, group: int) -> Column:
+    """A group of the first match, '' if there is none; the regex runs only on texts that may match."""
+    return F.when(may_match(low, pattern), F.regexp_extract(text, rx(pattern), group)).otherwise("")
 
 
 def matched_rules(text: Column, rules=R.RULES) -> Column:
