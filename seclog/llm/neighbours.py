@@ -3,7 +3,7 @@
 1. Equal vectors are one node, which keeps the ``k + 1`` smallest of its ids: no other copy
    can be among anyone's ``k`` nearest. So a vector shared by a third of all rows costs as
    much as any other.
-2. The tree is fitted on a bounded sample (``SAMPLE`` nodes, those with the smallest hashes):
+2. The tree is fitted on a bounded sample (about ``SAMPLE`` nodes, chosen by hash):
    each level parts a node into ``BRANCH`` clusters until a leaf stands for about
    ``LEAF_ROWS`` rows of the whole table. Every node of the table is put into a leaf.
 3. A query goes down the tree with a priority queue over all branches seen so far, nearest
@@ -184,7 +184,8 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         .groupBy("key").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "nodes")
     queries = scratch.keep(_keys(good.filter(F.col("vec_id") % every == 0), dim).distinct(), "queries")
     total = nodes.count()
-    sample = nodes.orderBy("key").select("vec").limit(SAMPLE).collect()
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(total, 1)))
+    sample = nodes.filter(share).orderBy("key").select("vec").collect()  # about SAMPLE rows
     rows = np.frombuffer(b"".join(bytes(r.vec) for r in sample), np.float32).reshape(-1, dim)
     tree = Tree(rows, max(4.0, LEAF_ROWS * len(rows) / max(total, 1)))
     held = spark.sparkContext.broadcast(tree)

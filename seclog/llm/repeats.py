@@ -373,7 +373,8 @@ def stretches(texts: DataFrame, scratch: Scratch) -> DataFrame:
 
     contexts = scratch.keep(_contexts(wanted(edges.filter(F.col("kinds") <= GROUP))), "contexts")
     total = contexts.count()
-    sample = sorted({bytes(r.right)[:SHARED] for r in contexts.orderBy(F.xxhash64("context")).select("right").limit(SAMPLE).collect()})
+    share = F.pmod(F.xxhash64("context"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(total, 1)))
+    sample = sorted({bytes(r.head) for r in contexts.filter(share).select(F.expr(f"substring(right, 1, {SHARED})").alias("head")).collect()})  # about SAMPLE rows
     targets = max(1, -(-total // MERGE_ROWS))
     splitters = sorted({sample[i * len(sample) // targets] for i in range(1, targets)}) if sample else []
     merged = _merged(_sorted_runs(contexts, splitters))
