@@ -23,8 +23,8 @@ import zlib
 import numpy as np
 
 MAGIC = 0x43494458
-BLOCK, EPOCH = 4096, 1024
-SLOTS = 2048  # places of a context's hash table
+BLOCK, EPOCH = 2048, 512
+SLOTS = 512  # places of a context's hash table
 MIX_BITS, ID_BITS = 10, 11
 LOW_CLASSES = np.array([0, 0, 1, 1] + [2] * 12 + [3] * 240, np.int64)
 GROUPS = 5  # the high part, and the low part in four classes
@@ -35,104 +35,99 @@ _U = np.uint64
 
 
 class _Model:
-    """State of all blocks: hash tables of predictions, weights and frequencies."""
+    """State of all blocks: tables of predictions, mixing weights, and frequencies of the ids so far."""
 
     def __init__(self, n: int):
         self.n = n
-        self.lane = np.arange(n)
+        self.row = np.arange(n) * SLOTS
+        self.states = np.arange(n) * 16
+        self.group = np.arange(n) * GROUPS
         self.two = np.zeros(n * SLOTS, np.uint32)  # id and confidence * IDS
         self.one = np.zeros(n * SLOTS, np.uint32)
-        self.row = self.lane * SLOTS
-        self.weights = np.ones((3, n * 16), np.int64)
-        self.weights[0].reshape(n, 16)[:] = np.repeat([0, 1, 3, 8], 4)  # order 2 by its own confidence
-        self.weights[1].reshape(n, 16)[:] = np.tile([0, 1, 3, 8], 4)
-        self.weights[2] = 4
-        self.counts = np.zeros((n, GROUPS, 256), np.int32)
-        self.flat = self.counts.reshape(-1)
+        # weights of order 2, 1 and 0, 20 bits each, for each pair of confidences
+        start = [(w2 | w1 << 20 | 4 << 40) for w2 in (0, 1, 3, 8) for w1 in (0, 1, 3, 8)]
+        self.weights = np.tile(np.array(start, np.int64), n)
+        self.counts = np.zeros((n * GROUPS, 256), np.int32)
         self.a = self.b = np.zeros(n, np.int64)  # the last id and the one before
         self.tables()
 
-    def tables(self) -> None:
-        """Frequencies that add up to 2 ** ID_BITS in each group, their running sums, and the id of each place."""
+    def tables(self, ids: np.ndarray | None = None) -> None:
+        """Count ``ids`` (one row for each block), then make the frequencies, which add up to
+        2 ** ID_BITS in each group, with their running sums, and the symbol at each place."""
+        if ids is not None:
+            high = ids >> 8
+            at = (self.group[:, None] * 256 + high).ravel()
+            self.counts += np.bincount(at, minlength=self.counts.size).reshape(-1, 256)
+            at = ((self.group[:, None] + LOW_CLASSES[high] + 1) * 256 + (ids & 255)).ravel()
+            self.counts += np.bincount(at, minlength=self.counts.size).reshape(-1, 256)
         total = (1 << ID_BITS) - 256
-        counts = self.counts.reshape(-1, 256)
-        seen = np.maximum(counts.sum(axis=1, keepdims=True), 1)
-        freq = counts * np.int64(total) // seen
-        freq[np.arange(len(freq)), np.argmax(counts, axis=1)] += total - freq.sum(axis=1)
-        flat = counts.sum(axis=1) == 0
-        freq[flat] = total // 256
+        counts = self.counts
+        seen = counts.sum(axis=1, keepdims=True, dtype=np.int32)
+        freq = counts * np.int32(total) // np.maximum(seen, 1)
+        freq[np.arange(len(freq)), np.argmax(counts, axis=1)] += total - freq.sum(axis=1, dtype=np.int32)
+        freq[seen[:, 0] == 0] = total // 256
         freq += 1
-        self.freq = freq.astype(np.uint64).ravel()
-        self.low = (np.cumsum(freq, axis=1) - freq).astype(np.uint64).ravel()
+        low = np.cumsum(freq, axis=1, dtype=np.int32) - freq
+        self.ranges = (low | freq << 16).astype(np.uint32).ravel()
         self.symbol = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(freq)), freq.ravel())
 
     def shrink(self, n: int) -> None:
         """Keep the first ``n`` blocks: those that still have ids."""
-        if n == self.n:
-            return
-        self.two, self.one, self.flat_n = self.two[:n * SLOTS], self.one[:n * SLOTS], n
-        self.weights = np.ascontiguousarray(self.weights.reshape(3, self.n, 16)[:, :n]).reshape(3, -1)
-        self.counts = self.counts[:n]
-        self.flat = self.counts.reshape(-1)
-        self.freq, self.low, self.symbol = self.freq[:n * GROUPS * 256], self.low[:n * GROUPS * 256], self.symbol[:(n * GROUPS) << ID_BITS]
-        self.lane, self.row, self.a, self.b, self.n = self.lane[:n], self.row[:n], self.a[:n], self.b[:n], n
-
-    def predict(self) -> tuple:
-        """Predictions and the mixture's shares for the next id of each block."""
-        self.at2 = self.row + ((self.a * 40503 + self.b * 30011 >> 5) & (SLOTS - 1))
-        self.at1 = self.row + ((self.a * 40503 >> 5) & (SLOTS - 1))
-        self.e2, self.e1 = self.two[self.at2], self.one[self.at1]
-        self.p2, self.p1 = (self.e2 & 0xFFFF).astype(np.int64), (self.e1 & 0xFFFF).astype(np.int64)
-        c2, c1 = self.e2 >> 16, self.e1 >> 16
-        c1 = np.where((self.p1 == self.p2) & (c2 > 0), 0, c1)
-        self.state = self.lane * 16 + (c2 * 4 + c1).astype(np.int64)
-        w2, w1, w0 = self.weights[0][self.state], self.weights[1][self.state], self.weights[2][self.state]
-        w2 = np.where(c2 > 0, w2, 0)
-        w1 = np.where(c1 > 0, w1, 0)
-        total = w0 + w1 + w2
-        scale = (1 << MIX_BITS) - 3
-        f2 = np.where(c2 > 0, w2 * scale // total + 1, 0)
-        f1 = np.where(c1 > 0, w1 * scale // total + 1, 0)
-        return f2.astype(np.uint64), f1.astype(np.uint64)
-
-    def update(self, ids: np.ndarray, kind: np.ndarray, high: np.ndarray, low: np.ndarray) -> None:
-        """kind: 0 order 2, 1 order 1, 2 order 0; high and low: places in the counts."""
-        at = kind * len(self.state) * 16 + self.state
-        self.weights.reshape(-1)[at] += 4
+        self.n = n
+        self.row, self.states, self.group, self.a, self.b = self.row[:n], self.states[:n], self.group[:n], self.a[:n], self.b[:n]
+        self.two, self.one, self.weights = self.two[:n * SLOTS], self.one[:n * SLOTS], self.weights[:n * 16]
+        self.counts, self.ranges, self.symbol = self.counts[:n * GROUPS], self.ranges[:n * GROUPS * 256], self.symbol[:(n * GROUPS) << ID_BITS]
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """Predictions, and shares of the mixture for order 2 and order 1, at the next id of each block."""
+        key = self.a * 40503
+        self.at1 = self.row + (key >> 5 & SLOTS - 1)
+        key += self.b * 30011
+        self.at2 = self.row + (key >> 5 & SLOTS - 1)
+        self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
+        self.p2, self.p1 = self.e2 & np.uint32(0xFFFF), self.e1 & np.uint32(0xFFFF)
+        c2, c1 = self.e2 >> np.uint32(16), self.e1 >> np.uint32(16)
+        c1 = c1 * ((self.p1 != self.p2) | (c2 == 0))
+        self.state = self.states + (c2 << np.uint32(2) | c1)
+        w = self.weights.take(self.state)
+        has2, has1 = c2 > 0, c1 > 0
+        w2, w1 = (w & 0xFFFFF) * has2, (w >> 20 & 0xFFFFF) * has1
+        scale = ((1 << MIX_BITS) - 3) / (w2 + w1 + (w >> 40))  # the same double on both sides
+        return (w2 * scale).astype(np.uint64) + has2, (w1 * scale).astype(np.uint64) + has1
+
+    def update(self, ids: np.ndarray, kind: np.ndarray) -> None:
+        """ids: 32 bits; kind: bits by which the right predictor's weight is shifted."""
+        self.weights[self.state] += np.left_shift(4, kind)
+        one = np.uint32(1)
         for table, place, entry, guess in ((self.two, self.at2, self.e2, self.p2), (self.one, self.at1, self.e1, self.p1)):
-            sure = entry >> 16
-            right = guess == ids
-            fresh = np.where(right, np.minimum(sure + 1, 3), 1).astype(np.uint32)
-            table[place] = (fresh << 16) | ids.astype(np.uint32)
-        self.flat[high] += 1
-        self.flat[low] += 1
-        self.b, self.a = self.a, ids
+            sure = np.minimum((entry >> np.uint32(16)) * (guess == ids) + one, np.uint32(3))
+            table[place] = sure << np.uint32(16) | ids
+        self.b, self.a = self.a, ids.astype(np.int64)
 
 
-def _split(lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of an id's high and low part in the counts."""
-    high = ids >> 8
-    return lane * (GROUPS * 256) + high, lane * (GROUPS * 256) + (LOW_CLASSES[high] + 1) * 256 + (ids & 255)
+_LOW16 = np.uint32(0xFFFF)
+#: Shift of a predictor's weight: order 2, order 1, order 0.
+_SHIFT2, _SHIFT1, _SHIFT0 = 0, 20, 40
 
 
 def encode(ids: np.ndarray) -> bytes:
     """Code ``ids`` as one segment."""
     if len(ids) and int(ids.max()) >= IDS:
         raise ValueError("ids must be below 65536")
-    ids = ids.astype(np.int64)
+    ids = np.ascontiguousarray(ids, "<u4")
     n = -(-len(ids) // BLOCK)
     if not n:
         return struct.pack("<III", MAGIC, 0, 0)
     lengths = np.full(n, BLOCK)
     lengths[-1] = len(ids) - BLOCK * (n - 1)
-    padded = np.zeros((n, BLOCK), np.int64)
-    padded.ravel()[:len(ids)] = ids
-    steps = np.ascontiguousarray(padded.T)
+    rows = np.zeros((n, BLOCK), np.uint32)
+    rows.ravel()[:len(ids)] = ids
+    steps = np.ascontiguousarray(rows.T)
     model = _Model(n)
     low, span = np.zeros(n, np.uint64), np.full(n, _U(0xFFFFFFFFFFFFFFFF))
     words = np.zeros((n, BLOCK + 3), np.uint64)  # place 0 takes a last carry
     flat, width, used = words.reshape(-1), BLOCK + 3, np.ones(n, np.int64)
-    mix, one = _U(MIX_BITS), _U(ID_BITS)
+    mix, one, whole = _U(MIX_BITS), _U(ID_BITS), _U(1 << MIX_BITS)
     live = n
     for t in range(int(lengths.max())):
         if t == lengths[-1] and live == n:
@@ -141,47 +136,41 @@ def encode(ids: np.ndarray) -> bytes:
             keep_low = low[live:].copy()
             low, span = low[:live], span[:live]
         if t and t % EPOCH == 0:
-            model.tables()
+            model.tables(rows[:live, t - EPOCH:t].astype(np.int64))
         own = steps[t, :live]
         f2, f1 = model.predict()
-        is2 = (f2 > 0) & (model.p2 == own)
-        is1 = (f1 > 0) & (model.p1 == own) & ~is2
-        kind = np.where(is2, 0, np.where(is1, 1, 2))
-        r = span >> mix
+        is2 = (model.p2 == own) & (f2 > 0)
+        is1 = (model.p1 == own) & (f1 > 0) & ~is2
+        coded = ~(is2 | is1)
         f12 = f2 + f1
-        start = np.where(is2, _U(0), np.where(is1, f2, f12))
-        f = np.where(is2, f2, np.where(is1, f1, _U(1 << MIX_BITS) - f12))
-        add = start * r
-        span = f * r
-        high, lower = _split(model.lane, own)
-        coded = kind == 2
-        r = span >> one
-        add += np.where(coded, model.low[high] * r, _U(0))
-        span = np.where(coded, model.freq[high] * r, span)
-        r = span >> one
-        add += np.where(coded, model.low[lower] * r, _U(0))
-        span = np.where(coded, model.freq[lower] * r, span)
-        fresh = low + add
-        over = fresh < low
-        if over.any():
-            flat[np.flatnonzero(over) * width + used[:live][over] - 1] += _U(1)
-        low = fresh
+        span >>= mix
+        low_before = low.copy()
+        low += np.where(coded, f12, f2 * is1) * span
+        span *= np.where(coded, whole - f12, np.where(is2, f2, f1))
+        high = (own >> np.uint32(8)).astype(np.int64)
+        for place in (model.group * 256 + high, (model.group + LOW_CLASSES.take(high) + 1) * 256 + (own & np.uint32(255))):
+            entry = model.ranges.take(place)
+            r = span >> one
+            low += r * ((entry & _LOW16) * coded)
+            span = np.where(coded, r * (entry >> np.uint32(16)), span)
+        over = np.flatnonzero(low < low_before)
+        if len(over):
+            flat[over * width + used[over] - 1] += _U(1)
         out = np.flatnonzero(span < _U(1 << 32))
         flat[out * width + used[out]] = low[out] >> _U(32)
         used[out] += 1
         low[out] <<= _U(32)
         span[out] <<= _U(32)
-        model.update(own, kind, high, lower)
+        model.update(own, np.where(coded, _SHIFT0, np.where(is2, _SHIFT2, _SHIFT1)))
     if live < n:
         low = np.concatenate([low, keep_low])
-    rows = np.arange(n)
     for shift in (32, 0):
-        flat[rows * width + used] = (low >> _U(shift)) & _U(0xFFFFFFFF)
+        flat[np.arange(n) * width + used] = (low >> _U(shift)) & _U(0xFFFFFFFF)
         used += 1
     for k in range(int(used.max()) - 1, 0, -1):
         words[:, k - 1] += words[:, k] >> _U(32)
         words[:, k] &= _U(0xFFFFFFFF)
-    raw = memoryview(ids.astype("<u4").tobytes())
+    raw = memoryview(ids).cast("B")
     directory = np.empty((n, 3), "<u4")
     directory[:, 0], directory[:, 1] = lengths, used - 1
     directory[:, 2] = [zlib.crc32(raw[4 * BLOCK * i:4 * BLOCK * (i + 1)]) for i in range(n)]
@@ -206,11 +195,11 @@ def decode(segment: bytes) -> np.ndarray:
     at = np.cumsum(directory[:, 1]) - directory[:, 1]
     code = (stream[at] << _U(32)) | stream[at + 1]
     at = at + 2
-    last = len(stream) - 1
     span = np.full(n, _U(0xFFFFFFFFFFFFFFFF))
     model = _Model(n)
-    out = np.zeros((BLOCK, n), np.int64)
-    mix, one, top, least = _U(MIX_BITS), _U(ID_BITS), _U((1 << MIX_BITS) - 1), _U((1 << ID_BITS) - 1)
+    out = np.zeros((BLOCK, n), np.uint32)
+    mix, one, whole = _U(MIX_BITS), _U(ID_BITS), _U(1 << MIX_BITS)
+    top, least = _U((1 << MIX_BITS) - 1), _U((1 << ID_BITS) - 1)
     live = n
     for t in range(int(lengths.max())):
         if t == lengths[-1] and live == n:
@@ -218,39 +207,36 @@ def decode(segment: bytes) -> np.ndarray:
             model.shrink(live)
             code, span, at = code[:live], span[:live], at[:live]
         if t and t % EPOCH == 0:
-            model.tables()
+            model.tables(np.ascontiguousarray(out[t - EPOCH:t, :live].T).astype(np.int64))
         f2, f1 = model.predict()
         f12 = f2 + f1
-        r = span >> mix
-        slot = np.minimum(code // r, top)
+        span >>= mix
+        slot = np.minimum(code // span, top)
         is2, coded = slot < f2, slot >= f12
-        kind = np.where(is2, 0, np.where(coded, 2, 1))
-        start = np.where(is2, _U(0), np.where(coded, f12, f2))
-        code = code - start * r
-        span = np.where(is2, f2, np.where(coded, _U(1 << MIX_BITS) - f12, f1)) * r
-        base = model.lane * GROUPS
-        r = span >> one
-        slot = np.minimum(code // r, least).astype(np.int64)
-        high = model.symbol[(base << ID_BITS) + slot].astype(np.int64)
-        place = base * 256 + high
-        code = np.where(coded, code - model.low[place] * r, code)
-        span = np.where(coded, model.freq[place] * r, span)
-        r = np.maximum(span >> one, _U(1))
-        slot = np.minimum(code // r, least).astype(np.int64)
-        group = base + LOW_CLASSES[high] + 1
-        lower = model.symbol[(group << ID_BITS) + slot].astype(np.int64)
-        place = group * 256 + lower
-        code = np.where(coded, code - model.low[place] * r, code)
-        span = np.where(coded, model.freq[place] * r, span)
-        ids = np.where(coded, high << 8 | lower, np.where(is2, model.p2, model.p1))
+        code -= np.where(coded, f12, np.where(is2, _U(0), f2)) * span
+        span *= np.where(coded, whole - f12, np.where(is2, f2, f1))
+        group, ids = model.group, None
+        for _ in range(2):
+            r = np.maximum(span >> one, _U(1))
+            slot = np.minimum(code // r, least).astype(np.int64)
+            part = model.symbol.take((group << ID_BITS) + slot)
+            entry = model.ranges.take(group * 256 + part)
+            code -= r * ((entry & _LOW16) * coded)
+            span = np.where(coded, r * (entry >> np.uint32(16)), span)
+            if ids is None:
+                group = model.group + LOW_CLASSES.take(part) + 1
+                ids = part.astype(np.uint32) << np.uint32(8)
+            else:
+                ids |= part
+        ids = np.where(coded, ids, np.where(is2, model.p2, model.p1))
         out[t, :live] = ids
         more = np.flatnonzero(span < _U(1 << 32))
-        code[more] = (code[more] << _U(32)) | stream[np.minimum(at[more], last)]
+        code[more] = (code[more] << _U(32)) | stream.take(at[more], mode="clip")
         at[more] += 1
         span[more] <<= _U(32)
-        model.update(ids, kind, *_split(model.lane, ids))
-    ids = np.ascontiguousarray(out.T).ravel()[:total].astype("<u4")
-    raw = memoryview(ids.tobytes())
+        model.update(ids, np.where(coded, _SHIFT0, np.where(is2, _SHIFT2, _SHIFT1)))
+    ids = np.ascontiguousarray(out.T).ravel()[:total]
+    raw = memoryview(ids).cast("B")
     for i, check in enumerate(directory[:, 2].tolist()):
         if zlib.crc32(raw[4 * BLOCK * i:4 * BLOCK * (i + 1)]) != check:
             raise ValueError(f"block {i} is damaged")
