@@ -87,17 +87,16 @@ class _Model:
         self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
         self.p2, self.p1 = self.e2 & np.uint32(0xFFFF), self.e1 & np.uint32(0xFFFF)
         c2, c1 = self.e2 >> np.uint32(16), self.e1 >> np.uint32(16)
-        c1 = c1 * ((self.p1 != self.p2) | (c2 == 0))
+        c1 *= self.p1 != self.p2
         self.state = self.states + (c2 << np.uint32(2) | c1)
         w = self.weights.take(self.state)
-        has2, has1 = c2 > 0, c1 > 0
-        w2, w1 = (w & 0xFFFFF) * has2, (w >> 20 & 0xFFFFF) * has1
+        w2, w1 = w & 0xFFFFF, w >> 20 & 0xFFFFF  # 0 where there is no prediction
         scale = ((1 << MIX_BITS) - 3) / (w2 + w1 + (w >> 40))  # the same double on both sides
-        return (w2 * scale).astype(np.uint64) + has2, (w1 * scale).astype(np.uint64) + has1
+        return (w2 * scale).astype(np.uint64) + (c2 > 0), (w1 * scale).astype(np.uint64) + (c1 > 0)
 
-    def update(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        """ids: 32 bits; kind: bits by which the right predictor's weight is shifted."""
-        self.weights[self.state] += np.left_shift(4, kind)
+    def update(self, ids: np.ndarray, gain: np.ndarray) -> None:
+        """ids: 32 bits; gain: what the right predictor's weight grows by."""
+        self.weights[self.state] += gain
         one = np.uint32(1)
         for table, place, entry, guess in ((self.two, self.at2, self.e2, self.p2), (self.one, self.at1, self.e1, self.p1)):
             sure = np.minimum((entry >> np.uint32(16)) * (guess == ids) + one, np.uint32(3))
@@ -106,8 +105,8 @@ class _Model:
 
 
 _LOW16 = np.uint32(0xFFFF)
-#: Shift of a predictor's weight: order 2, order 1, order 0.
-_SHIFT2, _SHIFT1, _SHIFT0 = 0, 20, 40
+#: What a right prediction adds to the weights: order 2, order 1, order 0.
+_GAIN2, _GAIN1, _GAIN0 = 4, 4 << 20, 4 << 40
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -144,16 +143,16 @@ def encode(ids: np.ndarray) -> bytes:
         coded = ~(is2 | is1)
         f12 = f2 + f1
         span >>= mix
-        low_before = low.copy()
-        low += np.where(coded, f12, f2 * is1) * span
+        add = np.where(coded, f12, f2 * is1) * span
         span *= np.where(coded, whole - f12, np.where(is2, f2, f1))
         high = (own >> np.uint32(8)).astype(np.int64)
         for place in (model.group * 256 + high, (model.group + LOW_CLASSES.take(high) + 1) * 256 + (own & np.uint32(255))):
             entry = model.ranges.take(place)
             r = span >> one
-            low += r * ((entry & _LOW16) * coded)
+            add += r * ((entry & _LOW16) * coded)
             span = np.where(coded, r * (entry >> np.uint32(16)), span)
-        over = np.flatnonzero(low < low_before)
+        low += add
+        over = np.flatnonzero(low < add)
         if len(over):
             flat[over * width + used[over] - 1] += _U(1)
         out = np.flatnonzero(span < _U(1 << 32))
@@ -161,7 +160,7 @@ def encode(ids: np.ndarray) -> bytes:
         used[out] += 1
         low[out] <<= _U(32)
         span[out] <<= _U(32)
-        model.update(own, np.where(coded, _SHIFT0, np.where(is2, _SHIFT2, _SHIFT1)))
+        model.update(own, np.where(coded, _GAIN0, np.where(is2, _GAIN2, _GAIN1)))
     if live < n:
         low = np.concatenate([low, keep_low])
     for shift in (32, 0):
@@ -234,7 +233,7 @@ def decode(segment: bytes) -> np.ndarray:
         code[more] = (code[more] << _U(32)) | stream.take(at[more], mode="clip")
         at[more] += 1
         span[more] <<= _U(32)
-        model.update(ids, np.where(coded, _SHIFT0, np.where(is2, _SHIFT2, _SHIFT1)))
+        model.update(ids, np.where(coded, _GAIN0, np.where(is2, _GAIN2, _GAIN1)))
     ids = np.ascontiguousarray(out.T).ravel()[:total]
     raw = memoryview(ids).cast("B")
     for i, check in enumerate(directory[:, 2].tolist()):

@@ -25,7 +25,7 @@ from seclog.llm import idcoder, text as X
 from seclog.llm.packing import with_end
 from seclog.llm.tokens import default_vocabulary, encoder
 
-PART_BYTES = 24 << 20
+PART_BYTES = 10 << 20
 SEGMENT_IDS = 4_000_000
 
 ROW = "part int, segment int, n_ids long, doc_ids array<long>, lengths array<int>, coded binary"
