@@ -4,8 +4,8 @@
    can be among anyone's ``k`` nearest. So a vector shared by a third of all rows costs as
    much as any other.
 2. The tree is fitted on a bounded sample (about ``SAMPLE`` nodes, chosen by hash):
-   each level parts a node into ``BRANCH`` clusters until a leaf stands for about
-   ``LEAF_ROWS`` rows of the whole table. Every node of the table is put into a leaf.
+   each level parts a node into ``BRANCH`` clusters until a leaf holds about 1 / ``LEAVES``
+   of it, so a query meets a bounded number of leaves. Every node of the table is put into a leaf.
 3. A query goes down the tree with a priority queue over all branches seen so far, nearest
    centre first, and visits leaves in that order.
 4. Visits are calibrated: for ``CALIBRATION`` queries the true neighbours are found by brute
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seclog.llm.store import Scratch
 
-SAMPLE, BRANCH, LEAF_ROWS = 20_000, 16, 128
+SAMPLE, BRANCH, LEAVES = 20_000, 16, 96
 CALIBRATION, TARGET = 200, 0.96
 CELL = 2048
 
@@ -187,7 +187,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     share = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(total, 1)))
     sample = nodes.filter(share).orderBy("key").select("vec").collect()  # about SAMPLE rows
     rows = np.frombuffer(b"".join(bytes(r.vec) for r in sample), np.float32).reshape(-1, dim)
-    tree = Tree(rows, max(4.0, LEAF_ROWS * len(rows) / max(total, 1)))
+    tree = Tree(rows, max(4.0, len(rows) / LEAVES))
     held = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
