@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks import fixtures as X
@@ -9,9 +11,11 @@ from checks.fixtures import q
 from checks.registry import (ANNOTATED, DUCK, LEVELED, RATES, SCORED, annotated, check, cooldown_sql, entries, stored, with_)
 from checks.scalars import _PRIVATE, _SUB, DNS, LOG_ATTEMPTS, SIGNAL, dns_queries, shannon_sql
 from seclog import refdata as R, storage
-from seclog.operators import (alerts as AL, annotate as A, correlate as C, dns as D, forest as FO, rates as RT, scans,
+from seclog.operators import (alerts as AL, annotate as A, correlate as C, dns as D, findings, forest as FO, rates as RT, scans,
                               snapshots as S)
 from seclog.operators.cooldown import cooldown
+from seclog.schema import complete
+from seclog.sources.sockets import parse_proc_net_tcp
 
 ENTRIES = X.entries(DUCK)
 AS_OF = X.AS_OF
@@ -516,11 +520,41 @@ def _(spark, sf):
                       "mitre_subtechnique_id", "channel")
 
 
+def monitors(spark, sf):
+    """Entries that the network, process and file monitors make of the given tables."""
+    def build():
+        snaps, beating = snapshots(spark, sf), X.spark_table(spark, sf, beats, "conns")
+        new = S.new_connections(snaps)
+        found = (findings.from_suspicious_outbound(S.suspicious_outbound(new)), findings.from_smtp_outbound(S.smtp_outbound(new)),
+                 findings.from_new_listeners(S.new_listeners(snaps)),
+                 findings.from_beacons(S.beacons(S.new_connections(beating), S.ticks(beating))),
+                 findings.from_processes(S.process_findings(procs(spark, sf))),
+                 findings.from_files(S.fim_diff(*files(spark, sf)), F.lit(AS_OF).cast("timestamp")))
+        return reduce(lambda a, b: a.unionByName(b), found)
+
+    return stored(spark, sf, "monitors", build)
+
+
+def socket_feed(spark, sf):
+    found = parse_proc_net_tcp(X.spark_table(spark, sf, X.proc_lines, "lines"))
+    return found.select("id", F.lit(AS_OF).cast("timestamp").alias("ts"), "src_ip", "dst_port", F.lit("socket").alias("kind"),
+                        F.lit("proc").alias("method"))
+
+
+def whole_pipeline(spark, sf):
+    """The pipeline with all its feeds; the forest scores the entries of the log and of the monitors."""
+    rows, found = entries(spark, sf), monitors(spark, sf)
+    features = stored(spark, sf, "features", lambda: FO.feature_rows(A.apply_rules(complete(rows).unionByName(found))))
+    model = FO.retrain(features)
+    scores = None if model is None else FO.forest_scores(features, model.forest, model.training, model.sample)
+    return A.run_pipeline(rows, forest=scores, monitors=(found,), sockets=socket_feed(spark, sf), dns=True)
+
+
 @check("pipeline_alerts")
 def _(spark, sf):
-    return A.run_pipeline(entries(spark, sf)).alerts
+    return whole_pipeline(spark, sf).alerts
 
 
 @check("pipeline_all")
 def _(spark, sf):
-    return A.run_pipeline(entries(spark, sf)).entries.drop("tags")
+    return whole_pipeline(spark, sf).entries.drop("tags")

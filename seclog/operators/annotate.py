@@ -48,7 +48,8 @@ def annotate(entries: DataFrame, rules=R.RULES, preserve_preset: bool = False, h
     texts = with_technique(apply_rules(entries, rules))
     scored = rate_anomaly(texts, history=history)
     if forest is not None:
-        scored = scored.join(forest.select("id", "forest_anomaly", "forest_score"), "id", "left").withColumns({
+        # Equal findings share an id, and their scores.
+        scored = scored.join(forest.select("id", "forest_anomaly", "forest_score").dropDuplicates(["id"]), "id", "left").withColumns({
             "forest_anomaly": F.coalesce("forest_anomaly", F.lit(False)), "forest_score": F.coalesce("forest_score", F.lit(0.0))})
     return combine_scores(scored, preserve_preset)
 
