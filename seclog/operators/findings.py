@@ -97,10 +97,10 @@ def from_port_scans(df: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def from_processes(df: DataFrame) -> DataFrame:
+    """The message shows 120 characters of a malicious command, raw holds all of it."""
     who = ["pid", "username"]
-    message = (F.when(F.col("finding") == "bad_process",
-                      F.format_string("Known malicious process: %s (pid=%d, user=%s)  cmd: %s", "name", *who,
-                                      F.substring("cmdline", 1, 120)))
+    bad, known = F.col("finding") == "bad_process", "Known malicious process: %s (pid=%d, user=%s)  cmd: %s"
+    message = (F.when(bad, F.format_string(known, "name", *who, F.substring("cmdline", 1, 120)))
                .when(F.col("finding") == "tmp_execution",
                      F.format_string("Process running from temp dir: %s (pid=%d, user=%s)", "exe", *who))
                .when(F.col("finding") == "suspicious_spawn",
@@ -111,7 +111,8 @@ def from_processes(df: DataFrame) -> DataFrame:
     tags = (F.when(spawn, _tags("suspicious_spawn", _prefixed("parent:", "parent_name"), _prefixed("child:", "name")))
             .otherwise(F.array(F.col("finding"), _prefixed("proc:", "name"))))
     source = F.concat(F.lit("procmon/"), F.when(spawn, F.concat("parent_name", F.lit("→"))).otherwise(""), "name")
-    return _entry(df, ts=F.col("snapshot_ts"), source=source, level=F.col("level"), message=message,
+    raw = F.when(bad, F.format_string(known, "name", *who, "cmdline")).otherwise(message)
+    return _entry(df, ts=F.col("snapshot_ts"), source=source, level=F.col("level"), message=message, raw=raw,
                   matched_rules=F.array("rule"), tags=tags, is_anomaly=True,
                   anomaly_score=F.when(F.col("level") == "WARNING", 0.85).otherwise(0.95))
 
