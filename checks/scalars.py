@@ -345,6 +345,16 @@ items AS (SELECT num % 3 AS doc, num, concat('{{"messageType":"', {d.pick(kinds,
     CASE WHEN num % 7 = 0 THEN repeat(' and so on', 120) ELSE '' END, '"}}') AS item FROM e0)"""
 
 
+CAPTURE = 5000
+
+
+def captures(items):
+    """(doc, value): captures of ``CAPTURE`` items at most, so their number grows with the table; three sets of them, by ``doc``."""
+    part = F.floor(F.col("num") / (3 * CAPTURE))
+    return (items.groupBy("doc", part.alias("part"))
+            .agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("value")).drop("part"))
+
+
 @check("parse_unified_log", with_(_unified(DUCK), f"""SELECT doc, item AS raw,
     CASE WHEN json_extract_string(item, '$.timestamp') = 'soon' THEN TIMESTAMP '{X.AS_OF}'
       ELSE strptime(left(json_extract_string(item, '$.timestamp'), 19), '%Y-%m-%dT%H:%M:%S') END AS ts,
@@ -354,8 +364,7 @@ items AS (SELECT num % 3 AS doc, num, concat('{{"messageType":"', {d.pick(kinds,
     json_extract_string(item, '$.eventMessage') AS message FROM items"""))
 def _(spark, sf):
     items = X.spark_table(spark, sf, _unified, "items")
-    # Three captures; at sf0.01 each holds thousands of items.
-    documents = items.groupBy("doc").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("value"))
+    documents = captures(items)
     return S.parse_unified_log(documents, X.AS_OF).select("doc", "raw", "ts", "level", "source", "message")
 
 
