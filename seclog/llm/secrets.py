@@ -6,14 +6,16 @@ Patterns (leftmost, not overlapping, for each kind on its own; failing matches a
 ``assign`` a named value of 12 characters or more, ``access`` an AKIA key of 18 or more,
 ``hex`` a run of 16 or more.
 
-Entropy: a candidate is a run of ``CANDIDATE`` characters. It is read once for each
-character class that it is made of, the narrowest first: hex, alphanumeric, base 64. A
-window of ``WINDOW`` characters slides over it. The entropy of a window of n characters is
-log2(n) - S / n with S the sum of c * log2(c) over the counts c of its characters; when the
-window moves, only the counts of the character that leaves and of the one that enters
-change S. A stretch of windows that reach their class's threshold is a span of kind
-``entropy``. Allow-listed candidates (UUIDs, plain numbers, one case of letters only, words
-joined by marks) and stretches that a pattern's match covers are suppressed.
+Entropy: a candidate is a run of ``CANDIDATE`` characters. It is cut into its maximal runs of
+each character class (hex, alphanumeric, base 64), and each run of ``WINDOW`` characters or
+more is read with the threshold of the narrowest class it is made of; so a key counts as what
+it is, also behind a prefix. A window of ``WINDOW`` characters slides over a run. The entropy
+of a window of n characters is log2(n) - S / n with S the sum of c * log2(c) over the counts c
+of its characters; when the window moves, only the counts of the character that leaves and of
+the one that enters change S. Stretches of windows that reach their threshold, joined where
+they meet, are spans of kind ``entropy``. Allow-listed candidates and runs (UUIDs, plain
+numbers, one case of letters only, words joined by marks or capitals) and stretches that a
+pattern's match covers are suppressed.
 
 A null text is empty and has no spans. No rows give no rows.
 """
@@ -30,8 +32,9 @@ HEX = r"[0-9a-f]{16,}"
 
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Strings that may hold a secret: long, with a digit and a letter close to the start.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Strings that may hold a secret, and the runs of narrower classes inside them.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+NARROWER = (r"[A-Za-z0-9]{20,}", r"[0-9a-fA-F]{20,}")
 WINDOW = 20
 
 #: Character classes, narrowest first, and the bits a window must reach of log2(WINDOW) = 4.32 at most.
@@ -41,7 +44,8 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
     r"^[0-9=_/+-]+$",  # numbers, dates, rules
     r"^[a-z]+$|^[A-Z]+$",  # one long word
-    r"^[0-9]*([A-Za-z]?[a-z]*|[A-Z]+)([_/=+-]+[0-9]*([A-Za-z]?[a-z]*|[A-Z]+))*[0-9]*$",  # words and numbers joined by marks
+    r"^[0-9]*([A-Z]?[a-z]*|[A-Z]{2,})([_/=+-][0-9]*([A-Z]?[a-z]*|[A-Z]{2,}))*[0-9]*$",  # words and numbers joined by marks
+    r"^[a-z]*([A-Z][a-z]{2,}|A[nst]|B[ey]|Do|Go|I[dfnst]|My|No|O[fnr]|So|To|U[ps]|We|[_/=+-][a-z]*)+$",  # words joined by capitals or marks
 )
 
 
@@ -108,12 +112,30 @@ def window_runs(what: Column, window: int = WINDOW) -> Column:
     return F.aggregate(moves, start, step, lambda s: s["out"])
 
 
+def _joined(stretches: Column) -> Column:
+    """Stretches (a, b) in order, those that overlap or touch as one."""
+    def grown(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))
+        return F.when(last["b"] >= x["a"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.array_sort(stretches), F.expr("cast(array() as array<struct<a:int,b:int>>)"), grown)
+
+
+def _stretches(what: Column, allowed: str) -> Column:
+    """Stretches (a, b) of a candidate, over its runs of each class."""
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(what).alias("end"), F.lit(KINDS.index("entropy")).alias("kind"), what.alias("what")))
+    runs = F.array_distinct(F.concat(whole, *(_matches(what, pattern, "entropy", lambda x: ~x["what"].rlike(allowed)) for pattern in NARROWER)))
+    return _joined(F.flatten(F.transform(runs, lambda r: F.transform(
+        window_runs(r["what"]), lambda w: F.struct((r["start"] + w["a"]).alias("a"), (r["start"] + w["b"]).alias("b"))))))
+
+
 def _entropy(text: Column, base: Column) -> Column:
     allowed = "|".join(f"(?:{p})" for p in ALLOWED)
     candidates = _matches(text, CANDIDATE, "entropy", lambda x: ~x["what"].rlike(allowed))
     spans = F.flatten(F.transform(candidates, lambda x: F.transform(
-        window_runs(x["what"]), lambda r: F.struct((x["start"] + r["a"]).alias("start"), (x["start"] + r["b"]).alias("end"),
-                                                  x["kind"].alias("kind"), F.lit("").alias("what")))))
+        _stretches(x["what"], allowed), lambda r: F.struct((x["start"] + r["a"]).alias("start"), (x["start"] + r["b"]).alias("end"),
+                                                           x["kind"].alias("kind"), F.lit("").alias("what")))))
     return F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
 
 
