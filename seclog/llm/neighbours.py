@@ -10,7 +10,8 @@
    centre first, and visits leaves in that order.
 4. Visits are calibrated: for ``CALIBRATION`` queries the true neighbours are found by brute
    force over all nodes; the number of leaves is widened until their mean recall reaches
-   ``TARGET``. It is measured on this table, not assumed.
+   ``TARGET``. It is measured on this table, not assumed. A query whose leaves hold fewer
+   than ``k + 1`` ids goes on until they do, or the tree is spent.
 5. Queries and nodes meet by leaf. Leaves of many nodes or many queries are dealt into cells
    of at most about ``CELL`` nodes and ``CELL`` queries each.
 
@@ -83,14 +84,16 @@ class Tree:
             todo += [(n, at[own == i]) for i, n in enumerate(below) if (own == i).any()]
         return out
 
-    def best_bins(self, query: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves, best bin first."""
+    def best_bins(self, query: np.ndarray, visits: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``visits`` leaves, best bin first, and more until they hold ``least`` ids; ``sizes`` has the ids of each leaf."""
         heap: list[tuple[float, int]] = [(0.0, self.root)]
         out: list[int] = []
-        while heap and len(out) < visits:
+        ids = 0
+        while heap and (len(out) < visits or ids < least):
             _, node = heapq.heappop(heap)
             if node < 0:
                 out.append(~node)
+                ids += (sizes or {}).get(~node, 0)
                 continue
             centres, below = self.packed[node]
             for score, child in zip((centres @ query).tolist(), below):
@@ -198,10 +201,12 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     placed = scratch.keep(nodes.mapInArrow(place, "key binary, vec binary, ids array<long>, leaf int"), "placed")
     asked = scratch.keep(queries.groupBy("key").agg(F.first("vec").alias("vec")), "asked")
     visits = calibrate(placed, asked, tree, dim, k)
+    counts = placed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect()  # a row for each leaf
+    sizes = spark.sparkContext.broadcast({r.leaf: r.n for r in counts})
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = [held.value.best_bins(q, visits) for q in _vectors(batch.column(1), dim)]
+            leaves = [held.value.best_bins(q, visits, sizes.value, k + 1) for q in _vectors(batch.column(1), dim)]
             yield pa.record_batch([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], ["key", "vec", "leaves"])
 
     asked_at = asked.mapInArrow(visit, "key binary, vec binary, leaves array<int>").select("key", "vec", F.explode("leaves").alias("leaf"))
