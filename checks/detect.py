@@ -522,17 +522,17 @@ def _(spark, sf):
 
 def monitors(spark, sf):
     """Entries that the network, process and file monitors make of the given tables."""
-    def build():
-        snaps, beating = snapshots(spark, sf), X.spark_table(spark, sf, beats, "conns")
-        new = S.new_connections(snaps)
-        found = (findings.from_suspicious_outbound(S.suspicious_outbound(new)), findings.from_smtp_outbound(S.smtp_outbound(new)),
-                 findings.from_new_listeners(S.new_listeners(snaps)),
-                 findings.from_beacons(S.beacons(S.new_connections(beating), S.ticks(beating))),
-                 findings.from_processes(S.process_findings(procs(spark, sf))),
-                 findings.from_files(S.fim_diff(*files(spark, sf)), F.lit(AS_OF).cast("timestamp")))
-        return reduce(lambda a, b: a.unionByName(b), found)
-
-    return stored(spark, sf, "monitors", build)
+    snaps, beating = snapshots(spark, sf), X.spark_table(spark, sf, beats, "conns")
+    # Each is written on its own, so that no plan holds all detectors.
+    new = stored(spark, sf, "new", lambda: S.new_connections(snaps))
+    parts = {
+        "suspicious": lambda: findings.from_suspicious_outbound(S.suspicious_outbound(new)),
+        "smtp": lambda: findings.from_smtp_outbound(S.smtp_outbound(new)),
+        "listeners": lambda: findings.from_new_listeners(S.new_listeners(snaps)),
+        "beacons": lambda: findings.from_beacons(S.beacons(stored(spark, sf, "beating", lambda: S.new_connections(beating)), S.ticks(beating))),
+        "processes": lambda: findings.from_processes(S.process_findings(procs(spark, sf))),
+        "files": lambda: findings.from_files(S.fim_diff(*files(spark, sf)), F.lit(AS_OF).cast("timestamp"))}
+    return reduce(lambda a, b: a.unionByName(b), [stored(spark, sf, f"monitor {name}", build) for name, build in parts.items()])
 
 
 def socket_feed(spark, sf):
