@@ -75,6 +75,12 @@ def op10_range_coded_ids(spark: SparkSession, sf: str) -> DataFrame:
     return idfile.digest(spark, path)
 
 
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    from seclog.llm.alignment import report
+
+    return report(table(spark, sf, "documents"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,6 +98,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_html_main_text": op9_html_main_text,
     "op10_range_coded_ids": op10_range_coded_ids,
+    "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
 }
 
