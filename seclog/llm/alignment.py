@@ -25,7 +25,7 @@ other pairs meet their counts in a join. No pair is left out, and no frequent on
 from __future__ import annotations
 
 import functools
-import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from seclog.llm import text as X
 from seclog.llm.store import Scratch
 
-KEEP, KEEP_BYTES = 200_000, 8 << 20
+KEEP, KEEP_BYTES = 600_000, 16 << 20
+TOGETHER = 4096
 #: Id pairs whose counts are broadcast: 13 bytes each.
 FREQUENT = 1_000_000
 #: Pairs that a task counts before it hands them on.
@@ -106,40 +107,42 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.first = Tokenizer.from_file(byte_path)
-        self.first.encode_special_tokens = True
+        self.library = Tokenizer.from_file(byte_path)
+        self.library.encode_special_tokens = True
         alphabet = byte_alphabet()
-        size = self.first.get_vocab_size(with_added_tokens=True)
-        names = [self.first.id_to_token(i) for i in range(size)]
-        self.a_bytes = [bytes(alphabet[c] for c in x) if x is not None and all(c in alphabet for c in x) else (x or "").encode() for x in names]
+        names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size(with_added_tokens=True))]
+        a_bytes = [bytes(alphabet[c] for c in x) if all(c in alphabet for c in x) else x.encode() for x in names]
         self.second = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.width = self.second.get_piece_size()
-        self.b_bytes = [bytes([int(self.second.id_to_piece(i)[3:5], 16)]) if self.second.is_byte(i) else self.second.id_to_piece(i).replace("▁", " ").encode()
-                        for i in range(self.width)]
-        if size * self.width > 1 << 32:
+        b_bytes = [bytes([int(self.second.id_to_piece(i)[3:5], 16)]) if self.second.is_byte(i) else self.second.id_to_piece(i).replace("▁", " ").encode()
+                   for i in range(self.width)]
+        if len(a_bytes) * self.width > 1 << 32:
             raise ValueError("an id pair must fit 32 bits")
-        self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a, self.b = _Bytes(a_bytes), _Bytes(b_bytes)
+        self.written = [b"%d%c" % (i, mark) for i in range(max(len(a_bytes), self.width)) for mark in b",|;"]
+        self.ranks = _ranked(byte_path, a_bytes)
+        if self.ranks is not None and self.first(_PROBES) != self._by_library(_PROBES):
+            self.ranks = None
         self.cuts = self._cuts_hold()
         self._forget()
 
+    def _by_library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def first(self, texts: list[str]) -> list[list[int]]:
+        """The first vocabulary's ids of texts with their space in front."""
+        return self._by_library(texts) if self.ranks is None else [self.ranks.encode_ordinary(t) for t in texts]
+
     def _cuts_hold(self) -> bool:
         """Whether no token of either vocabulary holds a cut, and neither looks over one."""
-        inner = any(len(cuts(np.frombuffer(x, np.uint8))) for x in self.a_bytes + self.b_bytes if b" " in x.lstrip(b" "))
-        probe = " Don't  stop, me 12 now. été 中文 x"
+        if any(len(cuts(np.frombuffer(x, np.uint8))) for v in (self.a, self.b) for x in v.tokens if b" " in x.lstrip(b" ")):
+            return False
         parts = [" Don't", "  stop,", " me", " 12", " now.", " été", " 中文", " x"]
-        a, b = self.ids(probe)
-        own = [self.ids(x) for x in parts]
-        return not inner and a == [i for x, _ in own for i in x] and b == [i for _, x in own for i in x]
-
-    def ids(self, spaced: str) -> tuple[list[int], list[int]]:
-        """Ids of a text with its space in front; the second vocabulary adds that space itself."""
-        return self.first.encode(spaced, add_special_tokens=False).ids, self.second.encode(spaced[1:])
+        return all(sum(ids(parts), []) == ids(["".join(parts)])[0] for ids in (self.first, self._seconds))
 
-    def _encoded(self, pieces: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        texts = [p.decode() for p in pieces]
-        a = [e.ids for i in range(0, len(texts), 1000) for e in self.first.encode_batch_fast(texts[i:i + 1000], add_special_tokens=False)]
-        return a, self.second.encode([t[1:] for t in texts], num_threads=1)
+    def _seconds(self, texts: list[str]) -> list[list[int]]:
+        """The second vocabulary's ids; it adds the space itself."""
+        return self.second.encode([t[1:] for t in texts], num_threads=1)
 
     def _forget(self) -> None:
         self.known = np.empty(0, np.uint64)  # sorted hashes, and the number of each piece
@@ -150,57 +153,77 @@ class Aligner:
         self.raw, self.raw_at = np.empty(0, np.uint8), np.zeros(1, np.int64)
         self.pair, self.pair_at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def align(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[np.ndarray]]:
-        """Of each piece, with its space in front: whether both give back its bytes, (tokens, tokens, groups, links), the groups as text, the linked pairs."""
-        a_ids, b_ids = self._encoded(pieces)
-        exact = np.array([b"".join(map(self.a_bytes.__getitem__, a)) == p == b"".join(map(self.b_bytes.__getitem__, b)) for p, a, b in zip(pieces, a_ids, b_ids)], bool)
-        sizes = np.zeros((len(pieces), 4), np.int64)
-        texts, pairs = [b""] * len(pieces), [np.empty(0, np.uint32)] * len(pieces)
-        good = np.flatnonzero(exact)
-        if not len(good):
-            return exact, sizes, texts, pairs
-        a_count = np.array([len(a_ids[i]) for i in good], np.int64)
-        b_count = np.array([len(b_ids[i]) for i in good], np.int64)
-        a = np.concatenate([np.asarray(a_ids[i], np.int64) for i in good])
-        b = np.concatenate([np.asarray(b_ids[i], np.int64) for i in good])
-        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+    def _tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which texts both vocabularies give back byte for byte, and all ids of those."""
+        names = [t.decode() for t in texts]
+        a, a_at = _flat(self.first(names))
+        b, b_at = _flat(self._seconds(names))
+        ends = np.cumsum([0, *map(len, texts)])
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        good = self.a.gives(a, a_at, raw, ends) & self.b.gives(b, b_at, raw, ends)
+        return good, a[np.repeat(good, np.diff(a_at))], b[np.repeat(good, np.diff(b_at))]
+
+    def align(self, pieces: list[bytes], alone: bool = False) -> tuple[list[int], np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Of pieces with their space in front, in the order given back: whether both vocabularies give back their
+        bytes, (tokens, tokens, groups, links), the groups as text, all linked pairs.
+
+        Pieces that end where a cut may follow are encoded together, ``TOGETHER`` bytes at a time, unless ``alone``.
+        """
+        order, exact, sizes, texts, pairs = [], [], [], [], []
+        todo = [[i] for i in range(len(pieces))] if alone else _bundles(pieces)
+        while todo:
+            good, a, b = self._tokens([b"".join([pieces[i] for i in bundle]) for bundle in todo])
+            own = [i for bundle, g in zip(todo, good) if g for i in bundle]
+            found, names, linked = self._groups(a, b, np.cumsum([len(pieces[i]) for i in own]))
+            order, exact = order + own, exact + [True] * len(own)
+            sizes.append(found)
+            texts += names
+            pairs.append(linked)
+            lost = [bundle for bundle, g in zip(todo, good) if not g]
+            single = [bundle[0] for bundle in lost if len(bundle) == 1]
+            order, exact, texts = order + single, exact + [False] * len(single), texts + [b""] * len(single)
+            sizes.append(np.zeros((len(single), 4), np.int64))
+            todo = [[i] for bundle in lost if len(bundle) > 1 for i in bundle]
+        return (order, np.array(exact, bool), np.concatenate([np.empty((0, 4), np.int64), *sizes]), texts, np.concatenate([np.empty(0, np.uint32), *pairs]))
+
+    def _groups(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Sizes, groups as text and linked pairs of pieces that end at ``ends``, from all their ids."""
+        if not len(ends):
+            return np.empty((0, 4), np.int64), [], np.empty(0, np.uint32)
+        a_end, b_end = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
         label = terminals(pointers(a_end, b_end))
-        a_label, b_label = label[:len(a)], label[len(a):]
+        last, group = np.unique(label, return_inverse=True)  # terminal tokens, in byte order
+        a_group, b_group = group[:len(a)], group[len(a):]
+        a_stop, b_stop = (np.searchsorted(g, np.arange(len(last)), "right") for g in (a_group, b_group))
+        written = np.empty(len(a) + len(b), np.int64)  # each group's first ids, then its second ones
+        written[np.arange(len(a)) + np.append(0, b_stop)[a_group]] = a * 3 + (np.arange(len(a)) == a_stop[a_group] - 1)
+        written[np.arange(len(b)) + a_stop[b_group]] = b * 3 + 2 * (np.arange(len(b)) == b_stop[b_group] - 1)
         left, right = links(a_end, b_end)
-        key = (a[left] * self.width + b[right]).astype(np.uint32)
-        a_at, b_at = np.concatenate([[0], np.cumsum(a_count)]), np.concatenate([[0], np.cumsum(b_count)])
-        link_at = np.searchsorted(left, a_at, "left")
-        a_text, b_text = [b"%d" % i for i in a.tolist()], [b"%d" % i for i in b.tolist()]
-        a_cut = np.flatnonzero(np.diff(a_label, append=-1)) + 1  # each group's tokens stand together in both rows
-        b_cut = np.flatnonzero(np.diff(b_label, append=-1)) + 1
-        own = [b",".join(a_text[i:j]) + b"|" + b",".join(b_text[k:n]) for i, j, k, n in zip([0, *a_cut[:-1].tolist()], a_cut.tolist(), [0, *b_cut[:-1].tolist()], b_cut.tolist())]
-        group_at = np.searchsorted(a_cut, a_at, "right")
-        for k, i in enumerate(good.tolist()):
-            texts[i] = b";".join(own[group_at[k]:group_at[k + 1]])
-            pairs[i] = key[link_at[k]:link_at[k + 1]]
-        sizes[good] = np.stack([a_count, b_count, np.diff(group_at), np.diff(link_at)], axis=1)
-        return exact, sizes, texts, pairs
+        at = [np.append(0, np.searchsorted(x, ends, "right")) for x in (a_end, b_end, b_end[last - len(a)], np.minimum(a_end[left], b_end[right]))]
+        marks, bounds = list(map(self.written.__getitem__, written.tolist())), (at[0] + at[1]).tolist()
+        texts = [b"".join(marks[i:j]) for i, j in zip(bounds, bounds[1:])]
+        return np.stack([np.diff(x) for x in at], axis=1), texts, (a[left] * self.width + b[right]).astype(np.uint32)
 
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Keep new pieces; ``hashes`` are sorted."""
-        exact, sizes, texts, pairs = self.align(pieces)
+        order, exact, sizes, texts, pairs = self.align(pieces)
+        number = np.empty(len(pieces), np.int64)
+        number[order] = len(self.groups) + np.arange(len(pieces))
         at = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, at, hashes)
-        self.number = np.insert(self.number, at, len(self.groups) + np.arange(len(pieces)))
+        self.known, self.number = np.insert(self.known, at, hashes), np.insert(self.number, at, number)
         self.groups += texts
         self.exact, self.sizes = np.concatenate([self.exact, exact]), np.concatenate([self.sizes, sizes])
-        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(pieces), np.uint8)])
-        self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum([len(p) for p in pieces])])
-        self.pair = np.concatenate([self.pair, *pairs])
-        self.pair_at = np.concatenate([self.pair_at, self.pair_at[-1] + np.cumsum([len(p) for p in pairs])])
-
-    def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes], list[np.ndarray], list[np.ndarray]]:
-        """Of each text of a batch: sizes, groups as text, its distinct pairs (sorted) and how often it links each."""
-        n = len(offsets) - 1
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join([pieces[i] for i in order]), np.uint8)])
+        self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum([len(pieces[i]) for i in order])])
+        self.pair = np.concatenate([self.pair, pairs])
+        self.pair_at = np.concatenate([self.pair_at, self.pair_at[-1] + np.cumsum(sizes[:, 3])])
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text of a batch: sizes and groups as text; all texts' distinct pairs (sorted), how often each is linked, and where a text's start."""
         full = np.diff(offsets) > 0
         if not self.cuts:
-            out = self.align([b" " + data[i:j].tobytes() for i, j in zip(offsets, offsets[1:])])
-            return self._counted(np.where(full[:, None], out[1], 0), [t if f else b"" for t, f in zip(out[2], full)], [p if f else p[:0] for p, f in zip(out[3], full)])
+            at = np.flatnonzero(full)
+            return self._whole(at, data, offsets, np.zeros((len(full), 4), np.int64), [b""] * len(full), np.empty(0, np.uint64))
         # a space in front of every text that is not empty
         starts = offsets[:-1] + np.concatenate([[0], np.cumsum(full)])[:-1]
         spaced = np.insert(data, offsets[:-1][full], _SPACE)
@@ -220,34 +243,89 @@ class Aligner:
         piece = self.number[place][back]
         sure = self.exact[piece] & ((self.raw_at[1:] - self.raw_at[:-1])[piece] == ends - cut)
         same = np.zeros(len(spaced), bool)
-        covered, source = np.repeat(sure, ends - cut), _ranges(self.raw_at[piece[sure]], (ends - cut)[sure])
-        same[covered] = self.raw[source] == spaced[covered]
+        covered = np.repeat(sure, ends - cut)
+        same[covered] = self.raw[_ranges(self.raw_at[piece[sure]], (ends - cut)[sure])] == spaced[covered]
         sure &= np.logical_and.reduceat(same, cut) if len(cut) else sure
         first = np.searchsorted(cut, np.append(starts, len(spaced)))  # an empty text has no pieces
+        odd = np.zeros(len(full), bool)
+        odd[np.searchsorted(first, np.flatnonzero(~sure), "right") - 1] = True
         total = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.sizes[piece], axis=0)])
         sizes = total[first[1:]] - total[first[:-1]]
-        order, bounds = piece.tolist(), first.tolist()
-        texts = [b";".join([self.groups[k] for k in order[i:j]]) for i, j in zip(bounds, bounds[1:])]
+        order, bounds = list(map(self.groups.__getitem__, piece.tolist())), first.tolist()
+        texts = [b"".join(order[i:j]) for i, j in zip(bounds, bounds[1:])]
+        kept = np.repeat(~odd, np.diff(first))
+        row = np.repeat(np.arange(len(full)), np.diff(first))[kept]
+        piece = piece[kept]
         per = (self.pair_at[1:] - self.pair_at[:-1])[piece]
-        flat = self.pair[_ranges(self.pair_at[piece], per)]
-        at_pair = np.concatenate([[0], np.cumsum(per)])[first]
-        pairs = [flat[i:j] for i, j in zip(at_pair.tolist(), at_pair[1:].tolist())]
-        whole = np.unique(np.searchsorted(first, np.flatnonzero(~sure), "right") - 1)
-        if len(whole):
-            _, other, names, linked = self.align([b" " + data[offsets[i]:offsets[i + 1]].tobytes() for i in whole.tolist()])
-            sizes[whole] = other
-            for k, i in enumerate(whole.tolist()):
-                texts[i], pairs[i] = names[k], linked[k]
-        assert len(texts) == n
-        return self._counted(sizes, texts, pairs)
-
-    def _counted(self, sizes, texts, pairs):
-        row = np.repeat(np.arange(len(pairs), dtype=np.uint64), [len(p) for p in pairs])
-        keys, times = np.unique((row << np.uint64(32)) | np.concatenate([*pairs, np.empty(0, np.uint32)]).astype(np.uint64), return_counts=True)
-        at = np.searchsorted(keys >> np.uint64(32), np.arange(len(pairs) + 1, dtype=np.uint64))
-        low = keys.astype(np.uint32)  # the lower half: the pair
-        return (sizes, texts, [low[i:j] for i, j in zip(at.tolist(), at[1:].tolist())],
-                [times[i:j].astype(np.uint32) for i, j in zip(at.tolist(), at[1:].tolist())])
+        keys = (np.repeat(row, per).astype(np.uint64) << np.uint64(32)) | self.pair[_ranges(self.pair_at[piece], per)].astype(np.uint64)
+        return self._whole(np.flatnonzero(odd), data, offsets, sizes, texts, keys)
+
+    def _whole(self, at, data, offsets, sizes, texts, keys):
+        """Encode the texts ``at`` whole, and count all texts' pairs."""
+        if len(at):
+            order, _, found, names, pairs = self.align([b" " + data[offsets[i]:offsets[i + 1]].tobytes() for i in at.tolist()], alone=True)
+            place = at[order]
+            sizes[place] = found
+            for i, name in zip(place.tolist(), names):
+                texts[i] = name
+            keys = np.concatenate([keys, (np.repeat(place, found[:, 3]).astype(np.uint64) << np.uint64(32)) | pairs.astype(np.uint64)])
+        keys, times = np.unique(keys, return_counts=True)
+        return sizes, [t[:-1] for t in texts], keys.astype(np.uint32), times.astype(np.uint32), np.searchsorted(keys >> np.uint64(32), np.arange(len(texts) + 1, dtype=np.uint64))
+
+
+class _Bytes:
+    """The bytes of each id of a vocabulary."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens = tokens
+        self.size = np.array([len(x) for x in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.raw = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def gives(self, ids: np.ndarray, at: np.ndarray, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each text's ids, joined, are its bytes."""
+        size = self.size[ids]
+        good = np.diff(np.append(0, np.cumsum(size))[at]) == np.diff(ends)
+        mine = np.repeat(good, np.diff(at))
+        theirs = np.repeat(good, np.diff(ends))
+        same = self.raw[_ranges(self.start[ids[mine]], size[mine])] == raw[theirs]
+        wrong = np.repeat(np.flatnonzero(good), np.diff(ends)[good])[~same]
+        good[wrong] = False
+        return good
+
+
+_PROBES = [" Don't  stop,\n\n me12 now. \tété 中文 x", " I'LL we'll 3.14 -- _a_  ", " \u00a0 \u3000x \U0001f600\u200d!", " <|endoftext|>"]
+#: How byte-level vocabularies of this kind part a text before merging.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranked(path: str, tokens: list[bytes]):
+    """The byte-level vocabulary as merge ranks for the faster ``tiktoken``, if its ids rise in the order of its merges; else None."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    if [model["vocab"].get("".join(m)) for m in merges] != list(range(256, 256 + len(merges))):
+        return None
+    ranks = {tokens[i]: i for i in range(256 + len(merges))}
+    return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _bundles(pieces: list[bytes]) -> list[list[int]]:
+    """Pieces to encode together; one that doesn't end where a cut may follow is the last of its bundle."""
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    starts = np.cumsum([0, *map(len, pieces)])[1:-1]
+    apart = np.isin(starts, cuts(raw), invert=True) | (np.diff(np.append(0, starts) // TOGETHER) > 0)
+    at = [0, *(np.flatnonzero(apart) + 1).tolist(), len(pieces)]
+    return [list(range(i, j)) for i, j in zip(at, at[1:]) if j > i]
+
+
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the rows, and where each row starts and ends in them."""
+    return np.fromiter(itertools.chain.from_iterable(rows), np.int64), np.cumsum([0, *map(len, rows)])
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -276,11 +354,11 @@ def align(docs: DataFrame, byte_path: str | None = None, piece_path: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(*paths)
         for batch in batches:
-            for rows, data, offsets in X.slices(batch, "text", 1 << 20):
-                sizes, texts, pairs, times = both.rows(data, offsets)
+            for rows, data, offsets in X.slices(batch, "text"):
+                sizes, texts, pairs, times, at = both.rows(data, offsets)
                 yield pa.record_batch(
                     [rows.column(0), *(pa.array(sizes[:, i]) for i in range(4)), pa.array(texts, pa.binary()).cast(pa.string()),
-                     pa.array([p.tobytes() for p in pairs], pa.binary()), pa.array([t.tobytes() for t in times], pa.binary())],
+                     _binary(pairs, at), _binary(times, at)],
                     ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -313,6 +391,11 @@ def pair_counts(aligned: DataFrame, width: int) -> DataFrame:
     return counted.select("pair", "n", (F.col("n") == highest).alias("best"))
 
 
+def _binary(numbers: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Rows of 32-bit numbers as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(numbers)])
+
+
 def _numbers(column) -> tuple[np.ndarray, np.ndarray]:
     """All 32-bit numbers of a binary column, and where each row starts and ends in them."""
     buffers = column.buffers()

@@ -20,11 +20,12 @@ def plain(texts):
     both = alignment.aligner(*alignment.default_vocabularies())
     out = []
     for t in texts:
-        a, b = both.ids(" " + t) if t else ([], [])
-        if not t or b"".join(both.a_bytes[i] for i in a) != (" " + t).encode() or b"".join(both.b_bytes[i] for i in b) != (" " + t).encode():
+        a = both.library.encode(" " + t, add_special_tokens=False).ids
+        b = both.second.encode(t)
+        if not t or b"".join(both.a.tokens[i] for i in a) != (" " + t).encode() or b"".join(both.b.tokens[i] for i in b) != (" " + t).encode():
             out.append(([], [], [], []))
             continue
-        a_end, b_end = np.cumsum([len(both.a_bytes[i]) for i in a]).tolist(), np.cumsum([len(both.b_bytes[i]) for i in b]).tolist()
+        a_end, b_end = np.cumsum([len(both.a.tokens[i]) for i in a]).tolist(), np.cumsum([len(both.b.tokens[i]) for i in b]).tolist()
         a_set, b_set = set(a_end), set(b_end)
         groups, i, j = [], 0, 0
         for end in sorted(a_set & b_set):
@@ -73,18 +74,20 @@ def test_random_texts_piece_by_piece():
     letters = "ab Z9.,'\n\t  é 中▁ \U0001f600-_́\x1c\x85"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(1500)]
     both = alignment.Aligner(*alignment.default_vocabularies())
-    assert both.cuts
+    assert both.cuts and both.ranks is not None
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
     data = np.frombuffer(b"".join(raw), np.uint8)
     for _ in range(2):  # with new pieces, and with kept ones
-        sizes, names, pairs, times = both.rows(data, offsets)
+        sizes, names, pairs, times, at = both.rows(data, offsets)
         for i, (a, b, groups, found) in enumerate(plain(texts)):
             assert sizes[i].tolist() == [len(a), len(b), len(groups), len(found)], texts[i]
             assert names[i].decode() == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-            assert dict(zip(pairs[i].tolist(), times[i].tolist())) == Counter(x * both.width + y for x, y in found)
-    both.cuts = False  # and without cuts
-    assert both.rows(data, offsets)[1] == names
+            assert dict(zip(pairs[at[i]:at[i + 1]].tolist(), times[at[i]:at[i + 1]].tolist())) == Counter(x * both.width + y for x, y in found)
+    both.cuts = False  # without cuts, and with the library's own encoder
+    whole = both.rows(data, offsets)
+    both.ranks = None
+    assert both.ranks is None and whole[1] == names == both.rows(data, offsets)[1] and np.array_equal(whole[2], pairs)
 
 
 def test_pointers_double_to_the_end_of_the_group():
