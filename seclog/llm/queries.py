@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from seclog.llm.mixing import ORACLE as MIXING
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -75,6 +77,18 @@ def op10_range_coded_ids(spark: SparkSession, sf: str) -> DataFrame:
     return idfile.digest(spark, path)
 
 
+def op11_pareto_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    from seclog.llm.mixing import report
+
+    return report(table(spark, sf, "documents"))
+
+
+def op12_qdwh_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    from seclog.llm.whitening import report
+
+    return report(table(spark, sf, "embeddings"), components=4)
+
+
 def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     from seclog.llm.alignment import report
 
@@ -98,8 +112,10 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_html_main_text": op9_html_main_text,
     "op10_range_coded_ids": op10_range_coded_ids,
+    "op11_pareto_mixing": op11_pareto_mixing,
+    "op12_qdwh_whitening": op12_qdwh_whitening,
     "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_pareto_mixing": MIXING}
