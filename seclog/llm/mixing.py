@@ -12,7 +12,8 @@
 3. Pareto order: a random number u from the document, its odds u / (1 - u) divided by the inclusion odds.
    Documents are taken in rising order until the next one would exceed the words wanted,
    so the size of the sample is fixed, in words, but for that document. The gap is filled with
-   documents behind it: of each class of sizes the first in Pareto order, largest class first, where it fits.
+   documents behind it: of each class of sizes the first in Pareto order, largest class first, where
+   it fits. If the document at the end comes nearer than that, it is taken instead.
 
 Everything is counts and sums: words by (source, size), then by (source, stretch of the order), so a
 source with a third of all rows is never put in order as a whole; only the stretch where the sample
@@ -107,10 +108,10 @@ def _class(size: Column) -> Column:
 
 
 def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, scratch: Scratch | None = None) -> tuple[DataFrame, int]:
-    """(source, source_size, target, whole, wanted, slope, cut, fills) and the number of sources.
+    """(source, source_size, target, whole, wanted, slope, cut, through, fills) and the number of sources.
 
-    A document of a source is sampled if its place in the Pareto order is before ``cut``
-    or its hash is one of ``fills``. ``rows`` is read several times: hand over a stored table.
+    A document of a source is sampled if its place in the Pareto order is before ``cut``, or at
+    it if ``through``, or its hash is one of ``fills``. ``rows`` is read several times: hand over a stored table.
     """
     scratch = scratch or Scratch(rows.sparkSession, "mixing")
     sizes = scratch.keep(rows.groupBy(F.col("__mix_source").alias("source"), F.col("__mix_size").alias("size")).agg(F.count("*").alias("n")), "sizes")
@@ -135,7 +136,7 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REP
             .groupBy("__mix_source", "order").agg(F.sum("__mix_size").alias("words"), F.first("wanted").alias("wanted"), F.first("before").alias("before"))
             .withColumn("upto", F.col("before") + F.sum("words").over(inside)).filter(F.col("upto") > F.col("wanted"))
             .groupBy(F.col("__mix_source").alias("source")).agg(F.min("order").alias("cut"), F.min(F.col("upto")).alias("upto"), F.min_by("words", "order").alias("words"), F.first("wanted").alias("wanted"))
-            .select("source", "cut", (F.col("wanted") - (F.col("upto") - F.col("words"))).alias("gap")))
+            .select("source", "cut", (F.col("wanted") - (F.col("upto") - F.col("words"))).alias("gap"), (F.col("upto") - F.col("wanted")).alias("over")))
     edge = scratch.keep(edge, "edge")
 
     first = F.min(F.struct("order", F.col("__mix_size").alias("size"), F.col("__mix_hash").alias("hash")))
@@ -147,17 +148,19 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REP
                                            F.struct((s["left"] - x["d"]["size"]).alias("left"), F.concat(s["picks"], F.array(F.struct(x["d"]["hash"], x["d"]["size"]))).alias("picks"))).otherwise(s))
     picks = scratch.keep(near.select(F.col("__mix_source").alias("source"), F.explode(fill["picks"]).alias("p")).select("source", "p.hash", "p.size"), "picks")
     lone = (rows.join(picks, F.col("__mix_source").eqNullSafe(F.col("source")) & (F.col("__mix_hash") == F.col("hash")))
-            .groupBy("source", "hash").agg(F.count("*").alias("n")).filter("n = 1")
-            .groupBy("source").agg(F.sort_array(F.collect_list("hash")).alias("fills")).withColumnRenamed("source", "__s"))
-    cuts = edge.select(F.col("source").alias("__e"), "cut")
-    out = (sources.join(cuts, F.col("source").eqNullSafe(F.col("__e")), "left").drop("__e")
-           .join(lone, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s"))
+            .groupBy("source", "hash", "size").agg(F.count("*").alias("n")).filter("n = 1")
+            .groupBy("source").agg(F.sort_array(F.collect_list("hash")).alias("fills"), F.sum("size").alias("filled")).withColumnRenamed("source", "__s"))
+    cuts = edge.withColumnRenamed("source", "__e")
+    through = F.coalesce(F.col("over") < F.col("gap") - F.coalesce("filled", F.lit(0)), F.lit(False))
+    out = (sources.join(cuts, F.col("source").eqNullSafe(F.col("__e")), "left")
+           .join(lone, F.col("source").eqNullSafe(F.col("__s")), "left").withColumn("through", through)
+           .select(*sources.columns, "cut", "through", F.when(~F.col("through"), F.col("fills")).alias("fills")))
     return scratch.keep(out, "plan"), number
 
 
 def with_copies(rows: DataFrame, sources: DataFrame, number: int) -> DataFrame:
     """Measured rows with their source's columns and ``copies``: how often the mix takes them."""
-    sampled = (F.col("order") < F.coalesce("cut", F.lit(float("inf")))) | F.array_contains(F.coalesce("fills", F.array().cast("array<bigint>")), F.col("__mix_hash"))
+    sampled = (F.col("order") < F.coalesce("cut", F.lit(float("inf")))) | (F.col("through") & (F.col("order") == F.col("cut"))) | F.array_contains(F.coalesce("fills", F.array().cast("array<bigint>")), F.col("__mix_hash"))
     return _ordered(_beside(rows, sources, number)).withColumn("copies", F.col("whole") + F.coalesce(sampled, F.lit(False)).cast("int"))
 
 
@@ -210,17 +213,19 @@ c AS (SELECT d.doc_id, d.size, d.hash, r.*, least(1, slope * sqrt(size)) AS chan
 o AS (SELECT *, CASE WHEN wanted > 0 AND size > 0 AND chance > 0 THEN u * (1 - chance) / ((1 - u) * chance) END AS place FROM c),
 q AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place RANGE UNBOUNDED PRECEDING) AS upto FROM o WHERE place IS NOT NULL),
 e AS (SELECT source, min(place) AS cut FROM q WHERE upto > wanted GROUP BY source),
-b AS (SELECT e.source, e.cut, max(q.wanted) - coalesce(sum(CASE WHEN place < cut THEN size END), 0) AS gap
+b AS (SELECT e.source, e.cut, max(q.wanted) - coalesce(sum(CASE WHEN place < cut THEN size END), 0) AS gap,
+        sum(CASE WHEN place <= cut THEN size END) - max(q.wanted) AS over
       FROM e JOIN q ON e.source IS NOT DISTINCT FROM q.source GROUP BY e.source, e.cut),
 n AS (SELECT q.source, gap, length(bin(size)) * 16 + CAST(floor(size / power(2.0::DOUBLE, greatest(length(bin(size)) - 5, 0))) AS BIGINT) % 16 AS class,
         min_by(size, place) AS size, min_by(hash, place) AS hash
       FROM q JOIN b ON q.source IS NOT DISTINCT FROM b.source WHERE place > cut AND size <= gap GROUP BY 1, 2, 3),
 f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class DESC) AS turn FROM n),
-x AS (SELECT source, 0::BIGINT AS turn, gap AS room, false AS pick, NULL::BIGINT AS hash FROM f WHERE turn = 1
-      UNION ALL SELECT f.source, f.turn, x.room - CASE WHEN f.size <= x.room THEN f.size ELSE 0 END, f.size <= x.room, f.hash
+x AS (SELECT source, 0::BIGINT AS turn, gap AS room, false AS pick, NULL::BIGINT AS hash, 0::BIGINT AS size FROM f WHERE turn = 1
+      UNION ALL SELECT f.source, f.turn, x.room - CASE WHEN f.size <= x.room THEN f.size ELSE 0 END, f.size <= x.room, f.hash, f.size
       FROM x JOIN f ON f.source IS NOT DISTINCT FROM x.source AND f.turn = x.turn + 1),
-p AS (SELECT x.source, x.hash FROM x JOIN d ON x.source IS NOT DISTINCT FROM d.source AND x.hash = d.hash WHERE pick GROUP BY 1, 2 HAVING count(*) = 1)
-SELECT doc_id, size, source_size, target,
-  CAST(size * (whole + CASE WHEN place < coalesce(cut, 'inf'::DOUBLE) OR p.hash IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM o LEFT JOIN b ON o.source IS NOT DISTINCT FROM b.source LEFT JOIN p ON o.source IS NOT DISTINCT FROM p.source AND o.hash = p.hash
+p AS (SELECT x.source, x.hash, x.size FROM x JOIN d ON x.source IS NOT DISTINCT FROM d.source AND x.hash = d.hash WHERE pick GROUP BY 1, 2, 3 HAVING count(*) = 1),
+v AS (SELECT b.source, b.cut, b.over < b.gap - coalesce((SELECT sum(p.size) FROM p WHERE p.source IS NOT DISTINCT FROM b.source), 0) AS through FROM b)
+SELECT doc_id, o.size, source_size, target,
+  CAST(o.size * (whole + CASE WHEN place < coalesce(cut, 'inf'::DOUBLE) OR (through AND place = cut) OR (NOT through AND p.hash IS NOT NULL) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM o LEFT JOIN v ON o.source IS NOT DISTINCT FROM v.source LEFT JOIN p ON o.source IS NOT DISTINCT FROM p.source AND o.hash = p.hash
 """
