@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import json
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seclog import refdata as R
 from seclog.functions.technique import with_technique
-from seclog.functions.text import iso, matched_rules, rule_severity, upgraded_level
+from seclog.functions.text import folded, iso, matched_rules, required_texts, rule_severity, rx, upgraded_level, usable_rules
 from seclog.operators import alerts as A, correlate as C, dns as D, findings, scans
 from seclog.operators.rates import combine_scores, rate_anomaly
 from seclog.schema import ENTRY, complete
@@ -25,17 +29,75 @@ def apply_rules(entries: DataFrame, rules=R.RULES) -> DataFrame:
         "matched_rules": F.when(hit, F.col("_hit")).otherwise(F.col("matched_rules"))}).drop("_hit")
 
 
+@functools.cache
+def _automaton(needed: tuple[tuple[str, tuple[int, ...]], ...]):
+    """Aho-Corasick automaton of texts and the rules that need them; one for each worker."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for text, rules in needed:
+        automaton.add_word(text, rules)
+    automaton.make_automaton()
+    return automaton
+
+
+def _candidates(needed: tuple[tuple[str, tuple[int, ...]], ...], always: tuple[int, ...]):
+    """Rules that may hit a folded text: those one of whose required texts it holds, and those without any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(needed) if needed else None
+        for batch in batches:
+            found = []
+            for low in batch.column("_low").to_pylist():
+                hit = set(always)
+                if automaton is not None and low:
+                    for _, rules in automaton.iter(low):
+                        hit.update(rules)
+                found.append(sorted(hit))
+            yield pa.record_batch([batch.column("id"), batch.column("_text"), pa.array(found, pa.list_(pa.int32()))], ["id", "_text", "_rules"]).filter(
+                pa.array([bool(x) for x in found], pa.bool_()))
+
+    return run
+
+
+def match_many_rules(entries: DataFrame, rules: list) -> DataFrame:
+    """(id, names in rule order) of the entries that any of ``rules`` hits, for thousands of rules.
+
+    One automaton finds, in one pass over a text, which rules it can hit at all; only those
+    regexes run. So the time follows the texts and their hits, not the number of rules. Rules
+    without a required text are tried on every entry.
+    """
+    usable = usable_rules(rules)
+    needed: dict[str, list[int]] = {}
+    always = []
+    for i, rule in enumerate(usable):
+        texts = required_texts(rule.pattern)
+        for text in texts or ():
+            needed.setdefault(text, []).append(i)
+        if texts is None:
+            always.append(i)
+    table = tuple(sorted((text, tuple(own)) for text, own in needed.items()))
+    text = F.concat("message", F.lit(" "), "raw")
+    named = [F.from_json(F.lit(json.dumps(x)), "array<string>") for x in ([rx(r.pattern) for r in usable], [r.name for r in usable])]
+    found = (entries.select("id", text.alias("_text")).select("id", "_text", folded(F.col("_text")).alias("_low"))
+             .mapInArrow(_candidates(table, tuple(always)), "id string, _text string, _rules array<int>"))
+    hits = F.filter("_rules", lambda i: F.regexp_like(F.col("_text"), F.element_at(named[0], i + 1)))
+    return (found.select("id", hits.alias("_hits")).filter(F.size("_hits") > 0)
+            .select("id", F.transform("_hits", lambda i: F.element_at(named[1], i + 1)).alias("matched_rules")))
+
+
 def match_rules_table(entries: DataFrame, rules: DataFrame, per_expression: int = 200) -> DataFrame:
     """Rules held in a table (ord, name, pattern, severity): (id, names in rule order).
 
     A pattern test has no key to shuffle on, so the rules, a list that people maintain, are
-    read by the driver and become expressions of ``per_expression`` patterns each, all
-    evaluated in one pass over the entries. Malformed patterns are skipped.
+    read by the driver. Up to ``per_expression`` become one expression; more of them go through
+    ``match_many_rules``. Malformed patterns are skipped.
     """
-    text = F.concat("message", F.lit(" "), "raw")
     listed = [R.Rule(r.name, r.pattern, r.severity) for r in rules.orderBy("ord").collect()]
-    parts = [matched_rules(text, listed[i:i + per_expression]) for i in range(0, max(len(listed), 1), per_expression)]
-    return (entries.select("id", F.concat(*parts).alias("matched_rules")).filter(F.size("matched_rules") > 0))
+    if len(listed) > per_expression:
+        return match_many_rules(entries, listed)
+    text = F.concat("message", F.lit(" "), "raw")
+    return entries.select("id", matched_rules(text, listed).alias("matched_rules")).filter(F.size("matched_rules") > 0)
 
 
 def annotate(entries: DataFrame, rules=R.RULES, preserve_preset: bool = False, history: DataFrame | None = None,
@@ -62,13 +124,31 @@ def with_channel(entries: DataFrame) -> DataFrame:
     return entries.withColumn("channel", channel(F.col("category")))
 
 
-def entries_to_json(entries: DataFrame) -> DataFrame:
-    """(id, json) with the 23 entry fields."""
+def entry_json() -> Column:
+    """An entry's 23 fields as JSON text."""
     fields = {name: F.col(name) for name in ENTRY if name != "ts"}
     fields["anomaly_score"] = F.round("anomaly_score", 4)
     order = ["id", "timestamp"] + [name for name in ENTRY if name not in ("id", "ts")]
     fields["timestamp"] = iso(F.col("ts"))
-    return entries.select("id", F.to_json(F.struct(*[fields[name].alias(name) for name in order])).alias("json"))
+    return F.to_json(F.struct(*[fields[name].alias(name) for name in order]))
+
+
+def entries_to_json(entries: DataFrame) -> DataFrame:
+    """(id, json) with the 23 entry fields."""
+    return entries.select("id", entry_json().alias("json"))
+
+
+def route(entries: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> dict[str, int]:
+    """Hand each channel's entries to its sink; the number handed to each.
+
+    The entries are computed once and stored by channel, so a sink reads its own part only.
+    Channels without a sink are stored and left alone.
+    """
+    stored = cut_lineage(with_channel(complete(entries)), "channel")
+    counts = {r["channel"]: r["count"] for r in stored.groupBy("channel").count().collect()}  # three channels
+    for name, sink in sinks.items():
+        sink(stored.filter(F.col("channel") == name))
+    return {name: counts.get(name, 0) for name in sinks}
 
 
 class PipelineResult(NamedTuple):

@@ -29,7 +29,7 @@ from seclog.operators.rates import MICROS
 START = -(1 << 62)
 
 
-def _starts(pdf: pd.DataFrame, group: list[str]) -> np.ndarray:
+def group_starts(pdf: pd.DataFrame, group: list[str]) -> np.ndarray:
     """True on the first row of each group of a sorted frame."""
     first = np.zeros(len(pdf), dtype=bool)
     first[:1] = True
@@ -39,18 +39,18 @@ def _starts(pdf: pd.DataFrame, group: list[str]) -> np.ndarray:
     return first
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[pd.DataFrame]:
+def whole_groups(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[pd.DataFrame]:
     """Re-cut sorted batches so that no group spans two of them."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
         if pdf.empty:
             continue
         if held and all(held[-1][name].iloc[-1] == pdf[name].iloc[0] for name in group):
-            tail_is_one_group = not _starts(pdf, group)[1:].any()
+            tail_is_one_group = not group_starts(pdf, group)[1:].any()
             if tail_is_one_group:
                 held.append(pdf)
                 continue
-        last_start = int(np.flatnonzero(_starts(pdf, group))[-1])
+        last_start = int(np.flatnonzero(group_starts(pdf, group))[-1])
         if last_start or held:
             done = pd.concat(held + [pdf.iloc[:last_start]], ignore_index=True) if held else pdf.iloc[:last_start]
             yield done.reset_index(drop=True)
@@ -74,8 +74,8 @@ def _combine(group: list[str], block_at: str, span: int, gap: int, bounded: bool
     """Step function of each block from its sorted steps."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole_groups(batches, group):
-            first = _starts(pdf, group)
+        for pdf in whole_groups(batches, group):
+            first = group_starts(pdf, group)
             g = np.cumsum(first) - 1
             upper, exits = pdf["upper"].to_numpy(), pdf["exit"].to_numpy()
             follow = _seek(g, upper, g, exits + gap)
@@ -111,8 +111,8 @@ def _walk(group: list[str], out: list[str], gap: int, from_start: bool):
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole_groups(batches, group):
-            first = _starts(pdf, group)
+        for pdf in whole_groups(batches, group):
+            first = group_starts(pdf, group)
             g = np.cumsum(first) - 1
             is_step = pdf["is_step"].to_numpy().astype(bool)
             rows = np.flatnonzero(is_step)

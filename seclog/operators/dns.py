@@ -57,7 +57,14 @@ def dns_signals(queries: DataFrame, rate_threshold: int = R.DNS_RATE_THRESHOLD,
 
 
 def dns_findings(queries: DataFrame, rate_threshold: int = R.DNS_RATE_THRESHOLD,
-                 nxdomain_threshold: int = R.NXDOMAIN_THRESHOLD, carry: DataFrame | None = None) -> DataFrame:
-    """Findings, each (signal, key) silent for five minutes after it fired."""
-    signals = cut_lineage(dns_signals(queries, rate_threshold, nxdomain_threshold))
+                 nxdomain_threshold: int = R.NXDOMAIN_THRESHOLD, carry: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Findings, each (signal, key) silent for five minutes after it fired.
+
+    ``only`` (id) names the queries that may fire; the others count for rates. ``carry``
+    (signal, key, last_us) are earlier findings.
+    """
+    signals = dns_signals(queries, rate_threshold, nxdomain_threshold)
+    if only is not None:
+        signals = signals.join(only.select("id").distinct(), "id", "left_semi")
+    signals = cut_lineage(signals)
     return cooldown(signals, ["signal", "key"], R.DNS_COOLDOWN_SECONDS, carry=carry)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seclog.functions.text import basename
+from seclog.operators.snapshots import CONNECTION_KEY
 from seclog.schema import complete
 
 
@@ -16,18 +17,28 @@ def _prefixed(prefix: str, column: str) -> Column:
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def _entry(df: DataFrame, **columns) -> DataFrame:
-    """Entry with the given columns; raw repeats the message, the rest takes defaults."""
+def _entry(df: DataFrame, own: list[str] | tuple = (), **columns) -> DataFrame:
+    """Entry with the given columns; raw repeats the message, the rest takes defaults.
+
+    The id names source, instant and text, and the columns ``own``: what tells two findings of
+    one instant and text apart (addresses, ports, process, hashes). Findings of a table with
+    a ``host`` column name it in source and tags too, so that hosts have alerts and
+    cooldowns of their own.
+    """
     values = {name: value if isinstance(value, Column) else F.lit(value) for name, value in columns.items()}
     values.setdefault("raw", values["message"])
-    out = df.select(*[value.alias(name) for name, value in values.items()])
-    key = F.sha2(F.concat_ws("\u0001", "source", F.unix_micros("ts").cast("string"), "raw"), 256)
-    return complete(out if "id" in values else out.withColumn("id", key))
+    if "host" in df.columns:
+        there = F.coalesce(F.col("host"), F.lit("")) != ""
+        values["source"] = F.when(there, F.concat(values["source"], F.lit("@"), F.col("host"))).otherwise(values["source"])
+        values["tags"] = F.when(there, F.concat(values["tags"], F.array(_prefixed("host:", "host")))).otherwise(values["tags"])
+    parts = [values["source"], F.unix_micros(values["ts"]), values["raw"], *[F.col(c) for c in own if c in df.columns]]
+    values["id"] = F.sha2(F.concat_ws("\u0001", *[F.coalesce(part.cast("string"), F.lit("")) for part in parts]), 256)
+    return complete(df.select(*[value.alias(name) for name, value in values.items()]))
 
 
 def _network(df: DataFrame, level: str, message: Column, rules: list[str], tags: Column, **more) -> DataFrame:
     values = {"protocol": F.lit("TCP"), **more}
-    return _entry(df, ts=F.col("snapshot_ts"), source="network-monitor", level=level, message=message,
+    return _entry(df, [*CONNECTION_KEY, "proc_name"], ts=F.col("snapshot_ts"), source="network-monitor", level=level, message=message,
                   matched_rules=F.array(*[F.lit(r) for r in rules]).cast("array<string>"), tags=tags, category="network",
                   is_anomaly=level in ("WARNING", "CRITICAL"), anomaly_score=0.8 if level == "CRITICAL" else 0.5,
                   **values)
@@ -80,7 +91,7 @@ def from_dns(df: DataFrame) -> DataFrame:
             .when(F.col("signal") == "long", _tags("long_subdomain"))
             .when(F.col("signal") == "rate", _tags("high_dns_rate", _prefixed("src:", "client")))
             .otherwise(_tags("nxdomain_storm")))
-    return _entry(df, ts=F.col("ts"), source="dns-monitor", level=F.col("level"), message=message,
+    return _entry(df, ["signal", "domain", "client"], ts=F.col("ts"), source="dns-monitor", level=F.col("level"), message=message,
                   matched_rules=_tags("DNS Tunneling"), tags=tags, category="network", protocol="DNS",
                   is_anomaly=True, anomaly_score=F.when(F.col("level") == "WARNING", 0.8).otherwise(0.95))
 
@@ -89,7 +100,7 @@ def from_port_scans(df: DataFrame, seconds: int = 60) -> DataFrame:
     message = F.format_string("Port scan detected from %s: %d unique ports probed in " + str(seconds)
                               + "s (%d total attempts, detected via %s)",
                               "src_ip", "unique_ports", "attempts", "method")
-    return _entry(df, ts=F.col("ts"), source=_prefixed("portscan/", "src_ip"), level="CRITICAL", message=message,
+    return _entry(df, ["src_ip", "dst_port"], ts=F.col("ts"), source=_prefixed("portscan/", "src_ip"), level="CRITICAL", message=message,
                   matched_rules=_tags("Port Scan Detected"),
                   tags=_tags("portscan", _prefixed("src:", "src_ip"), _prefixed("method:", "method")),
                   category="portscan", src_ip=F.col("src_ip"), dst_port=F.col("dst_port"),
@@ -112,7 +123,7 @@ def from_processes(df: DataFrame) -> DataFrame:
             .otherwise(F.array(F.col("finding"), _prefixed("proc:", "name"))))
     source = F.concat(F.lit("procmon/"), F.when(spawn, F.concat("parent_name", F.lit("→"))).otherwise(""), "name")
     raw = F.when(bad, F.format_string(known, "name", *who, "cmdline")).otherwise(message)
-    return _entry(df, ts=F.col("snapshot_ts"), source=source, level=F.col("level"), message=message, raw=raw,
+    return _entry(df, ["pid", "ppid", "exe", "cmdline", "username"], ts=F.col("snapshot_ts"), source=source, level=F.col("level"), message=message, raw=raw,
                   matched_rules=F.array("rule"), tags=tags, is_anomaly=True,
                   anomaly_score=F.when(F.col("level") == "WARNING", 0.85).otherwise(0.95))
 
@@ -120,7 +131,7 @@ def from_processes(df: DataFrame) -> DataFrame:
 def from_files(df: DataFrame, ts: Column) -> DataFrame:
     message = F.format_string("FIM [%s] %s — %s", F.upper("change"), "path", "details")
     name = basename(F.col("path"))
-    return _entry(df, ts=ts, source=F.concat(F.lit("fim/"), name), level=F.col("level"), message=message,
+    return _entry(df, ["path", "old_sha256", "new_sha256", "old_mode", "new_mode"], ts=ts, source=F.concat(F.lit("fim/"), name), level=F.col("level"), message=message,
                   matched_rules=_tags("File Integrity Violation"),
                   tags=F.array(F.lit("fim"), F.col("change"), F.concat(F.lit("file:"), name)),
                   category="fim", filepath=F.col("path"),
@@ -130,7 +141,7 @@ def from_files(df: DataFrame, ts: Column) -> DataFrame:
 
 def from_chains(df: DataFrame) -> DataFrame:
     """Entries of fired chains; they carry the chain as technique and skip rules and scoring."""
-    return _entry(df, ts=F.col("ts"), source=_prefixed("correlation/", "key"), level=F.col("severity"),
+    return _entry(df, ["chain", "key"], ts=F.col("ts"), source=_prefixed("correlation/", "key"), level=F.col("severity"),
                   message=F.col("summary"), matched_rules=F.array("chain"),
                   tags=F.concat(_tags("correlated", "multi-stage"),
                                 F.transform("tactics", lambda t: F.concat(F.lit("tactic:"), t))),

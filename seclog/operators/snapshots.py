@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seclog import refdata as R
 from seclog.functions import net
 from seclog.functions.text import cut, lookup, octal_mode, rx
-from seclog.operators.cooldown import passing_instants
+from seclog.operators.cooldown import group_starts, passing_instants, whole_groups
 from seclog.operators.rates import MICROS
 
 CONNECTION_KEY = ["laddr_ip", "laddr_port", "raddr_ip", "raddr_port", "pid"]
@@ -102,51 +101,143 @@ def active_connections(snapshots: DataFrame, limit: int = 200) -> DataFrame:
         .orderBy("raddr", "laddr", "pid", "status", "proc").limit(limit))
 
 
-def _beacon_walk(window_us: int, keep: int | None, least: int):
-    """Per remote address: replay the snapshots and clear the history after each hit."""
+class _Arrivals:
+    """Arrivals of many addresses, one row per address and instant, and the regularity of any stretch of them.
 
-    def run(key, pdf):
-        pdf = pdf.sort_values("us")
-        recent: list[int] = []
-        hits = []
-        for us, fresh in zip(pdf["us"].tolist(), pdf["n"].tolist()):
-            recent += [us] * fresh
-            recent = recent if keep is None else recent[-keep:]
-            recent = [t for t in recent if t >= us - window_us]
-            if len(recent) < least:
+    ``first`` marks the first row of each address, ``n`` counts the arrivals of a row. Sums of
+    gaps and of their squares come from running totals, so a stretch costs the same however long it is.
+    """
+
+    def __init__(self, us: np.ndarray, n: np.ndarray, first: np.ndarray, keep: int | None, least: int):
+        self.us, self.keep, self.least = us, keep, least
+        self.upto = np.cumsum(n)  # arrivals up to and with each row
+        rows = np.flatnonzero(n > 0)
+        gaps = np.diff(us[rows], prepend=us[rows[:1]])
+        # Whole numbers that may run over: differences within a window don't.
+        self.gap = np.zeros(len(us), np.int64)
+        self.gap[rows] = gaps
+        self.squares = np.cumsum(self.gap.astype(np.uint64) ** 2)
+        self.head = np.maximum.accumulate(np.where(first, np.arange(len(us)), 0))  # first row of the row's address
+
+    def stretch(self, at: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(arrivals, row of the first, row of the last) from row ``start`` to row ``at``, the last ``keep`` of them."""
+        before = np.where(start > 0, self.upto[start - 1], 0)
+        count = self.upto[at] - before
+        count = count if self.keep is None else np.minimum(count, self.keep)
+        some = np.maximum(count, 1)
+        return count, np.searchsorted(self.upto, self.upto[at] - some, "right"), np.searchsorted(self.upto, self.upto[at] - 1, "right")
+
+    def regular(self, at: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Whether the stretch is a beacon: enough arrivals, less than 120 s apart, deviation below a quarter of the mean."""
+        count, begin, end = self.stretch(at, start)
+        steps = np.maximum(count - 1, 1).astype(np.longdouble)
+        length = (self.us[end] - self.us[begin]).astype(np.longdouble)
+        spread = np.maximum((self.squares[end] - self.squares[begin]).astype(np.longdouble) * steps - length ** 2, 0)  # (deviation * steps)^2
+        return (count >= max(self.least, 2)) & (length > 0) & (length < 120 * MICROS * steps) & (16 * spread < length ** 2)
+
+    def figures(self, at: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(arrivals, mean gap, its deviation) in seconds."""
+        count, begin, end = self.stretch(at, start)
+        steps, size = count - 1, end - begin
+        mean = (self.us[end] - self.us[begin]) / MICROS / steps
+        rows = np.repeat(begin + 1 - np.cumsum(size) + size, size) + np.arange(size.sum())
+        rows, own = rows[self.gap[rows] > 0], np.repeat(np.arange(len(at)), size)[self.gap[rows] > 0]
+        away = np.bincount(own, (self.gap[rows] / MICROS - mean[own]) ** 2, len(at))
+        zero = steps - np.bincount(own, minlength=len(at))  # arrivals at the instant of the one before
+        return count, mean, np.sqrt((away + zero * mean ** 2) / steps)
+
+
+def _beacon_scan(group: list[str], window_us: int, keep: int | None, least: int):
+    """Hits of all addresses of a batch: a hit clears its address's history.
+
+    For every row, as if it were a hit, the next hit is looked for: among the rows whose window
+    still reaches back to it, step by step for all rows at once, then the first later row that is regular
+    over its whole window. Hits are the rows that the first ones lead to.
+    """
+
+    def run(batches):
+        for pdf in whole_groups(batches, group):
+            first = group_starts(pdf, group)
+            us, rows = pdf["us"].to_numpy(), np.arange(len(pdf))
+            a = _Arrivals(us, pdf["n"].to_numpy(), first, keep, least)
+            close = np.append(np.flatnonzero(first)[1:], len(pdf))[np.cumsum(first) - 1]  # one behind the address's last row
+            low = _reach(us, a.head, window_us)
+            plain = np.append(a.regular(rows, low), True)  # regular with no hit near; a stop at the end
+            later = np.minimum.accumulate(np.where(plain, np.arange(len(pdf) + 1), len(pdf))[::-1])[::-1]
+            follow = np.full(len(pdf) + 1, len(pdf))
+            open_rows, far = rows, 1
+            while len(open_rows):
+                at = open_rows + far
+                inside = at < close[open_rows]
+                inside[inside] = low[at[inside]] <= open_rows[inside]
+                done = open_rows[~inside]
+                follow[done] = later[np.minimum(done + far, len(pdf))]
+                open_rows, at = open_rows[inside], at[inside]
+                hit = a.regular(at, np.maximum(low[at], open_rows + 1))
+                follow[open_rows[hit]] = at[hit]
+                open_rows, far = open_rows[~hit], far + 1
+            follow[:-1][follow[:-1] >= close] = len(pdf)
+            heads = later[np.flatnonzero(first)]
+            heads = heads[heads < close[np.flatnonzero(first)]]
+            hits = _led_to(heads, follow)
+            if not len(hits):
                 continue
-            gaps = np.diff(np.array(recent, dtype="int64")) / MICROS
-            mean, std = float(gaps.mean()), float(gaps.std())
-            if 0 < mean < 120 and std / mean < 0.25:
-                hits.append((key[0], us, len(recent), mean, std))
-                recent = []
-        return pd.DataFrame(hits, columns=["raddr_ip", "us", "connections", "mean_s", "std_s"])
+            before = np.append(-1, hits[:-1])  # the hit before, if it is the same address's
+            start = np.maximum(low[hits], np.where(before >= a.head[hits], before + 1, 0))
+            count, mean, std = a.figures(hits, start)
+            yield pdf.iloc[hits][[*group, "us"]].assign(connections=count, mean_s=mean, std_s=std)
 
     return run
 
 
+def _reach(us: np.ndarray, head: np.ndarray, window_us: int) -> np.ndarray:
+    """First row of the same address inside each row's window, from sorted rows."""
+    heads = np.unique(head)
+    low = np.empty(len(us), np.int64)
+    for a, b in zip(heads, np.append(heads[1:], len(us))):  # one search per address
+        low[a:b] = a + np.searchsorted(us[a:b], us[a:b] - window_us, "left")
+    return low
+
+
+def _led_to(heads: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """All rows that ``heads`` lead to, sorted: jumps of 1, 2, 4, ... steps; the last number is the end."""
+    end = len(follow) - 1
+    follow[end] = end
+    jumps = [follow]
+    while len(heads) and (jumps[-1][heads] != end).any():
+        jumps.append(jumps[-1][jumps[-1]])
+    on = np.zeros(len(follow), bool)
+    on[heads] = True
+    for jump in reversed(jumps):
+        on[jump[np.flatnonzero(on)]] = True
+    on[end] = False
+    return np.flatnonzero(on)
+
+
 def beacons(new: DataFrame, clock: DataFrame, window_seconds: int = 300, keep: int | None = None, least: int = 5) -> DataFrame:
-    """External addresses contacted at regular intervals, tested at every snapshot.
+    """External addresses contacted at regular intervals, tested at every snapshot, for each host if there are several.
 
-    Input of the walk is one row per address and snapshot, so a busy address costs no more
+    Input of the scan is one row per address and snapshot, so a busy address costs no more
     rows than there are snapshots. ``keep`` limits the arrivals remembered.
     """
-    window_us = window_seconds * MICROS
+    window_us, own = window_seconds * MICROS, scope(new)
+    group = own + ["raddr_ip"]
     bucket = lambda us: F.floor(us / F.lit(window_us)).cast("bigint")
     fresh = (new.filter(~net.is_private(F.col("raddr_ip")))
-             .groupBy("raddr_ip", F.unix_micros("snapshot_ts").alias("us"))
+             .groupBy(*group, F.unix_micros("snapshot_ts").alias("us"))
              .agg(F.count(F.lit(1)).alias("n")))
     # A snapshot is tested for an address if it had a new connection within the window.
-    spans = fresh.select("raddr_ip", F.col("us").alias("seen"), F.explode(
+    spans = fresh.select(*group, F.col("us").alias("seen"), F.explode(
         F.array(bucket(F.col("us")), bucket(F.col("us")) + 1)).alias("_b"))
-    instants = clock.select(F.unix_micros("snapshot_ts").alias("us")).withColumn("_b", bucket(F.col("us")))
-    probes = (spans.join(instants, "_b")
+    instants = clock.select(*own, F.unix_micros("snapshot_ts").alias("us")).withColumn("_b", bucket(F.col("us")))
+    probes = (spans.join(instants, own + ["_b"])
               .filter((F.col("us") >= F.col("seen")) & (F.col("us") <= F.col("seen") + window_us))
-              .select("raddr_ip", "us", F.lit(0).cast("bigint").alias("n")))
-    rows = fresh.unionByName(probes).groupBy("raddr_ip", "us").agg(F.max("n").alias("n"))
-    return rows.groupBy("raddr_ip").applyInPandas(
-        _beacon_walk(window_us, keep, least),
-        "raddr_ip string, us bigint, connections bigint, mean_s double, std_s double")
+              .select(*group, "us", F.lit(0).cast("bigint").alias("n")))
+    rows = fresh.unionByName(probes).groupBy(*group, "us").agg(F.max("n").alias("n"))
+    kinds = dict(rows.dtypes)
+    return (rows.repartition(*group).sortWithinPartitions(*group, "us").mapInPandas(
+        _beacon_scan(group, window_us, keep, least),
+        ", ".join(f"{c} {kinds[c]}" for c in group) + ", us bigint, connections bigint, mean_s double, std_s double"))
 
 
 def processes(snapshots: DataFrame) -> DataFrame:
@@ -176,6 +267,11 @@ def with_parent(procs: DataFrame) -> DataFrame:
 
 def process_findings(procs: DataFrame) -> DataFrame:
     """First check that hits per process; the first snapshot only teaches."""
+    return judged_processes(with_parent(procs))
+
+
+def judged_processes(procs: DataFrame) -> DataFrame:
+    """Findings among processes of ``with_parent``."""
     bad = F.col("name").isin(R.BAD_PROCESSES) | F.lower("cmdline").rlike("|".join(R.BAD_PROCESSES))
     spawn = F.col("parent_name").isin(R.SUSPICIOUS_PARENTS) & F.col("name").isin(R.SUSPICIOUS_CHILDREN)
     check = (F.when(bad, "bad_process")
@@ -184,7 +280,7 @@ def process_findings(procs: DataFrame) -> DataFrame:
              .when(F.col("cpu") > R.CPU_THRESHOLD, "high_cpu"))
     rules = {"bad_process": "Malware Indicator", "tmp_execution": "Malware Indicator",
              "suspicious_spawn": "Reverse Shell Indicator", "high_cpu": "Suspicious Process"}
-    return (with_parent(procs).filter(F.col("prev_ts").isNotNull()).withColumn("finding", check)
+    return (procs.filter(F.col("prev_ts").isNotNull()).withColumn("finding", check)
             .filter(F.col("finding").isNotNull())
             .withColumns({"rule": lookup(rules, F.col("finding")),
                           "level": F.when(F.col("finding") == "high_cpu", "WARNING").otherwise("CRITICAL")})
@@ -192,9 +288,29 @@ def process_findings(procs: DataFrame) -> DataFrame:
 
 
 def fim_diff(baseline: DataFrame, current: DataFrame, emit_created: bool = False) -> DataFrame:
-    """Files that were modified, changed permissions, vanished or (optionally) appeared."""
-    old = baseline.select("path", *[F.col(c).alias("old_" + c) for c in ("sha256", "size", "mode")], F.lit(1).alias("_o"))
-    new = current.select("path", *[F.col(c).alias("new_" + c) for c in ("sha256", "size", "mode")], F.lit(1).alias("_n"))
+    """Files that were modified, changed permissions, vanished or (optionally) appeared.
+
+    Where both tables have a ``host`` column, a host's files are compared with its own baseline;
+    where both have ``snapshot_ts``, those of one instant.
+    """
+    key = [c for c in ("host", "snapshot_ts") if c in baseline.columns and c in current.columns] + ["path"]
+    old = baseline.select(*key, *[F.col(c).alias("old_" + c) for c in ("sha256", "size", "mode")], F.lit(1).alias("_o"))
+    new = current.select(*key, *[F.col(c).alias("new_" + c) for c in ("sha256", "size", "mode")], F.lit(1).alias("_n"))
+    return judged_files(old.join(new, key, "full_outer"), emit_created)
+
+
+def file_changes(snapshots: DataFrame) -> DataFrame:
+    """``fim_diff`` of each snapshot ([host], snapshot_ts, path, sha256, size, mode) with the one before; new files are learnt silently."""
+    own, order = scope(snapshots), W.partitionBy(*scope(snapshots)).orderBy("snapshot_ts")
+    clock = ticks(snapshots).withColumn("next_ts", F.lead("snapshot_ts").over(order))
+    known = (snapshots.join(clock, own + ["snapshot_ts"]).filter(F.col("next_ts").isNotNull())
+             .select(*own, F.col("next_ts").alias("snapshot_ts"), "path", "sha256", "size", "mode"))
+    current = snapshots.join(clock, own + ["snapshot_ts"]).filter(F.col("prev_ts").isNotNull()).select(*own, "snapshot_ts", "path", "sha256", "size", "mode")
+    return fim_diff(known, current)
+
+
+def judged_files(pairs: DataFrame, emit_created: bool = False) -> DataFrame:
+    """What happened to files, from their old and new state (old_*, new_*; _o and _n tell which of them exist)."""
     change = (F.when(F.col("_n").isNull(), "deleted")
               .when(F.col("_o").isNull(), F.lit("created") if emit_created else F.lit(None))
               .when(F.col("old_sha256") != F.col("new_sha256"), "modified")
@@ -205,7 +321,7 @@ def fim_diff(baseline: DataFrame, current: DataFrame, emit_created: bool = False
                       F.concat(F.lit("mode "), octal_mode(F.col("old_mode")), F.lit("→"), octal_mode(F.col("new_mode"))))
                .when(F.col("_n").isNotNull(), shown("new_sha256", "new_hash="))
                .otherwise(shown("old_sha256", "old_hash=")))
-    return (old.join(new, "path", "full_outer").withColumn("change", change).filter(F.col("change").isNotNull())
+    return (pairs.withColumn("change", change).filter(F.col("change").isNotNull())
             .withColumns({"level": F.when(critical, "CRITICAL").otherwise("WARNING"), "details": details})
             .drop("_o", "_n"))
 

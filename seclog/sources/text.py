@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from seclog import refdata as R
 from seclog.functions.text import emit, lookup, parse_iso, parse_level, rx
 from seclog.schema import complete
+from seclog.sources import captures
 
 COPIES_PER_TASK = 10_000
 
@@ -139,7 +140,11 @@ def parse_unified_log(documents: DataFrame, as_of, max_items: int | None = None,
     items = F.from_json(F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text), "array<string>")
     if max_items is not None:
         items = F.slice(items, 1, max_items)
-    rows = documents.select("*", F.posexplode(items).alias("item_no", "_json")).drop(column)
+    return _unified_items(documents.select("*", F.posexplode(items).alias("item_no", "_json")).drop(column), as_of)
+
+
+def _unified_items(rows: DataFrame, as_of) -> DataFrame:
+    """Entry columns of items (_json); items that are no objects are dropped."""
     parsed = F.from_json("_json", UNIFIED_ITEM)
     item = emit(rows, parsed.isNotNull(), {"_o": parsed})
     process = F.coalesce("_o.process", F.lit("unknown"))
@@ -153,20 +158,28 @@ def parse_unified_log(documents: DataFrame, as_of, max_items: int | None = None,
 
 
 def read_unified_log(spark: SparkSession, path: str, as_of, max_items: int | None = None) -> DataFrame:
-    """One capture per file, as the tool writes it."""
-    files = spark.read.text(path, wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("file"))
-    parsed = parse_unified_log(files, as_of, max_items)
-    return complete(parsed.withColumn("id", entry_id("file", "item_no", "raw")))
+    """Captures as the tool writes them, of any size: the items of a file are found by many tasks.
+
+    An item that is no valid JSON is lost alone.
+    """
+    items = captures.json_objects(spark, path)
+    if max_items is not None:
+        items = items.filter(F.col("item_no") < max_items)
+    # Their JSON text without the blanks between its parts, as items of an array have it.
+    json = F.from_json(F.concat(F.lit("["), F.make_valid_utf8("text"), F.lit("]")), "array<string>")
+    rows = items.select("file", "item_no", F.try_element_at(json, F.lit(1)).alias("_json"))
+    return complete(_unified_items(rows, as_of).withColumn("id", entry_id("file", "item_no", "raw")))
 
 
 def parse_wevt_text(documents: DataFrame, channel: Column | str, as_of, column: str = "value") -> DataFrame:
     """Windows event text: records start at a line 'Event[', the last value of a key counts."""
+    records = captures.record_texts(F.col(column))
+    return _event_fields(documents.select("*", F.posexplode(records).alias("item_no", "_record")).drop(column), channel, as_of)
+
+
+def _event_fields(rows: DataFrame, channel: Column | str, as_of) -> DataFrame:
+    """Entry columns of event records (_record)."""
     channel = F.lit(channel) if isinstance(channel, str) else channel
-    # Every line trimmed, then cut into records at the start markers.
-    text = F.regexp_replace(F.make_valid_utf8(F.col(column)), r"(?dm)^[ \t\r]+|[ \t\r]+$", "")
-    records = F.split(F.concat(F.lit("\n"), text), r"\nEvent\[[^\n]*")
-    rows = documents.select("*", F.posexplode(records).alias("item_no", "_record")).drop(column)
 
     def value(key: str) -> Column:
         found = F.regexp_extract_all("_record", F.lit(r"(?dm)^" + key + r"[ \t]*:[ \t]*(.*)$"), F.lit(1))
@@ -184,8 +197,9 @@ def parse_wevt_text(documents: DataFrame, channel: Column | str, as_of, column:
 
 
 def read_wevt_text(spark: SparkSession, path: str, channel: str, as_of) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    return complete(parse_wevt_text(files, channel, as_of).withColumn("id", entry_id("file", "item_no", "raw")))
+    """Event text of any size: the records of a file are found by many tasks."""
+    rows = captures.event_records(spark, path).withColumnRenamed("record", "_record")
+    return complete(_event_fields(rows, channel, as_of).withColumn("id", entry_id("file", "item_no", "raw")))
 
 
 def from_winevents(events: DataFrame, per_channel: int | None = None) -> DataFrame:

@@ -24,16 +24,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back.
+def cut_lineage(df: DataFrame, *folders: str) -> DataFrame:
+    """Write to the shared folder, in folders by the columns ``folders``, and read back.
 
     Iterative operators stay small plans, survive lost executors, and later steps read
     only the columns they need.
     """
     spark = df.sparkSession
     path = "%s/seclog-%s" % (checkpoint_dir(spark).rstrip("/"), uuid.uuid4().hex)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def log_entries(spark: SparkSession, path: str) -> DataFrame:

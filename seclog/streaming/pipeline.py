@@ -11,12 +11,18 @@ than that sees less, and a batch re-run is the repair.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from seclog import refdata as R
 from seclog.functions.technique import with_technique
-from seclog.operators import alerts as A, correlate as C, findings, rates, scans
-from seclog.operators.annotate import annotate, with_channel
+from seclog.operators import alerts as A, correlate as C, dns as D, findings, forest as FO, rates, scans
+from seclog.operators.annotate import annotate, apply_rules, with_channel
 from seclog.operators.rates import MICROS
 from seclog.schema import complete
 from seclog.sources.text import number_copies, parse_syslog, trimmed_lines, with_ids
@@ -30,6 +36,9 @@ STATE = {
     "tactics": "id string, ts timestamp, source string, src_ip string, platform string, mitre_tactic string",
     "fires": "key string, chain_no int, last_us bigint",
     "alerts": "rule_name string, source string, last_us bigint",
+    "queries": "id string, ts timestamp, domain string, client string, is_nxdomain boolean",
+    "dns": "signal string, key string, last_us bigint",
+    "model": "version int",
 }
 
 
@@ -48,6 +57,11 @@ class StatePath:
             return self.spark.createDataFrame([], ddl)
         return self.spark.read.schema(ddl).parquet("%s/%s/v=%d" % (self.root, name, version))
 
+    def find(self, name: str, version: int) -> DataFrame | None:
+        """A version if it was written to its end."""
+        done = self.spark._jvm.org.apache.hadoop.fs.Path("%s/%s/v=%d/_SUCCESS" % (self.root, name, version))
+        return self.read(name, version) if done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done) else None
+
     def write(self, name: str, df: DataFrame, version: int) -> None:
         fields = [part.strip().split(" ")[0] for part in STATE[name].split(",")]
         df.select(fields).write.mode("overwrite").parquet("%s/%s/v=%d" % (self.root, name, version))
@@ -85,48 +99,103 @@ def chains_batch(state: StatePath, entries: DataFrame, batch_id: int, newest: in
     return fired
 
 
+def dns_batch(state: StatePath, entries: DataFrame, batch_id: int, newest: int) -> DataFrame:
+    """DNS findings of a micro-batch; keeps one window of queries, from which the rates follow, and the last findings."""
+    before, fired = state.read("queries", batch_id - 1), state.read("dns", batch_id - 1)
+    fresh = cut_lineage(D.queries_from(entries).select(before.columns))
+    known = cut_lineage(before.unionByName(fresh))
+    found = cut_lineage(D.dns_findings(known, carry=fired, only=fresh))
+    window = newest - (R.RATE_WINDOW_SECONDS + SLACK_SECONDS) * MICROS
+    state.write("queries", known.filter(F.unix_micros("ts") >= window), batch_id)
+    state.write("dns", _last_per_key(fired, found.withColumn("last_us", F.unix_micros("ts")), ["signal", "key"], newest, R.DNS_COOLDOWN_SECONDS), batch_id)
+    return found
+
+
 class EntryStream:
-    """Annotates a stream of entries and raises alerts, with results under ``out``."""
+    """Annotates a stream of entries and raises alerts, with results under ``out``.
 
-    def __init__(self, spark: SparkSession, state_dir: str, out: str, rules=R.RULES, chains=R.CHAINS):
-        self.state, self.out = StatePath(spark, state_dir), out.rstrip("/")
-        self.rules, self.chains = rules, chains
+    ``monitors`` says that the stream holds entries of host monitors (``monitors.monitor_entries``),
+    which keep a higher preset score, ``dns`` that names and rates in the log text are judged, as in
+    ``run_pipeline``. ``forest`` is a folder of published models (``forest.publish_forest``): a batch is
+    scored by the version that was the newest when it was first tried; a new version takes
+    over between batches. Entries lie by batch, day and category.
+    """
 
-    def process(self, entries: DataFrame, batch_id: int) -> None:
+    def __init__(self, spark: SparkSession, state_dir: str, out: str, rules=R.RULES, chains=R.CHAINS, monitors: bool = False,
+                 dns: bool = False, forest: str | None = None):
+        self.state, self.out = StatePath(spark, state_dir), out.rstrip("/")
+        self.rules, self.chains, self.monitors, self.dns, self.forest = rules, chains, monitors, dns, forest
+
+    def _model(self, batch_id: int) -> int | None:
+        """The model version of this batch; a repeated batch takes the one it took before."""
+        chosen = self.state.find("model", batch_id)
+        if chosen is None:
+            version = FO.newest_forest(self.state.spark, self.forest)
+            self.state.write("model", self.state.spark.createDataFrame([(version,)], STATE["model"]), batch_id)
+            return version
+        return chosen.first().version
+
+    def process(self, entries: DataFrame, batch_id: int, sockets: DataFrame | None = None) -> None:
+        """One micro-batch of entries, and of attempts read from socket captures."""
         state = self.state
         rows = cut_lineage(complete(entries).dropDuplicates(["id"]))
         moments = rows.select(F.unix_micros("ts").alias("us")).unionByName(state.read("clock", batch_id - 1))
+        if sockets is not None:
+            sockets = cut_lineage(sockets)
+            moments = moments.unionByName(sockets.select(F.unix_micros("ts").alias("us")))
         newest = moments.agg(F.coalesce(F.max("us"), F.lit(0)).alias("us")).first().us
         history = state.read("rates", batch_id - 1)
-        noted = cut_lineage(annotate(rows, self.rules, history=history))
+        version = None if self.forest is None else self._model(batch_id)
+        scores = None if version is None else FO.published_scores(FO.feature_rows(apply_rules(rows, self.rules)), self.forest, version)
+        noted = cut_lineage(annotate(rows, self.rules, preserve_preset=self.monitors, history=history, forest=scores))
         state.write("rates", rates.rate_history(rows, history, R.RATE_WINDOW_SECONDS + SLACK_SECONDS), batch_id)
 
         fired = chains_batch(state, noted, batch_id, newest, self.chains)
         links = noted.filter((F.col("category") == "network") & (F.col("src_ip") != "") & (F.col("dst_port") != 0))
-        attempts = scans.scan_attempts(scans.log_attempts(noted.filter(F.col("category") == "log")),
-                                       scans.connection_attempts(links))
-        found = port_scans_batch(state, attempts, batch_id, newest)
-        extra = cut_lineage(with_technique(findings.from_port_scans(found)).unionByName(findings.from_chains(fired)))
+        logs = noted.filter(F.col("category") == "log")
+        feeds = [scans.log_attempts(logs), scans.connection_attempts(links)]
+        attempts = scans.scan_attempts(*feeds, *([] if sockets is None else [sockets.select(feeds[0].columns)]))
+        found = findings.from_port_scans(port_scans_batch(state, attempts, batch_id, newest))
+        if self.dns:
+            found = found.unionByName(findings.from_dns(dns_batch(state, logs, batch_id, newest)))
+        extra = cut_lineage(with_technique(found).unionByName(findings.from_chains(fired)))
         everything = noted.unionByName(extra)
 
         before = state.read("alerts", batch_id - 1)
         alerts = cut_lineage(A.alerts_from(everything, carry=before))
         state.write("alerts", _last_per_key(before, alerts.withColumn("last_us", F.unix_micros("ts")), ["rule_name", "source"],
                                             newest, R.ALERT_COOLDOWN_SECONDS), batch_id)
-        with_channel(everything).write.mode("overwrite").parquet("%s/entries/batch=%d" % (self.out, batch_id))
+        (with_channel(everything).withColumn("event_date", F.to_date("ts")).write.mode("overwrite").partitionBy("event_date", "category")
+         .parquet("%s/entries/batch=%d" % (self.out, batch_id)))
         alerts.write.mode("overwrite").parquet("%s/alerts/batch=%d" % (self.out, batch_id))
         state.write("clock", state.spark.range(1).select(F.lit(newest).cast("bigint").alias("us")), batch_id)
 
-    def start(self, entries: DataFrame, checkpoint: str, **trigger):
-        """Run over a streaming DataFrame of entries; default trigger 250 milliseconds."""
-        return (entries.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
+    def start(self, entries: DataFrame, checkpoint: str, sockets: DataFrame | None = None, once: bool = False, **trigger):
+        """Run over a streaming DataFrame of entries, and one of socket attempts; default trigger 250 milliseconds.
+
+        ``once`` drops entries whose id any earlier batch had. The state store then holds every id for as
+        long as the query lives; batch appends by ``EntryTable`` need no such state.
+        """
+        rows = complete(entries)
+        rows = rows.dropDuplicates(["id"]) if once else rows
+        both = rows.select(F.struct(*rows.columns).alias("entry"))
+        kind = StructType.fromDDL(STATE["attempts"])
+        if sockets is not None:
+            both = both.unionByName(sockets.select(F.struct(*kind.names).cast(kind).alias("attempt")), allowMissingColumns=True)
+
+        def step(batch: DataFrame, batch_id: int) -> None:
+            stored = batch if sockets is None else cut_lineage(batch)
+            self.process(stored.filter("entry IS NOT NULL").select("entry.*"), batch_id,
+                         None if sockets is None else stored.filter("attempt IS NOT NULL").select("attempt.*"))
+
+        return (both.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
                 .trigger(**(trigger or {"processingTime": "250 milliseconds"})).start())
 
 
 def tail_text(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """New lines of a log folder as a stream: (value, file).
+    """Lines of a folder of closed segments as a stream: (value, file).
 
-    The file source reads each file once, so a log must arrive in closed segments.
+    The file source reads each file once, when it appears; ``sources.tail`` follows files that grow.
     """
     reader = spark.readStream.format("text")
     if max_files is not None:
@@ -136,14 +205,46 @@ def tail_text(spark: SparkSession, path: str, max_files: int | None = None) -> D
 
 def syslog_entries(lines: DataFrame, year: int, as_of, name: str) -> DataFrame:
     """Entries of one micro-batch of tailed lines, with the ids that a batch read of the same files gives."""
-    copies = number_copies(trimmed_lines(lines), ["file", "value"])
-    return complete(with_ids(parse_syslog(copies, year, as_of, name)))
+    numbered = lines if "occurrence" in lines.columns else number_copies(trimmed_lines(lines), ["file", "value"])
+    return complete(with_ids(parse_syslog(numbered, year, as_of, name)))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal lines of a batch as one row, so that a line that fills the log travels once a batch."""
+    for batch in batches:
+        yield from pa.table(batch).group_by(["file", "value"]).aggregate([([], "count_all")]).rename_columns(["file", "value", "n"]).to_batches()
+
+
+def _numbered(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    first = state.get[0] if state.exists else 0
+    for pdf in batches:
+        ends = first + pdf["n"].cumsum()
+        yield pd.DataFrame({"file": pdf["file"], "value": pdf["value"], "first": ends - pdf["n"] + 1, "n": pdf["n"]})
+        first = int(ends.iloc[-1])
+    state.update((first,))
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """``number_copies`` on a stream of lines (value, file): each line's number among the equal lines of its file.
+
+    The state is one count for each different line of a file, for as long as the query lives
+    (RocksDB keeps it on disk). Equal lines are counted before they are shuffled; their rows are written out after.
+    """
+    few = trimmed_lines(lines).select("file", "value").mapInArrow(_counted, "file string, value string, n long")
+    rows = (few.withColumn("line", F.unhex(F.md5("value"))).groupBy("file", "line")
+            .applyInPandasWithState(_numbered, "file string, value string, first long, n long", "n long", "append", GroupStateTimeout.NoTimeout))
+    return rows.select("file", "value", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("occurrence"))
 
 
 def start_tail(lines: DataFrame, target: EntryStream, year: int, as_of, name: str, checkpoint: str, **trigger):
-    """Tail syslog segments through the pipeline; default trigger 30 seconds."""
+    """Tail syslog through the pipeline; default trigger 30 seconds.
+
+    Lines of ``sources.tail`` (with ``position``) are numbered over the whole file, so ids are those
+    of a batch read however the file was cut into triggers. Closed segments are whole in their batch.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
         target.process(syslog_entries(batch, year, as_of, name), batch_id)
 
-    return (lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    rows = number_lines(lines) if "position" in lines.columns else lines
+    return (rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "30 seconds"})).start())
