@@ -83,3 +83,64 @@ def test_tail(spark, tmp_path):
     assert entries.filter("category = 'portscan'").count() == 1
     alerts = {r.rule_name for r in spark.read.parquet(out + "/alerts").collect()}
     assert {"SSH Brute Force", "Failed Login", "Port Scan Detected"} <= alerts
+
+
+def test_all_feeds_of_the_stream_equal_the_batch(spark, sf, tmp_path):
+    """Forest scores of a published model, DNS findings, socket attempts and monitors' entries."""
+    from checks.detect import monitors, socket_feed
+    from seclog.operators import annotate as A, forest as FO
+    from seclog.schema import complete
+
+    rows, found, sockets = registry.entries(spark, sf), monitors(spark, sf), socket_feed(spark, sf)
+    everything = complete(rows).unionByName(found).dropDuplicates(["id"])
+    features = FO.feature_rows(A.apply_rules(everything))
+    model = FO.retrain(features)
+    scores = FO.forest_scores(features, model.forest, model.training, model.sample)
+    FO.publish_forest(model, str(tmp_path / "models"), 3, "2024-01-01")
+    batch = run_pipeline(rows, forest=scores, monitors=(found,), sockets=sockets, dns=True)
+
+    write_in_order(everything, str(tmp_path / "in"))
+    stream = spark.readStream.schema(everything.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sockets.write.parquet(str(tmp_path / "sockets"))
+    attempts = spark.readStream.schema(sockets.schema).parquet(str(tmp_path / "sockets"))
+    target = EntryStream(spark, str(tmp_path / "state"), str(tmp_path / "out"), monitors=True, dns=True, forest=str(tmp_path / "models"))
+    target.start(stream, str(tmp_path / "cp"), sockets=attempts, availableNow=True).awaitTermination()
+
+    columns = ["source", "ts", "level", "message", "is_anomaly", "anomaly_score", "mitre_technique_id", "channel"]
+    got, want = spark.read.parquet(str(tmp_path / "out/entries")).select(columns), batch.entries.dropDuplicates(["id"]).select(columns)
+    assert want.filter("source = 'dns-monitor'").count() > 0 and want.filter("anomaly_score > 0.3 and not is_anomaly").count() > 0
+    assert got.exceptAll(want).collect() == [] and got.count() == want.count()
+
+
+def test_models_are_swapped_between_batches(spark, sf, tmp_path):
+    from seclog.operators import forest as FO
+
+    rows = registry.entries(spark, sf)
+    model, path = FO.retrain(FO.feature_rows(rows)), str(tmp_path / "models")
+    target = EntryStream(spark, str(tmp_path / "state"), str(tmp_path / "out"), forest=path)
+    assert FO.newest_forest(spark, path) is None and target._model(0) is None
+    FO.publish_forest(model, path, 0, "2024-01-01", threshold=-2.0)
+    assert target._model(0) is None  # a repeated batch keeps its choice
+    assert target._model(1) == 0
+    FO.publish_forest(model, path, 1, "2024-01-02", threshold=0.0)
+    assert target._model(1) == 0 and target._model(2) == 1
+    some = rows.limit(20)
+    for batch_id, flagged in ((1, 0), (2, 20)):
+        target.process(some, batch_id)
+        got = spark.read.parquet(str(tmp_path / f"out/entries/batch={batch_id}"))
+        assert got.filter("source NOT LIKE 'portscan%' AND source NOT LIKE 'correlation%' AND is_anomaly").count() >= flagged
+    assert not spark.read.parquet(str(tmp_path / "out/entries/batch=1")).filter("is_anomaly AND anomaly_score < 0.9 AND category = 'log'").count()
+
+
+def test_repeats_across_batches_vanish(spark, sf, tmp_path):
+    rows = registry.entries(spark, sf)
+    folder = str(tmp_path / "in")
+    for _ in range(2):
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    target = EntryStream(spark, str(tmp_path / "state"), str(tmp_path / "out"))
+    target.start(stream, str(tmp_path / "cp"), once=True, availableNow=True).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out/entries"))
+    assert got.filter("source NOT LIKE 'portscan%' AND source NOT LIKE 'correlation%'").count() == rows.select("id").distinct().count()
+    plan = got.filter("event_date = DATE'2024-01-01' AND category = 'log'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
