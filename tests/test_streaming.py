@@ -125,7 +125,7 @@ def test_models_are_swapped_between_batches(spark, sf, tmp_path):
     FO.publish_forest(model, path, 1, "2024-01-02", threshold=0.0)
     assert target._model(1) == 0 and target._model(2) == 1
     some = rows.limit(20)
-    for batch_id, flagged in ((1, 0), (2, 20)):
+    for batch_id, flagged in ((0, 0), (1, 0), (2, 20)):
         target.process(some, batch_id)
         got = spark.read.parquet(str(tmp_path / f"out/entries/batch={batch_id}"))
         assert got.filter("source NOT LIKE 'portscan%' AND source NOT LIKE 'correlation%' AND is_anomaly").count() >= flagged
