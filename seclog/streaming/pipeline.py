@@ -140,9 +140,7 @@ class EntryStream:
         state = self.state
         rows = cut_lineage(complete(entries).dropDuplicates(["id"]))
         moments = rows.select(F.unix_micros("ts").alias("us")).unionByName(state.read("clock", batch_id - 1))
-        if sockets is not None:
-            sockets = cut_lineage(sockets)
-            moments = moments.unionByName(sockets.select(F.unix_micros("ts").alias("us")))
+        sockets = None if sockets is None else cut_lineage(sockets)  # the entries are the clock: captures may run ahead of them
         newest = moments.agg(F.coalesce(F.max("us"), F.lit(0)).alias("us")).first().us
         history = state.read("rates", batch_id - 1)
         version = None if self.forest is None else self._model(batch_id)

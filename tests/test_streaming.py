@@ -101,8 +101,9 @@ def test_all_feeds_of_the_stream_equal_the_batch(spark, sf, tmp_path):
 
     write_in_order(everything, str(tmp_path / "in"))
     stream = spark.readStream.schema(everything.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    sockets.write.parquet(str(tmp_path / "sockets"))
-    attempts = spark.readStream.schema(sockets.schema).parquet(str(tmp_path / "sockets"))
+    for part in (*[sockets.limit(0)] * (PARTS - 1), sockets):  # their instant is the last
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "sockets"))
+    attempts = spark.readStream.schema(sockets.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "sockets"))
     target = EntryStream(spark, str(tmp_path / "state"), str(tmp_path / "out"), monitors=True, dns=True, forest=str(tmp_path / "models"))
     target.start(stream, str(tmp_path / "cp"), sockets=attempts, availableNow=True).awaitTermination()
 
