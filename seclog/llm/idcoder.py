@@ -1,18 +1,23 @@
 """Adaptive context-mixing range coder for token ids, over many independent blocks at once.
 
-A block holds up to ``BLOCK`` ids and starts from an empty model. For each id three
+A segment's header lists its ids and how often each occurs. A block holds up to ``BLOCK`` ids
+and starts from that table alone, so it stands by itself given the header. For each id three
 predictors are mixed: the id that last followed the same two ids, the id that last followed
-the same id, and the adaptive frequencies of the block's ids so far (high part, and low part
-given the class of the high part). The mixing weights are counts of which predictor was
-right before, kept for each pair of the two predictions' confidences. The mixture drives a
-64-bit range coder that puts out 32-bit words; carries are settled at the end.
+the same id, and order 0. Order 0 codes the id's class (one for each of the ``OWN`` most
+frequent ids, the rest by rank, of like weight) with frequencies that adapt to the block's
+own ids, then the id inside its class. The mixture's shares adapt to how often each
+predictor was right in the block, for each pair of the two predictions' confidences. The
+mixture drives a 64-bit range coder that puts out 32-bit words; carries are settled at the
+end.
 
 All blocks of a segment are coded in step: step t handles id t of every block with numpy, so
-the cost of an operation is shared by as many ids as there are blocks. Order-0 tables are
-made anew every ``EPOCH`` ids.
+the cost of an operation is shared by as many ids as there are blocks. What adapts is counted
+anew after ``RENEWALS`` ids, then every ``EPOCH`` ids; the two predictors change with each id.
 
-A coded segment is: the header (magic, ids, blocks), a directory of (ids, words, crc32 of the
-ids as little-endian 32-bit numbers) for each block, then the blocks' words.
+A coded segment is: magic, ids, blocks, distinct ids, bytes of the packed header, crc32 of
+these numbers' last four and the packed header; the header (ids as 16-bit, counts as 32-bit
+numbers, deflated); a directory of (ids, words, crc32 of the ids as little-endian 32-bit
+numbers) for each block; the blocks' words. No ids make a segment without blocks.
 """
 
 from __future__ import annotations
@@ -22,111 +27,151 @@ import zlib
 
 import numpy as np
 
-MAGIC = 0x43494458
-BLOCK, EPOCH = 2048, 512
-SLOTS = 512  # places of a context's hash table
-MIX_BITS, ID_BITS = 10, 11
-LOW_CLASSES = np.array([0, 0, 1, 1] + [2] * 12 + [3] * 240, np.int64)
-GROUPS = 5  # the high part, and the low part in four classes
-#: Ids are below 256 * 256.
+MAGIC = 0x32444943
+BLOCK, EPOCH, RENEWALS = 2048, 512, (32, 128, 512)
+SLOTS_BITS = 9  # places of a context's hash table
+MIX_BITS, CLASS_BITS, ID_BITS = 10, 11, 11
+CLASSES, OWN = 128, 64
+#: Ids are below this number, which stands for no prediction.
 IDS = 1 << 16
+#: Weights of the header's table against one id of the block: 256 ids.
+PRIOR, STEP = 4096, 16
 
-_U = np.uint64
+_U, _V = np.uint64, np.uint32
+_WHOLE_CLASS, _WHOLE_ID = _U(1 << CLASS_BITS << 16), _U(1 << ID_BITS << 16)
+_LOW16, _HIGH16 = _U(0xFFFF), _U(16)
+#: A block's first shares of order 2, order 1 and order 0 in 64, for each pair of confidences (0 to 3 of order 2, then of order 1).
+START = np.array([(0, 0, 64), (0, 2, 62), (0, 10, 54), (0, 32, 32), (6, 0, 58), (4, 2, 58), (4, 10, 50), (4, 24, 36),
+                  (40, 0, 24), (36, 2, 26), (30, 14, 20), (28, 18, 18), (60, 0, 4), (56, 1, 7), (48, 8, 8), (44, 12, 8)], np.int64)
+#: Outcomes that a pair of confidences allows: no share without a prediction.
+OPEN = np.array([(s >= 4, s % 4 > 0, True) for s in range(16)])
+
+
+class _Order0:
+    """Classes of ids by frequency, and the ids inside each: the same for all blocks of a segment."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        rank = np.lexsort((ids, -counts))
+        ids, counts = ids[rank].astype(np.int64), counts[rank].astype(np.int64)
+        n = len(ids)
+        classes = np.arange(n)
+        # by weight, and so that no class has more than 1 << ID_BITS ids
+        weight = counts[OWN:] * IDS // max(int(counts.sum()), 1) + 2
+        before = np.cumsum(weight) - weight
+        classes[OWN:] = OWN + before * (CLASSES - OWN) // max(int(weight.sum()), 1)
+        total = np.bincount(classes, counts, CLASSES).astype(np.int64)
+        self.prior = total * PRIOR // max(int(total.sum()), 1)
+        members = np.bincount(classes, minlength=CLASSES)
+        freq = 1 + counts * ((1 << ID_BITS) - members)[classes] // total[classes]
+        first = np.flatnonzero(np.diff(classes, prepend=-1))
+        freq[first] += (1 << ID_BITS) - np.add.reduceat(freq, first)
+        low = np.cumsum(freq) - freq & (1 << ID_BITS) - 1  # classes fill whole powers of two
+        self.classes = np.zeros(1 << 16, np.int64)
+        self.classes[ids] = classes
+        self.ranges = np.zeros(1 << 16, np.uint64)
+        self.ranges[ids] = low | freq << 16
+        self.symbol = np.zeros(CLASSES << ID_BITS, np.uint32)
+        place = np.unique(classes)
+        self.symbol.reshape(CLASSES, -1)[place] = np.repeat(ids, freq).reshape(len(place), -1)
 
 
 class _Model:
-    """State of all blocks: tables of predictions, mixing weights, and frequencies of the ids so far."""
+    """State of all blocks: tables of predictions, shares of the mixture, frequencies of classes."""
 
-    def __init__(self, n: int):
-        self.n = n
-        self.row = np.arange(n) * SLOTS
-        self.states = np.arange(n) * 16
-        self.group = np.arange(n) * GROUPS
-        self.two = np.zeros(n * SLOTS, np.uint32)  # id and confidence * IDS
-        self.one = np.zeros(n * SLOTS, np.uint32)
-        # weights of order 2, 1 and 0, 20 bits each, for each pair of confidences
-        start = [(w2 | w1 << 20 | 4 << 40) for w2 in (0, 1, 3, 8) for w1 in (0, 1, 3, 8)]
-        self.weights = np.tile(np.array(start, np.int64), n)
-        self.counts = np.zeros((n * GROUPS, 256), np.int32)
-        self.a = self.b = np.zeros(n, np.int64)  # the last id and the one before
+    def __init__(self, n: int, order0: _Order0, decoding: bool):
+        self.n, self.order0, self.decoding = n, order0, decoding
+        self.block = np.arange(n)
+        self.row = np.arange(n) << SLOTS_BITS
+        self.states, self.group, self.slots = self.block * 64, self.block * CLASSES, self.block << CLASS_BITS
+        self.two = np.full(n << SLOTS_BITS, IDS, np.uint32)  # id and confidence << 17
+        self.one = self.two.copy()
+        self.right = np.tile(START[None], (n, 1, 1))
+        self.counts = np.tile(order0.prior, (n, 1))
+        self.seen_class, self.seen_state = np.empty((EPOCH, n), np.uint8), np.empty((EPOCH, n), np.uint8)
+        self.last = np.zeros(n, np.uint32)
+        self.before = np.zeros(n, np.uint32)
+        self.since = 0
         self.tables()
 
-    def tables(self, ids: np.ndarray | None = None) -> None:
-        """Count ``ids`` (one row for each block), then make the frequencies, which add up to
-        2 ** ID_BITS in each group, with their running sums, and the symbol at each place."""
-        if ids is not None:
-            high = ids >> 8
-            at = (self.group[:, None] * 256 + high).ravel()
-            self.counts += np.bincount(at, minlength=self.counts.size).reshape(-1, 256)
-            at = ((self.group[:, None] + LOW_CLASSES[high] + 1) * 256 + (ids & 255)).ravel()
-            self.counts += np.bincount(at, minlength=self.counts.size).reshape(-1, 256)
-        total = (1 << ID_BITS) - 256
-        counts = self.counts
-        seen = counts.sum(axis=1, keepdims=True, dtype=np.int32)
-        freq = counts * np.int32(total) // np.maximum(seen, 1)
-        freq[np.arange(len(freq)), np.argmax(counts, axis=1)] += total - freq.sum(axis=1, dtype=np.int32)
-        freq[seen[:, 0] == 0] = total // 256
-        freq += 1
-        low = np.cumsum(freq, axis=1, dtype=np.int32) - freq
-        self.ranges = (low | freq << 16).astype(np.uint32).ravel()
-        self.symbol = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(freq)), freq.ravel())
+    def tables(self) -> None:
+        """Shares and frequencies from what was counted; they add up to 2 ** MIX_BITS and 2 ** CLASS_BITS."""
+        scale = (1 << MIX_BITS) - 3
+        share = (self.right * scale // self.right.sum(axis=2, keepdims=True) + 1) * OPEN
+        share[:, :, 2] += (1 << MIX_BITS) - share.sum(axis=2)
+        low = np.cumsum(share, axis=2) - share
+        mixed = np.zeros((len(share), 16, 4), np.uint64)
+        mixed[:, :, :3] = low | share << 16
+        self.mixed = mixed.ravel()
+        if self.decoding:
+            self.limits = (low[:, :, 1] | low[:, :, 2] << 16).astype(np.uint64).ravel()
+        freq = self.counts * ((1 << CLASS_BITS) - CLASSES) // np.maximum(self.counts.sum(axis=1, keepdims=True), 1) + 1
+        freq[self.block, np.argmax(freq, axis=1)] += (1 << CLASS_BITS) - freq.sum(axis=1)
+        self.ranges = (np.cumsum(freq, axis=1) - freq | freq << 16).astype(np.uint64).ravel()
+        if self.decoding:
+            self.symbol = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint8), len(freq)), freq.ravel())
+
+    def renew(self, t: int) -> None:
+        """At the start of step t: count what the last steps saw, where it is time."""
+        if not t or (t % EPOCH and t not in RENEWALS):
+            return
+        classes, states = self.seen_class[:t - self.since, :self.n], self.seen_state[:t - self.since, :self.n]
+        at = (self.block * (CLASSES + 1) + classes).ravel()
+        self.counts += np.bincount(at, minlength=self.n * (CLASSES + 1)).reshape(self.n, -1)[:, :CLASSES] * STEP
+        at = (self.states + states).ravel()
+        self.right += np.bincount(at, minlength=self.n * 64).reshape(self.n, 16, 4)[:, :, :3]
+        self.since = t
+        self.tables()
 
     def shrink(self, n: int) -> None:
         """Keep the first ``n`` blocks: those that still have ids."""
         self.n = n
-        self.row, self.states, self.group, self.a, self.b = self.row[:n], self.states[:n], self.group[:n], self.a[:n], self.b[:n]
-        self.two, self.one, self.weights = self.two[:n * SLOTS], self.one[:n * SLOTS], self.weights[:n * 16]
-        self.counts, self.ranges, self.symbol = self.counts[:n * GROUPS], self.ranges[:n * GROUPS * 256], self.symbol[:(n * GROUPS) << ID_BITS]
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Predictions, and shares of the mixture for order 2 and order 1, at the next id of each block."""
-        key = self.a * 40503
-        self.at1 = self.row + (key >> 5 & SLOTS - 1)
-        key += self.b * 30011
-        self.at2 = self.row + (key >> 5 & SLOTS - 1)
+        for name in ("block", "row", "states", "group", "slots", "right", "counts", "last", "before"):
+            setattr(self, name, getattr(self, name)[:n])
+
+    def predict(self) -> None:
+        """Predictions, and the pair of their confidences, at the next id of each block."""
+        key = self.last * _V(2654435761)
+        self.at1 = (key >> _V(32 - SLOTS_BITS)) + self.row
+        self.at2 = ((key ^ self.before) * _V(2246822519) >> _V(32 - SLOTS_BITS)) + self.row
+        self.before = self.last * _V(3266489917)
         self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
-        self.p2, self.p1 = self.e2 & np.uint32(0xFFFF), self.e1 & np.uint32(0xFFFF)
-        c2, c1 = self.e2 >> np.uint32(16), self.e1 >> np.uint32(16)
-        c1 *= self.p1 != self.p2
-        self.state = self.states + (c2 << np.uint32(2) | c1)
-        w = self.weights.take(self.state)
-        w2, w1 = w & 0xFFFFF, w >> 20 & 0xFFFFF  # 0 where there is no prediction
-        scale = ((1 << MIX_BITS) - 3) / (w2 + w1 + (w >> 40))  # the same double on both sides
-        return (w2 * scale).astype(np.uint64) + (c2 > 0), (w1 * scale).astype(np.uint64) + (c1 > 0)
-
-    def update(self, ids: np.ndarray, gain: np.ndarray) -> None:
-        """ids: 32 bits; gain: what the right predictor's weight grows by."""
-        self.weights[self.state] += gain
-        one = np.uint32(1)
-        for table, place, entry, guess in ((self.two, self.at2, self.e2, self.p2), (self.one, self.at1, self.e1, self.p1)):
-            sure = np.minimum((entry >> np.uint32(16)) * (guess == ids) + one, np.uint32(3))
-            table[place] = sure << np.uint32(16) | ids
-        self.b, self.a = self.a, ids.astype(np.int64)
-
-
-_LOW16 = np.uint32(0xFFFF)
-#: What a right prediction adds to the weights: order 2, order 1, order 0.
-_GAIN2, _GAIN1, _GAIN0 = 4, 4 << 20, 4 << 40
+        self.p2, self.p1 = self.e2 & _V(0x1FFFF), self.e1 & _V(0x1FFFF)
+        self.c2, self.c1 = self.e2 >> _V(17), self.e1 >> _V(17)
+        self.pair = (self.c2 << _V(2)) + self.c1 * (self.p1 != self.p2)
+
+    def update(self, t: int, ids: np.ndarray, classes: np.ndarray, states: np.ndarray) -> None:
+        """ids: 32 bits; classes: of ids of order 0, else CLASSES; states: 4 * pair + outcome."""
+        self.seen_class[t - self.since, :self.n] = classes
+        self.seen_state[t - self.since, :self.n] = states
+        fresh = ids | _V(1 << 17)
+        self.two[self.at2] = fresh + (np.minimum(self.c2, _V(2)) << _V(17)) * (self.p2 == ids)
+        self.one[self.at1] = fresh + (np.minimum(self.c1, _V(2)) << _V(17)) * (self.p1 == ids)
+        self.last = ids
 
 
 def encode(ids: np.ndarray) -> bytes:
     """Code ``ids`` as one segment."""
     if len(ids) and int(ids.max()) >= IDS:
-        raise ValueError("ids must be below 65536")
+        raise ValueError(f"ids must be below {IDS}")
     ids = np.ascontiguousarray(ids, "<u4")
     n = -(-len(ids) // BLOCK)
+    counts = np.bincount(ids, minlength=1)
+    used_ids = np.flatnonzero(counts)
+    header = zlib.compress(used_ids.astype("<u2").tobytes() + counts[used_ids].astype("<u4").tobytes())
+    numbers = struct.pack("<IIII", len(ids), n, len(used_ids), len(header))
+    start = struct.pack("<I", MAGIC) + numbers + struct.pack("<I", zlib.crc32(numbers + header)) + header
     if not n:
-        return struct.pack("<III", MAGIC, 0, 0)
+        return start
     lengths = np.full(n, BLOCK)
     lengths[-1] = len(ids) - BLOCK * (n - 1)
     rows = np.zeros((n, BLOCK), np.uint32)
     rows.ravel()[:len(ids)] = ids
     steps = np.ascontiguousarray(rows.T)
-    model = _Model(n)
+    order0 = _Order0(used_ids, counts[used_ids])
+    model = _Model(n, order0, False)
     low, span = np.zeros(n, np.uint64), np.full(n, _U(0xFFFFFFFFFFFFFFFF))
     words = np.zeros((n, BLOCK + 3), np.uint64)  # place 0 takes a last carry
     flat, width, used = words.reshape(-1), BLOCK + 3, np.ones(n, np.int64)
-    mix, one, whole = _U(MIX_BITS), _U(ID_BITS), _U(1 << MIX_BITS)
     live = n
     for t in range(int(lengths.max())):
         if t == lengths[-1] and live == n:
@@ -134,33 +179,32 @@ def encode(ids: np.ndarray) -> bytes:
             model.shrink(live)
             keep_low = low[live:].copy()
             low, span = low[:live], span[:live]
-        if t and t % EPOCH == 0:
-            model.tables(rows[:live, t - EPOCH:t].astype(np.int64))
+        model.renew(t)
         own = steps[t, :live]
-        f2, f1 = model.predict()
-        is2 = (model.p2 == own) & (f2 > 0)
-        is1 = (model.p1 == own) & (f1 > 0) & ~is2
-        coded = ~(is2 | is1)
-        f12 = f2 + f1
-        span >>= mix
-        add = np.where(coded, f12, f2 * is1) * span
-        span *= np.where(coded, whole - f12, np.where(is2, f2, f1))
-        high = (own >> np.uint32(8)).astype(np.int64)
-        for place in (model.group * 256 + high, (model.group + LOW_CLASSES.take(high) + 1) * 256 + (own & np.uint32(255))):
-            entry = model.ranges.take(place)
-            r = span >> one
-            add += r * ((entry & _LOW16) * coded)
-            span = np.where(coded, r * (entry >> np.uint32(16)), span)
+        model.predict()
+        states = model.pair * _V(4) + np.where(model.p2 == own, _V(0), _V(2) - (model.p1 == own))
+        coded = (states & _V(2)) > 0
+        classes = order0.classes.take(own)
+        entry = model.mixed.take(model.states + states)
+        span >>= _U(MIX_BITS)
+        add = span * (entry & _LOW16)
+        span *= entry >> _HIGH16
+        for found, bits, whole in ((model.ranges.take(model.group + classes), CLASS_BITS, _WHOLE_CLASS), (order0.ranges.take(own), ID_BITS, _WHOLE_ID)):
+            entry = np.where(coded, found, whole)
+            span >>= _U(bits)
+            add += span * (entry & _LOW16)
+            span *= entry >> _HIGH16
         low += add
         over = np.flatnonzero(low < add)
         if len(over):
             flat[over * width + used[over] - 1] += _U(1)
         out = np.flatnonzero(span < _U(1 << 32))
-        flat[out * width + used[out]] = low[out] >> _U(32)
+        left = low.take(out)
+        flat[out * width + used.take(out)] = left >> _U(32)
         used[out] += 1
-        low[out] <<= _U(32)
-        span[out] <<= _U(32)
-        model.update(own, np.where(coded, _GAIN0, np.where(is2, _GAIN2, _GAIN1)))
+        low[out] = left << _U(32)
+        span[out] = span.take(out) << _U(32)
+        model.update(t, own, np.where(coded, classes, CLASSES), states)
     if live < n:
         low = np.concatenate([low, keep_low])
     for shift in (32, 0):
@@ -175,65 +219,77 @@ def encode(ids: np.ndarray) -> bytes:
     directory[:, 2] = [zlib.crc32(raw[4 * BLOCK * i:4 * BLOCK * (i + 1)]) for i in range(n)]
     mask = np.arange(width)[None, :] < used[:, None]
     mask[:, 0] = False
-    return struct.pack("<III", MAGIC, len(ids), n) + directory.tobytes() + words[mask].astype("<u4").tobytes()
+    return start + directory.tobytes() + words[mask].astype("<u4").tobytes()
+
+
+def _quotient(code: np.ndarray, span: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):  # a damaged block may divide by nothing before its checksum tells
+        return code // span
 
 
 def decode(segment: bytes) -> np.ndarray:
-    """The ids of a segment; raises ValueError if a block's checksum is wrong."""
-    magic, total, n = struct.unpack_from("<III", segment)
+    """The ids of a segment; raises ValueError if the header's or a block's checksum is wrong."""
+    magic, total, n, distinct, size, check = struct.unpack_from("<IIIIII", segment)
     if magic != MAGIC:
         raise ValueError("not a segment of ids")
+    if zlib.crc32(bytes(memoryview(segment)[4:20]) + bytes(memoryview(segment)[24:24 + size])) != check:
+        raise ValueError("the header is damaged")
     if not n:
         return np.empty(0, np.uint32)
-    directory = np.frombuffer(segment, "<u4", 3 * n, 12).reshape(n, 3).astype(np.int64)
+    header = zlib.decompress(bytes(memoryview(segment)[24:24 + size]))
+    order0 = _Order0(np.frombuffer(header, "<u2", distinct), np.frombuffer(header, "<u4", distinct, 2 * distinct))
+    at = 24 + size
+    directory = np.frombuffer(segment, "<u4", 3 * n, at).reshape(n, 3).astype(np.int64)
     lengths = directory[:, 0]
     if int(lengths.sum()) != total or (lengths[:-1] != BLOCK).any():
         raise ValueError("the directory is damaged")
-    stream = np.frombuffer(segment, "<u4", offset=12 + 12 * n).astype(np.uint64)
+    stream = np.frombuffer(segment, "<u4", offset=at + 12 * n).astype(np.uint64)
     stream = np.concatenate([stream, np.zeros(2, np.uint64)])
     at = np.cumsum(directory[:, 1]) - directory[:, 1]
+    if int(directory[:, 1].sum()) != len(stream) - 2:
+        raise ValueError("the directory is damaged")
     code = (stream[at] << _U(32)) | stream[at + 1]
     at = at + 2
     span = np.full(n, _U(0xFFFFFFFFFFFFFFFF))
-    model = _Model(n)
+    model = _Model(n, order0, True)
     out = np.zeros((BLOCK, n), np.uint32)
-    mix, one, whole = _U(MIX_BITS), _U(ID_BITS), _U(1 << MIX_BITS)
-    top, least = _U((1 << MIX_BITS) - 1), _U((1 << ID_BITS) - 1)
+    top, last_class, last_id = _U((1 << MIX_BITS) - 1), _U((1 << CLASS_BITS) - 1), _U((1 << ID_BITS) - 1)
     live = n
     for t in range(int(lengths.max())):
         if t == lengths[-1] and live == n:
             live = n - 1
             model.shrink(live)
             code, span, at = code[:live], span[:live], at[:live]
-        if t and t % EPOCH == 0:
-            model.tables(np.ascontiguousarray(out[t - EPOCH:t, :live].T).astype(np.int64))
-        f2, f1 = model.predict()
-        f12 = f2 + f1
-        span >>= mix
-        slot = np.minimum(code // span, top)
-        is2, coded = slot < f2, slot >= f12
-        code -= np.where(coded, f12, np.where(is2, _U(0), f2)) * span
-        span *= np.where(coded, whole - f12, np.where(is2, f2, f1))
-        group, ids = model.group, None
-        for _ in range(2):
-            r = np.maximum(span >> one, _U(1))
-            slot = np.minimum(code // r, least).astype(np.int64)
-            part = model.symbol.take((group << ID_BITS) + slot)
-            entry = model.ranges.take(group * 256 + part)
-            code -= r * ((entry & _LOW16) * coded)
-            span = np.where(coded, r * (entry >> np.uint32(16)), span)
-            if ids is None:
-                group = model.group + LOW_CLASSES.take(part) + 1
-                ids = part.astype(np.uint32) << np.uint32(8)
-            else:
-                ids |= part
-        ids = np.where(coded, ids, np.where(is2, model.p2, model.p1))
+        model.renew(t)
+        model.predict()
+        limits = model.limits.take((model.states >> 2) + model.pair)
+        span >>= _U(MIX_BITS)
+        slot = np.minimum(_quotient(code, span), top)
+        coded = slot >= limits >> _HIGH16
+        states = model.pair * _V(4) + (slot >= (limits & _LOW16)) + coded
+        entry = model.mixed.take(model.states + states)
+        code -= span * (entry & _LOW16)
+        span *= entry >> _HIGH16
+        span >>= _U(CLASS_BITS)
+        slot = np.minimum(_quotient(code, span), last_class).astype(np.int64)
+        classes = model.symbol.take(model.slots + slot)
+        entry = np.where(coded, model.ranges.take(model.group + classes), _WHOLE_CLASS)
+        code -= span * (entry & _LOW16)
+        span *= entry >> _HIGH16
+        span >>= _U(ID_BITS)
+        slot = np.minimum(_quotient(code, span), last_id).astype(np.int64)
+        ids = order0.symbol.take((classes.astype(np.int64) << ID_BITS) + slot)
+        entry = np.where(coded, order0.ranges.take(ids), _WHOLE_ID)
+        code -= span * (entry & _LOW16)
+        span *= entry >> _HIGH16
+        ids = np.where(coded, ids, np.where(states & _V(1), model.p1, model.p2))
         out[t, :live] = ids
         more = np.flatnonzero(span < _U(1 << 32))
-        code[more] = (code[more] << _U(32)) | stream.take(at[more], mode="clip")
-        at[more] += 1
-        span[more] <<= _U(32)
-        model.update(ids, np.where(coded, _GAIN0, np.where(is2, _GAIN2, _GAIN1)))
+        place = at.take(more)
+        code[more] = (code.take(more) << _U(32)) | stream.take(place, mode="clip")
+        at[more] = place + 1
+        span[more] = span.take(more) << _U(32)
+        model.update(t, ids, np.where(coded, classes, np.uint8(CLASSES)), states)
     ids = np.ascontiguousarray(out.T).ravel()[:total]
     raw = memoryview(ids).cast("B")
     for i, check in enumerate(directory[:, 2].tolist()):

@@ -1,6 +1,6 @@
 """Token-id files: every text's ids in ascending doc_id order, range-coded in checked blocks.
 
-Texts are dealt by doc_id range into parts of about ``PART_BYTES`` of text; a part is put in
+Texts are dealt by ranges of doc_id, and of a hash where an id repeats, into parts of about ``PART_BYTES`` of text; a part is put in
 order and written as segments of about ``SEGMENT_IDS`` ids, whole texts each. A file row is a
 segment: part, place in the part, the texts' ids and lengths, and the coded blocks
 (``idcoder``). Rows are kept in Parquet, so that Spark's committers write them to any store
@@ -8,7 +8,7 @@ and a lost executor costs its part only. Reading back decodes the blocks, whose
 must hold, and needs nothing but the files.
 
 A null text is empty; every text ends with an end id. A null doc_id comes first. Rows that
-repeat a doc_id are all written, in the order of their texts.
+repeat a doc_id are all written, in the order of a hash of their texts; they may fill many parts.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from seclog.llm import idcoder, text as X
 from seclog.llm.packing import with_end
 from seclog.llm.tokens import default_vocabulary, encoder
 
-PART_BYTES = 10 << 20
-SEGMENT_IDS = 4_000_000
+PART_BYTES = 24 << 20
+SEGMENT_IDS = 12_000_000
 
 ROW = "part int, segment int, n_ids long, doc_ids array<long>, lengths array<int>, coded binary"
 
@@ -60,7 +60,9 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str | None =
         if ids:
             yield emit()
 
-    (rows.repartitionByRange(max(1, -(-int(size) // PART_BYTES)), "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "hash", "row"]
+    (keyed.repartitionByRange(max(1, -(-int(size) // PART_BYTES)), *order).sortWithinPartitions(*order).select("doc_id", "text")
      .mapInArrow(run, ROW).write.mode("errorifexists").parquet(path))
 
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -118,3 +119,39 @@ def test_id_files_of_odd_tables(spark):
     idfile.write(frame(spark, rows, "doc_id long, text string"), path)
     out = sorted(((r.start, r.doc_id, r.n_tokens) for r in idfile.digest(spark, path).collect()))
     assert [r[1] for r in out] == [None, 1, 3, 3, 3] and [r[0] for r in out] == [0, 2, 3, 5, 7]
+
+
+def test_coded_ids_are_smaller_than_their_order_0_entropy(sf):
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column(0).to_pylist() * 3
+    stream = np.concatenate([np.array(ids(t) + [2], np.uint32) for t in texts if t])
+    counts = np.bincount(stream)
+    share = counts[counts > 0] / len(stream)
+    coded = idcoder.encode(stream)
+    assert (idcoder.decode(coded) == stream).all()
+    assert 8 * len(coded) / len(stream) < -(share * np.log2(share)).sum()
+
+
+@pytest.mark.parametrize("stream", [np.arange(65536), np.full(5000, 65535), np.random.default_rng(1).integers(0, 65536, 200_000)])
+def test_every_id_can_be_coded(stream):
+    assert (idcoder.decode(idcoder.encode(stream.astype(np.uint32))) == stream).all()
+
+
+def test_damage_anywhere_is_noticed():
+    stream = np.random.default_rng(2).integers(0, 300, 9000).astype(np.uint32)
+    coded = idcoder.encode(stream)
+    for place in [*range(0, 60, 6), *range(60, len(coded), len(coded) // 20)]:
+        broken = bytearray(coded)
+        broken[place] ^= 16
+        try:
+            assert (idcoder.decode(bytes(broken)) == stream).all()  # bits after a block's last id say nothing
+        except ValueError:
+            pass
+
+
+def test_one_id_on_all_rows_fills_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(idfile, "PART_BYTES", 1000)
+    path = Scratch(spark, "t").path("ids")
+    rows = [(7, f"words of row {i % 40} " * 5, 1, "x") for i in range(200)]
+    idfile.write(frame(spark, rows, "doc_id long, text string, part int, coded string"), path)
+    assert spark.read.parquet(path).select("part").distinct().count() > 5
+    assert sorted(r.ids for r in idfile.read(spark, path).collect()) == sorted(ids(t) + [2] for _, t, *_ in rows)
