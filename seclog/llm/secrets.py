@@ -22,6 +22,8 @@ A null text is empty and has no spans. No rows give no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: The patterns asked for.
@@ -37,6 +39,11 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 NARROWER = (r"[A-Za-z0-9]{20,}", r"[0-9a-fA-F]{20,}")
 WINDOW = 20
 
+#: Matches placed at once.
+_BLOCK = 128
+#: Windows of one fold; a window's counts, 5 bits for each character from "+" to "z", 12 in a word.
+_STRIDE, _SLOT_BITS, _SLOTS, _WORDS, _FIRST = 64, 5, 12, 7, ord("+")
+
 #: Character classes, narrowest first, and the bits a window must reach of log2(WINDOW) = 4.32 at most.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("alnum", r"^[A-Za-z0-9]+$", 3.6), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.8))
 
@@ -44,9 +51,24 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
     r"^[0-9=_/+-]+$",  # numbers, dates, rules
     r"^[a-z]+$|^[A-Z]+$",  # one long word
-    r"^[0-9]*([A-Z]?[a-z]*|[A-Z]{2,})([_/=+-][0-9]*([A-Z]?[a-z]*|[A-Z]{2,}))*[0-9]*$",  # words and numbers joined by marks
-    r"^[a-z]*([A-Z][a-z]{2,}|A[nst]|B[ey]|Do|Go|I[dfnst]|My|No|O[fnr]|So|To|U[ps]|We|[_/=+-][a-z]*)+$",  # words joined by capitals or marks
 )
+#: Words and numbers joined by marks: what each piece is, and the last one.
+_PIECE = r"^[0-9]*([A-Z]?[a-z]*|[A-Z]{2,})$"
+_LAST_PIECE = r"^[0-9]*([A-Z]?[a-z]*|[A-Z]{2,})[0-9]*$"
+#: Words joined by capitals or marks: no capital starts anything but a word.
+_NO_WORD = r"[^A-Za-z_/=+-]|(?![A-Z][a-z]{2}|A[nst]|B[ey]|Do|Go|I[dfnst]|My|No|O[fnr]|So|To|U[ps]|We)[A-Z]"
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once: inside a lambda a bare expression would be computed at each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def allowed(what: Column) -> Column:
+    """Whether a string is no secret by its form. Long strings are no deeper than short ones: no pattern repeats a group."""
+    joined = _let(F.split(what, "[_/=+-]", -1), lambda p: F.forall(F.slice(p, 1, F.size(p) - 1), lambda x: x.rlike(_PIECE))
+                  & F.element_at(p, -1).rlike(_LAST_PIECE))
+    return what.rlike("|".join(f"(?:{p})" for p in ALLOWED)) | joined | (what.rlike("[A-Z_/=+-]") & ~what.rlike(_NO_WORD))
 
 
 def _matches(text: Column, pattern: str, kind: str, keep=None) -> Column:
@@ -54,26 +76,26 @@ def _matches(text: Column, pattern: str, kind: str, keep=None) -> Column:
     empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:int,what:string>>)")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    placed = F.aggregate(
-        F.arrays_zip(found.alias("m"), gaps.alias("g")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda s, x: F.when(x["m"].isNull(), s).otherwise(F.struct(
+
+    def placed(some: Column) -> Column:
+        """Matches of one block, by places from the block's start, and the block's length."""
+        return F.aggregate(some, F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda s, x: F.when(x["m"].isNull(), s).otherwise(F.struct(
             (s["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
             F.concat(s["out"], F.array(F.struct(
                 (s["at"] + F.length(x["g"])).alias("start"), (s["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"),
-                F.lit(KINDS.index(kind)).alias("kind"), x["m"].alias("what")))).alias("out"))),
-        lambda s: s["out"])
-    # texts without a match are most: they skip the walk
-    return F.when(text.rlike(pattern), placed if keep is None else F.filter(placed, keep)).otherwise(empty)
-
-
-def _term(count: Column) -> Column:
-    """c * log2(c), 0 at 0 and 1."""
-    return F.when(count > 1, count * F.log2(count)).otherwise(F.lit(0.0))
+                F.lit(KINDS.index(kind)).alias("kind"), x["m"].alias("what")))).alias("out"))))
 
+    def moved(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda s, b: F.concat(s, F.array(F.element_at(s, -1) + b["at"])))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda b, first: F.transform(b["out"], lambda x: F.struct(
+            (x["start"] + first).alias("start"), (x["end"] + first).alias("end"), x["kind"].alias("kind"), x["what"].alias("what")))))
 
-def _count(window: Column, char: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, char, F.lit("")))
+    # in blocks, so that no array grows match by match over the whole text
+    blocks = _let(F.arrays_zip(found.alias("m"), gaps.alias("g")), lambda z: F.transform(
+        F.sequence(F.lit(1), F.size(z), F.lit(_BLOCK)), lambda i: placed(F.slice(z, i, _BLOCK))))
+    placed_all = _let(blocks, moved)
+    # texts without a match are most: they skip the walk
+    return F.when(text.rlike(pattern), placed_all if keep is None else F.filter(placed_all, keep)).otherwise(empty)
 
 
 def _threshold(what: Column) -> Column:
@@ -83,58 +105,80 @@ def _threshold(what: Column) -> Column:
     return out
 
 
+def _slot_count(words: Column, slot: Column) -> Column:
+    """How often a character stands in the window: ``_SLOT_BITS`` bits of one of the words."""
+    word = F.get(words, F.floor(slot / _SLOTS).cast("int"))
+    return F.call_function("shiftright", word, (slot % _SLOTS) * _SLOT_BITS).bitwiseAND((1 << _SLOT_BITS) - 1)
+
+
+def _moved(words: Column, slot: Column, by: int) -> Column:
+    """The words with one more (by 1) or one less (by -1) of a character."""
+    place, unit = F.floor(slot / _SLOTS), F.call_function("shiftleft", F.lit(by).cast("long"), (slot % _SLOTS) * _SLOT_BITS)
+    return F.transform(words, lambda w, i: F.when(i == place, w + unit).otherwise(w))
+
+
+def window_hits(what: Column, window: int = WINDOW) -> Column:
+    """First places of the windows of ``what`` that reach its class's threshold.
+
+    Windows are taken ``_STRIDE`` at a time: a fold over their characters holds the counts, S and one bit for each
+    window, so its state has a fixed size and the work is linear in the length."""
+    if not 1 < window < 1 << _SLOT_BITS:
+        raise ValueError(f"windows have 2 to {(1 << _SLOT_BITS) - 1} characters")
+    terms = [c * math.log2(c) if c else 0.0 for c in range(window + 1)]
+    rise = F.array(*(F.lit(b - a) for a, b in zip(terms, terms[1:])))
+    last = F.length(what) - window
+
+    def stretch(slots: Column, bound: Column, first: Column) -> Column:
+        """Hits among the windows from ``first`` on."""
+        until = F.least(first + (_STRIDE - 1), last)
+
+        def step(s: Column, k: Column) -> Column:
+            """Character k enters and, from a full window, character k - window leaves."""
+            full = k >= first + window
+            leaves, enters = F.get(slots, k - window), F.get(slots, k)
+            words = F.when(full, _moved(s["words"], leaves, -1)).otherwise(s["words"])
+            total = s["total"] - F.when(full, F.get(rise, (_slot_count(s["words"], leaves) - 1).cast("int"))).otherwise(0.0)
+            return _let(F.struct(words.alias("words"), total.alias("total")), lambda m: _let(
+                m["total"] + F.get(rise, _slot_count(m["words"], enters).cast("int")), lambda sums: F.struct(
+                    _moved(m["words"], enters, 1).alias("words"), sums.alias("total"),
+                    F.when((k >= first + (window - 1)) & (sums <= bound), s["hits"].bitwiseOR(
+                        F.call_function("shiftleft", F.lit(1).cast("long"), k - first - (window - 1)))).otherwise(s["hits"]).alias("hits"))))
+
+        start = F.struct(F.array(*[F.lit(0).cast("long")] * _WORDS).alias("words"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("hits"))
+        bits = F.aggregate(F.sequence(first, until + (window - 1)), start, step, lambda s: s["hits"])
+        return _let(bits, lambda h: F.filter(F.sequence(first, until), lambda i: F.call_function("shiftright", h, i - first).bitwiseAND(1) == 1))
+
+    # the entropy log2(window) - S / window reaches the threshold where S is small enough
+    bound = (F.lit(math.log2(window)) - _threshold(what)) * window + 1e-9
+    slots = F.transform(F.split(what, ""), lambda c: F.ascii(c) - _FIRST)
+    found = _let(F.struct(slots.alias("slots"), bound.alias("bound")), lambda x: F.flatten(F.transform(
+        F.sequence(F.lit(0), last, F.lit(_STRIDE)), lambda first: stretch(x["slots"], x["bound"], first))))
+    return F.when((last >= 0) & _threshold(what).isNotNull(), found).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def _covered(hits: Column, window: int = WINDOW) -> Column:
+    """Stretches (a, b) that windows at ``hits``, in order, cover; windows that touch make one."""
+    firsts = lambda h: F.filter(h, lambda x, i: (i == 0) | (x - F.coalesce(F.get(h, i - 1), x) > window))
+    lasts = lambda h: F.filter(h, lambda x, i: F.coalesce(F.get(h, i + 1) - x > window, F.lit(True)))
+    return _let(hits, lambda h: F.zip_with(firsts(h), lasts(h), lambda a, b: F.struct(a.alias("a"), (b + window).alias("b"))))
+
+
 def window_runs(what: Column, window: int = WINDOW) -> Column:
     """Stretches (first, end) of ``what`` covered by windows that reach the class's threshold."""
-    threshold = _threshold(what)
-    head = F.substring(what, 1, window)
-    first_sum = F.aggregate(F.array_distinct(F.split(head, "")), F.lit(0.0), lambda s, c: s + F.when(c == "", 0.0).otherwise(_term(_count(head, c))))
-    runs = F.expr("cast(array() as array<struct<a:int,b:int>>)")
-
-    def grown(out: Column, at: Column, total: Column) -> Column:
-        """One more window: it joins the last stretch if it touches that."""
-        hit = (F.lit(float(window)) * F.log2(F.lit(window)) - total) >= threshold * window - 1e-9
-        last = F.element_at(out, -1)
-        own = F.struct(at.cast("int").alias("a"), (at + window).cast("int").alias("b"))
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["a"].alias("a"), (at + window).cast("int").alias("b"))))
-        return F.when(~hit, out).when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["b"] >= at), joined).otherwise(F.concat(out, F.array(own)))
-
-    def step(s: Column, i: Column) -> Column:
-        """The window moves from i - 1 to i."""
-        leaves = F.substr(what, i, F.lit(1))
-        enters = F.substr(what, i + window, F.lit(1))
-        inner = F.substr(what, i + 1, F.lit(window - 1))
-        gone, come = _count(inner, leaves), _count(inner, enters)
-        total = s["total"] - _term(gone + 1) + _term(gone) + _term(come + 1) - _term(come)
-        return F.struct(total.alias("total"), grown(s["out"], i, total).alias("out"))
-
-    start = F.struct(first_sum.alias("total"), grown(runs, F.lit(0), first_sum).alias("out"))
-    moves = F.when(F.length(what) > window, F.sequence(F.lit(1), F.length(what) - window)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.aggregate(moves, start, step, lambda s: s["out"])
-
-
-def _joined(stretches: Column) -> Column:
-    """Stretches (a, b) in order, those that overlap or touch as one."""
-    def grown(out: Column, x: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))
-        return F.when(last["b"] >= x["a"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))).otherwise(F.concat(out, F.array(x)))
-
-    return F.aggregate(F.array_sort(stretches), F.expr("cast(array() as array<struct<a:int,b:int>>)"), grown)
-
-
-def _stretches(what: Column, allowed: str) -> Column:
+    return _covered(window_hits(what, window), window)
+
+
+def _stretches(what: Column) -> Column:
     """Stretches (a, b) of a candidate, over its runs of each class."""
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(what).alias("end"), F.lit(KINDS.index("entropy")).alias("kind"), what.alias("what")))
-    runs = F.array_distinct(F.concat(whole, *(_matches(what, pattern, "entropy", lambda x: ~x["what"].rlike(allowed)) for pattern in NARROWER)))
-    return _joined(F.flatten(F.transform(runs, lambda r: F.transform(
-        window_runs(r["what"]), lambda w: F.struct((r["start"] + w["a"]).alias("a"), (r["start"] + w["b"]).alias("b"))))))
+    runs = F.array_distinct(F.concat(whole, *(_matches(what, pattern, "entropy", lambda x: ~allowed(x["what"])) for pattern in NARROWER)))
+    return _covered(F.sort_array(F.array_distinct(F.flatten(F.transform(runs, lambda r: F.transform(window_hits(r["what"]), lambda i: r["start"] + i))))))
 
 
 def _entropy(text: Column, base: Column) -> Column:
-    allowed = "|".join(f"(?:{p})" for p in ALLOWED)
-    candidates = _matches(text, CANDIDATE, "entropy", lambda x: ~x["what"].rlike(allowed))
+    candidates = _matches(text, CANDIDATE, "entropy", lambda x: ~allowed(x["what"]))
     spans = F.flatten(F.transform(candidates, lambda x: F.transform(
-        _stretches(x["what"], allowed), lambda r: F.struct((x["start"] + r["a"]).alias("start"), (x["start"] + r["b"]).alias("end"),
+        _stretches(x["what"]), lambda r: F.struct((x["start"] + r["a"]).alias("start"), (x["start"] + r["b"]).alias("end"),
                                                            x["kind"].alias("kind"), F.lit("").alias("what")))))
     return F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
 
