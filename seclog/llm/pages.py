@@ -9,7 +9,8 @@ labelled blocks of ``LABELLED``, says which blocks are main text. Nothing else i
 Scripts, styles, titles, form fields and comments in the markup hold no text. Character
 references are decoded, white space inside a block becomes one space, blocks are joined by
 an empty line in page order. A null or empty page, or one without such blocks, has empty
-text. Unclosed or stray tags are harmless; an unclosed script hides the rest of its page.
+text. Formulas, drawings, objects, frames and ``noscript`` parts are inline: their text counts as
+text of its block. Unclosed or stray tags are harmless; an unclosed script hides the rest of its page.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ from seclog.llm import text as X
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|select|iframe|object|svg|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|template|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*|[^<>]*)>"
     r"|<[!?/][^>]*>", re.S | re.I)
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-                    "span strike strong sub sup time tt u var wbr input br".split())
+                    "span strike strong sub sup time tt u var wbr input br "
+                    # formulas, drawings and embedded parts, whose text stands inside its block
+                    "math mfenced mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics "
+                    "annotation svg circle defs desc ellipse g line lineargradient path polygon polyline rect stop symbol text tspan use "
+                    "object embed param iframe noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _PARTS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 
