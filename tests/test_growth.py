@@ -45,6 +45,14 @@ def test_few_row_groups_do_not_leave_cores_idle(spark, tmp_path):
     assert sum(sizes) == n and max(sizes) < n / spark.sparkContext.defaultParallelism
 
 
+def test_filters_stay_above_the_dealing_and_columns_below(spark):
+    raw = spark.range(100).select(F.col("id").alias("event_id"), F.col("id").alias("ts"), F.col("id").cast("string").alias("text"),
+                                  F.lit("x").alias("unused")).repartition(2)
+    plan = optimized(X.spread(raw).filter(F.col("text").rlike("9")).select("event_id"))
+    assert plan.index("RLIKE") < plan.index("RepartitionByExpression")
+    assert "unused" not in plan
+
+
 def test_one_frequent_key_is_dealt_out(spark):
     raw = spark.range(8_000).select(F.lit(1).alias("event_id"), F.col("id").alias("ts")).repartition(2)
     sizes = [r["count"] for r in X.spread(raw).groupBy(F.spark_partition_id()).count().collect()]
