@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seclog import refdata as R
+from seclog.storage import cut_lineage
 
 MICROS = 1_000_000
 
@@ -137,13 +138,13 @@ def rate_anomaly(df: DataFrame, seconds: int = R.RATE_WINDOW_SECONDS, history: D
     """Add ``stat_anomaly`` and ``stat_score``.
 
     A source is anomalous while its rate exceeds three times the mean rate per source
-    seen. Only the anomalous (source, instant) pairs are joined to the rows; that side is
-    small in normal traffic, so adaptive execution can broadcast it after measuring it.
+    seen. Only the anomalous (source, instant) pairs are joined to the rows. They are stored
+    first: the side is small in normal traffic, and with its size known the rows need no shuffle then.
     """
     average = F.col("global_rate") / F.greatest(F.col("sources_seen"), F.lit(1))
-    flagged = (rate_table(df, seconds, history)
-               .filter((average > 0) & (F.col("source_rate") > 3 * average))
-               .select("source", "us", F.lit(True).alias("_hot")))
+    flagged = cut_lineage(rate_table(df, seconds, history)
+                          .filter((average > 0) & (F.col("source_rate") > 3 * average))
+                          .select("source", "us", F.lit(True).alias("_hot")))
     boost = F.when(F.col("level").isin("ERROR", "CRITICAL"), 0.3).otherwise(0.0)
     rows = df.withColumn("us", micros()).join(flagged, ["source", "us"], "left")
     return rows.withColumns({
