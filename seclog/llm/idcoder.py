@@ -81,8 +81,9 @@ class _Model:
     def __init__(self, n: int, order0: _Order0, decoding: bool):
         self.n, self.order0, self.decoding = n, order0, decoding
         self.block = np.arange(n)
-        self.row = np.arange(n) << SLOTS_BITS
-        self.states, self.group, self.slots = self.block * 64, self.block * CLASSES, self.block << CLASS_BITS
+        self.row = (self.block << SLOTS_BITS).astype(np.uint32)
+        self.pairs, self.states = self.block * 16, self.block * 64
+        self.group, self.slots = self.block * CLASSES, self.block << CLASS_BITS
         self.two = np.full(n << SLOTS_BITS, IDS, np.uint32)  # id and confidence << 17
         self.one = self.two.copy()
         self.right = np.tile(START[None], (n, 1, 1))
@@ -125,14 +126,15 @@ class _Model:
     def shrink(self, n: int) -> None:
         """Keep the first ``n`` blocks: those that still have ids."""
         self.n = n
-        for name in ("block", "row", "states", "group", "slots", "right", "counts", "last", "before"):
+        for name in ("block", "row", "pairs", "states", "group", "slots", "right", "counts", "last", "before"):
             setattr(self, name, getattr(self, name)[:n])
 
     def predict(self) -> None:
         """Predictions, and the pair of their confidences, at the next id of each block."""
         key = self.last * _V(2654435761)
-        self.at1 = (key >> _V(32 - SLOTS_BITS)) + self.row
-        self.at2 = ((key ^ self.before) * _V(2246822519) >> _V(32 - SLOTS_BITS)) + self.row
+        # One type inside an operation, and places as numpy takes them: mixed ones are converted piece by piece.
+        self.at1 = ((key >> _V(32 - SLOTS_BITS)) + self.row).astype(np.intp)
+        self.at2 = (((key ^ self.before) * _V(2246822519) >> _V(32 - SLOTS_BITS)) + self.row).astype(np.intp)
         self.before = self.last * _V(3266489917)
         self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
         self.p2, self.p1 = self.e2 & _V(0x1FFFF), self.e1 & _V(0x1FFFF)
@@ -182,14 +184,16 @@ def encode(ids: np.ndarray) -> bytes:
         model.renew(t)
         own = steps[t, :live]
         model.predict()
-        states = model.pair * _V(4) + np.where(model.p2 == own, _V(0), _V(2) - (model.p1 == own))
-        coded = (states & _V(2)) > 0
-        classes = order0.classes.take(own)
-        entry = model.mixed.take(model.states + states)
+        by2, by1 = model.p2 == own, model.p1 == own
+        coded = ~(by2 | by1)
+        states = (model.pair << _V(2)) + ((coded.view(np.uint8) << 1) + (by1 > by2)).astype(np.uint32)
+        place = own.astype(np.intp)
+        classes = order0.classes.take(place)
+        entry = model.mixed.take(model.states + states.astype(np.intp))
         span >>= _U(MIX_BITS)
         add = span * (entry & _LOW16)
         span *= entry >> _HIGH16
-        for found, bits, whole in ((model.ranges.take(model.group + classes), CLASS_BITS, _WHOLE_CLASS), (order0.ranges.take(own), ID_BITS, _WHOLE_ID)):
+        for found, bits, whole in ((model.ranges.take(model.group + classes), CLASS_BITS, _WHOLE_CLASS), (order0.ranges.take(place), ID_BITS, _WHOLE_ID)):
             entry = np.where(coded, found, whole)
             span >>= _U(bits)
             add += span * (entry & _LOW16)
@@ -262,34 +266,35 @@ def decode(segment: bytes) -> np.ndarray:
             code, span, at = code[:live], span[:live], at[:live]
         model.renew(t)
         model.predict()
-        limits = model.limits.take((model.states >> 2) + model.pair)
+        limits = model.limits.take(model.pairs + model.pair.astype(np.intp))
         span >>= _U(MIX_BITS)
         slot = np.minimum(_quotient(code, span), top)
         coded = slot >= limits >> _HIGH16
-        states = model.pair * _V(4) + (slot >= (limits & _LOW16)) + coded
-        entry = model.mixed.take(model.states + states)
+        by1 = slot >= (limits & _LOW16)
+        states = (model.pair << _V(2)) + (by1.view(np.uint8) + coded.view(np.uint8)).astype(np.uint32)
+        entry = model.mixed.take(model.states + states.astype(np.intp))
         code -= span * (entry & _LOW16)
         span *= entry >> _HIGH16
         span >>= _U(CLASS_BITS)
         slot = np.minimum(_quotient(code, span), last_class).astype(np.int64)
-        classes = model.symbol.take(model.slots + slot)
+        classes = model.symbol.take(model.slots + slot).astype(np.intp)
         entry = np.where(coded, model.ranges.take(model.group + classes), _WHOLE_CLASS)
         code -= span * (entry & _LOW16)
         span *= entry >> _HIGH16
         span >>= _U(ID_BITS)
         slot = np.minimum(_quotient(code, span), last_id).astype(np.int64)
-        ids = order0.symbol.take((classes.astype(np.int64) << ID_BITS) + slot)
+        ids = order0.symbol.take((classes << ID_BITS) + slot)
         entry = np.where(coded, order0.ranges.take(ids), _WHOLE_ID)
         code -= span * (entry & _LOW16)
         span *= entry >> _HIGH16
-        ids = np.where(coded, ids, np.where(states & _V(1), model.p1, model.p2))
+        ids = np.where(coded, ids, np.where(by1, model.p1, model.p2))
         out[t, :live] = ids
         more = np.flatnonzero(span < _U(1 << 32))
         place = at.take(more)
         code[more] = (code.take(more) << _U(32)) | stream.take(place, mode="clip")
         at[more] = place + 1
         span[more] = span.take(more) << _U(32)
-        model.update(t, ids, np.where(coded, classes, np.uint8(CLASSES)), states)
+        model.update(t, ids, np.where(coded, classes, CLASSES), states)
     ids = np.ascontiguousarray(out.T).ravel()[:total]
     raw = memoryview(ids).cast("B")
     for i, check in enumerate(directory[:, 2].tolist()):

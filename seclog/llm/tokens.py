@@ -4,13 +4,15 @@ The library's own pipeline takes white space away and parts letters from other m
 it merges anything, so a text's ids are those of its pieces between spaces and line ends,
 and of a word and the marks behind it, put together. Pieces are found and hashed with
 numpy; each worker keeps the ids of the pieces it has met, by their 64-bit hashes (at most
-``KEEP`` of them), and asks the library for new ones only. Texts that hold the vocabulary's
+``KEEP`` of them), and asks the library for new ones only. Pieces met lately have a place by
+their hash's first bits, so that frequent ones need no search. Texts that hold the vocabulary's
 special strings are encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 
@@ -21,6 +23,7 @@ import pyarrow.compute as pc
 from seclog.llm import text as X
 
 KEEP = 1_000_000
+PLACES_BITS = 18
 
 #: A lower-case word, composed as the library composes it.
 _PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
@@ -52,7 +55,9 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.direct = self._is_direct()
-        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Letters beyond ASCII of a plain word, as the model spells their bytes.
+        self.spelt = str.maketrans({c: "".join(x for x, _ in byte_level.pre_tokenize_str(c)) for c in map(chr, range(0xDF, 0x100)) if _PLAIN.fullmatch(c)})
         self._forget()
 
     def _is_direct(self) -> bool:
@@ -64,6 +69,10 @@ class Encoder:
         self.known = np.empty(0, np.uint64)  # sorted hashes, and where their ids start and end
         self.start, self.end = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
+        # hash at each place, with where its ids start and their number; an empty place holds a hash that belongs elsewhere
+        self.placed = np.full(1 << PLACES_BITS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.placed[-1] = 0
+        self.placed_start, self.placed_length = np.zeros(1 << PLACES_BITS, np.int64), np.zeros(1 << PLACES_BITS, np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,11 +86,12 @@ class Encoder:
         found = []
         for piece, p in zip(pieces, plain):
             if p:
-                name = piece if piece.isascii() else "".join(x for x, _ in self.byte_level.pre_tokenize_str(piece))
-                found.append([t.id for t in model.tokenize(name)])
+                found.append([t.id for t in model.tokenize(piece if piece.isascii() else piece.translate(self.spelt))])
             else:
                 found.append(next(other))
-        fresh, first = _joined(found)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        fresh = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(first[-1]))
         while self.used + len(fresh) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
         self.ids[self.used:self.used + len(fresh)] = fresh
@@ -91,6 +101,31 @@ class Encoder:
         self.end = np.insert(self.end, at, first[1:] + self.used)
         self.used += len(fresh)
 
+    def _found(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the pieces from ``a`` to ``b`` start in the kept ones, and their numbers."""
+        at = hashes >> np.uint64(64 - PLACES_BITS)
+        start, length = self.placed_start[at], self.placed_length[at]
+        other = np.flatnonzero(self.placed[at] != hashes)
+        if not len(other):
+            return start, length
+        distinct, one, back = np.unique(hashes[other], return_index=True, return_inverse=True)
+        if len(self.known) and len(self.known) + len(distinct) > KEEP:
+            self._forget()
+            return self._found(data, a, b, hashes)
+        place = np.searchsorted(self.known, distinct)
+        new = place == len(self.known)
+        new[~new] = self.known[place[~new]] != distinct[~new]
+        if new.any():
+            raw = data.tobytes()
+            self._learn(distinct[new], [raw[a[i]:b[i]].decode() for i in other[one[new]].tolist()])
+            place = np.searchsorted(self.known, distinct)
+        begins = self.start[place]
+        lengths = self.end[place] - begins
+        start[other], length[other] = begins[back], lengths[back]
+        at = distinct >> np.uint64(64 - PLACES_BITS)
+        self.placed[at], self.placed_start[at], self.placed_length[at] = distinct, begins, lengths
+        return start, length
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a text column, and where each row starts and ends in them; null is empty."""
         column = pc.fill_null(column, "")
@@ -108,29 +143,17 @@ class Encoder:
         data, offsets = X.column_bytes(column)
         data, offsets = X.LOWER[data[offsets[0]:offsets[-1]]], offsets - offsets[0]
         starts, ends, _ = X.words(data, offsets, _INSIDE)
-        cut = ends.copy()
-        while True:
-            more = _MARK[data[cut - 1]] & (cut - 1 > starts)
-            if not more.any():
-                break
-            cut -= more
+        marked = np.flatnonzero(_MARK[data[ends - 1]] & (ends - 1 > starts))
+        cut, at = ends[marked], np.arange(len(marked))  # without the marks behind a word
+        while len(at):
+            cut[at] -= 1
+            at = at[_MARK[data[cut[at] - 1]] & (cut[at] - 1 > starts[marked[at]])]
         last, before = data[cut - 1], data[np.maximum(cut - 2, 0)]
-        apart = (cut < ends) & (_LETTER[last] | (_ACCENT[last] & (before == 0xC3) & (cut - starts > 1)))
-        at = np.flatnonzero(apart)
-        a = np.insert(starts, at + 1, cut[at])
-        b = np.insert(ends, at, cut[at])
-        hashes = X.span_hash(X.prefix_hash(data), a, b)
-        distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > KEEP:
-            self._forget()
-        place = np.searchsorted(self.known, distinct)
-        new = place == len(self.known)
-        new[~new] = self.known[place[~new]] != distinct[~new]
-        if new.any():
-            raw = data.tobytes()
-            self._learn(distinct[new], [raw[a[i]:b[i]].decode() for i in one[new].tolist()])
-            place = np.searchsorted(self.known, distinct)
-        start, length = self.start[place][back], (self.end - self.start)[place][back]
+        apart = _LETTER[last] | (_ACCENT[last] & (before == 0xC3) & (cut - starts[marked] > 1))
+        at, cut = marked[apart], cut[apart]
+        a = np.insert(starts, at + 1, cut)
+        b = np.insert(ends, at, cut)
+        start, length = self._found(data, a, b, X.span_hash(X.prefix_hash(data), a, b))
         end = np.concatenate([[0], np.cumsum(length)])
         ids = self.ids[np.repeat(start - end[:-1], length) + np.arange(end[-1])]
         return ids, end[np.searchsorted(a, offsets)]
