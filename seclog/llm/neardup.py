@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, k: int, index: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in X.slices(batch, "text"):
+            for rows, data, offsets in X.slices(batch, "text", X.SMALL_BYTES):
                 sets = X.shingle_sets(data, offsets, k)
                 keys = [_set_key(s) for s in sets]
                 yield pa.record_batch([
@@ -250,7 +250,7 @@ def full_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in X.slices(batch, "text"):
+            for rows, data, offsets in X.slices(batch, "text", X.SMALL_BYTES):
                 node, blob = [], []
                 for name, k1, k2, shingles in zip(*(rows.column(i).to_pylist() for i in range(3)), X.shingle_sets(data, offsets, k)):
                     if _set_key(shingles) == (k1, k2):  # a doc_id may name several texts
@@ -281,12 +281,13 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     _, named, scratch = _solved(docs, k, percent)
     heads = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("c", "component_id").agg(F.min(F.struct("k1", "k2")).alias("head"))
     heads = scratch.keep(heads.select(F.col("head.k1").alias("__k1"), F.col("head.k2").alias("__k2"), F.col("component_id").alias("__component")), "heads")
+    scratch.drop("signatures", "nodes", "first", "second", "named")
     own = docs.columns
     schema = T.StructType(docs.schema.fields + [T.StructField(n, T.LongType()) for n in ("__n", "__k1", "__k2")])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in X.slices(batch, "text"):
+            for rows, data, offsets in X.slices(batch, "text", X.SMALL_BYTES):
                 sets = X.shingle_sets(data, offsets, k)
                 keys = [_set_key(s) for s in sets]
                 yield pa.record_batch([*rows.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()),
@@ -321,17 +322,21 @@ def _solved(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.keep(pairs, f"pairs-{name}")
         needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return scratch.keep(verify(pairs, full_sets(needed, nodes, docs, k), percent), f"links-{name}")
+        links = scratch.keep(verify(pairs, full_sets(needed, nodes, docs, k), percent), f"links-{name}")
+        scratch.drop(f"pairs-{name}")
+        return links
 
     stars = (shared.join(heads, "pattern").filter("head <> node")
              .select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct())
     stars = _likely(stars.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b"), percent)
     first = scratch.keep(components(confirmed(stars, "stars"), scratch, "first"), "first")
+    scratch.drop("links-stars")
 
     placed = shared.join(first, "node", "left").select("pattern", "node", F.coalesce("component", "node").alias("component"))
     torn = placed.groupBy("pattern").agg((F.min("component") != F.max("component")).alias("torn")).filter("torn").select("pattern")
     rows = placed.join(torn, "pattern").join(nodes.select("node", "sig"), "node")
     across = confirmed(_across(rows, percent, chunks), "across")
+    scratch.drop("shared")
     label = first.toDF("node", "c")
     joined = (across.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
@@ -342,5 +347,5 @@ def _solved(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
              .select("k1", "k2", "doc_id", F.coalesce("c2", "c").alias("c")))
     names = where.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = scratch.keep(where.join(names, "c"), "named")
-    scratch.drop("shared", "pairs-stars", "pairs-across", "links-stars", "links-across")
+    scratch.drop("links-across")
     return signed, named, scratch

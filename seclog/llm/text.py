@@ -1,6 +1,6 @@
 """Words and shingles of Arrow text columns, as numpy arrays over the column's bytes.
 
-Everything works on slices of a batch that hold a few MB of text (or one longer document),
+Everything works on slices of a batch that hold a few MB of text at most (or one longer document),
 so memory follows the longest document and not the batch.
 """
 
@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+#: For work that has no use for large slices: the arrays of a slice (8 bytes for each byte of text) stay in a core's cache.
+SMALL_BYTES = 256 << 10
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,7 +64,7 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in ``data``, and for each row the index of its first word (one more at the end)."""
-    inside = letters[data]
+    inside = letters.take(data)
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     before = np.empty_like(inside)
@@ -89,7 +91,7 @@ _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def _powers(kind: str, n: int) -> np.ndarray:
     """Powers 0 to n of the step, or of its inverse."""
     if len(_POWERS[kind]) <= n:
-        full = np.full(max(n, SLICE_BYTES) + 1, _STEP if kind == "up" else _BACK, np.uint64)
+        full = np.full(max(n, SMALL_BYTES, 2 * len(_POWERS[kind])) + 1, _STEP if kind == "up" else _BACK, np.uint64)
         full[0] = 1
         _POWERS[kind] = np.cumprod(full)
     return _POWERS[kind]
@@ -98,7 +100,9 @@ def _powers(kind: str, n: int) -> np.ndarray:
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running polynomial hash of the bytes; ``span_hash`` takes the hash of any span from it."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers("up", len(data))[:len(data)], out=total[1:])
+    own = _BYTE.take(data)
+    own *= _powers("up", len(data))[:len(data)]
+    np.cumsum(own, out=total[1:])
     return total
 
 
@@ -110,7 +114,7 @@ def span_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words, and each row's first word (one more at the end)."""
-    data = LOWER[data]
+    data = LOWER.take(data)
     starts, ends, first = words(data, offsets, letters)
     return span_hash(prefix_hash(data), starts, ends), first
 

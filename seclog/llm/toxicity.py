@@ -43,6 +43,8 @@ LEAST_SCORE, LEAST_Z = 1.0, 4.0
 LEXICON = 200_000
 SIGNIFICANT = 0.05
 BINS, TOP = 400, 100.0
+#: Token counts that a task adds up at once (32 bytes each, and as many again several times over while they are sorted).
+POOLED = 600_000
 #: Labels up to this number of rows (16 bytes each) are broadcast to the texts; beyond it both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -54,8 +56,9 @@ def held_out(doc_id: Column) -> Column:
 def _tokens(batch: pa.RecordBatch) -> Iterator[tuple]:
     """Slices of a batch with a ``text`` column: (rows, word hashes, stem hashes, first word of each row, places)."""
     at = batch.schema.get_field_index("text")
-    batch = batch.set_column(at, "text", pc.utf8_lower(pc.fill_null(batch.column(at), "")))
-    for rows, data, offsets in X.slices(batch, "text"):
+    for rows, _, _ in X.slices(batch, "text", X.SMALL_BYTES):
+        data, offsets = X.column_bytes(pc.utf8_lower(pc.fill_null(rows.column(at), "")))
+        data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
         starts, ends, first = X.words(data, offsets, X.ALNUM)
         total = X.prefix_hash(data)
         yield rows, X.span_hash(total, starts, ends), X.span_hash(total, starts, np.minimum(ends, starts + STEM)) ^ np.uint64(1), first, (data, offsets, starts, ends)
@@ -96,10 +99,10 @@ def token_counts(training: DataFrame) -> DataFrame:
                 toxic = rows.column(1).to_numpy()[row[once]].astype(float)
                 parts.append(pooled([(word[once], stem[once], 1 - toxic, toxic)]))
                 held += len(parts[-1][0])
-                if held > 2_000_000:
+                if held > POOLED:
                     parts = [pooled(parts)]
                     held = len(parts[0][0])
-                    if held > 1_000_000:
+                    if held > POOLED // 2:
                         yield from emit(parts.pop())
                         held = 0
         if parts:
