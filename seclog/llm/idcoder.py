@@ -40,6 +40,7 @@ PRIOR, STEP = 4096, 16
 _U, _V = np.uint64, np.uint32
 _WHOLE_CLASS, _WHOLE_ID = _U(1 << CLASS_BITS << 16), _U(1 << ID_BITS << 16)
 _LOW16, _HIGH16 = _U(0xFFFF), _U(16)
+_NO_CLASS = np.uint8(CLASSES)
 #: A block's first shares of order 2, order 1 and order 0 in 64, for each pair of confidences (0 to 3 of order 2, then of order 1).
 START = np.array([(0, 0, 64), (0, 2, 62), (0, 10, 54), (0, 32, 32), (6, 0, 58), (4, 2, 58), (4, 10, 50), (4, 24, 36),
                   (40, 0, 24), (36, 2, 26), (30, 14, 20), (28, 18, 18), (60, 0, 4), (56, 1, 7), (48, 8, 8), (44, 12, 8)], np.int64)
@@ -66,13 +67,15 @@ class _Order0:
         first = np.flatnonzero(np.diff(classes, prepend=-1))
         freq[first] += (1 << ID_BITS) - np.add.reduceat(freq, first)
         low = np.cumsum(freq) - freq & (1 << ID_BITS) - 1  # classes fill whole powers of two
-        self.classes = np.zeros(1 << 16, np.int64)
-        self.classes[ids] = classes
-        self.ranges = np.zeros(1 << 16, np.uint64)
-        self.ranges[ids] = low | freq << 16
-        self.symbol = np.zeros(CLASSES << ID_BITS, np.uint32)
+        # the class CLASSES and the id IDS stand for ids that order 0 doesn't code: the whole range is theirs
+        self.classes = np.zeros(IDS + 1, np.intp)
+        self.classes[ids], self.classes[IDS] = classes, CLASSES
+        self.ranges = np.zeros(IDS + 1, np.uint64)
+        self.ranges[ids], self.ranges[IDS] = low | freq << 16, _WHOLE_ID
+        self.symbol = np.zeros((CLASSES + 1) << ID_BITS, np.uint32)
         place = np.unique(classes)
-        self.symbol.reshape(CLASSES, -1)[place] = np.repeat(ids, freq).reshape(len(place), -1)
+        rows = self.symbol.reshape(CLASSES + 1, -1)
+        rows[place], rows[CLASSES] = np.repeat(ids, freq).reshape(len(place), -1), IDS
 
 
 class _Model:
@@ -83,7 +86,7 @@ class _Model:
         self.block = np.arange(n)
         self.row = (self.block << SLOTS_BITS).astype(np.uint32)
         self.pairs, self.states = self.block * 16, self.block * 64
-        self.group, self.slots = self.block * CLASSES, self.block << CLASS_BITS
+        self.group, self.slots = self.block * (CLASSES + 1), self.block << CLASS_BITS
         self.two = np.full(n << SLOTS_BITS, IDS, np.uint32)  # id and confidence << 17
         self.one = self.two.copy()
         self.right = np.tile(START[None], (n, 1, 1))
@@ -105,9 +108,12 @@ class _Model:
         self.mixed = mixed.ravel()
         if self.decoding:
             self.limits = (low[:, :, 1] | low[:, :, 2] << 16).astype(np.uint64).ravel()
-        freq = self.counts * ((1 << CLASS_BITS) - CLASSES) // np.maximum(self.counts.sum(axis=1, keepdims=True), 1) + 1
+        # numbers this small: the quotient in double precision has the whole part of the exact one
+        freq = (self.counts * float((1 << CLASS_BITS) - CLASSES) / np.maximum(self.counts.sum(axis=1, keepdims=True), 1)).astype(np.int64) + 1
         freq[self.block, np.argmax(freq, axis=1)] += (1 << CLASS_BITS) - freq.sum(axis=1)
-        self.ranges = (np.cumsum(freq, axis=1) - freq | freq << 16).astype(np.uint64).ravel()
+        ranges = np.full((len(freq), CLASSES + 1), _WHOLE_CLASS)
+        ranges[:, :CLASSES] = np.cumsum(freq, axis=1) - freq | freq << 16
+        self.ranges = ranges.ravel()
         if self.decoding:
             self.symbol = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint8), len(freq)), freq.ravel())
 
@@ -166,14 +172,16 @@ def encode(ids: np.ndarray) -> bytes:
         return start
     lengths = np.full(n, BLOCK)
     lengths[-1] = len(ids) - BLOCK * (n - 1)
-    rows = np.zeros((n, BLOCK), np.uint32)
+    rows = np.zeros((n, BLOCK), np.uint16)
     rows.ravel()[:len(ids)] = ids
     steps = np.ascontiguousarray(rows.T)
+    del rows
     order0 = _Order0(used_ids, counts[used_ids])
     model = _Model(n, order0, False)
     low, span = np.zeros(n, np.uint64), np.full(n, _U(0xFFFFFFFFFFFFFFFF))
-    words = np.zeros((n, BLOCK + 3), np.uint64)  # place 0 takes a last carry
-    flat, width, used = words.reshape(-1), BLOCK + 3, np.ones(n, np.int64)
+    # all blocks' words of a place stand together, as blocks advance alike; place 0 takes a last carry
+    words = np.zeros((BLOCK + 3, n), np.uint64)
+    flat, used = words.reshape(-1), np.ones(n, np.int64)
     live = n
     for t in range(int(lengths.max())):
         if t == lengths[-1] and live == n:
@@ -182,48 +190,46 @@ def encode(ids: np.ndarray) -> bytes:
             keep_low = low[live:].copy()
             low, span = low[:live], span[:live]
         model.renew(t)
-        own = steps[t, :live]
+        own = steps[t, :live].astype(np.uint32)
         model.predict()
         by2, by1 = model.p2 == own, model.p1 == own
         coded = ~(by2 | by1)
         states = (model.pair << _V(2)) + ((coded.view(np.uint8) << 1) + (by1 > by2)).astype(np.uint32)
-        place = own.astype(np.intp)
+        place = np.where(coded, own, _V(IDS)).astype(np.intp)
         classes = order0.classes.take(place)
         entry = model.mixed.take(model.states + states.astype(np.intp))
         span >>= _U(MIX_BITS)
         add = span * (entry & _LOW16)
         span *= entry >> _HIGH16
-        for found, bits, whole in ((model.ranges.take(model.group + classes), CLASS_BITS, _WHOLE_CLASS), (order0.ranges.take(place), ID_BITS, _WHOLE_ID)):
-            entry = np.where(coded, found, whole)
+        for entry, bits in ((model.ranges.take(model.group + classes), CLASS_BITS), (order0.ranges.take(place), ID_BITS)):
             span >>= _U(bits)
             add += span * (entry & _LOW16)
             span *= entry >> _HIGH16
         low += add
         over = np.flatnonzero(low < add)
         if len(over):
-            flat[over * width + used[over] - 1] += _U(1)
+            flat[(used[over] - 1) * n + over] += _U(1)
         out = np.flatnonzero(span < _U(1 << 32))
         left = low.take(out)
-        flat[out * width + used.take(out)] = left >> _U(32)
+        flat[used.take(out) * n + out] = left >> _U(32)
         used[out] += 1
         low[out] = left << _U(32)
         span[out] = span.take(out) << _U(32)
-        model.update(t, own, np.where(coded, classes, CLASSES), states)
+        model.update(t, own, classes, states)
     if live < n:
         low = np.concatenate([low, keep_low])
     for shift in (32, 0):
-        flat[np.arange(n) * width + used] = (low >> _U(shift)) & _U(0xFFFFFFFF)
+        flat[used * n + np.arange(n)] = (low >> _U(shift)) & _U(0xFFFFFFFF)
         used += 1
-    for k in range(int(used.max()) - 1, 0, -1):
-        words[:, k - 1] += words[:, k] >> _U(32)
-        words[:, k] &= _U(0xFFFFFFFF)
+    most = int(used.max())
+    for k in range(most - 1, 0, -1):
+        words[k - 1] += words[k] >> _U(32)
+        words[k] &= _U(0xFFFFFFFF)
     raw = memoryview(ids).cast("B")
     directory = np.empty((n, 3), "<u4")
     directory[:, 0], directory[:, 1] = lengths, used - 1
     directory[:, 2] = [zlib.crc32(raw[4 * BLOCK * i:4 * BLOCK * (i + 1)]) for i in range(n)]
-    mask = np.arange(width)[None, :] < used[:, None]
-    mask[:, 0] = False
-    return start + directory.tobytes() + words[mask].astype("<u4").tobytes()
+    return start + directory.tobytes() + words[1:most].T.astype("<u4")[np.arange(1, most)[None, :] < used[:, None]].tobytes()
 
 
 def _quotient(code: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -247,16 +253,15 @@ def decode(segment: bytes) -> np.ndarray:
     lengths = directory[:, 0]
     if int(lengths.sum()) != total or (lengths[:-1] != BLOCK).any():
         raise ValueError("the directory is damaged")
-    stream = np.frombuffer(segment, "<u4", offset=at + 12 * n).astype(np.uint64)
-    stream = np.concatenate([stream, np.zeros(2, np.uint64)])
+    stream = np.concatenate([np.frombuffer(segment, "<u4", offset=at + 12 * n), np.zeros(2, np.uint32)])
     at = np.cumsum(directory[:, 1]) - directory[:, 1]
     if int(directory[:, 1].sum()) != len(stream) - 2:
         raise ValueError("the directory is damaged")
-    code = (stream[at] << _U(32)) | stream[at + 1]
+    code = (stream[at].astype(np.uint64) << _U(32)) | stream[at + 1]
     at = at + 2
     span = np.full(n, _U(0xFFFFFFFFFFFFFFFF))
     model = _Model(n, order0, True)
-    out = np.zeros((BLOCK, n), np.uint32)
+    out = np.zeros((BLOCK, n), np.uint16)
     top, last_class, last_id = _U((1 << MIX_BITS) - 1), _U((1 << CLASS_BITS) - 1), _U((1 << ID_BITS) - 1)
     live = n
     for t in range(int(lengths.max())):
@@ -277,25 +282,27 @@ def decode(segment: bytes) -> np.ndarray:
         span *= entry >> _HIGH16
         span >>= _U(CLASS_BITS)
         slot = np.minimum(_quotient(code, span), last_class).astype(np.int64)
-        classes = model.symbol.take(model.slots + slot).astype(np.intp)
-        entry = np.where(coded, model.ranges.take(model.group + classes), _WHOLE_CLASS)
+        classes = np.where(coded, model.symbol.take(model.slots + slot), _NO_CLASS).astype(np.intp)
+        entry = model.ranges.take(model.group + classes)
         code -= span * (entry & _LOW16)
         span *= entry >> _HIGH16
         span >>= _U(ID_BITS)
         slot = np.minimum(_quotient(code, span), last_id).astype(np.int64)
         ids = order0.symbol.take((classes << ID_BITS) + slot)
-        entry = np.where(coded, order0.ranges.take(ids), _WHOLE_ID)
+        entry = order0.ranges.take(ids.astype(np.intp))
         code -= span * (entry & _LOW16)
         span *= entry >> _HIGH16
         ids = np.where(coded, ids, np.where(by1, model.p1, model.p2))
         out[t, :live] = ids
         more = np.flatnonzero(span < _U(1 << 32))
         place = at.take(more)
-        code[more] = (code.take(more) << _U(32)) | stream.take(place, mode="clip")
+        code[more] = (code.take(more) << _U(32)) | stream.take(place, mode="clip").astype(np.uint64)
         at[more] = place + 1
         span[more] = span.take(more) << _U(32)
-        model.update(t, ids, np.where(coded, classes, CLASSES), states)
-    ids = np.ascontiguousarray(out.T).ravel()[:total]
+        model.update(t, ids, classes, states)
+    del model, stream
+    ids = out.T.ravel()[:total].astype(np.uint32)
+    del out
     raw = memoryview(ids).cast("B")
     for i, check in enumerate(directory[:, 2].tolist()):
         if zlib.crc32(raw[4 * BLOCK * i:4 * BLOCK * (i + 1)]) != check:

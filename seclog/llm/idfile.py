@@ -43,13 +43,14 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str | None =
 
         def emit() -> pa.RecordBatch:
             stream = np.concatenate(ids)
+            ids.clear()
             return pa.record_batch([
                 pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(stream)], pa.int64()),
                 pa.array([[x for n in names for x in n]], pa.list_(pa.int64())), pa.array([np.concatenate(lengths).tolist()], pa.list_(pa.int32())),
                 pa.array([idcoder.encode(stream)], pa.binary())], ["part", "segment", "n_ids", "doc_ids", "lengths", "coded"])
 
         for batch in batches:
-            for own, _, _ in X.slices(batch, "text"):
+            for own, _, _ in X.slices(batch, "text", X.SMALL_BYTES):
                 found, first = with_end(*encode(own.column(1)), end_id)
                 names.append(own.column(0).to_pylist())
                 ids.append(found)
@@ -97,7 +98,7 @@ def _decoded(spark: SparkSession, path: str, digests: bool) -> DataFrame:
                 start, n = end - lengths, len(lengths)
                 columns = [row.column(0).take(pa.array(np.zeros(n, np.int64))), row.column(1).take(pa.array(np.zeros(n, np.int64))), pa.array(start), row.column(3).flatten()]
                 if digests:
-                    raw = memoryview(ids.astype("<u4").tobytes())
+                    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                     checks = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(start.tolist(), end.tolist())]
                     yield pa.record_batch([*columns, pa.array(lengths), pa.array(checks, pa.int64())], ["part", "segment", "position", "doc_id", "n_tokens", "ids_crc32"])
                     continue

@@ -24,6 +24,8 @@ from seclog.llm import text as X
 
 KEEP = 1_000_000
 PLACES_BITS = 18
+#: Pieces learned last that stand apart, so that a few new ones don't move all.
+RECENT = 32_768
 
 #: A lower-case word, composed as the library composes it.
 _PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
@@ -66,8 +68,8 @@ class Encoder:
         return a == [i for x in ("ab", ",", "cd", "ef") for i in self.library.encode(x, add_special_tokens=False).ids]
 
     def _forget(self) -> None:
-        self.known = np.empty(0, np.uint64)  # sorted hashes, and where their ids start and end
-        self.start, self.end = np.empty(0, np.int64), np.empty(0, np.int64)
+        # sorted hashes, where their ids start and their number
+        self.known = self.recent = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
         # hash at each place, with where its ids start and their number; an empty place holds a hash that belongs elsewhere
         self.placed = np.full(1 << PLACES_BITS, 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -77,8 +79,8 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Keep the ids of new pieces; ``hashes`` are sorted."""
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Keep the ids of new pieces; ``hashes`` are sorted. Gives where their ids start and their numbers."""
         model = self.library.model
         plain = [_PLAIN.fullmatch(x) is not None for x in pieces]
         odd = [x for x, p in zip(pieces, plain) if not p]
@@ -95,11 +97,23 @@ class Encoder:
         while self.used + len(fresh) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
         self.ids[self.used:self.used + len(fresh)] = fresh
-        at = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, at, hashes)
-        self.start = np.insert(self.start, at, first[:-1] + self.used)
-        self.end = np.insert(self.end, at, first[1:] + self.used)
+        begins = first[:-1] + self.used
+        self.recent = _merged(self.recent, (hashes, begins, sizes))
+        if len(self.recent[0]) > RECENT:
+            self.known, self.recent = _merged(self.known, self.recent), tuple(x[:0] for x in self.recent)
         self.used += len(fresh)
+        return begins, sizes
+
+    def _kept(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of the kept pieces start, their numbers, and which pieces are not kept."""
+        begins, lengths, new = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.ones(len(hashes), bool)
+        for known, start, length in (self.known, self.recent):
+            if len(known):
+                place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                same = known[place] == hashes
+                begins[same], lengths[same] = start[place[same]], length[place[same]]
+                new &= ~same
+        return begins, lengths, new
 
     def _found(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of the pieces from ``a`` to ``b`` start in the kept ones, and their numbers."""
@@ -109,18 +123,14 @@ class Encoder:
         if not len(other):
             return start, length
         distinct, one, back = np.unique(hashes[other], return_index=True, return_inverse=True)
-        if len(self.known) and len(self.known) + len(distinct) > KEEP:
+        kept = len(self.known[0]) + len(self.recent[0])
+        if kept and kept + len(distinct) > KEEP:
             self._forget()
             return self._found(data, a, b, hashes)
-        place = np.searchsorted(self.known, distinct)
-        new = place == len(self.known)
-        new[~new] = self.known[place[~new]] != distinct[~new]
+        begins, lengths, new = self._kept(distinct)
         if new.any():
-            raw = data.tobytes()
-            self._learn(distinct[new], [raw[a[i]:b[i]].decode() for i in other[one[new]].tolist()])
-            place = np.searchsorted(self.known, distinct)
-        begins = self.start[place]
-        lengths = self.end[place] - begins
+            raw, at = data.tobytes(), other[one[new]]
+            begins[new], lengths[new] = self._learn(distinct[new], [raw[x:y].decode() for x, y in zip(a[at].tolist(), b[at].tolist())])
         start[other], length[other] = begins[back], lengths[back]
         at = distinct >> np.uint64(64 - PLACES_BITS)
         self.placed[at], self.placed_start[at], self.placed_length[at] = distinct, begins, lengths
@@ -141,7 +151,7 @@ class Encoder:
                 rows[i] = self._whole([column[i].as_py()])[0]
             return _joined(rows)
         data, offsets = X.column_bytes(column)
-        data, offsets = X.LOWER[data[offsets[0]:offsets[-1]]], offsets - offsets[0]
+        data, offsets = X.LOWER.take(data[offsets[0]:offsets[-1]]), offsets - offsets[0]
         starts, ends, _ = X.words(data, offsets, _INSIDE)
         marked = np.flatnonzero(_MARK[data[ends - 1]] & (ends - 1 > starts))
         cut, at = ends[marked], np.arange(len(marked))  # without the marks behind a word
@@ -159,6 +169,12 @@ class Encoder:
         return ids, end[np.searchsorted(a, offsets)]
 
 
+def _merged(one: tuple, more: tuple) -> tuple:
+    """Two tables of sorted hashes as one."""
+    at = np.searchsorted(one[0], more[0])
+    return tuple(np.insert(x, at, y) for x, y in zip(one, more))
+
+
 def _joined(rows) -> tuple[np.ndarray, np.ndarray]:
     ids = [np.asarray(r, np.uint32) for r in rows]
     return (np.concatenate(ids) if ids else np.empty(0, np.uint32)), np.concatenate([[0], np.cumsum([len(r) for r in ids])]).astype(np.int64)
