@@ -3,7 +3,7 @@
 A segment's header lists its ids and how often each occurs. A block holds up to ``BLOCK`` ids
 and starts from that table alone, so it stands by itself given the header. For each id three
 predictors are mixed: the id that last followed the same two ids, the id that last followed
-the same id, and order 0. Order 0 codes the id's class (one for each of the ``OWN`` most
+the same id, and order 0. Inside a segment an id is its rank by frequency. Order 0 codes the id's class (one for each of the ``OWN`` most
 frequent ids, the rest by rank, of like weight) with frequencies that adapt to the block's
 own ids, then the id inside its class. The mixture's shares adapt to how often each
 predictor was right in the block, for each pair of the two predictions' confidences. The
@@ -11,8 +11,9 @@ mixture drives a 64-bit range coder that puts out 32-bit words; carries are sett
 end.
 
 All blocks of a segment are coded in step: step t handles id t of every block with numpy, so
-the cost of an operation is shared by as many ids as there are blocks. What adapts is counted
-anew after ``RENEWALS`` ids, then every ``EPOCH`` ids; the two predictors change with each id.
+the cost of an operation is shared by as many ids as there are blocks. The state of a block
+is small, and what is looked up often stands together for all blocks, so that most of it
+stays in a core's cache. What adapts is counted anew after ``RENEWALS`` ids, then every ``EPOCH`` ids; the two predictors change with each id.
 
 A coded segment is: magic, ids, blocks, distinct ids, bytes of the packed header, crc32 of
 these numbers' last four and the packed header; the header (ids as 16-bit, counts as 32-bit
@@ -27,143 +28,155 @@ import zlib
 
 import numpy as np
 
-MAGIC = 0x32444943
-BLOCK, EPOCH, RENEWALS = 2048, 512, (32, 128, 512)
-SLOTS_BITS = 9  # places of a context's hash table
+MAGIC = 0x33444943
+BLOCK, EPOCH, RENEWALS = 4096, 512, (32, 128, 512)
+SLOTS_BITS = 9  # places of a context's table
 MIX_BITS, CLASS_BITS, ID_BITS = 10, 11, 11
 CLASSES, OWN = 128, 64
-#: Ids are below this number, which stands for no prediction.
+#: Ids are below this number.
 IDS = 1 << 16
 #: Weights of the header's table against one id of the block: 256 ids.
 PRIOR, STEP = 4096, 16
 
-_U, _V = np.uint64, np.uint32
-_WHOLE_CLASS, _WHOLE_ID = _U(1 << CLASS_BITS << 16), _U(1 << ID_BITS << 16)
-_LOW16, _HIGH16 = _U(0xFFFF), _U(16)
-_NO_CLASS = np.uint8(CLASSES)
+#: Blocks whose ids are turned into ranks, or back, at once.
+TILE = 64
+_HASH, _HASH_BEFORE = np.uint32(2654435761), np.uint32(3266489917)
 #: A block's first shares of order 2, order 1 and order 0 in 64, for each pair of confidences (0 to 3 of order 2, then of order 1).
 START = np.array([(0, 0, 64), (0, 2, 62), (0, 10, 54), (0, 32, 32), (6, 0, 58), (4, 2, 58), (4, 10, 50), (4, 24, 36),
-                  (40, 0, 24), (36, 2, 26), (30, 14, 20), (28, 18, 18), (60, 0, 4), (56, 1, 7), (48, 8, 8), (44, 12, 8)], np.int64)
+                  (40, 0, 24), (36, 2, 26), (30, 14, 20), (28, 18, 18), (60, 0, 4), (56, 1, 7), (48, 8, 8), (44, 12, 8)], np.uint32).T
 #: Outcomes that a pair of confidences allows: no share without a prediction.
-OPEN = np.array([(s >= 4, s % 4 > 0, True) for s in range(16)])
+OPEN = np.array([(s >= 4, s % 4 > 0, True) for s in range(16)], np.uint32).T
 
 
 class _Order0:
     """Classes of ids by frequency, and the ids inside each: the same for all blocks of a segment."""
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray):
-        rank = np.lexsort((ids, -counts))
-        ids, counts = ids[rank].astype(np.int64), counts[rank].astype(np.int64)
-        n = len(ids)
+        order = np.lexsort((ids, -counts))
+        #: ids by rank; the rank after the last stands for no prediction, and takes two bits less than an entry.
+        self.ids, counts = ids[order].astype(np.uint32), counts[order].astype(np.int64)
+        self.none = n = len(ids)
+        self.type = np.uint16 if n < 1 << 14 else np.uint32
         classes = np.arange(n)
         # by weight, and so that no class has more than 1 << ID_BITS ids
         weight = counts[OWN:] * IDS // max(int(counts.sum()), 1) + 2
         before = np.cumsum(weight) - weight
         classes[OWN:] = OWN + before * (CLASSES - OWN) // max(int(weight.sum()), 1)
         total = np.bincount(classes, counts, CLASSES).astype(np.int64)
-        self.prior = total * PRIOR // max(int(total.sum()), 1)
+        self.prior = (total * PRIOR // max(int(total.sum()), 1)).astype(np.uint32)
         members = np.bincount(classes, minlength=CLASSES)
         freq = 1 + counts * ((1 << ID_BITS) - members)[classes] // total[classes]
         first = np.flatnonzero(np.diff(classes, prepend=-1))
         freq[first] += (1 << ID_BITS) - np.add.reduceat(freq, first)
         low = np.cumsum(freq) - freq & (1 << ID_BITS) - 1  # classes fill whole powers of two
-        # the class CLASSES and the id IDS stand for ids that order 0 doesn't code: the whole range is theirs
-        self.classes = np.zeros(IDS + 1, np.intp)
-        self.classes[ids], self.classes[IDS] = classes, CLASSES
-        self.ranges = np.zeros(IDS + 1, np.uint64)
-        self.ranges[ids], self.ranges[IDS] = low | freq << 16, _WHOLE_ID
-        self.symbol = np.zeros((CLASSES + 1) << ID_BITS, np.uint32)
+        # the class CLASSES and the rank ``none`` stand for ids that order 0 doesn't code: the whole range is theirs
+        self.classes = np.append(classes, CLASSES)
+        self.ranges = np.append(low | freq << 16, 1 << ID_BITS << 16).astype(np.uint32)
+        self.symbol = np.zeros((CLASSES + 1) << ID_BITS, self.type)
         place = np.unique(classes)
         rows = self.symbol.reshape(CLASSES + 1, -1)
-        rows[place], rows[CLASSES] = np.repeat(ids, freq).reshape(len(place), -1), IDS
+        rows[place], rows[CLASSES] = np.repeat(np.arange(n), freq).reshape(len(place), -1), n
 
 
 class _Model:
     """State of all blocks: tables of predictions, shares of the mixture, frequencies of classes."""
 
     def __init__(self, n: int, order0: _Order0, decoding: bool):
-        self.n, self.order0, self.decoding = n, order0, decoding
-        self.block = np.arange(n)
-        self.row = (self.block << SLOTS_BITS).astype(np.uint32)
-        self.pairs, self.states = self.block * 16, self.block * 64
-        self.group, self.slots = self.block * (CLASSES + 1), self.block << CLASS_BITS
-        self.two = np.full(n << SLOTS_BITS, IDS, np.uint32)  # id and confidence << 17
-        self.one = self.two.copy()
-        self.right = np.tile(START[None], (n, 1, 1))
-        self.counts = np.tile(order0.prior, (n, 1))
-        self.seen_class, self.seen_state = np.empty((EPOCH, n), np.uint8), np.empty((EPOCH, n), np.uint8)
-        self.last = np.zeros(n, np.uint32)
+        self.order0, self.decoding, self.wide = order0, decoding, np.intp(n)
+        self.shrink(n)
+        # by order 2, then by order 1: rank << 2 and confidence
+        self.entries = np.full(2 * n << SLOTS_BITS, order0.none << 2, order0.type)
+        self.right = np.repeat(START[:, :, None], n, axis=2)
+        self.counts = np.repeat(order0.prior[:, None], n, axis=1)
+        # places in the tables of ranges that were looked up since these were made
+        self.seen_class, self.seen_state = np.empty((EPOCH, n), np.uint32), np.empty((EPOCH, n), np.uint32)
+        self.last = np.zeros(n, order0.type)
         self.before = np.zeros(n, np.uint32)
         self.since = 0
         self.tables()
 
+    def shrink(self, n: int) -> None:
+        """Keep the first ``n`` blocks: those that still have ids."""
+        self.n, self.block, self.slots = n, np.arange(n), np.arange(n) << CLASS_BITS
+        self.lanes = np.arange(n, dtype=np.uint32) + np.array([[0], [self.wide << SLOTS_BITS]], np.uint32)
+        self.key = np.empty((2, n), np.uint32)
+        for name in ("last", "before"):
+            if hasattr(self, name):
+                setattr(self, name, getattr(self, name)[:n])
+
     def tables(self) -> None:
         """Shares and frequencies from what was counted; they add up to 2 ** MIX_BITS and 2 ** CLASS_BITS."""
-        scale = (1 << MIX_BITS) - 3
-        share = (self.right * scale // self.right.sum(axis=2, keepdims=True) + 1) * OPEN
-        share[:, :, 2] += (1 << MIX_BITS) - share.sum(axis=2)
-        low = np.cumsum(share, axis=2) - share
-        mixed = np.zeros((len(share), 16, 4), np.uint64)
-        mixed[:, :, :3] = low | share << 16
-        self.mixed = mixed.ravel()
-        if self.decoding:
-            self.limits = (low[:, :, 1] | low[:, :, 2] << 16).astype(np.uint64).ravel()
-        # numbers this small: the quotient in double precision has the whole part of the exact one
-        freq = (self.counts * float((1 << CLASS_BITS) - CLASSES) / np.maximum(self.counts.sum(axis=1, keepdims=True), 1)).astype(np.int64) + 1
-        freq[self.block, np.argmax(freq, axis=1)] += (1 << CLASS_BITS) - freq.sum(axis=1)
-        ranges = np.full((len(freq), CLASSES + 1), _WHOLE_CLASS)
-        ranges[:, :CLASSES] = np.cumsum(freq, axis=1) - freq | freq << 16
+        share = (self.right * ((1 << MIX_BITS) - 3) // self.right.sum(axis=0, dtype=np.uint32) + 1) * OPEN[:, :, None]
+        share[2] += (1 << MIX_BITS) - share.sum(axis=0, dtype=np.uint32)
+        low = np.cumsum(share, axis=0, dtype=np.uint32) - share
+        self.mixed = (low | share << 16).ravel()
+        freq = self.counts * ((1 << CLASS_BITS) - CLASSES) // np.maximum(self.counts.sum(axis=0, dtype=np.uint32), 1) + 1
+        blocks = np.arange(freq.shape[1])
+        freq[np.argmax(freq, axis=0), blocks] += (1 << CLASS_BITS) - freq.sum(axis=0, dtype=np.uint32)
+        ranges = np.full((CLASSES + 1, len(blocks)), 1 << CLASS_BITS << 16, np.uint32)
+        ranges[:CLASSES] = np.cumsum(freq, axis=0, dtype=np.uint32) - freq | freq << 16
         self.ranges = ranges.ravel()
         if self.decoding:
-            self.symbol = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint8), len(freq)), freq.ravel())
+            self.limits = (low[1] | low[2] << 16).ravel()
+            self.symbol = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint8), len(blocks)), freq.T.ravel())
 
     def renew(self, t: int) -> None:
         """At the start of step t: count what the last steps saw, where it is time."""
         if not t or (t % EPOCH and t not in RENEWALS):
             return
-        classes, states = self.seen_class[:t - self.since, :self.n], self.seen_state[:t - self.since, :self.n]
-        at = (self.block * (CLASSES + 1) + classes).ravel()
-        self.counts += np.bincount(at, minlength=self.n * (CLASSES + 1)).reshape(self.n, -1)[:, :CLASSES] * STEP
-        at = (self.states + states).ravel()
-        self.right += np.bincount(at, minlength=self.n * 64).reshape(self.n, 16, 4)[:, :, :3]
+        for seen, counted, weight in ((self.seen_class, self.counts, STEP), (self.seen_state, self.right, 1)):
+            found = np.bincount(seen[:t - self.since, :self.n].ravel(), minlength=counted.size)
+            counted += found[:counted.size].astype(np.uint32).reshape(counted.shape) * weight
         self.since = t
         self.tables()
 
-    def shrink(self, n: int) -> None:
-        """Keep the first ``n`` blocks: those that still have ids."""
-        self.n = n
-        for name in ("block", "row", "pairs", "states", "group", "slots", "right", "counts", "last", "before"):
-            setattr(self, name, getattr(self, name)[:n])
-
     def predict(self) -> None:
-        """Predictions, and the pair of their confidences, at the next id of each block."""
-        key = self.last * _V(2654435761)
+        """Predictions of order 2 and order 1, and the pair of their confidences, at the next id of each block."""
         # One type inside an operation, and places as numpy takes them: mixed ones are converted piece by piece.
-        self.at1 = ((key >> _V(32 - SLOTS_BITS)) + self.row).astype(np.intp)
-        self.at2 = (((key ^ self.before) * _V(2246822519) >> _V(32 - SLOTS_BITS)) + self.row).astype(np.intp)
-        self.before = self.last * _V(3266489917)
-        self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
-        self.p2, self.p1 = self.e2 & _V(0x1FFFF), self.e1 & _V(0x1FFFF)
-        self.c2, self.c1 = self.e2 >> _V(17), self.e1 >> _V(17)
-        self.pair = (self.c2 << _V(2)) + self.c1 * (self.p1 != self.p2)
+        last, key = self.last.astype(np.uint32), self.key
+        np.right_shift(last * _HASH + self.before, 32 - SLOTS_BITS, out=key[0])
+        np.bitwise_and(last, (1 << SLOTS_BITS) - 1, out=key[1])  # frequent ids have a place each
+        key *= np.uint32(self.wide)
+        key += self.lanes
+        self.at = key.astype(np.intp)
+        self.before = last * _HASH_BEFORE
+        entries = self.entries.take(self.at)
+        self.ranks, self.sure = entries >> 2, entries & 3
+        self.pair_at = ((self.sure[0] << 2) + self.sure[1] * (self.ranks[0] != self.ranks[1])) * self.wide + self.block
 
-    def update(self, t: int, ids: np.ndarray, classes: np.ndarray, states: np.ndarray) -> None:
-        """ids: 32 bits; classes: of ids of order 0, else CLASSES; states: 4 * pair + outcome."""
-        self.seen_class[t - self.since, :self.n] = classes
-        self.seen_state[t - self.since, :self.n] = states
-        fresh = ids | _V(1 << 17)
-        self.two[self.at2] = fresh + (np.minimum(self.c2, _V(2)) << _V(17)) * (self.p2 == ids)
-        self.one[self.at1] = fresh + (np.minimum(self.c1, _V(2)) << _V(17)) * (self.p1 == ids)
-        self.last = ids
+    def mix(self, not2: np.ndarray, coded: np.ndarray) -> np.ndarray:
+        """Ranges of the outcomes: 0 where order 2 holds, 1 where order 1 does (``not2``), 2 where order 0 codes the id (``coded`` too)."""
+        self.state_at = (not2.view(np.uint8) + coded.view(np.uint8)) * (self.wide * 16) + self.pair_at
+        return self.mixed.take(self.state_at)
 
+    def ranges_of(self, classes: np.ndarray) -> np.ndarray:
+        self.class_at = classes * self.wide + self.block
+        return self.ranges.take(self.class_at)
 
-def encode(ids: np.ndarray) -> bytes:
-    """Code ``ids`` as one segment."""
+    def update(self, t: int, ranks: np.ndarray, right: np.ndarray) -> None:
+        """right: which predictions hold."""
+        self.seen_class[t - self.since, :self.n] = self.class_at
+        self.seen_state[t - self.since, :self.n] = self.state_at
+        entries = np.minimum(self.sure, 2) * right
+        entries += (ranks << 2) + 1
+        self.entries[self.at] = entries
+        self.last = ranks
+
+
+def narrow(ids: np.ndarray) -> np.ndarray:
+    """``ids`` as 16-bit numbers."""
     if len(ids) and int(ids.max()) >= IDS:
         raise ValueError(f"ids must be below {IDS}")
-    ids = np.ascontiguousarray(ids, "<u4")
+    return np.ascontiguousarray(ids, "<u2")
+
+
+def encode(ids: np.ndarray) -> bytes:
+    """Code ``ids`` as one segment."""
+    ids = narrow(ids)
     n = -(-len(ids) // BLOCK)
-    counts = np.bincount(ids, minlength=1)
+    counts = np.zeros(IDS, np.int64)
+    for i in range(0, n, TILE):
+        counts += np.bincount(ids[i * BLOCK:(i + TILE) * BLOCK], minlength=IDS)
     used_ids = np.flatnonzero(counts)
     header = zlib.compress(used_ids.astype("<u2").tobytes() + counts[used_ids].astype("<u4").tobytes())
     numbers = struct.pack("<IIII", len(ids), n, len(used_ids), len(header))
@@ -172,16 +185,21 @@ def encode(ids: np.ndarray) -> bytes:
         return start
     lengths = np.full(n, BLOCK)
     lengths[-1] = len(ids) - BLOCK * (n - 1)
-    rows = np.zeros((n, BLOCK), np.uint16)
-    rows.ravel()[:len(ids)] = ids
-    steps = np.ascontiguousarray(rows.T)
-    del rows
     order0 = _Order0(used_ids, counts[used_ids])
+    rank = np.zeros(len(counts), np.uint16)
+    rank[order0.ids] = np.arange(order0.none)
+    steps = np.zeros((BLOCK, n), np.uint16)
+    for i in range(0, n, TILE):
+        own = rank.take(ids[i * BLOCK:(i + TILE) * BLOCK])
+        whole = len(own) // BLOCK
+        steps[:, i:i + whole] = own[:whole * BLOCK].reshape(whole, BLOCK).T
+        if len(own) > whole * BLOCK:
+            steps[:lengths[-1], -1] = own[whole * BLOCK:]
     model = _Model(n, order0, False)
-    low, span = np.zeros(n, np.uint64), np.full(n, _U(0xFFFFFFFFFFFFFFFF))
+    low, span = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
     # all blocks' words of a place stand together, as blocks advance alike; place 0 takes a last carry
     words = np.zeros((BLOCK + 3, n), np.uint64)
-    flat, used = words.reshape(-1), np.ones(n, np.int64)
+    flat, used = words.reshape(-1), np.arange(n, 2 * n)
     live = n
     for t in range(int(lengths.max())):
         if t == lengths[-1] and live == n:
@@ -190,53 +208,48 @@ def encode(ids: np.ndarray) -> bytes:
             keep_low = low[live:].copy()
             low, span = low[:live], span[:live]
         model.renew(t)
-        own = steps[t, :live].astype(np.uint32)
+        own = steps[t, :live].astype(order0.type, copy=False)
         model.predict()
-        by2, by1 = model.p2 == own, model.p1 == own
-        coded = ~(by2 | by1)
-        states = (model.pair << _V(2)) + ((coded.view(np.uint8) << 1) + (by1 > by2)).astype(np.uint32)
-        place = np.where(coded, own, _V(IDS)).astype(np.intp)
+        right = model.ranks == own
+        hit = right[0] | right[1]
+        place = own.astype(np.intp)
+        np.putmask(place, hit, order0.none)
         classes = order0.classes.take(place)
-        entry = model.mixed.take(model.states + states.astype(np.intp))
-        span >>= _U(MIX_BITS)
-        add = span * (entry & _LOW16)
-        span *= entry >> _HIGH16
-        for entry, bits in ((model.ranges.take(model.group + classes), CLASS_BITS), (order0.ranges.take(place), ID_BITS)):
-            span >>= _U(bits)
-            add += span * (entry & _LOW16)
-            span *= entry >> _HIGH16
+        entry = model.mix(~right[0], ~hit)
+        span >>= MIX_BITS
+        add = span * (entry & 0xFFFF)
+        span *= entry >> 16
+        for entry, bits in ((model.ranges_of(classes), CLASS_BITS), (order0.ranges.take(place), ID_BITS)):
+            span >>= bits
+            add += span * (entry & 0xFFFF)
+            span *= entry >> 16
         low += add
         over = np.flatnonzero(low < add)
         if len(over):
-            flat[(used[over] - 1) * n + over] += _U(1)
-        out = np.flatnonzero(span < _U(1 << 32))
-        left = low.take(out)
-        flat[used.take(out) * n + out] = left >> _U(32)
-        used[out] += 1
-        low[out] = left << _U(32)
-        span[out] = span.take(out) << _U(32)
-        model.update(t, own, classes, states)
+            flat[used.take(over) - n] += 1
+        out = np.flatnonzero(span < 1 << 32)
+        left, place = low.take(out), used.take(out)
+        flat[place] = left >> 32
+        used[out] = place + n
+        low[out] = left << 32
+        span[out] = span.take(out) << 32
+        model.update(t, own, right)
     if live < n:
         low = np.concatenate([low, keep_low])
     for shift in (32, 0):
-        flat[used * n + np.arange(n)] = (low >> _U(shift)) & _U(0xFFFFFFFF)
-        used += 1
+        flat[used] = (low >> shift) & 0xFFFFFFFF
+        used += n
+    used //= n
     most = int(used.max())
     for k in range(most - 1, 0, -1):
-        words[k - 1] += words[k] >> _U(32)
-        words[k] &= _U(0xFFFFFFFF)
-    raw = memoryview(ids).cast("B")
+        words[k - 1] += words[k] >> 32
+        words[k] &= 0xFFFFFFFF
     directory = np.empty((n, 3), "<u4")
     directory[:, 0], directory[:, 1] = lengths, used - 1
-    directory[:, 2] = [zlib.crc32(raw[4 * BLOCK * i:4 * BLOCK * (i + 1)]) for i in range(n)]
+    directory[:, 2] = [zlib.crc32(ids[BLOCK * i:BLOCK * (i + 1)].astype("<u4")) for i in range(n)]
     return start + directory.tobytes() + words[1:most].T.astype("<u4")[np.arange(1, most)[None, :] < used[:, None]].tobytes()
 
 
-def _quotient(code: np.ndarray, span: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):  # a damaged block may divide by nothing before its checksum tells
-        return code // span
-
-
 def decode(segment: bytes) -> np.ndarray:
     """The ids of a segment; raises ValueError if the header's or a block's checksum is wrong."""
     magic, total, n, distinct, size, check = struct.unpack_from("<IIIIII", segment)
@@ -257,51 +270,58 @@ def decode(segment: bytes) -> np.ndarray:
     at = np.cumsum(directory[:, 1]) - directory[:, 1]
     if int(directory[:, 1].sum()) != len(stream) - 2:
         raise ValueError("the directory is damaged")
-    code = (stream[at].astype(np.uint64) << _U(32)) | stream[at + 1]
+    code = (stream[at].astype(np.uint64) << 32) | stream[at + 1]
     at = at + 2
-    span = np.full(n, _U(0xFFFFFFFFFFFFFFFF))
+    span = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
     model = _Model(n, order0, True)
     out = np.zeros((BLOCK, n), np.uint16)
-    top, last_class, last_id = _U((1 << MIX_BITS) - 1), _U((1 << CLASS_BITS) - 1), _U((1 << ID_BITS) - 1)
     live = n
-    for t in range(int(lengths.max())):
-        if t == lengths[-1] and live == n:
-            live = n - 1
-            model.shrink(live)
-            code, span, at = code[:live], span[:live], at[:live]
-        model.renew(t)
-        model.predict()
-        limits = model.limits.take(model.pairs + model.pair.astype(np.intp))
-        span >>= _U(MIX_BITS)
-        slot = np.minimum(_quotient(code, span), top)
-        coded = slot >= limits >> _HIGH16
-        by1 = slot >= (limits & _LOW16)
-        states = (model.pair << _V(2)) + (by1.view(np.uint8) + coded.view(np.uint8)).astype(np.uint32)
-        entry = model.mixed.take(model.states + states.astype(np.intp))
-        code -= span * (entry & _LOW16)
-        span *= entry >> _HIGH16
-        span >>= _U(CLASS_BITS)
-        slot = np.minimum(_quotient(code, span), last_class).astype(np.int64)
-        classes = np.where(coded, model.symbol.take(model.slots + slot), _NO_CLASS).astype(np.intp)
-        entry = model.ranges.take(model.group + classes)
-        code -= span * (entry & _LOW16)
-        span *= entry >> _HIGH16
-        span >>= _U(ID_BITS)
-        slot = np.minimum(_quotient(code, span), last_id).astype(np.int64)
-        ids = order0.symbol.take((classes << ID_BITS) + slot)
-        entry = order0.ranges.take(ids.astype(np.intp))
-        code -= span * (entry & _LOW16)
-        span *= entry >> _HIGH16
-        ids = np.where(coded, ids, np.where(by1, model.p1, model.p2))
-        out[t, :live] = ids
-        more = np.flatnonzero(span < _U(1 << 32))
-        place = at.take(more)
-        code[more] = (code.take(more) << _U(32)) | stream.take(place, mode="clip").astype(np.uint64)
-        at[more] = place + 1
-        span[more] = span.take(more) << _U(32)
-        model.update(t, ids, classes, states)
+    # a damaged block may divide by nothing or look beyond a table, before its checksum tells
+    with np.errstate(divide="ignore"):
+        for t in range(int(lengths.max())):
+            if t == lengths[-1] and live == n:
+                live = n - 1
+                model.shrink(live)
+                code, span, at = code[:live], span[:live], at[:live]
+            model.renew(t)
+            model.predict()
+            limits = model.limits.take(model.pair_at)
+            span >>= MIX_BITS
+            not2, coded = code >= span * (limits & 0xFFFF), code >= span * (limits >> 16)
+            entry = model.mix(not2, coded)
+            code -= span * (entry & 0xFFFF)
+            span *= entry >> 16
+            span >>= CLASS_BITS
+            place = (code // span).view(np.intp)
+            place += model.slots
+            found = model.symbol.take(place, mode="clip")
+            np.putmask(found, ~coded, CLASSES)
+            classes = found.astype(np.intp)
+            entry = model.ranges_of(classes)
+            code -= span * (entry & 0xFFFF)
+            span *= entry >> 16
+            span >>= ID_BITS
+            place = (code // span).view(np.intp)
+            place += classes << ID_BITS
+            found = order0.symbol.take(place, mode="clip")
+            entry = order0.ranges.take(found)
+            code -= span * (entry & 0xFFFF)
+            span *= entry >> 16
+            ranks = model.ranks[0].copy()
+            np.putmask(ranks, not2, model.ranks[1])
+            np.putmask(ranks, coded, found)
+            out[t, :live] = ranks
+            more = np.flatnonzero(span < 1 << 32)
+            place = at.take(more)
+            code[more] = (code.take(more) << 32) | stream.take(place, mode="clip")
+            at[more] = place + 1
+            span[more] = span.take(more) << 32
+            model.update(t, ranks, model.ranks == ranks)
     del model, stream
-    ids = out.T.ravel()[:total].astype(np.uint32)
+    ids = np.empty(total, np.uint32)
+    for i in range(0, n, TILE):
+        own = out[:, i:i + TILE].T.ravel()[:total - i * BLOCK]
+        ids[i * BLOCK:i * BLOCK + len(own)] = order0.ids.take(own, mode="clip")
     del out
     raw = memoryview(ids).cast("B")
     for i, check in enumerate(directory[:, 2].tolist()):

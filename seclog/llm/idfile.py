@@ -53,7 +53,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str | None =
             for own, _, _ in X.slices(batch, "text", X.SMALL_BYTES):
                 found, first = with_end(*encode(own.column(1)), end_id)
                 names.append(own.column(0).to_pylist())
-                ids.append(found)
+                ids.append(idcoder.narrow(found))
                 lengths.append(np.diff(first))
                 if sum(map(len, ids)) >= SEGMENT_IDS:
                     yield emit()

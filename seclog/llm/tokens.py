@@ -5,7 +5,8 @@ it merges anything, so a text's ids are those of its pieces between spaces and l
 and of a word and the marks behind it, put together. Pieces are found and hashed with
 numpy; each worker keeps the ids of the pieces it has met, by their 64-bit hashes (at most
 ``KEEP`` of them), and asks the library for new ones only. Pieces met lately have a place by
-their hash's first bits, so that frequent ones need no search. Texts that hold the vocabulary's
+their hash's first bits, so that frequent ones need no search; when too many are kept, those
+without a place are forgotten. Texts that hold the vocabulary's
 special strings are encoded whole by the library.
 """
 
@@ -26,6 +27,8 @@ KEEP = 1_000_000
 PLACES_BITS = 18
 #: Pieces learned last that stand apart, so that a few new ones don't move all.
 RECENT = 32_768
+#: Bytes of a piece that are hashed eight at a time; longer pieces are hashed by running sums.
+SHORT = 64
 
 #: A lower-case word, composed as the library composes it.
 _PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
@@ -41,6 +44,8 @@ _LETTER[97:123] = True
 _ACCENT = np.zeros(256, bool)
 _ACCENT[0xA0:0xC0] = True
 _ACCENT[0xB7] = False
+#: The first bytes of a word of eight.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def default_vocabulary() -> str:
@@ -76,21 +81,27 @@ class Encoder:
         self.placed[-1] = 0
         self.placed_start, self.placed_length = np.zeros(1 << PLACES_BITS, np.int64), np.zeros(1 << PLACES_BITS, np.int64)
 
+    def _forget_displaced(self) -> None:
+        """Keep only pieces that have a place."""
+        own = np.flatnonzero((self.placed >> np.uint64(64 - PLACES_BITS)).view(np.int64) == np.arange(len(self.placed)))
+        start, length = self.placed_start[own], self.placed_length[own]
+        end = np.cumsum(length)
+        ids = self.ids.take(np.repeat(start - end + length, length) + np.arange(length.sum()))
+        self.ids, self.used = np.concatenate([ids, np.empty(1 << 20, np.uint32)]), len(ids)
+        self.placed_start[own] = end - length
+        self.known, self.recent = (self.placed[own], end - length, length), tuple(x[:0] for x in self.recent)
+
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Keep the ids of new pieces; ``hashes`` are sorted. Gives where their ids start and their numbers."""
-        model = self.library.model
-        plain = [_PLAIN.fullmatch(x) is not None for x in pieces]
-        odd = [x for x, p in zip(pieces, plain) if not p]
+        tokenize, spelt = self.library.model.tokenize, self.spelt
+        # pieces have no capitals of ASCII
+        plain = [(x if x.isalpha() else None) if x.isascii() else x.translate(spelt) if _PLAIN.fullmatch(x) else None for x in pieces]
+        odd = [x for x, p in zip(pieces, plain) if p is None]
         other = iter([ids for i in range(0, len(odd), 1000) for ids in self._whole(odd[i:i + 1000])])
-        found = []
-        for piece, p in zip(pieces, plain):
-            if p:
-                found.append([t.id for t in model.tokenize(piece if piece.isascii() else piece.translate(self.spelt))])
-            else:
-                found.append(next(other))
+        found = [next(other) if p is None else [t.id for t in tokenize(p)] for p in plain]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         first = np.concatenate([[0], np.cumsum(sizes)])
         fresh = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(first[-1]))
@@ -110,22 +121,24 @@ class Encoder:
         for known, start, length in (self.known, self.recent):
             if len(known):
                 place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                same = known[place] == hashes
+                same = known.take(place) == hashes
                 begins[same], lengths[same] = start[place[same]], length[place[same]]
                 new &= ~same
         return begins, lengths, new
 
     def _found(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of the pieces from ``a`` to ``b`` start in the kept ones, and their numbers."""
-        at = hashes >> np.uint64(64 - PLACES_BITS)
-        start, length = self.placed_start[at], self.placed_length[at]
-        other = np.flatnonzero(self.placed[at] != hashes)
+        at = (hashes >> np.uint64(64 - PLACES_BITS)).view(np.int64)
+        start, length = self.placed_start.take(at), self.placed_length.take(at)
+        other = np.flatnonzero(self.placed.take(at) != hashes)
         if not len(other):
             return start, length
-        distinct, one, back = np.unique(hashes[other], return_index=True, return_inverse=True)
+        distinct, one, back = np.unique(hashes.take(other), return_index=True, return_inverse=True)
         kept = len(self.known[0]) + len(self.recent[0])
         if kept and kept + len(distinct) > KEEP:
-            self._forget()
+            self._forget_displaced()
+            if 4 * len(self.known[0]) > 3 * KEEP or len(self.known[0]) + len(distinct) > KEEP:
+                self._forget()
             return self._found(data, a, b, hashes)
         begins, lengths, new = self._kept(distinct)
         if new.any():
@@ -151,9 +164,12 @@ class Encoder:
                 rows[i] = self._whole([column[i].as_py()])[0]
             return _joined(rows)
         data, offsets = X.column_bytes(column)
-        data, offsets = X.LOWER.take(data[offsets[0]:offsets[-1]]), offsets - offsets[0]
+        data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
+        padded = np.zeros(len(data) + 8, np.uint8)
+        data = X.LOWER.take(data, out=padded[:len(data)], mode="clip")
         starts, ends, _ = X.words(data, offsets, _INSIDE)
-        marked = np.flatnonzero(_MARK[data[ends - 1]] & (ends - 1 > starts))
+        last = ends - 1
+        marked = np.flatnonzero(_MARK.take(data.take(last)) & (last > starts))
         cut, at = ends[marked], np.arange(len(marked))  # without the marks behind a word
         while len(at):
             cut[at] -= 1
@@ -163,10 +179,29 @@ class Encoder:
         at, cut = marked[apart], cut[apart]
         a = np.insert(starts, at + 1, cut)
         b = np.insert(ends, at, cut)
-        start, length = self._found(data, a, b, X.span_hash(X.prefix_hash(data), a, b))
+        start, length = self._found(data, a, b, _hashes(padded, a, b))
         end = np.concatenate([[0], np.cumsum(length)])
-        ids = self.ids[np.repeat(start - end[:-1], length) + np.arange(end[-1])]
-        return ids, end[np.searchsorted(a, offsets)]
+        at = np.repeat(start - end[:-1], length)
+        at += np.arange(end[-1])
+        return self.ids.take(at), end[np.searchsorted(a, offsets)]
+
+
+def _hashes(padded: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces from ``a`` to ``b``; eight bytes follow the last text."""
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # of eight bytes, at every byte
+    left = b - a
+    found = X.mix((words[a] & _BYTES.take(np.minimum(left, 8))) + left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    more = np.flatnonzero((left > 8) & (left <= SHORT))
+    at, left = a.take(more), left.take(more)
+    while len(more):
+        at, left = at + 8, left - 8
+        found[more] = X.mix(found.take(more) ^ (words[at] & _BYTES.take(np.minimum(left, 8))))
+        rest = np.flatnonzero(left > 8)
+        more, at, left = more.take(rest), at.take(rest), left.take(rest)
+    long = np.flatnonzero(b - a > SHORT)
+    if len(long):
+        found[long] = X.span_hash(X.prefix_hash(padded), a.take(long), b.take(long))
+    return found
 
 
 def _merged(one: tuple, more: tuple) -> tuple:
